@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, sharding
+from rivulet.llm import bpe, decontaminate, sharding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -26,6 +26,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_sharding": op8_sharding}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    benchmark = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontaminate.report(docs, benchmark, n=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
 
 ORACLE_SQL: dict[str, str] = {}
