@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, sharding
+from rivulet.llm import bpe, decontaminate, html_text, sharding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -33,6 +33,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
+    "op10_html_extraction": op10_html_extraction,
+}
 
 ORACLE_SQL: dict[str, str] = {}
