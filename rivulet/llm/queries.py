@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, html_text, sharding
+from rivulet.llm import bpe, decontaminate, html_text, langid, sharding
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.shard(docs, shards=8)
@@ -40,6 +46,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_language_id": op2_language_id,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
