@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -80,3 +81,9 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buffer = array.buffers()[2]
     data = np.frombuffer(buffer, dtype=np.uint8)[at[0] : at[-1]] if buffer is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return data, at - at[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished phases: Spark deletes them once their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
