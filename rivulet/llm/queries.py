@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, sharding, substring
+from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, sharding, substring
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -31,6 +31,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(docs, n=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.deduplicate(docs, threshold=0.8)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.deduplicate(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
