@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, sharding, substring
+from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, minhash, sharding, substring
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -37,6 +37,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.classes(docs, threshold=0.8).select("doc_id", "class_id", "kept")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.deduplicate(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
