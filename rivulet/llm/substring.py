@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.llm import tokens
-from rivulet.llm.common import materialize, release, scratch_path, slices, text_bytes
+from rivulet.llm.common import materialize, release, scratch_path, shuffles_cleaned, slices, text_bytes
 
 #: Words of a gram. Every window of n words has n - GRAM + 1 of them.
 GRAM = 8
@@ -120,7 +120,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.path}/run-{self._made:06d}"
         self._made += 1
-        rows.sortWithinPartitions("print").write.parquet(path)
+        with shuffles_cleaned(self.spark):
+            rows.sortWithinPartitions("print").write.parquet(path)
         return path
 
     def _read(self, path: str) -> DataFrame:
