@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, minhash, sharding, substring
+from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, minhash, sharding, substring, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -26,6 +26,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    made = warc.derivatives(warc.responses(pages))
+    digests = {"metadata_sha256": F.sha2("metadata", 256), "conversion_sha256": F.sha2("conversion", 256), "text_sha256": F.sha2("text", 256), "n_chars": F.length("text").cast("long")}
+    return made.select("page_id", "url", "source_id", "metadata_id", "conversion_id", "refers_to", "source_payload_digest", "digest_ok", *[v.alias(k) for k, v in digests.items()], "error")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.deduplicate(docs, n=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -67,6 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
+    "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
