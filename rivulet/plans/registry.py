@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+
 _QUERIES: dict = {}
 _ORACLE: dict[str, str] = {}
 
@@ -20,9 +22,20 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+#: Modules whose import registers queries.
+MODULES = ["zones", "joins", "listing", "series", "text_queries", "folded", "faces"]
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"rivulet.plans.{name}")
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
