@@ -1 +1,144 @@
-"""stub"""
+"""Queries: order-dependent folds. Where SQL can fold a list, it has a counterpart."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from rivulet.operators import folds as D
+from rivulet.operators import intervals as I
+from rivulet.plans import duck
+from rivulet.plans.registry import register
+from rivulet.sources import tables
+
+_SPAN = "job_id long, t0 double, t1 double, slot int, confidence double"
+
+
+@register("st01_interval_nms")
+def interval_nms(spark, d):
+    rows = tables.clips(spark, d).select("job_id", "clip_id", "t0", "t1", F.col("score").cast("long").alias("score"))
+    return D.fold(rows, "job_id", ["score", "t0", "t1", "clip_id"], lambda r: D.nms(sorted(r, key=lambda c: (-c["score"], c["t0"], c["t1"], c["clip_id"]))), "job_id long, clip_id int, t0 double, t1 double, score long")
+
+
+@register("st02_interval_nms_plain")
+def interval_nms_plain(spark, d):
+    rows = tables.clips(spark, d).select("job_id", "clip_id", "t0", "t1", F.col("score").cast("long").alias("score"))
+    return D.fold(rows, "job_id", ["clip_id", "t0", "t1"], lambda r: D.nms(r, near=0.0), "job_id long, clip_id int, t0 double, t1 double, score long")
+
+
+@register("st03_thematic_dedup")
+def thematic_dedup(spark, d):
+    rows = tables.load(spark, d, "part").select((F.col("p_size") % 10).cast("long").alias("job_id"), "p_partkey", F.col("p_name").alias("title"))
+    return D.fold(rows, "job_id", ["p_partkey"], lambda r: D.thematic(r, 2), "job_id long, p_partkey long, title string")
+
+
+@register("ts14_hysteresis")
+def hysteresis(spark, d):
+    rows = tables.speaker_events(spark, d).select("job_id", "event_id", "t0", "t1", "slot", "confidence")
+    return D.fold(rows, "job_id", ["t0", "event_id"], D.hysteresis, _SPAN)
+
+
+@register("ts10_transcript_timeline")
+def transcript_timeline(spark, d):
+    rows = tables.segments(spark, d).select("job_id", "seq", "t0", "t1", F.when(F.col("speaker") == "user", 0).otherwise(1).alias("slot"))
+    return D.fold(rows, "job_id", ["seq"], D.transcript_timeline, "job_id long, t0 double, t1 double, slot int")
+
+
+def _signals(spark, d):
+    return tables.speaker_events(spark, d).select("job_id", "event_id", F.floor("t0").cast("double").alias("t"), F.col("slot").alias("who"), "confidence").groupBy("job_id", "t", "who").agg(F.max("confidence").alias("value"))
+
+
+@register("ts16_switches")
+def switches(spark, d):
+    def step(rows):
+        return ({"job_id": rows[0]["job_id"], **x} for x in D.ema_switches(rows))
+
+    return D.fold(_signals(spark, d), "job_id", ["t", "who"], step, "job_id long, t double, who int, confidence double")
+
+
+@register(
+    "ts15_ema",
+    f"""with {duck.EV}, l as (select job_id, list(value order by t, event_id) as v from ev group by 1), e as (select job_id, list_reduce(list_transform(v, lambda x: [x]), lambda a, x: list_append(a, 0.4e0 * x[1] + 0.6e0 * a[-1])) as s from l)
+    select job_id, len(s)::int as n, round(s[-1], 6) as last_value from e""",
+)
+def ema(spark, d):
+    """The smoothed series' last value: a fold of an ordered array with a number as state."""
+    rows = tables.timed_events(spark, d).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "value"))).alias("v"))
+    first = F.get("v", F.lit(0))["value"]
+    last = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), first, lambda a, x: 0.4 * x["value"] + 0.6 * a)
+    return rows.select("job_id", F.size("v").alias("n"), F.round(last, 6).alias("last_value"))
+
+
+@register("st09_pause_speakers", f"with {duck.seg()}, p as (select job_id, seq, coalesce(t0 - lag(t1) over (partition by job_id order by seq) > 1.2e0, false)::int as n from seg) select job_id, seq, 'Speaker ' || (sum(n) over (partition by job_id order by seq) % 2 + 1)::int as speaker from p")
+def pause_speakers(spark, d):
+    """Two speakers told by pauses; the fold is a running count of pauses."""
+    w = Window.partitionBy("job_id").orderBy("seq")
+    paused = F.coalesce(F.col("t0") - F.lag("t1").over(w) > 1.2, F.lit(False)).cast("int")
+    rows = tables.segments(spark, d).withColumn("n", paused).withColumn("k", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("job_id", "seq", F.concat(F.lit("Speaker "), (F.col("k") % 2 + 1).cast("string")).alias("speaker"))
+
+
+def _points(spark, d):
+    return tables.scenes(spark, d).groupBy("job_id", "t").agg(F.max("subject_x").alias("x"))
+
+
+@register("ts41_rate_limited")
+def rate_limited(spark, d):
+    return D.fold(_points(spark, d), "job_id", ["t"], lambda r: D.rate_limited(r, 5.0), "job_id long, t double, x double")
+
+
+@register("ts46_dead_zone")
+def dead_zone(spark, d):
+    return D.fold(_points(spark, d), "job_id", ["t"], lambda r: D.dead_zone(r, 20.0), "job_id long, t double, x double")
+
+
+@register("ts47_merged_holds")
+def merged_holds(spark, d):
+    return D.fold(_points(spark, d), "job_id", ["t"], lambda r: D.dead_zone(r, 3.0), "job_id long, t double, x double")
+
+
+@register("ts26_smoothed_votes")
+def smoothed_votes(spark, d):
+    rows = tables.speaker_events(spark, d).select("job_id", "event_id", "t0", "t1", "slot")
+    return D.fold(rows, "job_id", ["t0", "event_id"], lambda r: D.merge_short(r, 2.0), "job_id long, t0 double, t1 double, slot int")
+
+
+@register("ts53_contiguous")
+def contiguous(spark, d):
+    rows = tables.segments(spark, d).select("job_id", "seq", "t0", "t1")
+    return D.fold(rows, "job_id", ["seq"], D.contiguous, "job_id long, seq long, t0 double, t1 double")
+
+
+@register("ts59_tv_denoise")
+def tv_denoise(spark, d):
+    def step(rows):
+        return ({**r, "x": round(x, 6)} for r, x in zip(rows, D.tv_denoise([r["x"] for r in rows], 10.0), strict=True))
+
+    return D.fold(_points(spark, d), "job_id", ["t"], step, "job_id long, t double, x double")
+
+
+@register("rt05_breaker")
+def breaker(spark, d):
+    rows = tables.load(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("job_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    return D.fold(rows, "job_id", ["s", "event_id"], lambda r: D.breaker(r, 3, 86_400.0, 3600.0), "job_id long, event_id long, s double, n int, until double")
+
+
+@register("jn45_greedy_match")
+def greedy_match(spark, d):
+    """Speaker intervals against segments: starts within three seconds, one to one, in order."""
+    segs = tables.segments(spark, d).select("job_id", F.col("seq").alias("a"), "t0")
+    ev = tables.speaker_events(spark, d).select("job_id", F.col("event_id").alias("b"), F.col("t0").alias("s0"))
+    pairs = I.range_join(segs, ev, ["job_id"], F.abs(F.col("t0") - F.col("s0")) < 3, (F.col("t0") - 3, F.col("t0") + 3), (F.col("s0"), F.col("s0")))
+    return D.fold(pairs.select("job_id", "a", "b"), "job_id", ["a", "b"], D.greedy_match, "job_id long, a long, b long")
+
+
+@register(
+    "st10_position_clusters",
+    f"with {duck.SCENES}, v as (select distinct job_id, subject_x as x from scenes), g as (select *, coalesce(x - lag(x) over (partition by job_id order by x) > 3, false)::int as n from v), c as (select *, sum(n) over (partition by job_id order by x) as c from g) select job_id, c::int as cluster, count(*) as n, min(x) as lo, max(x) as hi from c group by all",
+)
+def position_clusters(spark, d):
+    """Clusters of positions on a line, parted by gaps over three."""
+    w = Window.partitionBy("job_id").orderBy("x")
+    v = tables.scenes(spark, d).select("job_id", F.col("subject_x").alias("x")).distinct()
+    v = v.withColumn("n", F.coalesce(F.col("x") - F.lag("x").over(w) > 3, F.lit(False)).cast("int")).withColumn("c", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return v.groupBy("job_id", F.col("c").cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
