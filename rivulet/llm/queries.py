@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, minhash, sharding, substring, warc
+from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, minhash, oracles, sharding, substring, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -84,4 +84,10 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": oracles.SUBSTRING,
+    "op5_line_dedup": oracles.LINES,
+    "op6_minhash_dedup": oracles.NEAR,
+    "op7_embedding_dedup": oracles.EMBEDDINGS,
+    "op9_decontamination": oracles.DECONTAMINATION,
+}
