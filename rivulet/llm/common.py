@@ -52,7 +52,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with shuffles_cleaned(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in frames:
+        drop_path(df.sparkSession, df._scratch)
 
 
 @contextlib.contextmanager

@@ -6,10 +6,11 @@ per node or on the driver. Each round is written to the shared scratch folder, w
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import materialize, release
+from rivulet.llm.common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -40,8 +41,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if mark[0] == 0:
             break
-        links = materialize(_small_star(_large_star(links)), "links")
-        release(links.sparkSession)
+        before, links = links, materialize(_small_star(_large_star(links)), "links")
+        discard(before)
         now = _mark(links)
         if now == mark:
             break
@@ -50,3 +51,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     ids = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def joined(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (each the index of a root) after joining the pairs."""
+    while True:
+        a, b = labels[u], labels[v]
+        apart = a != b
+        if not apart.any():
+            return labels
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = labels[labels]
+            if (up == labels).all():
+                break
+            labels = up

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import materialize, release
-from rivulet.llm.components import components
+from rivulet.llm.components import components, joined
 
 #: Vectors that the centroids are fitted on, at most about.
 SAMPLE = 16_384
@@ -69,22 +69,6 @@ def visits(vectors: np.ndarray, centroids: np.ndarray, threshold: float) -> tupl
     return home, seen
 
 
-def joined(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Labels (each the index of a root) after joining the pairs."""
-    while True:
-        a, b = labels[u], labels[v]
-        apart = a != b
-        if not apart.any():
-            return labels
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels = up
-
-
 def _classes(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
     """(rows with content keys h1, h2 or nulls, one row per distinct valid vector)."""
     x = F.col("x")

@@ -9,10 +9,11 @@ rate is its length; a process over a longer interval is split in halves hierarch
 its time and the other going on from there, and halves beyond w or later than all registers are dropped. A register
 keeps its earliest arrival. Two documents agree in a register with the probability of their weighted Jaccard similarity.
 
-Documents that agree in all ``ROWS`` registers of one of ``BANDS`` bands are candidates (at 0.8 some 5e-8 of the pairs
-are missed) and are verified on the full multisets. Copies of a text are one node. Within a band's bucket a node is first
-compared with the node of most company, which settles large groups; where a bucket still holds several classes, further
-rounds and at last all pairs between different classes follow, so that no candidate goes unverified.
+Documents that agree in all ``ROWS`` registers of one of ``BANDS`` bands are candidates (at a similarity of 0.8 one pair
+in 5000 is missed, at 0.85 one in a million). Copies of a text are one node. Nodes that candidates connect form a
+cluster, and within a cluster all multisets are compared, as products of incidence matrices over blocks of bounded size;
+of a block's links only a spanning forest leaves it, never the pairs. A large cluster is dealt over many tasks, block
+pair by block pair; small ones share tasks.
 
 Defined results: null and empty texts link with nothing. A class is named by its least document id. Rows repeated with
 equal id and text are copies. Null ids form classes like others; a class of null ids alone has a null name.
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import tokens
 from rivulet.llm.common import materialize, slices, text_bytes
-from rivulet.llm.components import components
+from rivulet.llm.components import components, joined
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
-#: Rounds of comparing with a bucket's node of most company before all pairs between classes are taken.
-ROUNDS = 3
+#: Bounds of a block: nodes, and shingles of all of them.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 250_000
+#: Columns of an incidence matrix at a time.
+STRIPE = 4096
 _STEP_BYTES = 4 << 20
 
 
@@ -105,7 +108,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, row: np.ndarray, n_rows:
             steps = np.arange(1, k + 1)
             bits = _uniform(lh[:, None], ln[:, None], lc[:, None] + steps)
             times = lt[:, None] + np.cumsum(_waiting(bits), axis=1) / registers  # arrivals after the pending one
-            where = (tokens.mix(_uniform(lh[:, None], ln[:, None], lc[:, None] + steps - 1)) & np.uint64(registers - 1)).astype(np.int64)
+            where = (tokens.mix(_uniform(lh[:, None], ln[:, None], lc[:, None] + steps - 1)) % np.uint64(registers)).astype(np.int64)
             now = np.concatenate([lt[:, None], times[:, :-1]], axis=1)
             np.minimum.at(flat, (lr[:, None] * registers + where).ravel(), now.ravel())
             parts.append((lh, lr, w[leaf], low[leaf], size[leaf], ln, lc + k, times[:, -1]))
@@ -174,14 +177,67 @@ def _multisets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("c", "__text").mapInArrow(run, "c long, set array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose multisets overlap enough."""
-    u = sets.select(F.col("c").alias("u"), F.col("set").alias("su"))
-    v = sets.select(F.col("c").alias("v"), F.col("set").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    able = (F.size("su") >= F.lit(threshold - 1e-9) * F.size("sv")) & (F.size("sv") >= F.lit(threshold - 1e-9) * F.size("su"))
-    found = pairs.join(u, "u").join(v, "v").filter(able & (both >= F.lit(threshold - 1e-12) * (F.size("su") + F.size("sv") - both)))
-    return found.select("u", "v")
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, left x right."""
+    if len(sets) == 2:
+        return np.array([[len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in right] for i in left])
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    often = counts[column] > 1
+    row, column = row[often], (np.cumsum(counts > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    width = int((counts > 1).sum())
+    for start in range(0, width, STRIPE):
+        a, b = np.searchsorted(column, [start, start + STRIPE])
+        held = np.zeros((len(sets), min(STRIPE, width - start)), np.float32)
+        held[row[a:b], column[a:b] - start] = 1
+        total += held[left] @ held[right].T
+    return total.astype(np.int64)
+
+
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """A root per set, joining all similar pairs of left x right."""
+    both = overlaps(sets, left, right)
+    size = np.array([len(x) for x in sets])
+    near = both >= (threshold - 1e-12) * (size[left][:, None] + size[right][None, :] - both)
+    u, v = np.nonzero(near)
+    return joined(np.arange(len(sets)), left[u], right[v])
+
+
+def _forests(sets: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) links that span the similar nodes of each cluster; ``sets`` is (c, set), ``clusters`` (c, label)."""
+    rows = clusters.join(sets, "c")
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("set").cast("long")).alias("s"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int"))
+    sizes = materialize(sizes, "minhash-clusters")
+    small = sizes.filter("blocks = 1").agg(F.sum("s")).first()[0] or 0
+    bins = max(1, -(-small // (2 * BLOCK_SHINGLES)))
+    rows = rows.join(sizes.select("label", "blocks"), "label").withColumn("own", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    rows = rows.withColumn("m", F.explode(meets)).withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.col("label")))
+    rows = rows.select("bin", (F.col("blocks") > 1).alias("large"), F.col("m.i").alias("i"), F.col("m.j").alias("j"), "label", "own", "c", "set")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label, own, c = (table.column(x).to_numpy() for x in ("label", "own", "c"))
+        lists = table.column("set").combine_chunks()
+        flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = np.argsort(label, kind="stable")
+        u, v = [], []
+        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            sets = [np.sort(flat[at[k] : at[k + 1]]) for k in part]
+            left, right = np.flatnonzero(own[part] == i), np.flatnonzero(own[part] == j)
+            roots = forest(sets, left, right, threshold)
+            moved = np.flatnonzero(roots != np.arange(len(part)))
+            u.append(c[part[moved]])
+            v.append(c[part[roots[moved]]])
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return rows.groupBy("bin", "large", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -192,33 +248,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
     found = materialize(_sketches(rows, key, shingle), "minhash")
     nodes = materialize(found.groupBy("c").agg(F.min(key).alias("least"), F.first("bands").alias("bands")), "minhash-nodes")
     banded = nodes.select("c", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("band", "n")
-    members = materialize(banded.join(shared, "band"), "minhash-buckets")  # (band, c, n): only buckets of several nodes
-    company = members.groupBy("c").agg(F.sum("n").alias("company"))
-    wanted = company.select("c").join(nodes.select("c", "least"), "c")
-    rep = rows.join(wanted.withColumnsRenamed({"c": "wc"}), (F.col("c") == F.col("wc")) & F.col(key).eqNullSafe(F.col("least"))).drop("wc", "least")
+    shared = banded.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("band", "a")
+    met = banded.join(shared, "band").select(F.col("c").alias("u"), F.col("a").alias("v")).distinct()
+    clusters = materialize(components(met).select(F.col("id").alias("c"), F.col("component").alias("label")), "minhash-met")
+    wanted = clusters.join(nodes.select("c", "least"), "c").select(F.col("c").alias("wc"), "least")
+    rep = rows.join(wanted, (F.col("c") == F.col("wc")) & F.col(key).eqNullSafe(F.col("least"))).drop("wc", "least")
     sets = materialize(_multisets(rep, shingle).dropDuplicates(["c"]), "minhash-sets")
-    members = materialize(members.drop("n").join(company, "c"), "minhash-members")
-
-    links = tried = None
-    label = nodes.select("c", F.col("c").alias("label")).limit(0)
-    for turn in range(ROUNDS + 1):
-        at = members.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        if turn < ROUNDS:  # each node with the node of most company it meets outside its class
-            stars = at.groupBy("band").agg(F.max(F.struct("company", "c", "label")).alias("s"))
-            pairs = at.join(stars, "band").filter(F.col("label") != F.col("s.label")).select("c", "s").groupBy("c").agg(F.max("s").alias("s")).select(F.least("c", "s.c").alias("u"), F.greatest("c", "s.c").alias("v")).distinct()
-        else:  # all that is left: pairs of different classes in one bucket
-            mixed = at.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("band")
-            rest = at.join(mixed, "band").select("band", "c", "label")
-            other = rest.select(F.col("band").alias("band2"), F.col("c").alias("c2"), F.col("label").alias("label2"))
-            pairs = rest.join(other, (rest["band"] == other["band2"]) & (F.col("c") < F.col("c2")) & (F.col("label") != F.col("label2"))).select(F.col("c").alias("u"), F.col("c2").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "minhash-pairs")
-        new = materialize(_verified(pairs, sets, threshold), "minhash-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        label = materialize(components(links).select(F.col("id").alias("c"), F.col("component").alias("label")), "minhash-classes")
+    links = materialize(_forests(sets, clusters, threshold), "minhash-links")
+    label = materialize(components(links).select(F.col("id").alias("c"), F.col("component").alias("label")), "minhash-classes")
 
     named = nodes.select("c", "least").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
     names = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "c")).alias("m")).select("label", F.col("m.least").alias("class_id"), F.col("m.c").alias("kept_c"))
