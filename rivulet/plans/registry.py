@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 #: Modules whose import registers queries.
-MODULES = ["zones", "joins", "listing", "series", "text_queries", "folded", "faces", "clip_queries"]
+MODULES = ["zones", "joins", "listing", "series", "text_queries", "folded", "faces", "clip_queries", "scalar_queries"]
 
 
 def _load() -> None:
