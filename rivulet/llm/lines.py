@@ -10,9 +10,9 @@ the order is global, so the filters are exact whatever the counters' collisions.
 
 1. those prefix tokens that stand in two different sets are found by an aggregation (map-side first);
 2. a bitmap of fixed size of these picks the lines to go on with (a filter only: collisions cost time, not results);
-3. each is compared with the earliest and the commonest line of each of its prefix tokens' groups, which settles most
-   members of large groups; lines not removed by that are compared with all earlier members of their groups, under the
-   length and positional filters. Candidates are verified on the whole sets.
+3. each is compared with one line first: the one that most of its prefix tokens name, each naming the earliest and the
+   commonest line of its group. That settles most members of large groups; lines not removed by it are compared with all
+   earlier members of their groups, under the length and positional filters. Candidates are verified on the whole sets.
 
 Defined results: null texts stay null and have no lines; lines without words are kept; a text whose lines all go becomes
 the empty text. Rows repeated with equal id and text count as one document and get the same result each. Null ids come
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import tokens
-from rivulet.llm.common import materialize, release, slices, text_bytes
+from rivulet.llm.common import discard, materialize, shuffles_cleaned, slices, text_bytes
 
 #: Words of a token.
 SHINGLE = 5
@@ -148,9 +148,9 @@ def _prefixes(rows: DataFrame, held, shingle: int, threshold: float) -> DataFram
 
 
 def _chosen(rows: DataFrame, held, bitmap, key: str, shingle: int, threshold: float) -> DataFrame:
-    """The lines with a prefix token in the bitmap, with their place and ordered tokens."""
+    """The lines with a prefix token in the bitmap, with their place, ordered tokens and where those in the bitmap stand."""
     least = threshold / (1 - threshold) - 1e-9 if threshold < 1 else math.inf
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, c long, line int, l1 long, l2 long, tokens array<long>"
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, c long, line int, l1 long, l2 long, tokens array<long>, hits array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
@@ -164,16 +164,17 @@ def _chosen(rows: DataFrame, held, bitmap, key: str, shingle: int, threshold: fl
                 line = np.repeat(np.arange(len(m)), take)
                 place = at[:-1][line] + np.arange(len(line)) - np.repeat(np.cumsum(take) - take, take)
                 slot = (keys[place] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-                lines = np.unique(line[hit > 0])
+                hit = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0
+                lines, hits = np.unique(line[hit], return_counts=True)
+                where = pa.array((place[hit] - at[:-1][line[hit]]).astype(np.int32))
                 row = np.searchsorted(first, lines, side="right") - 1
                 size = m[lines]
                 offsets = np.concatenate([[0], np.cumsum(size)])
                 index = np.repeat(at[lines] - offsets[:-1], size) + np.arange(offsets[-1])
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column(key), taken.column("c"), pa.array((lines - first[row]).astype(np.int32)), pa.array(l1[lines]), pa.array(l2[lines]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[index].view(np.int64)))],
-                    names=[key, "c", "line", "l1", "l2", "tokens"],
+                    [taken.column(key), taken.column("c"), pa.array((lines - first[row]).astype(np.int32)), pa.array(l1[lines]), pa.array(l2[lines]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[index].view(np.int64))), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hits)]), pa.int32()), where)],
+                    names=[key, "c", "line", "l1", "l2", "tokens", "hits"],
                 )
 
     return rows.mapInArrow(run, schema)
@@ -191,42 +192,39 @@ def _bitmap(recurring: DataFrame) -> bytes:
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The x of those pairs (x1, x2, y1, y2) of sets whose Jaccard similarity reaches the threshold."""
-    x = sets.select(F.col("l1").alias("x1"), F.col("l2").alias("x2"), F.col("tokens").alias("tx"))
-    y = sets.select(F.col("l1").alias("y1"), F.col("l2").alias("y2"), F.col("tokens").alias("ty"))
+    """(l1, l2) of the x of those pairs (x, y) whose y stands earlier and is similar enough. A pair names sets by l1
+    alone; were two sets to share it, both are looked at."""
+    x = sets.select(F.col("l1").alias("x"), "l2", F.col("place").alias("px"), F.col("tokens").alias("tx"))
+    y = sets.select(F.col("l1").alias("y"), F.col("place").alias("py"), F.col("tokens").alias("ty"))
+    able = (F.col("py") < F.col("px")) & (F.size("tx") >= F.lit(threshold) * F.size("ty") - 1e-9) & (F.size("ty") >= F.lit(threshold) * F.size("tx") - 1e-9)
     both = F.size(F.array_intersect("tx", "ty"))
-    found = pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).filter(both >= F.lit(threshold - 1e-12) * (F.size("tx") + F.size("ty") - both))
-    return found.select(F.col("x1").alias("l1"), F.col("x2").alias("l2")).distinct()
+    found = pairs.join(x, "x").join(y, "y").filter(able).filter(both >= F.lit(threshold - 1e-12) * (F.size("tx") + F.size("ty") - both))
+    return found.select(F.col("x").alias("l1"), "l2").distinct()
 
 
 def similar_to_earlier(sets: DataFrame, threshold: float) -> DataFrame:
-    """(l1, l2) of the distinct sets (l1, l2, place, copies, tokens) that match a set with an earlier place."""
-    spark = sets.sparkSession
-    m = F.size("tokens")
-    prefix = sets.select("l1", "l2", "place", "copies", m.alias("m"), F.posexplode(F.slice("tokens", F.lit(1), (m - F.ceil(F.lit(threshold) * m - 1e-9) + 1).cast("int"))).alias("i", "token"))
+    """(l1, l2) of the distinct sets (l1, l2, place, copies, tokens, hits) that match a set with an earlier place."""
+    entry = F.explode(F.transform("hits", lambda i: F.struct(i.alias("i"), F.get("tokens", i).alias("token"))))
+    prefix = sets.select("l1", F.col("place.d").alias("d"), "copies", F.size("tokens").alias("m"), entry.alias("e")).select(F.col("e.token").alias("token"), "l1", "d", "copies", "m", F.col("e.i").alias("i"))
     prefix = materialize(prefix, "line-prefixes")
-    entry = F.struct("place", "l1", "l2", "m", "i")
-    groups = prefix.groupBy("token").agg(F.min(entry).alias("early"), F.max(F.struct("copies", F.struct("place", "l1", "l2", "m", "i").alias("e"))).alias("common"), F.min("l1").alias("a"), F.max("l1").alias("b"))
-    groups = groups.filter("a <> b").select("token", F.array_distinct(F.array("early", "common.e")).alias("stars"))
-
-    def fits(frame: DataFrame) -> DataFrame:
-        need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("y.m")) - 1e-9)
-        most = F.least(F.col("m") - F.col("i"), F.col("y.m") - F.col("y.i"))
-        long_enough = (F.col("y.m") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("y.m") - 1e-9)
-        return frame.filter((F.col("y.place") < F.col("place")) & long_enough & (most >= need)).select(F.col("l1").alias("x1"), F.col("l2").alias("x2"), F.col("y.l1").alias("y1"), F.col("y.l2").alias("y2")).distinct()
-
-    stars = materialize(fits(prefix.join(groups, "token").withColumn("y", F.explode("stars"))), "line-star-pairs")
+    groups = prefix.groupBy("token").agg(F.min("l1").alias("a"), F.max("l1").alias("b"), F.min_by("l1", "d").alias("early"), F.max_by("l1", "copies").alias("common")).filter("a <> b")
+    groups = materialize(groups.select("token", F.coalesce("early", "a").alias("early"), "common"), "line-groups")
+    votes = prefix.join(groups, "token").select(F.col("l1").alias("x"), F.explode(F.array_distinct(F.array("early", "common"))).alias("y")).filter("x <> y")
+    votes = votes.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    stars = materialize(votes.groupBy("x").agg(F.max_by("y", "n").alias("y")), "line-star-pairs")
     first = materialize(_matched(stars, sets, threshold), "line-star-matches")
-    release(spark)
-    rest = prefix.join(first, ["l1", "l2"], "left_anti").join(groups.select("token"), "token", "left_semi")
-    others = prefix.select("token", entry.alias("y"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("y.m")) - 1e-9)
-    close = (F.col("y.place") < F.col("place")) & (F.col("y.m") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("y.m") - 1e-9)
-    close = close & (F.least(F.col("m") - F.col("i"), F.col("y.m") - F.col("y.i")) >= need)
-    left = rest.join(others, (rest["token"] == others["token"]) & close)
-    pairs = left.select(F.col("l1").alias("x1"), F.col("l2").alias("x2"), F.col("y.l1").alias("y1"), F.col("y.l2").alias("y2")).distinct()
-    second = _matched(pairs.join(stars, ["x1", "x2", "y1", "y2"], "left_anti"), sets, threshold)
-    return first.unionByName(second)
+
+    rest = prefix.join(groups.select("token"), "token").join(first.select("l1").distinct(), "l1", "left_anti")
+    y = prefix.select(F.col("token").alias("token_y"), F.col("l1").alias("y"), F.col("d").alias("dy"), F.col("m").alias("my"), F.col("i").alias("iy"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("my")) - 1e-9)
+    close = (F.col("token") == F.col("token_y")) & (F.col("l1") != F.col("y")) & (F.col("dy").isNull() | (F.col("dy") <= F.col("d")))
+    close = close & (F.col("my") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("my") - 1e-9)
+    close = close & (F.least(F.col("m") - F.col("i"), F.col("my") - F.col("iy")) >= need)
+    pairs = rest.join(y, close).select(F.col("l1").alias("x"), "y").distinct().join(stars, ["x", "y"], "left_anti")
+    pairs = materialize(pairs, "line-pairs")
+    matched = materialize(first.unionByName(_matched(pairs, sets, threshold)), "line-matches")
+    discard(prefix, groups, stars, first, pairs)
+    return matched
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -241,21 +239,19 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", te
     held = spark.sparkContext.broadcast(counters)
 
     recurring = _prefixes(rows, held, shingle, threshold).groupBy("token").agg(F.min("l1").alias("a"), F.max("l1").alias("b")).filter("a <> b").select("token")
-    bitmap = spark.sparkContext.broadcast(_bitmap(recurring))
-    release(spark)
+    with shuffles_cleaned(spark):
+        bitmap = spark.sparkContext.broadcast(_bitmap(recurring))
     chosen = _chosen(rows, held, bitmap, key, shingle, threshold)
     place = F.struct(F.col(key).alias("d"), F.col("c").alias("c"), F.col("line").alias("line"))
-    sets = materialize(chosen.groupBy("l1", "l2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "line-sets")
-    release(spark)
-    matched = materialize(similar_to_earlier(sets, threshold), "line-matches")
-    release(spark)
+    sets = materialize(chosen.groupBy("l1", "l2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("hits").alias("hits")), "line-sets")
+    matched = similar_to_earlier(sets, threshold)
+    discard(sets)
 
     each = scanned.filter(F.col("bucket").isNull()).select(key, "c", F.posexplode(F.arrays_zip("l1", "l2")).alias("line", "l")).filter(F.col("l.l1").isNotNull()).select(key, "c", "line", F.col("l.l1").alias("l1"), F.col("l.l2").alias("l2"))
     firsts = each.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     firsts = firsts.join(matched.withColumn("matched", F.lit(True)), ["l1", "l2"], "left").filter((F.col("copies") > 1) | F.col("matched")).drop("copies")
     gone = each.join(firsts, ["l1", "l2"]).filter((place != F.col("first")) | F.coalesce("matched", F.lit(False)))
     gone = materialize(gone.groupBy(key, "c").agg(F.collect_set("line").alias("__gone")), "lines-removed")
-    release(spark)
 
     out = docs.drop("n_lines", "n_removed", "__gone", "__c", "__k").withColumn("__c", F.xxhash64(value))
     gone = gone.withColumnsRenamed({key: "__k", "c": "__rc"})
