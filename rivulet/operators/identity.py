@@ -20,12 +20,22 @@ def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda s: s["e"]).alias("centroid"))
 
 
+#: Centroids that travel to the rows at once.
+MAX_CENTROIDS = 4096
+
+
 def nearest_centroid(rows: DataFrame, cents: DataFrame, row: str, key: str, vector: str, floor: float) -> DataFrame:
-    """Each row's centroid of highest cosine (the least key of equals), -1 below ``floor``. The centroids are few (one
-    per identity) and travel as one array."""
-    table = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("v")))).alias("table"))
-    best = F.array_max(F.transform("table", lambda c: F.struct(F.round(cosine(F.col(vector), c["v"]), 9).alias("s"), (-c["k"]).alias("k"))))
-    out = rows.crossJoin(F.broadcast(table)).withColumn("best", best)  # the table is one row
+    """Each row's centroid of highest cosine (the least key of equals), -1 below ``floor``. Centroids travel as an array
+    of at most about ``MAX_CENTROIDS``; more are dealt by hash into several arrays, one pass over the rows each."""
+    blocks = max(1, -(-cents.count() // MAX_CENTROIDS))
+    out, found = rows, []
+    for b in range(blocks):
+        own = cents if blocks == 1 else cents.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        table = own.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("v")))).alias("__table"))
+        best = F.array_max(F.transform("__table", lambda c: F.struct(F.round(cosine(F.col(vector), c["v"]), 9).alias("s"), (-c["k"]).alias("k"))))
+        out = out.crossJoin(F.broadcast(table)).withColumn(f"__best{b}", best).drop("__table")  # the table is one row
+        found.append(f"__best{b}")
+    out = out.withColumn("best", F.array_max(F.array(*found)))
     return out.select(row, F.when(F.col("best.s") > floor, -F.col("best.k")).otherwise(F.lit(-1)).alias("identity"), F.round("best.s", 4).alias("cosine"))
 
 

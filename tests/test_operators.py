@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
 from rivulet.operators import folds as D
+from rivulet.operators import identity as Y
 from rivulet.operators import intervals as I
 from rivulet.operators import scoring as S
 from rivulet.operators import series as T
@@ -120,3 +121,11 @@ def test_hot_zone_points(spark):
 def test_push_forward(spark):
     rows = spark.createDataFrame([(1, 0.0, 5.0), (1, 3.0, 6.0), (1, 20.0, 21.0)], "k long, t0 double, t1 double")
     assert sorted((r.t0, r.t1) for r in I.push_forward(rows, "k", ["t0", "t1"]).collect()) == [(0.0, 5.0), (5.0, 8.0), (20.0, 21.0)]
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_nearest_centroid(spark, monkeypatch, most):
+    monkeypatch.setattr(Y, "MAX_CENTROIDS", most)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [-1.0, -1.0])], "r long, v array<double>")
+    cents = spark.createDataFrame([(7, [2.0, 0.1]), (8, [0.1, 1.0]), (9, [0.0, 1.0])], "k long, centroid array<double>")
+    assert {r.r: r.identity for r in Y.nearest_centroid(rows, cents, "r", "k", "v", 0.2).collect()} == {1: 7, 2: 9, 3: -1}
