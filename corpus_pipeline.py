@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import bpe, decontaminate, langid, lines, minhash
-from rivulet.llm.common import materialize
+from rivulet.llm.common import materialize, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,6 +23,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; ``und`` (no text or no letter in it) goes. ``lang`` is the prediction."""
+    small_batches(spark)
     found = langid.identify(docs.select(*COLUMNS), keep_text=True)
     kept = found.filter(F.col("lang_pred") != langid.UNDETERMINED)
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -30,22 +31,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that match an earlier line of the corpus."""
+    small_batches(spark)
     return _counted(lines.deduplicate(docs.select(*COLUMNS), threshold=0.8))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; a document without text is in no group."""
+    small_batches(spark)
     return minhash.deduplicate(docs.select(*COLUMNS), threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.remove_documents(docs.select(*COLUMNS), benchmark, n=10)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded bytes, for every document left."""
+    small_batches(spark)
     found = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 

@@ -75,6 +75,14 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 500 rows for the session's Python operators, where the session has Spark's default of 10,000:
+    texts are long, and a batch is held several times over on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "500")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

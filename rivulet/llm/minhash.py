@@ -39,7 +39,7 @@ REGISTERS = BANDS * ROWS
 BLOCK_NODES, BLOCK_SHINGLES = 512, 250_000
 #: Columns of an incidence matrix at a time.
 STRIPE = 4096
-_STEP_BYTES = 4 << 20
+_STEP_BYTES = 1 << 20
 
 
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

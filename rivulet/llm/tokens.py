@@ -41,7 +41,7 @@ _BYTE_VALUES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(q) + np.
 def _powers(family: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(Q**i, Q**-i) for i up to n at least."""
     if family not in _POWERS or len(_POWERS[family][0]) < n:
-        size = max(n, 1 << 21)
+        size = -(-n // (1 << 18)) << 18
         inverse = pow(_Q[family], -1, 1 << 64)
         both = []
         for base in (_Q[family], inverse):
