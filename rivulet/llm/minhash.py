@@ -107,10 +107,10 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, row: np.ndarray, n_rows:
             k = 1 if len(lh) > 50_000 else 4 if len(lh) > 5_000 else 32
             steps = np.arange(1, k + 1)
             bits = _uniform(lh[:, None], ln[:, None], lc[:, None] + steps)
-            times = lt[:, None] + np.cumsum(_waiting(bits), axis=1) / registers  # arrivals after the pending one
+            # the pending arrival and those after it, each added to the one before: the same bits for any k
+            times = np.cumsum(np.concatenate([lt[:, None], _waiting(bits) / registers], axis=1), axis=1)
             where = (tokens.mix(_uniform(lh[:, None], ln[:, None], lc[:, None] + steps - 1)) % np.uint64(registers)).astype(np.int64)
-            now = np.concatenate([lt[:, None], times[:, :-1]], axis=1)
-            np.minimum.at(flat, (lr[:, None] * registers + where).ravel(), now.ravel())
+            np.minimum.at(flat, (lr[:, None] * registers + where).ravel(), times[:, :-1].ravel())
             parts.append((lh, lr, w[leaf], low[leaf], size[leaf], ln, lc + k, times[:, -1]))
         if not leaf.all():
             deep = ~leaf

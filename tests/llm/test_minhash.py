@@ -58,6 +58,21 @@ def test_registers_estimate_weighted_jaccard():
         assert abs(held[0].mean() * sum(a.values()) - 1) < 0.1  # each register waits for rate = total weight
 
 
+def test_registers_do_not_depend_on_the_slice():
+    rng = np.random.default_rng(4)
+    sizes = [1, 3, 12, 40, 120, *[400] * 140]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    hashes = rng.integers(0, 2**64, len(row), np.uint64)
+    weights = rng.choice([1, 1, 1, 2, 7], len(row))
+    assert len(row) > 50_000
+    held = minhash.signatures(hashes, weights, row, len(sizes))
+    some = row < 15  # between 4 and 32 arrivals a step
+    assert (minhash.signatures(hashes[some], weights[some], row[some], 15) == held[:15]).all()
+    for r in range(6):
+        own = row == r
+        assert (minhash.signatures(hashes[own], weights[own], row[own] - r, 1)[0] == held[r]).all()
+
+
 def make(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(500)]
