@@ -15,7 +15,7 @@ cluster, and within a cluster all multisets are compared, as products of inciden
 of a block's links only a spanning forest leaves it, never the pairs. A large cluster is dealt over many tasks, block
 pair by block pair; small ones share tasks.
 
-Defined results: null and empty texts link with nothing. A class is named by its least document id. Rows repeated with
+Defined results: null and empty texts link with nothing, each row is kept as a class of its own. A class is named by its least document id. Rows repeated with
 equal id and text are copies. Null ids form classes like others; a class of null ids alone has a null name.
 """
 
@@ -147,7 +147,7 @@ def _counted(every: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sketches(rows: DataFrame, key: str, k: int) -> DataFrame:
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, c long, c2 long, bands array<long>"
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, c long, c2 long, some boolean, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +158,7 @@ def _sketches(rows: DataFrame, key: str, k: int) -> DataFrame:
                 some = np.diff(bounds) > 0
                 offsets = np.concatenate([[0], np.cumsum(some)]) * BANDS
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("c"), part.column("c2"), lists], names=[key, "c", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("c"), part.column("c2"), pa.array(some), lists], names=[key, "c", "c2", "some", "bands"])
 
     return rows.mapInArrow(run, schema)
 
@@ -245,7 +245,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
     those with the least id one (the least content key first)."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key), F.xxhash64(value).alias("c"), F.xxhash64(F.lit("second"), value).alias("c2"), value.alias("__text"))
-    found = materialize(_sketches(rows, key, shingle), "minhash")
+    every = materialize(_sketches(rows, key, shingle), "minhash")
+    found, bare = every.filter("some"), every.filter("not some")
     nodes = materialize(found.groupBy("c").agg(F.min(key).alias("least"), F.first("bands").alias("bands")), "minhash-nodes")
     banded = nodes.select("c", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("band", "a")
@@ -261,7 +262,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text:
     names = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "c")).alias("m")).select("label", F.col("m.least").alias("class_id"), F.col("m.c").alias("kept_c"))
     named = named.join(names, "label").select("c", "class_id", "kept_c")
     kept = (F.col("c") == F.col("kept_c")) & F.col(key).eqNullSafe(F.col("class_id"))
-    return found.select(key, "c").join(named, "c").select(key, "c", "class_id", kept.alias("kept"))
+    grouped = found.select(key, "c").join(named, "c").select(key, "c", "class_id", kept.alias("kept"))
+    return grouped.unionByName(bare.select(key, "c", F.col(key).alias("class_id"), F.lit(True).alias("kept")))
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -97,6 +97,20 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, block):
     assert sorted(map(tuple, out)) == brute(real)
 
 
+def test_rows_without_text_are_their_own_classes(spark):
+    rows = [*make(3), (400, ""), (401, ""), (None, None), (402, ""), (402, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = minhash.classes(docs).collect()
+    real = [r for r in rows if r[1]]
+    bare = {200, 201, 202, 400, 401, 402, None}
+    assert len(out) == len(rows)
+    assert sorted((r.doc_id, r.class_id) for r in out if r.doc_id not in bare) == brute(real)
+    own = [r for r in out if r.doc_id in bare]
+    assert len(own) == 8 and all(r.class_id == r.doc_id and r.kept for r in own)
+    only = minhash.classes(docs.filter("coalesce(text, '') = ''")).collect()
+    assert len(only) == 8 and all(r.class_id == r.doc_id and r.kept for r in only)
+
+
 def test_one_of_each_class_stays(spark):
     rows = make(5)
     docs = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, kept string")
