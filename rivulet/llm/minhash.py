@@ -10,7 +10,7 @@ its time and the other going on from there, and halves beyond w or later than al
 keeps its earliest arrival. Two documents agree in a register with the probability of their weighted Jaccard similarity.
 
 Documents that agree in all ``ROWS`` registers of one of ``BANDS`` bands are candidates (at a similarity of 0.8 one pair
-in 5000 is missed, at 0.85 one in a million). Copies of a text are one node. Nodes that candidates connect form a
+in 400 million is missed). Copies of a text are one node. Nodes that candidates connect form a
 cluster, and within a cluster all multisets are compared, as products of incidence matrices over blocks of bounded size;
 of a block's links only a spanning forest leaves it, never the pairs. A large cluster is dealt over many tasks, block
 pair by block pair; small ones share tasks.
@@ -33,7 +33,7 @@ from rivulet.llm.common import materialize, slices, text_bytes
 from rivulet.llm.components import components, joined
 
 SHINGLE = 5
-BANDS, ROWS = 36, 7
+BANDS, ROWS = 50, 5
 REGISTERS = BANDS * ROWS
 #: Bounds of a block: nodes, and shingles of all of them.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 250_000

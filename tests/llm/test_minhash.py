@@ -73,6 +73,10 @@ def test_registers_do_not_depend_on_the_slice():
         assert (minhash.signatures(hashes[own], weights[own], row[own] - r, 1)[0] == held[r]).all()
 
 
+def test_banding_loses_less_than_one_pair_in_a_million():
+    assert (1 - 0.8**minhash.ROWS) ** minhash.BANDS < 1e-6
+
+
 def make(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(500)]
