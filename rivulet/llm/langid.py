@@ -7,11 +7,12 @@ text predicts this one; phrases are normalised by the characters parsed. The lan
 
 Texts are parsed whole, case-folded, with runs of non-letters as one blank. A text longer than ``BLOCK`` characters is
 parsed in blocks of that many, each of which starts a phrase; all languages parse the same blocks. All blocks of an
-Arrow batch step through all automata together, one character a step, as numpy vectors over a dense transition table.
+Arrow batch step through all automata together, one character a step, as numpy vectors over one sparse transition table.
+Every letter that a sample holds has a class of its own, whatever the number of scripts.
 
-Learning is bounded: per language at most ``SAMPLE_CHARS`` characters of labelled documents, taken whole in an order of
-hashed ids until that is reached, the same amount for every language as far as there is text. The automata are built
-from that sample, once per Python process.
+Learning is bounded: per language at most ``SAMPLE_CHARS`` characters of labelled documents that hold a letter, in an
+order of hashed ids; the document that reaches the bound is cut there. Every label with such a document is learned. The
+automata are built from that sample, once per Python process.
 
 Defined results: a null text or one without a letter gives ``und`` with score 0. Ties go to the language first in
 alphabetical order. Without labelled text every row is ``und``. Repeated rows each give a row. Extra columns are kept,
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,12 +36,10 @@ from rivulet.llm.common import slices
 SAMPLE_CHARS = 40_000
 #: Labelled documents per language that are looked at for the sample, about.
 SAMPLE_DOCS = 120
-#: Languages that can be learned; each costs some ten MB per Python process.
-MAX_LANGUAGES = 64
 #: Characters of an independently parsed block.
 BLOCK = 2048
-#: Character classes: 0 for what no sample holds, 1 for the blank, then the commonest letters of the samples.
-CLASSES = 64
+#: Places tried for a state's transitions before they go to the end of the table.
+_TRIES = 16
 UNDETERMINED = "und"
 
 _MODELS: dict = {}
@@ -114,35 +113,77 @@ def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return folded[kept], at
 
 
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset per state, owner and target per slot): the transition of state s by c is in slot offset[s] + c if that
+    slot's owner is s, else there is none. Symbols are below ``width``. The root (state 0) is left out."""
+    used = bytearray(b"\1" * width)  # never used: so no offset is below 0
+    offset = np.zeros(len(rows), np.int64)
+    low = width
+    several = sorted((s for s in range(1, len(rows)) if len(rows[s]) > 1), key=lambda s: -len(rows[s]))
+    for s in several:
+        symbols = sorted(rows[s])
+        first, last = symbols[0], symbols[-1]
+        at, tries = low, 0
+        while True:
+            at = used.find(0, at)
+            if at < 0 or tries == _TRIES:
+                at = len(used)
+            if len(used) < at - first + last + 1:
+                used.extend(bytes(at - first + last + 1 - len(used)))
+            if not any([used[at - first + c] for c in symbols]):
+                break
+            at, tries = at + 1, tries + 1
+        if tries == _TRIES:
+            low = used.find(0, low + 1)
+            low = len(used) if low < 0 else low
+        offset[s] = at - first
+        for c in symbols:
+            used[at - first + c] = 1
+    one = np.array([s for s in range(1, len(rows)) if len(rows[s]) == 1], np.int64)
+    free = np.flatnonzero(np.frombuffer(used, np.uint8) == 0)[: len(one)]
+    free = np.concatenate([free, np.arange(len(used), len(used) + len(one) - len(free))])
+    offset[one] = free - np.array([next(iter(rows[s])) for s in one.tolist()], np.int64)
+    state = np.repeat(np.arange(1, len(rows)), [len(x) for x in rows[1:]])
+    symbol = np.fromiter((c for x in rows[1:] for c in x), np.int64, len(state))
+    slot = offset[state] + symbol
+    owner = np.full(max(len(used), int(slot.max(initial=0)) + 1) + width, -1, np.int64)
+    target = np.zeros(len(owner), np.int64)
+    owner[slot] = state
+    target[slot] = np.fromiter((t for x in rows[1:] for t in x.values()), np.int64, len(state))
+    return offset, owner, target
+
+
 class Model:
-    """The languages, the classes of characters and one table for all automata."""
+    """The languages, the classes of characters (0 for what no sample holds, 1 for the blank) and one table for all
+    automata."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         parts = [normalised([samples[lang]])[0] for lang in self.languages]
         every = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         letters, counts = np.unique(every[every != 32], return_counts=True)
-        common = letters[np.argsort(-counts, kind="stable")][: CLASSES - 2]
-        self.classes = np.zeros(0x110000, np.uint8)
+        letters = letters[np.argsort(-counts, kind="stable")]
+        width = 2 + len(letters)
+        self.classes = np.zeros(0x110000, np.uint32)
         self.classes[32] = 1
-        self.classes[common] = np.arange(2, 2 + len(common), dtype=np.uint8)
-        tables, self.starts, base = [], [], 0
-        for part in parts:
-            automaton = SuffixAutomaton(c for c in self.classes[part].tolist() if c)
-            n = len(automaton.next)  # also the number of one more state, between phrases
-            # entry: next state * 2 + 1 if a new phrase starts with this character; one that no sample holds is a phrase
-            table = np.zeros((n + 1, CLASSES), np.uint32)
-            start = np.full(CLASSES, (base + n) * 2 + 1, np.uint32)
+        self.classes[letters] = np.arange(2, width, dtype=np.uint32)
+        offsets, slots, self.starts, base, begin = [], [], [], 0, 0
+        #: Per language and class the state after a new phrase's first character: the one between phrases if it isn't held.
+        self.first = np.zeros((len(parts), width), np.uint32)
+        for i, part in enumerate(parts):
+            automaton = SuffixAutomaton(self.classes[part].tolist())
+            n = len(automaton.next)  # also the number of one more state, between phrases, without transitions
+            self.first[i] = base + n
             for c, s in automaton.next[0].items():
-                start[c] = (s + base) * 2 + 1
-            table[:] = start
-            for s, moves in enumerate(automaton.next):
-                if moves:
-                    table[s, list(moves)] = (np.fromiter(moves.values(), np.uint32, len(moves)) + np.uint32(base)) * np.uint32(2)
-            tables.append(table)
+                self.first[i, c] = base + s
+            offset, owner, target = displaced(automaton.next, width)
+            offsets += [offset + begin, [begin]]
+            owner = np.where(owner < 0, 0xFFFFFFFF, owner + base)
+            slots.append(np.stack([target + base, owner], axis=1).astype(np.uint32))
             self.starts.append(base + n)
-            base += n + 1
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32)
+            base, begin = base + n + 1, begin + len(owner)
+        self.offsets = np.concatenate(offsets).astype(np.int64) if parts else np.zeros(0, np.int64)
+        self.slots = np.concatenate(slots).view(np.uint64).ravel() if parts else np.zeros(0, np.uint64)
 
     def phrases(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases per row and language."""
@@ -160,17 +201,17 @@ class Model:
         count = np.zeros((k, n), np.uint32)
         active = n
         alive = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # blocks longer than each step
-        table = self.table
         for step in range(int(size[0])):
             if alive[step] != active:
                 active = int(alive[step])
                 state, count_now = np.ascontiguousarray(state[:, :active]), count[:, :active]
             elif step == 0:
                 count_now = count
-            symbol = classes[first[:active] + step].astype(np.uint32)
-            entry = table[(state << np.uint32(6)) + symbol]
-            count_now += entry & np.uint32(1)
-            state = entry >> np.uint32(1)
+            symbol = classes[first[:active] + step]
+            found_at = self.slots.take(self.offsets.take(state) + symbol).view(np.uint32).reshape(k, active, 2)
+            fresh = found_at[:, :, 1] != state
+            count_now += fresh
+            state = np.where(fresh, self.first.take(symbol, axis=1), found_at[:, :, 0])
         np.add.at(found, row, count.T.astype(np.int64))
         return found
 
@@ -202,19 +243,22 @@ def model(samples: dict[str, str]) -> Model:
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """The samples: bounded text per language. Rows without text or label are left out by this function.
 
-    One pass counts the rows per language without reading texts; a second reads the texts of about ``SAMPLE_DOCS``
-    rows per language, those of smallest hashed key. What reaches the driver is bounded by languages and documents.
+    One pass counts the rows with a letter per language; a second takes about ``SAMPLE_DOCS`` of them per language, those
+    of smallest hashed key, as far as those before hold less than the sample. What reaches the driver is bounded by
+    languages and ``sample_chars``, but for the last text of each.
     """
-    rows = labelled.filter(F.col(lang).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()}
-    chance: Column = F.lit(False)
-    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000_007))
-    for name, n in counts.items():
-        chance = chance | ((F.col(lang) == F.lit(name)) & (spread <= F.lit(int(min(1.0, SAMPLE_DOCS / n) * 1_000_000_007))))
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count(F.lit(1))).collect()}
+    modulus = 1_000_000_007
+    limits = labelled.sparkSession.createDataFrame([(name, int(min(1.0, SAMPLE_DOCS / n) * modulus)) for name, n in counts.items()], T.StructType([T.StructField("lang", rows.schema[lang].dataType), T.StructField("most", T.LongType())]))
+    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(modulus))
     # a text longer than the sample can't add more than the sample holds
-    picked = rows.filter(chance & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), spread.alias("h"), F.col(key).cast("string").alias("k"), F.substring(text, 1, 4 * sample_chars).alias("text"))
+    picked = rows.select(F.col(lang).alias("lang"), spread.alias("h"), F.col(key).cast("string").alias("k"), F.substring(text, 1, 4 * sample_chars).alias("text"))
+    picked = picked.join(F.broadcast(limits), "lang").filter("h <= most")
+    before = F.sum(F.length(F.regexp_replace("text", r"\P{L}+", ""))).over(Window.partitionBy("lang").orderBy("h", "k", "text").rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample_chars)
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["k"], r["text"])):
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["k"] or "", r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     whole = {name: "".join(map(chr, normalised(["\n".join(own)])[0].tolist())) for name, own in texts.items()}
     most = min([sample_chars, *(max(len(t), sample_chars // 8) for t in whole.values())])

@@ -34,6 +34,33 @@ def test_phrases_equal_the_longest_match_parse(monkeypatch):
             assert found[i, k] == phrases("".join(c if c in known else "\0" for c in norm), samples[name])
 
 
+def test_phrases_with_many_scripts(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 50)
+    rng = random.Random(5)
+    alphabets = {"el": range(0x3B1, 0x3C2), "en": range(0x61, 0x7B), "ka": range(0x10D0, 0x10F1), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4E80)}
+    alphabets = {k: [chr(c) for c in v] + [" "] * 5 for k, v in alphabets.items()}
+    make = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(n)).split())
+    samples = {lang: make(lang, 3000) for lang in alphabets}
+    model = langid.Model(samples)
+    texts = [make(lang, n) for lang in alphabets for n in (60, 130)] + [make("ru", 40) + " " + make("zh", 40) + "\u0627\u0628"]
+    letters, at = langid.normalised(texts)
+    found = model.phrases(model.classes[letters], at)
+    for i in range(len(texts)):
+        norm = "".join(map(chr, letters[at[i] : at[i + 1]]))
+        assert found[i].tolist() == [phrases(norm, samples[name]) for name in model.languages]
+    assert model.predict(texts)[0][:-1] == [lang for lang in sorted(alphabets) for _ in range(2)]
+
+
+def test_every_label_is_learned(spark):
+    # 70 labels, each with letters of its own and most of its rows without text
+    rows = [(1000 * i + j, "".join(chr(0x4E00 + 20 * i + (j * 7 + x) % 20) for x in range(30)) if j < 3 else "12", f"l{i:02}") for i in range(70) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.learn(docs)
+    assert sorted(samples) == [f"l{i:02}" for i in range(70)]
+    out = langid.predict(docs.filter("text <> '12'"), samples).collect()
+    assert len(out) == 210 and all(r.lang_pred == r.lang for r in out)
+
+
 def test_normalised():
     letters, at = langid.normalised(["  A1b\n\nÉ!", "", "??", "z"])
     assert ["".join(map(chr, letters[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)] == ["a b é ", "", "", "z"]
