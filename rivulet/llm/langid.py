@@ -3,7 +3,9 @@
 For every language a suffix automaton of labelled text is built; it recognises exactly the substrings of that text. A
 text is parsed against it greedily: from each phrase's start the automaton follows the characters as long as they occur
 in the labelled text (the longest match), where the next phrase starts. The fewer phrases, the better the language's
-text predicts this one; phrases are normalised by the characters parsed. The language with fewest wins.
+text predicts this one. The language with fewest wins. As phrases grow with the logarithm of the labelled text, those of
+languages with samples of other lengths are weighted by it; a letter that a language's sample doesn't hold counts one for
+every language. Samples under ``SHORT_CHARS`` count as that long: the law doesn't hold for less.
 
 Texts are parsed whole, case-folded, with runs of non-letters as one blank. A text longer than ``BLOCK`` characters is
 parsed in blocks of that many, each of which starts a phrase; all languages parse the same blocks. All blocks of an
@@ -34,6 +36,8 @@ from rivulet.llm.common import slices
 
 #: Bound of the sample of labelled text per language, in normalised characters.
 SAMPLE_CHARS = 40_000
+#: Length of sample from which on phrases are weighted by its logarithm.
+SHORT_CHARS = 5_000
 #: Labelled documents per language that are looked at for the sample, about.
 SAMPLE_DOCS = 120
 #: Characters of an independently parsed block.
@@ -182,6 +186,8 @@ class Model:
             slots.append(np.stack([target + base, owner], axis=1).astype(np.uint32))
             self.starts.append(base + n)
             base, begin = base + n + 1, begin + len(owner)
+        lengths = np.log(np.maximum([len(part) for part in parts], SHORT_CHARS))
+        self.weights = lengths / lengths.max(initial=1.0)
         self.offsets = np.concatenate(offsets).astype(np.int64) if parts else np.zeros(0, np.int64)
         self.slots = np.concatenate(slots).view(np.uint64).ravel() if parts else np.zeros(0, np.uint64)
 
@@ -215,17 +221,29 @@ class Model:
         np.add.at(found, row, count.T.astype(np.int64))
         return found
 
+    def foreign(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Characters per row and language that the language's sample doesn't hold; each is a phrase."""
+        found = np.zeros((len(at) - 1, len(self.languages)), np.int64)
+        for i, start in enumerate(self.starts):
+            total = np.concatenate([[0], np.cumsum((self.first[i] == start)[classes])])
+            found[:, i] = total[at[1:]] - total[at[:-1]]
+        return found
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         letters, at = normalised(texts)
         has = np.concatenate([[0], np.cumsum(letters != 32)])
         has = has[at[1:]] > has[at[:-1]]
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        count = self.phrases(self.classes[letters], at)
+        classes = self.classes[letters]
+        count = self.phrases(classes, at).astype(np.float64)
+        if (self.weights < 1).any():
+            alone = self.foreign(classes, at)
+            count = (count - alone) * self.weights + alone
         best = np.argmin(count, axis=1)
         least = count[np.arange(len(texts)), best]
         others = count.copy()
-        others[np.arange(len(texts)), best] = np.iinfo(np.int64).max
+        others[np.arange(len(texts)), best] = np.inf
         second = others.min(axis=1) if count.shape[1] > 1 else np.maximum(1, np.diff(at))
         score = np.where(has, np.clip(1 - least / np.maximum(second, 1), 0, 1), 0.0)
         return [self.languages[b] if h else UNDETERMINED for b, h in zip(best.tolist(), has.tolist(), strict=True)], score.tolist()
@@ -261,8 +279,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["k"] or "", r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     whole = {name: "".join(map(chr, normalised(["\n".join(own)])[0].tolist())) for name, own in texts.items()}
-    most = min([sample_chars, *(max(len(t), sample_chars // 8) for t in whole.values())])
-    return {name: t[:most] for name, t in whole.items() if t.strip()}
+    return {name: t[:sample_chars] for name, t in whole.items() if t.strip()}
 
 
 def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", pred: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:

@@ -61,6 +61,25 @@ def test_every_label_is_learned(spark):
     assert len(out) == 210 and all(r.lang_pred == r.lang for r in out)
 
 
+def test_a_poor_label_shortens_no_other_sample(spark):
+    rng = random.Random(7)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make("abcdef", 300), "aa") for i in range(60)] + [(100 + i, make("cdefgh", 300), "bb") for i in range(60)]
+    rows += [(200 + i, make("efghij", 300), "cc") for i in range(7)] + [(300, "abc fed", "xx")]
+    samples = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    lengths = {k: len(v) for k, v in samples.items()}
+    assert lengths["aa"] == lengths["bb"] == langid.SAMPLE_CHARS and 5000 < lengths["cc"] < 8000 and lengths["xx"] == 7
+    texts, want = [], []
+    for lang, letters in (("aa", "abcdef"), ("bb", "cdefgh"), ("cc", "efghij")):
+        texts += [make(letters, 60) for _ in range(20)]
+        want += [lang] * 20
+    model = langid.Model(samples)
+    found = model.predict(texts)[0]
+    assert found == want
+    # a text in no known script is no nearer to a poorer sample: a tie
+    assert model.predict(["\u0627\u0628\u0629"]) == (["aa"], [0.0])
+
+
 def test_normalised():
     letters, at = langid.normalised(["  A1b\n\nÉ!", "", "??", "z"])
     assert ["".join(map(chr, letters[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)] == ["a b é ", "", "", "z"]
