@@ -18,6 +18,7 @@ import base64
 import gzip
 import hashlib
 import html as htmllib
+import itertools
 import json
 import re
 import uuid
@@ -231,7 +232,8 @@ _NEW = [("source_id", "string"), ("metadata_id", "string"), ("conversion_id", "s
 
 def derivatives(records: DataFrame, record: str = "record") -> DataFrame:
     """For each serialised response record its derivatives (serialised), their links, and the text; the record itself is
-    left out, other columns are kept. Row-wise: no shuffle."""
+    left out, other columns are kept. A cell of several records (an archive) gives a row for each, and a last one with an
+    error if what follows them can't be read. No shuffle."""
     names = [n for n, _ in _NEW]
     rows = records.withColumn("__record", F.coalesce(F.col(record).cast("binary"), F.lit(b""))).drop(record, *names)
     kept = [c for c in rows.columns if c != "__record"]
@@ -239,22 +241,33 @@ def derivatives(records: DataFrame, record: str = "record") -> DataFrame:
     arrow = {"string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
     schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(n, kinds[k]) for n, k in _NEW)])
 
-    def one(data: bytes) -> tuple:
+    def failed(e: Exception) -> tuple:
+        return (None,) * 9 + (str(e),)
+
+    def one(source: Record) -> tuple:
         try:
-            source = next(read_records(data), None)
-            if source is None:
-                raise BadRecord("empty")
             metadata, conversion, ok, text = derive(source)
         except (BadRecord, OSError, EOFError, zlib.error) as e:
-            return (None,) * 9 + (str(e),)
+            return failed(e)
         return (source.get("WARC-Record-ID"), metadata.get("WARC-Record-ID"), conversion.get("WARC-Record-ID"), conversion.get("WARC-Refers-To"), conversion.get("WARC-Source-Payload-Digest"), ok, metadata.serialized(), conversion.serialized(), text, None)
 
+    def each(data: bytes) -> Iterator[tuple]:
+        n = 0
+        try:
+            for n, source in enumerate(read_records(data), 1):
+                yield one(source)
+            if n == 0:
+                raise BadRecord("empty")
+        except (BadRecord, OSError, EOFError, zlib.error) as e:
+            yield failed(e)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = list(zip(*(one(x.as_py()) for x in part.column("__record")), strict=True))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(v, arrow[k]) for v, (_, k) in zip(found, _NEW, strict=True))], names=[*kept, *names])
+            made = ((i, row) for i, x in enumerate(batch.column("__record")) for row in each(x.as_py()))
+            while some := list(itertools.islice(made, 500)):
+                at = pa.array([i for i, _ in some], pa.int64())
+                found = list(zip(*(row for _, row in some), strict=True))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), *(pa.array(v, arrow[k]) for v, (_, k) in zip(found, _NEW, strict=True))], names=[*kept, *names])
 
     return rows.mapInArrow(run, schema)
 

@@ -49,3 +49,15 @@ def test_tables(spark):
     assert warc.derivatives(bad.limit(0)).count() == 0
     packed = warc.pack(warc.derivatives(warc.responses(pages)).coalesce(1), "conversion").collect()
     assert sum(r.n_records for r in packed) == 3 and len(list(warc.read_records(bytes(packed[0]["data"])))) == packed[0].n_records
+
+
+def test_all_records_of_a_cell(spark):
+    made = [warc.response(f"http://e/{i}", f"<p>text {i}</p>", str(i)) for i in range(700)]
+    data = [r.serialized() for r in made]
+    cells = [(1, b"".join(data)), (2, b"".join(gzip.compress(x) for x in data[:3])), (3, data[0] + b"junk"), (4, None)]
+    out = warc.derivatives(spark.createDataFrame(cells, "page_id long, record binary")).collect()
+    own = {k: [r for r in out if r.page_id == k] for k in (1, 2, 3, 4)}
+    for k, n in ((1, 700), (2, 3)):
+        assert [(r.source_id, r.text, r.error) for r in own[k]] == [(m.get("WARC-Record-ID"), f"text {i}", None) for i, m in enumerate(made[:n])]
+    assert [(r.text, r.error is None) for r in own[3]] == [("text 0", True), (None, False)]
+    assert len(own[4]) == 1 and own[4][0].error
