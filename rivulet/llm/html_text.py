@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. Pass one decides what structure and statistics decide: blocks of menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments are boilerplate, as are blocks that are mostly
-links; long blocks with enough stop words are content. Pass two gives every short, undecided block the label of its
+links; long blocks with enough stop words are content, as are long blocks in a language whose stop words aren't known, if
+they hold hardly any link and read as sentences. A mark that only goes with a name of content (as ``post-share``) doesn't
+outvote such long, link-free prose. Pass two gives every short, undecided block the label of its
 nearest decided neighbours; a tie goes to the neighbour in the same container, then to content inside an article and for
 headings, else to boilerplate.
 
@@ -10,8 +12,9 @@ Where a page marks its article (``article``, ``main``, ``role=main``) and that h
 boilerplate, and blocks inside it take labels from neighbours inside it only.
 
 Defined results: null html counts as empty; a page without main text gives the empty text. Repeated pages each give a
-row. Extra columns are kept, but for those with the names of the new columns, which are replaced. Markup that is broken
-(unclosed tags and quotes, stray end tags) is read as a browser would, about: it never fails, and takes linear time.
+row. A very long page is worked on whole, an empty table gives an empty result. Extra columns are kept, but for those
+with the names of the new columns, which are replaced. Markup that is broken (unclosed tags and quotes, stray end tags)
+is read as a browser would, about: it never fails, and takes linear time.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,6 +35,9 @@ LONG_BLOCK = 70
 STOP_SHARE = 0.08
 #: Blocks with a larger share of characters in links are boilerplate.
 LINK_SHARE = 0.5
+#: Where stop words can't tell: the largest share of characters in links of content, and the least words per sentence.
+PROSE_LINKS = 0.2
+SENTENCE_WORDS = 5
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -60,6 +66,9 @@ MARKS = frozenset(
     """.split()
 )
 COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+# Words that name content; beside one of these, marks of the second kind may be about a part of an article.
+CONTENT_NAMES = frozenset("post article entry content story text body page main single".split())
+WEAK_MARKS = frozenset("share sharing social promo promotion header footer banner notice related search".split())
 # Elements that begin and end a block, elements without content, and what a start tag closes first.
 BLOCKS = frozenset(
     """
@@ -73,6 +82,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: A start tag closes open elements only up to the nearest of these.
 SCOPES = frozenset("html body article main section nav aside header footer div ul ol dl table blockquote form figure details".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
 _INNER = {"tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"])}
 
 _TOKEN = re.compile(
@@ -82,6 +92,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _ATTRIBUTE_AT = re.compile(r"""(?:^|[\s"'/])(?=(?:class|id|role|style|aria-hidden|hidden)\b)""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\u2026\u061f\u06d4\u0964\u0f0d\u104b\u1362\u17d4](?=\s|[\"'\u00bb\u201d\u2019)]|$)|[\u3002\uff01\uff1f]")
+#: Scripts written without blanks, or of wide characters: one stands for two letters.
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -91,25 +104,25 @@ class Block:
     linked: int
     tag: str
     inside: bool
-    structural: bool
+    structural: int  # 2 boilerplate by structure, 1 by a weak mark, 0 neither
     container: int
     label: int = 0  # 1 content, -1 boilerplate, 0 undecided
 
 
-def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(is boilerplate, is the marked article), by an element's attributes."""
-    bad = main = False
+def marked(name: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """(boilerplate as in ``Block.structural``, is the marked article), by an element's attributes."""
+    bad, main = 0, False
     for m in _ATTRIBUTE_AT.finditer(attributes):
         found = _ATTRIBUTE.match(attributes, m.end())
         if not found:
             continue
         key, value = found[1].lower(), (found[2] or "").strip("\"'")
         if key == "hidden":
-            bad = bad or found[2] is None or value.lower() in ("", "hidden", "until-found")
+            bad = max(bad, 2 * (found[2] is None or value.lower() in ("", "hidden", "until-found")))
         elif key == "aria-hidden":
-            bad = bad or value.lower() == "true"
+            bad = max(bad, 2 * (value.lower() == "true"))
         elif key == "style":
-            bad = bad or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            bad = max(bad, 2 * bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)))
         else:
             if key == "role" and value.lower() in ("main", "article"):
                 main = True
@@ -124,16 +137,45 @@ def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
                     ends &= COMMENTS
                 elif inside and name in HEADINGS:
                     ends -= {"header"}
-                bad = bad or bool(ends)
+                if ends:
+                    bad = max(bad, 1 if ends <= WEAK_MARKS and CONTENT_NAMES.intersection(parts) else 2)
     return bad, main
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, those of no text left out."""
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page's pieces in order: ("text", "", raw), ("open", name, attributes), ("close", name, "") and, for elements
+    that end only at their own end tag, ("raw", name, content) after their "open". Comments are left out. Linear time."""
+    last_end = page.rfind(">")
+    at, end = 0, len(page)
+    while at < end:
+        m = _TOKEN.search(page, at) if at <= last_end or page.find("<!", at) >= 0 else None
+        if m is None:
+            yield "text", "", page[at:]
+            return
+        if m.start() > at:
+            yield "text", "", page[at : m.start()]
+        at = m.end()
+        if m[1] is not None:
+            yield "text", "", m[1]
+            continue
+        name = (m[3] or m[6] or "").lower()
+        if not name:
+            continue
+        if m[2] or m[5]:
+            yield "close", name, ""
+            continue
+        yield "open", name, m[4] or m[7] or ""
+        if name in RAW:
+            close = _RAW_END[name].search(page, at)
+            yield "raw", name, page[at : close.start()] if close else page[at:]
+            at = close.end() if close else end
+
+
+def blocks(pieces: Iterable[tuple[str, str, str]]) -> list[Block]:
+    """The blocks of a page's markup in order, those of no text left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, int, str]] = []  # name, boilerplate, inside the article, link, container, block
+    stack: list[tuple[str, int, bool, bool, int, str]] = []  # name, boilerplate, inside the article, link, container, block
     opened: Counter[str] = Counter()
-    last_end = page.rfind(">")
     containers = 0
     text: list[str] = []
     linked = 0
@@ -143,38 +185,24 @@ def blocks(page: str) -> list[Block]:
         if text:
             value = " ".join("".join(text).split())
             if value:
-                _, bad, inside, _, container, tag = stack[-1] if stack else ("", False, False, False, 0, "")
+                _, bad, inside, _, container, tag = stack[-1] if stack else ("", 0, False, False, 0, "")
                 found.append(Block(value, linked, tag, inside, bad, container))
             text.clear()
         linked = 0
 
-    def put(raw: str) -> None:
-        nonlocal linked
-        if raw:
-            value = htmllib.unescape(raw) if "&" in raw else raw
+    for kind, name, rest in pieces:
+        if kind == "text":
+            value = htmllib.unescape(rest) if "&" in rest else rest
             text.append(value)
             if stack and stack[-1][3]:
                 linked += len("".join(value.split()))
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at) if at <= last_end or page.find("<!", at) >= 0 else None
-        if m is None:
-            put(page[at:])
-            break
-        put(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            put(m[1])
             continue
-        name = (m[3] or m[6] or "").lower()
-        if not name:
+        if kind == "raw":
             continue
-        closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
         if name == "br":
             text.append(" ")
             continue
-        if closing:
+        if kind == "close":
             if name in BLOCKS:
                 flush()
             while opened[name]:
@@ -183,11 +211,10 @@ def blocks(page: str) -> list[Block]:
                 if top == name:
                     break
             continue
+        attributes = rest
         if name in RAW:
             if name in BLOCKS or name == "noscript":
                 flush()
-            close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
             continue
         if name in BLOCKS:
             flush()
@@ -204,38 +231,48 @@ def blocks(page: str) -> list[Block]:
             del stack[cut:]
         if name in VOID or (attributes.endswith("/") and name not in BLOCKS):
             continue
-        bad, inside, link, container, block = stack[-1][1:] if stack else (False, False, False, 0, "")
+        bad, inside, link, container, block = stack[-1][1:] if stack else (0, False, False, 0, "")
         if name in SCOPES:
             containers += 1
             container = containers
-        own, main = marked(name, attributes, inside) if attributes else (False, False)
-        if not bad:
-            bad = own or (name in BOILERPLATE and not (name == "header" and inside))
+        own, main = marked(name, attributes, inside) if attributes else (0, False)
+        bad = max(bad, own, 2 * (name in BOILERPLATE and not (name == "header" and inside)))
         stack.append((name, bad, inside or name in ("article", "main") or main, link or name == "a", container, name if name in BLOCKS else block))
         opened[name] += 1
     flush()
     return found
 
 
+def _prose(b: Block, words: int, wide: int, letters: int) -> bool:
+    """Reads as sentences and holds hardly any link: content, where stop words can't tell."""
+    sentences = len(_SENTENCE.findall(b.text))
+    return b.linked <= PROSE_LINKS * letters and sentences > 0 and words + wide >= SENTENCE_WORDS * sentences
+
+
 def classify(found: list[Block]) -> None:
     """Label every block, in two passes."""
     for b in found:
         letters = max(1, len(b.text) - b.text.count(" "))
-        if b.structural or b.linked > LINK_SHARE * letters:
+        if b.structural == 2 or b.linked > LINK_SHARE * letters:
             b.label = -1
-        elif len(b.text) >= LONG_BLOCK:
-            words = _WORD.findall(b.text.lower())
-            stops = sum(map(STOP_WORDS.__contains__, words))
-            if words and stops >= STOP_SHARE * len(words):
-                b.label = 1
-            elif not words:
-                b.label = 0 if b.inside else -1
+            continue
+        wide = len(_WIDE.findall(b.text)) if not b.text.isascii() else 0
+        words = _WORD.findall(b.text.lower()) if len(b.text) + wide >= LONG_BLOCK else []
+        if words:
+            known = sum(map(STOP_WORDS.__contains__, words)) >= STOP_SHARE * len(words)
+            content = known or _prose(b, len(words), wide, letters)
+            if b.structural:
+                b.label = 1 if content and b.linked <= PROSE_LINKS * letters else -1
+            else:
+                b.label = int(content)
+        elif b.structural or (len(b.text) >= LONG_BLOCK and not b.inside):
+            b.label = -1  # a weak mark and nothing to outvote it, or long and no word in it
     article = any(b.inside and b.label == 1 for b in found) or (any(b.inside and b.label == 0 for b in found) and not any(b.label == 1 for b in found))
     if article:
         for b in found:
             if not b.inside:
                 b.label = -1
-        scope = [b for b in found if b.inside and not b.structural]
+        scope = [b for b in found if b.inside and (not b.structural or b.label == 1)]
     else:
         scope = found
     decided = [b.label for b in scope]
@@ -263,7 +300,7 @@ def classify(found: list[Block]) -> None:
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
+    found = blocks(markup(page))
     classify(found)
     return "\n".join(b.text for b in found if b.label == 1)
 

@@ -9,7 +9,10 @@ name-based UUIDs of the source's id, so a repeated run gives the same records.
 Defined results: a record that can't be read (no version line, no end of headers, too short a block) gives no
 derivatives and an ``error``; so does one of another type than response. A digest that is named but wrong gives
 ``digest_ok`` false and derivatives all the same. Chunked and compressed bodies are decoded for the text; digests are of
-the payload as stored. Null records are unreadable ones. Repeated records give equal derivatives.
+the payload as stored. Null records are unreadable ones. Repeated records give equal derivatives. A very long record is
+worked on whole, alone, in time linear in its length; an empty table gives an empty result. Extra columns are kept, but
+for those with the names of the new columns, which are replaced. Records that ``responses`` makes from a table of pages
+carry the fetch date it is given; a table without dates has none to give, so the default is a fixed one.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,10 +40,8 @@ VERSION = b"WARC/1.0"
 #: Bytes of records that ``pack`` puts in one archive, about.
 PACK_BYTES = 64 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
-_META = re.compile(r"<meta\s([^>]*)>", re.I)
-_LINK = re.compile(r"<(a|area|link|img|script|iframe|source)\b([^>]*)>", re.I)
-_PAIR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: A name begins where no name goes on, so that no place is scanned twice.
+_PAIR = re.compile(r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _TARGETS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src"}
 
 
@@ -126,7 +127,7 @@ def decoded_body(headers: list[tuple[str, str]], payload: bytes) -> str:
                 size = int(payload[at:eol].split(b";")[0], 16)
             except ValueError:
                 break
-            if size == 0:
+            if size <= 0:
                 break
             parts.append(payload[eol + 2 : eol + 2 + size])
             at = eol + 4 + size
@@ -148,22 +149,23 @@ def decoded_body(headers: list[tuple[str, str]], payload: bytes) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def plain_text(page: str) -> str:
-    """Title and visible text, a line per block."""
-    title = _TITLE.search(page)
-    lines = [" ".join(htmllib.unescape(title[1]).split())] if title else []
-    return "\n".join(x for x in [*lines, *(b.text for b in html_text.blocks(page))] if x)
+def page_facts(pieces: Iterable[tuple[str, str, str]]) -> dict:
+    """Title, meta tags and links of a page's markup; what stands in comments and scripts doesn't count."""
+    title, metas, links = None, [], []
+    for kind, name, rest in pieces:
+        if kind == "raw" and name == "title" and title is None:
+            title = " ".join(htmllib.unescape(rest).split())
+        elif kind == "open" and name == "meta":
+            metas.append({k.lower(): htmllib.unescape(v.strip("\"'")) for k, v in _PAIR.findall(rest)})
+        elif kind == "open" and (target := _TARGETS.get(name)):
+            if url := {k.lower(): v for k, v in _PAIR.findall(rest)}.get(target):
+                links.append({"path": f"{name.upper()}@/{target}", "url": htmllib.unescape(url.strip("\"'"))})
+    return {"Head": {"Title": title, "Metas": metas}, "Links": links}
 
 
-def page_facts(page: str) -> dict:
-    title = _TITLE.search(page)
-    metas = [{k.lower(): htmllib.unescape(v.strip("\"'")) for k, v in _PAIR.findall(m)} for m in _META.findall(page)]
-    links = []
-    for tag, attributes in _LINK.findall(page):
-        found = {k.lower(): v for k, v in _PAIR.findall(attributes)}
-        if target := found.get(_TARGETS[tag.lower()]):
-            links.append({"path": f"{tag.upper()}@/{_TARGETS[tag.lower()]}", "url": htmllib.unescape(target.strip("\"'"))})
-    return {"Head": {"Title": " ".join(htmllib.unescape(title[1]).split()) if title else None, "Metas": metas}, "Links": links}
+def plain_text(title: str | None, pieces: Iterable[tuple[str, str, str]]) -> str:
+    """Title and visible text, a line per block."""
+    return "\n".join(x for x in [title, *(b.text for b in html_text.blocks(pieces))] if x)
 
 
 def response(url: str | None, page: str, source: str, date: str = "2024-01-01T00:00:00Z") -> Record:
@@ -187,8 +189,9 @@ def derive(record: Record) -> tuple[Record, Record, bool, str]:
     status, headers, payload = split_http(record.block)
     held = [(record.get("WARC-Block-Digest"), record.block), (record.get("WARC-Payload-Digest"), payload)]
     ok = all(digest(data) == named for named, data in held if named and named.startswith("sha1:"))
-    page = decoded_body(headers, payload)
-    text = plain_text(page)
+    pieces = list(html_text.markup(decoded_body(headers, payload)))
+    page = page_facts(pieces)
+    text = plain_text(page["Head"]["Title"], pieces)
     linked = [(k, v) for k in ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address") if (v := record.get(k)) is not None]
     facts = {
         "Envelope": {
@@ -198,7 +201,7 @@ def derive(record: Record) -> tuple[Record, Record, bool, str]:
             "Block-Digest": digest(record.block),
             "Actual-Content-Length": str(len(record.block)),
             "Payload-Metadata": {
-                "HTTP-Response-Metadata": {"Status-Line": status, "Headers": [[k, v] for k, v in headers], "Entity-Length": str(len(payload)), "Entity-Digest": digest(payload), "HTML-Metadata": page_facts(page)},
+                "HTTP-Response-Metadata": {"Status-Line": status, "Headers": [[k, v] for k, v in headers], "Entity-Length": str(len(payload)), "Entity-Digest": digest(payload), "HTML-Metadata": page},
             },
         }
     }

@@ -24,6 +24,8 @@ LONG = "The words of this text are long enough and it is with the usual small wo
         (f"<article><p>{LONG}</p><p><a href='x'>Read more of this</a></p></article>", LONG),
         ("<nav>only</nav>", ""),
         ("<p>unclosed <a href='x", "unclosed <a href='x"),
+        (f"<div class='post-share'><p>{LONG} {LONG}</p></div>", f"{LONG} {LONG}"),
+        (f"<div><p>{LONG}</p><div class='post-share'>Share this: <a href='x'>one</a> <a href='y'>two</a></div><div class='share'><p>{LONG}</p></div></div>", LONG),
     ],
 )
 def test_pages(page, text):
@@ -42,3 +44,41 @@ def test_table(spark):
     out = html_text.extract(pages)
     assert sorted((r.page_id, r.text, r.n_chars) for r in out.collect()) == [(1, "", 0), (2, LONG, len(LONG)), (2, LONG, len(LONG))]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# Prose of several scripts and languages, none of them among the stop words' languages.
+PROSE = {
+    "ru": ["Вчера вечером жители города собрались на главной площади, чтобы обсудить новый план строительства моста.", "По словам мэра, работы начнутся весной и продлятся около двух лет, если не помешает погода."],
+    "it": ["Ieri sera gli abitanti della città sono scesi nella piazza principale perché volevano discutere il nuovo ponte.", "Secondo il sindaco i lavori cominceranno in primavera e dureranno circa due anni."],
+    "pl": ["Wczoraj wieczorem mieszkańcy miasta zebrali się na rynku, aby omówić nowy projekt budowy mostu przez rzekę.", "Zdaniem burmistrza prace rozpoczną się wiosną i potrwają około dwóch lat, jeśli pogoda pozwoli."],
+    "zh": ["昨天晚上，市民们聚集在中心广场，讨论新桥的建设计划，许多人对工程的费用表示担心，也有人支持这个计划。", "市长说，工程将于春季开始，如果天气允许，大约需要两年时间才能完成，届时交通会更加方便。"],
+    "ar": ["تجمع سكان المدينة مساء أمس في الساحة الرئيسية لمناقشة الخطة الجديدة لبناء الجسر فوق النهر.", "وقال رئيس البلدية إن الأعمال ستبدأ في الربيع وستستمر نحو عامين إذا سمح الطقس بذلك."],
+    "hi": ["कल शाम शहर के निवासी नए पुल के निर्माण की योजना पर चर्चा करने के लिए मुख्य चौक पर इकट्ठा हुए।", "महापौर के अनुसार काम वसंत में शुरू होगा और मौसम ने साथ दिया तो लगभग दो साल चलेगा।"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_any_language(lang):
+    a, b = PROSE[lang]
+    menu = "<nav><a href='/'>Home</a> <a href='/n'>News</a></nav>"
+    foot = "<footer>Example Ltd. 1 Street, Town.</footer>"
+    links = "<div>" + " ".join(f"<a href='/{i}'>{x}</a>" for i, x in enumerate((a + b).split())) + "</div>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{a}</p><p>{b}</p></div>{foot}</body>") == f"{a}\n{b}"
+    assert html_text.main_text(f"<body>{menu}<div><h2>{a[:20]}</h2><p>{a}</p><p>{b}</p></div>{links}{foot}</body>") == f"{a[:20]}\n{a}\n{b}"
+    assert html_text.main_text(f"<body>{menu}<div class='sidebar'><p>{a}</p></div><div><p>{b}</p></div></body>") == b
+
+
+def test_a_list_of_words_is_not_prose():
+    notice = "Copyright 2024 Example Incorporated. Privacy Policy. Service Terms. Contact Us. Imprint."
+    assert html_text.main_text(f"<div>{notice}</div><nav>Start</nav><div><p>{LONG}</p></div>") == LONG
+    words = " ".join(f"stichwort{i}" for i in range(30))
+    assert html_text.main_text(f"<main><p>{LONG}</p></main><div>{words}</div>") == LONG
+    assert html_text.main_text(f"<nav>Start</nav><div>{words}</div><nav>Ende</nav><div><p>{LONG}</p></div>") == LONG
+
+
+@pytest.mark.parametrize("piece", ["<a b=\"", "<a b='\">", "<a '\">", "<a \"'", "<title>", "<b x='>", "<!-- ", "<![CDATA[ ", "&amp", "<p <p ", "</p", "<a href=x "])
+def test_hostile_pages_take_linear_time(piece):
+    for end in ("", ">", "'>", "\">"):
+        start = time.time()
+        html_text.main_text(piece * 60_000 + end)
+        assert time.time() - start < 10

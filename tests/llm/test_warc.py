@@ -1,5 +1,13 @@
+import base64
 import gzip
+import hashlib
 import json
+import re
+import time
+import uuid
+
+import pyarrow.parquet as pq
+import pytest
 
 from rivulet.llm import warc
 
@@ -61,3 +69,54 @@ def test_all_records_of_a_cell(spark):
         assert [(r.source_id, r.text, r.error) for r in own[k]] == [(m.get("WARC-Record-ID"), f"text {i}", None) for i, m in enumerate(made[:n])]
     assert [(r.text, r.error is None) for r in own[3]] == [("text 0", True), (None, False)]
     assert len(own[4]) == 1 and own[4][0].error
+
+
+def test_query_equals_digests_and_ids_made_by_hand(spark):
+    """Every page of the smallest table: ids, links and digests as the definitions give them, without the operator's code."""
+    from rivulet.llm.queries import op3_warc
+
+    folder = "/root/testdata/sf0.001"
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    urn = lambda kind, source: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{source}')}>"
+    want = {}
+    for p in pq.read_table(f"{folder}/pages.parquet").to_pylist():
+        source = urn("response", f"{p['page_id']} {p['url']}")
+        want[p["page_id"], p["url"]] = (source, urn("metadata", source), urn("conversion", source), source, sha1((p["html"] or "").encode()), True)
+    found = op3_warc(spark, folder).collect()
+    assert len(found) == len(want) and all(r.error is None for r in found)
+    assert {(r.page_id, r.url): (r.source_id, r.metadata_id, r.conversion_id, r.refers_to, r.source_payload_digest, r.digest_ok) for r in found} == want
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    for r in warc.derivatives(warc.responses(pages)).collect():
+        head, _, block = bytes(r.conversion)[:-4].partition(b"\r\n\r\n")
+        named = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert block.decode() == r.text and named["WARC-Block-Digest"] == sha1(block) and int(named["Content-Length"]) == len(block)
+        assert named["WARC-Refers-To"] == r.source_id and named["WARC-Source-Payload-Digest"] == r.source_payload_digest
+        assert named["WARC-Target-URI"] == r.url and named["WARC-Type"] == "conversion"
+
+
+def test_facts_leave_out_comments_and_scripts():
+    from rivulet.llm import html_text
+
+    page = "<!-- <title>no</title><a href=c> --><title>Yes</title><script>'<meta name=x><a href=s>'</script><META Name=k content='v'><a href=/1 class=x>l</a><img src=i.png>"
+    facts = warc.page_facts(html_text.markup(page))
+    assert facts["Head"] == {"Title": "Yes", "Metas": [{"name": "k", "content": "v"}]}
+    assert [x["url"] for x in facts["Links"]] == ["/1", "i.png"]
+
+
+@pytest.mark.parametrize("piece", ["<title>", "<meta ", "<meta name", "<a href", "<meta a a ", "<a b=\"", "x" * 9])
+def test_hostile_pages_take_linear_time(piece):
+    for end in ("", ">"):
+        record = warc.response("http://e/", piece * (500_000 // len(piece)) + end, "1")
+        start = time.time()
+        warc.derive(record)
+        assert time.time() - start < 10
+    record = warc.response("http://e/", "<meta " + "a" * 500_000 + ">", "1")
+    start = time.time()
+    warc.derive(record)
+    assert time.time() - start < 10
+
+
+def test_chunks_that_lie():
+    headers = [("Transfer-Encoding", "chunked")]
+    for payload in (b"-5\r\nabc\r\n", b"zz\r\nabc", b"3\r\nabc\r\n-1\r\n\r\n"):
+        assert re.sub(r"\s", "", warc.decoded_body(headers, payload)) != ""
