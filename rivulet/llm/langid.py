@@ -7,18 +7,20 @@ text predicts this one. The language with fewest wins. As phrases grow with the
 languages with samples of other lengths are weighted by it; a letter that a language's sample doesn't hold counts one for
 every language. Samples under ``SHORT_CHARS`` count as that long: the law doesn't hold for less.
 
-Texts are parsed whole, case-folded, with runs of non-letters as one blank. A text longer than ``BLOCK`` characters is
-parsed in blocks of that many, each of which starts a phrase; all languages parse the same blocks. All blocks of an
-Arrow batch step through all automata together, one character a step, as numpy vectors over one sparse transition table.
-Every letter that a sample holds has a class of its own, whatever the number of scripts.
+Texts are parsed whole, case-folded, with runs of non-letters as one blank. All texts of an Arrow batch step through all
+automata together, one character a step, as numpy vectors over one sparse transition table. A text longer than ``BLOCK``
+characters is stepped through in blocks at once, as if each began a phrase; then every block is parsed again from the
+state in which the block before it ended, up to where both parses meet (mostly a few phrases on), so the count is that of
+one parse from the text's start, whatever the block's size. Every letter that a sample holds has a class of its own,
+whatever the number of scripts.
 
 Learning is bounded: per language at most ``SAMPLE_CHARS`` characters of labelled documents that hold a letter, in an
 order of hashed ids; the document that reaches the bound is cut there. Every label with such a document is learned. The
 automata are built from that sample, once per Python process.
 
 Defined results: a null text or one without a letter gives ``und`` with score 0. Ties go to the language first in
-alphabetical order. Without labelled text every row is ``und``. Repeated rows each give a row. Extra columns are kept,
-but for those with the names of the new columns, which are replaced.
+alphabetical order. Without labelled text every row is ``und``. Repeated rows each give a row. An empty table gives an
+empty result. Extra columns are kept, but for those with the names of the new columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ SAMPLE_CHARS = 40_000
 SHORT_CHARS = 5_000
 #: Labelled documents per language that are looked at for the sample, about.
 SAMPLE_DOCS = 120
-#: Characters of an independently parsed block.
+#: Characters of a block; it sets how many steps are taken at once and doesn't change results.
 BLOCK = 2048
 #: Places tried for a state's transitions before they go to the end of the table.
 _TRIES = 16
@@ -191,6 +193,11 @@ class Model:
         self.offsets = np.concatenate(offsets).astype(np.int64) if parts else np.zeros(0, np.int64)
         self.slots = np.concatenate(slots).view(np.uint64).ravel() if parts else np.zeros(0, np.uint64)
 
+    def _next(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a state has no transition by its symbol, the state after it)."""
+        found = self.slots.take(self.offsets.take(state) + symbol).view(np.uint32).reshape(*state.shape, 2)
+        return found[..., 1] != state, found[..., 0]
+
     def phrases(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases per row and language."""
         lengths = np.diff(at)
@@ -198,29 +205,65 @@ class Model:
         first = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(at[:-1], at[1:], strict=True)]) if len(row) else np.zeros(0, np.int64)
         size = np.minimum(first + BLOCK, at[1:][row]) - first
         order = np.argsort(-size, kind="stable")
-        row, first, size = row[order], first[order], size[order]
         k, n = len(self.languages), len(row)
         found = np.zeros((len(lengths), k), np.int64)
         if n == 0 or k == 0:
             return found
+        begin, length = first[order], size[order]
         state = np.repeat(np.asarray(self.starts, np.uint32)[:, None], n, axis=1)
-        count = np.zeros((k, n), np.uint32)
+        count, ends = np.zeros((k, n), np.int64), np.zeros((k, n), np.uint32)
         active = n
-        alive = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # blocks longer than each step
-        for step in range(int(size[0])):
+        alive = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # blocks longer than each step
+        for step in range(int(length[0])):
             if alive[step] != active:
+                ends[:, alive[step] : active] = state[:, alive[step] :]
                 active = int(alive[step])
-                state, count_now = np.ascontiguousarray(state[:, :active]), count[:, :active]
-            elif step == 0:
-                count_now = count
-            symbol = classes[first[:active] + step]
-            found_at = self.slots.take(self.offsets.take(state) + symbol).view(np.uint32).reshape(k, active, 2)
-            fresh = found_at[:, :, 1] != state
-            count_now += fresh
-            state = np.where(fresh, self.first.take(symbol, axis=1), found_at[:, :, 0])
-        np.add.at(found, row, count.T.astype(np.int64))
+                state = np.ascontiguousarray(state[:, :active])
+            symbol = classes[begin[:active] + step]
+            fresh, after = self._next(state, symbol)
+            count[:, :active] += fresh
+            state = np.where(fresh, self.first.take(symbol, axis=1), after)
+        ends[:, :active] = state
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        count, ends = count[:, back], ends[:, back]  # in the order of the texts
+        self._carry(classes, row, first, size, count, ends)
+        np.add.at(found, row, count.T)
         return found
 
+    def _carry(self, classes: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarray, count: np.ndarray, ends: np.ndarray) -> None:
+        """Make the counts and end states of blocks those of parses that go on from the block before."""
+        lang, block = np.nonzero(np.repeat(np.concatenate([[False], row[1:] == row[:-1]])[None, :], len(count), axis=0))
+        alone, alone_ends = count.copy(), ends.copy()
+        while len(lang):
+            state = ends[lang, block - 1]
+            fresh_state = np.asarray(self.starts, np.uint32)[lang]
+            on, change, ended = np.arange(len(lang)), np.zeros(len(lang), np.int64), alone_ends[lang, block]
+            step = 0
+            while len(on):
+                over = size[block[on]] == step
+                if over.any():
+                    ended[on[over]] = state[over]
+                    on, state, fresh_state = on[~over], state[~over], fresh_state[~over]
+                    if len(on) == 0:
+                        break
+                symbol = classes[first[block[on]] + step]
+                begun = self.first[lang[on], symbol]
+                a, x = self._next(state, symbol)
+                b, y = self._next(fresh_state, symbol)
+                change[on] += a.astype(np.int64) - b
+                state, fresh_state = np.where(a, begun, x), np.where(b, begun, y)
+                apart = state != fresh_state
+                on, state, fresh_state = on[apart], state[apart], fresh_state[apart]
+                step += 1
+            count[lang, block] = alone[lang, block] + change
+            # a block that ends in another state than was thought is what the next one has to go on from
+            moved = ended != ends[lang, block]
+            ends[lang[moved], block[moved]] = ended[moved]
+            last = np.concatenate([row[1:] != row[:-1], [True]])
+            moved &= ~last[block]
+            lang, block = lang[moved], block[moved] + 1
+
     def foreign(self, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Characters per row and language that the language's sample doesn't hold; each is a phrase."""
         found = np.zeros((len(at) - 1, len(self.languages)), np.int64)

@@ -5,16 +5,14 @@ from rivulet.llm import langid
 
 
 def phrases(text, sample):
-    """Greedy cross-parse by substring search, block by block."""
-    total = 0
-    for b in range(0, len(text), langid.BLOCK):
-        block, i = text[b : b + langid.BLOCK], 0
-        while i < len(block):
-            n = 1
-            while i + n < len(block) and block[i : i + n + 1] in sample:
-                n += 1
-            i += n
-            total += 1
+    """Greedy cross-parse by substring search."""
+    total = i = 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n + 1] in sample:
+            n += 1
+        i += n
+        total += 1
     return total
 
 
@@ -24,7 +22,7 @@ def test_phrases_equal_the_longest_match_parse(monkeypatch):
     make = lambda n, letters: "".join(rng.choice(letters) for _ in range(n)).strip()
     samples = {"x": "abcab cab aab", "y": " ".join(make(5, "abd") for _ in range(20))}
     model = langid.Model({k: v for k, v in samples.items()})
-    texts = [make(n, "abcd e") for n in (1, 7, 39, 40, 41, 95, 200)]
+    texts = [make(n, "abcd e") for n in (1, 7, 39, 40, 41, 95, 200)] + ["abcab cab aab" * 30, "abcab cab " * 20, "d" * 300]
     letters, at = langid.normalised(texts)
     found = model.phrases(model.classes[letters], at)
     for i in range(len(texts)):
@@ -103,3 +101,25 @@ def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(docs).collect()] == ["und"]
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_alphabets_of_1500_letters():
+    """Rare letters count: texts of none but letters beyond the commonest 150 of their language."""
+    rng = random.Random(9)
+    ranges = {"ko": range(0xAC00, 0xAC00 + 1500), "zh": range(0x4E00, 0x4E00 + 1500)}
+    common = lambda letters: chr(letters[min(int(rng.expovariate(1 / 200)), 1499)])
+    samples = {k: "".join(common(v) for _ in range(9000)) + "".join(map(chr, v)) for k, v in ranges.items()} | {"en": "the quick brown fox jumps over the lazy dog " * 40}
+    model = langid.Model(samples)
+    for lang, letters in ranges.items():
+        rare = [chr(c) for c in letters[150:]]
+        texts = ["".join(rng.choice(rare) for _ in range(40)) for _ in range(100)]
+        found, scores = model.predict(texts)
+        assert found == [lang] * 100 and min(scores) > 0
+
+
+def test_a_hundred_languages():
+    rng = random.Random(10)
+    stems = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(60)] for i in range(100)}
+    text = lambda lang, n: " ".join(rng.choice(stems[lang]) for _ in range(n))
+    model = langid.Model({lang: text(lang, 400) for lang in stems})
+    assert model.predict([text(lang, 25) for lang in sorted(stems)])[0] == sorted(stems)
