@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python operator works on at once; a single longer text is a step of its own.
@@ -19,12 +19,15 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir`` as set for the session, else a temporary one (tests)."""
+    """The shared scratch folder: ``spark.checkpoint.dir`` as set for the session. Where it is unset, a local session gets a
+    temporary one (as in tests); on a cluster that is an error, as executors don't share the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rivulet-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,6 +49,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, through Hadoop's file system; none if it isn't there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in store.listStatus(target)) if store.exists(target) else []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -87,6 +97,20 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def content_keys(text: str = "text") -> dict[str, Column]:
+    """A 128-bit key of the whole text, in two columns."""
+    value = text_or_empty(text)
+    return {"c": F.xxhash64(value), "c2": F.xxhash64(F.lit("second"), value)}
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Add ``id`` to rows with content keys ``c`` and ``c2``: a single number that unlike contents don't share. It is the
+    first key, but where two contents meet in that, a hash of both."""
+    clash = rows.groupBy("c").agg(F.min("c2").alias("a"), F.max("c2").alias("b")).filter("a <> b").select(F.col("c").alias("__clash"))
+    rows = rows.join(materialize(clash, "content-clashes"), F.col("c") == F.col("__clash"), "left")
+    return rows.withColumn("id", F.when(F.col("__clash").isNotNull(), F.xxhash64(F.lit("both"), "c", "c2")).otherwise(F.col("c"))).drop("__clash")
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows whose texts hold about ``most`` bytes together."""
     if batch.num_rows == 0:
