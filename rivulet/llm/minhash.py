@@ -10,13 +10,20 @@ its time and the other going on from there, and halves beyond w or later than al
 keeps its earliest arrival. Two documents agree in a register with the probability of their weighted Jaccard similarity.
 
 Documents that agree in all ``ROWS`` registers of one of ``BANDS`` bands are candidates (at a similarity of 0.8 one pair
-in 400 million is missed). Copies of a text are one node. Nodes that candidates connect form a
-cluster, and within a cluster all multisets are compared, as products of incidence matrices over blocks of bounded size;
-of a block's links only a spanning forest leaves it, never the pairs. A large cluster is dealt over many tasks, block
-pair by block pair; small ones share tasks.
-
-Defined results: null and empty texts link with nothing, each row is kept as a class of its own. A class is named by its least document id. Rows repeated with
-equal id and text are copies. Null ids form classes like others; a class of null ids alone has a null name.
+in 400 million is missed). Copies of a text, told by a 128-bit key, are one node. Candidates are verified on their whole
+multisets, in two steps:
+
+1. every node of a band's group is compared with one of them, the group's least. What links is joined to classes, which
+   settles groups of near copies;
+2. in groups that still hold several classes, the nodes outside the commonest class are compared with all nodes of
+   other classes, as products of incidence matrices over blocks of bounded size. Groups of equal members in several
+   bands are compared once. Of a block's links only a spanning forest leaves it, never the pairs. A large group is dealt
+   over many tasks, block pair by block pair; small ones share tasks.
+
+Defined results: null and empty texts link with nothing, each row is kept as a class of its own. A class is named by its
+least document id. Rows repeated with equal id and text are copies. Null ids form classes like others; a class of null ids
+alone has a null name. A very long text is worked on whole, alone. An empty table gives an empty result. Extra columns are
+left out by ``classes`` and kept by ``deduplicate``; names beginning with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import tokens
-from rivulet.llm.common import materialize, slices, text_bytes
+from rivulet.llm.common import content_keys, materialize, slices, text_bytes, text_or_empty, told_apart
 from rivulet.llm.components import components, joined
 
 SHINGLE = 5
@@ -164,7 +171,7 @@ def _sketches(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def _multisets(rows: DataFrame, k: int) -> DataFrame:
-    """(c, set): shingles numbered by occurrence, so that the overlap of multisets is that of sets."""
+    """(id, m, set): shingles numbered by occurrence, so that the overlap of multisets is that of sets, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +179,9 @@ def _multisets(rows: DataFrame, k: int) -> DataFrame:
                 every, bounds = shingles(*text_bytes(part.column("__text")), k)
                 number = _counted(every, bounds)[3]
                 numbered = np.where(number > 0, tokens.mix(every + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), every)
-                yield pa.RecordBatch.from_arrays([part.column("c"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(numbered.view(np.int64)))], names=["c", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(numbered.view(np.int64)))], names=["id", "m", "set"])
 
-    return rows.select("c", "__text").mapInArrow(run, "c long, set array<long>")
+    return rows.select("id", "__text").mapInArrow(run, "id long, m long, set array<long>")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -198,83 +205,124 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return total.astype(np.int64)
 
 
-def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """A root per set, joining all similar pairs of left x right."""
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, label: np.ndarray | None = None) -> np.ndarray:
+    """A root per set, joining all similar pairs of left x right (of unlike labels, where there are labels)."""
     both = overlaps(sets, left, right)
     size = np.array([len(x) for x in sets])
     near = both >= (threshold - 1e-12) * (size[left][:, None] + size[right][None, :] - both)
+    if label is not None:
+        near &= label[left][:, None] != label[right][None, :]
     u, v = np.nonzero(near)
     return joined(np.arange(len(sets)), left[u], right[v])
 
 
-def _forests(sets: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) links that span the similar nodes of each cluster; ``sets`` is (c, set), ``clusters`` (c, label)."""
-    rows = clusters.join(sets, "c")
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("set").cast("long")).alias("s"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int"))
-    sizes = materialize(sizes, "minhash-clusters")
-    small = sizes.filter("blocks = 1").agg(F.sum("s")).first()[0] or 0
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose multisets are similar."""
+    u = sets.select(F.col("id").alias("u"), F.col("m").alias("mu"), F.col("set").alias("su"))
+    v = sets.select(F.col("id").alias("v"), F.col("m").alias("mv"), F.col("set").alias("sv"))
+    able = (F.col("mu") >= F.lit(threshold) * F.col("mv") - 1e-9) & (F.col("mv") >= F.lit(threshold) * F.col("mu") - 1e-9)
+    both = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(u, "u").join(v, "v").filter(able).filter(both >= F.lit(threshold - 1e-12) * (F.col("mu") + F.col("mv") - both)).select("u", "v")
+
+
+def _undecided(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, id, label, main): the members of groups of several classes, ``main`` being the commonest class. Of groups
+    with equal members one is left."""
+    rows = met.select("band", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = materialize(rows, "minhash-labelled")
+    mixed = rows.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("y"))
+    mixed = materialize(mixed.filter("a <> b").groupBy("least", "n", "x", "y").agg(F.min("band").alias("band")).select("band"), "minhash-mixed")
+    rows = materialize(rows.join(mixed, "band"), "minhash-undecided")
+    main = materialize(rows.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", "count").alias("main")), "minhash-main")
+    return rows.join(main, "band")
+
+
+def _forests(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) links that join the similar nodes of unlike classes in each group; ``groups`` is (band, id, label, main),
+    ``sets`` (id, m, set)."""
+    rows = materialize(groups.join(sets.select("id", "m"), "id"), "minhash-members")
+    rest = (F.col("label") != F.col("main")).cast("int")
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("s"), F.sum(rest).alias("rn"), F.sum(rest * F.col("m")).alias("rs"))
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_NODES), F.ceil(F.col(s) / BLOCK_SHINGLES)).cast("int")
+    sizes = materialize(sizes.select("band", "s", blocks("n", "s").alias("na"), blocks("rn", "rs").alias("nr")), "minhash-groups")
+    small = sizes.filter("na = 1").agg(F.sum("s")).first()[0] or 0
     bins = max(1, -(-small // (2 * BLOCK_SHINGLES)))
-    rows = rows.join(sizes.select("label", "blocks"), "label").withColumn("own", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    rows = rows.withColumn("m", F.explode(meets)).withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.col("label")))
-    rows = rows.select("bin", (F.col("blocks") > 1).alias("large"), F.col("m.i").alias("i"), F.col("m.j").alias("j"), "label", "own", "c", "set")
+    rows = rows.join(sizes.select("band", "na", "nr"), "band")
+    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    # in a large group every node stands on the right of each left block, and one of the rest on the left of each right block
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    right = F.transform(upto("nr"), lambda i: place(i, own("na", 3), False))
+    left = F.when(F.col("label") != F.col("main"), F.transform(upto("na"), lambda j: place(own("nr", 4), j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>"))
+    one = F.array(place(F.lit(0), F.lit(0), False))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("na") == 1, one).otherwise(F.concat(right, left))))
+    rows = rows.withColumns({"large": F.col("na") > 1, "bin": F.when(F.col("na") == 1, F.pmod(F.xxhash64("band"), F.lit(bins))).otherwise(F.col("band"))})
+    rows = rows.select("bin", "large", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.left").alias("left"), "band", "label", "main", "id").join(sets.select("id", "set"), "id")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        label, own, c = (table.column(x).to_numpy() for x in ("label", "own", "c"))
+        band, label, main, ids = (table.column(x).to_numpy() for x in ("band", "label", "main", "id"))
+        is_left = np.asarray(table.column("left").to_numpy(zero_copy_only=False), bool)
+        large = table.column("large")[0].as_py()
         lists = table.column("set").combine_chunks()
         flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        order = np.argsort(label, kind="stable")
-        u, v = [], []
-        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-            sets = [np.sort(flat[at[k] : at[k + 1]]) for k in part]
-            left, right = np.flatnonzero(own[part] == i), np.flatnonzero(own[part] == j)
-            roots = forest(sets, left, right, threshold)
+        order = np.argsort(band, kind="stable")
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+            left = np.flatnonzero(is_left[part] if large else label[part] != main[part])
+            right = np.flatnonzero(~is_left[part])
+            if len(left) == 0 or len(right) == 0:
+                continue
+            roots = forest([np.sort(flat[at[k] : at[k + 1]]) for k in part], left, right, threshold, label[part])
             moved = np.flatnonzero(roots != np.arange(len(part)))
-            u.append(c[part[moved]])
-            v.append(c[part[roots[moved]]])
+            u.append(ids[part[moved]])
+            v.append(ids[part[roots[moved]]])
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return rows.groupBy("bin", "large", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: key, ``c`` (content key), ``class_id`` and ``kept``: of each class one row stays, of
-    those with the least id one (the least content key first)."""
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key), F.xxhash64(value).alias("c"), F.xxhash64(F.lit("second"), value).alias("c2"), value.alias("__text"))
+    """One row per row of ``docs``: key, the content keys ``c`` and ``c2``, ``class_id`` and ``kept``: of each class one row
+    stays, of those with the least id one (the least content key first)."""
+    rows = docs.select(F.col(key), *[v.alias(k) for k, v in content_keys(text).items()], text_or_empty(text).alias("__text"))
     every = materialize(_sketches(rows, key, shingle), "minhash")
-    found, bare = every.filter("some"), every.filter("not some")
-    nodes = materialize(found.groupBy("c").agg(F.min(key).alias("least"), F.first("bands").alias("bands")), "minhash-nodes")
-    banded = nodes.select("c", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("band", "a")
-    met = banded.join(shared, "band").select(F.col("c").alias("u"), F.col("a").alias("v")).distinct()
-    clusters = materialize(components(met).select(F.col("id").alias("c"), F.col("component").alias("label")), "minhash-met")
-    wanted = clusters.join(nodes.select("c", "least"), "c").select(F.col("c").alias("wc"), "least")
-    rep = rows.join(wanted, (F.col("c") == F.col("wc")) & F.col(key).eqNullSafe(F.col("least"))).drop("wc", "least")
-    sets = materialize(_multisets(rep, shingle).dropDuplicates(["c"]), "minhash-sets")
-    links = materialize(_forests(sets, clusters, threshold), "minhash-links")
-    label = materialize(components(links).select(F.col("id").alias("c"), F.col("component").alias("label")), "minhash-classes")
-
-    named = nodes.select("c", "least").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    names = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "c")).alias("m")).select("label", F.col("m.least").alias("class_id"), F.col("m.c").alias("kept_c"))
-    named = named.join(names, "label").select("c", "class_id", "kept_c")
-    kept = (F.col("c") == F.col("kept_c")) & F.col(key).eqNullSafe(F.col("class_id"))
-    grouped = found.select(key, "c").join(named, "c").select(key, "c", "class_id", kept.alias("kept"))
-    return grouped.unionByName(bare.select(key, "c", F.col(key).alias("class_id"), F.lit(True).alias("kept")))
+    found, bare = told_apart(every.filter("some")), every.filter("not some")
+    nodes = materialize(found.groupBy("id", "c", "c2").agg(F.min(key).alias("least"), F.first("bands").alias("bands")), "minhash-nodes")
+    banded = nodes.select("id", F.explode("bands").alias("band"))
+    shared = materialize(banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("b")).filter("first <> b").select("band", "first"), "minhash-bands")
+    met = materialize(banded.join(shared, "band"), "minhash-met")
+    wanted = met.select("id").distinct().join(nodes.select("id", "c", "c2", "least"), "id").withColumnsRenamed({"c": "wc", "c2": "wc2"})
+    same = (rows["c"] == wanted["wc"]) & (rows["c2"] == wanted["wc2"]) & rows[key].eqNullSafe(wanted["least"])
+    sets = materialize(_multisets(rows.join(wanted.hint("shuffle_hash"), same), shingle).dropDuplicates(["id"]), "minhash-sets")
+
+    stars = met.filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    near = materialize(_similar(stars, sets, threshold), "minhash-stars")
+    labels = materialize(components(near).select("id", F.col("component").alias("label")), "minhash-star-classes")
+    more = materialize(_forests(_undecided(met, labels), sets, threshold), "minhash-links")
+    label = materialize(components(near.unionByName(more)).select("id", F.col("component").alias("label")), "minhash-classes")
+
+    named = nodes.select("id", "c", "c2", "least").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    names = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "id")).alias("m")).select("label", F.col("m.least").alias("class_id"), F.col("m.id").alias("kept_id"))
+    named = named.join(names, "label").select("c", "c2", "class_id", (F.col("id") == F.col("kept_id")).alias("stays"))
+    kept = F.col("stays") & F.col(key).eqNullSafe(F.col("class_id"))
+    grouped = every.filter("some").select(key, "c", "c2").join(named, ["c", "c2"]).select(key, "c", "c2", "class_id", kept.alias("kept"))
+    return grouped.unionByName(bare.select(key, "c", "c2", F.col(key).alias("class_id"), F.lit(True).alias("kept")))
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The documents less all but one of each class; rows without text all stay."""
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = classes(docs.filter(value != ""), threshold, key, text, shingle)
-    gone = found.filter(~F.col("kept")).select(F.col(key).alias("__k"), F.col("c").alias("__c")).distinct()
-    rows = docs.withColumn("__content", F.xxhash64(value))
-    left = rows.join(gone, rows[key].eqNullSafe(gone["__k"]) & (rows["__content"] == gone["__c"]), "left_anti")
+    found = classes(docs.filter(text_or_empty(text) != ""), threshold, key, text, shingle)
+    name = [F.col(key).alias("__k"), F.col("c").alias("__c"), F.col("c2").alias("__c2")]
+    rows = docs.withColumns({"__own": content_keys(text)["c"], "__own2": content_keys(text)["c2"]})
+
+    def meets(other: DataFrame):
+        return rows[key].eqNullSafe(other["__k"]) & (rows["__own"] == other["__c"]) & (rows["__own2"] == other["__c2"])
+
+    gone = found.filter(~F.col("kept")).select(*name).distinct()
+    left = rows.join(gone, meets(gone), "left_anti")
     # of rows repeated with equal id and text one stays: they are numbered by key, a group being such repeats alone
-    again = found.filter("kept").groupBy(key, "c").count().filter("count > 1").select(F.col(key).alias("__k"), F.col("c").alias("__c"), F.lit(True).alias("__again"))
-    left = left.join(again, left[key].eqNullSafe(again["__k"]) & (left["__content"] == again["__c"]), "left").drop("__k", "__c")
-    repeats = left.filter("__again").dropDuplicates([key, "__content"])
+    again = found.filter("kept").groupBy(*name).count().filter("count > 1").select("__k", "__c", "__c2", F.lit(True).alias("__again"))
+    left = left.join(again, meets(again), "left").drop("__k", "__c", "__c2")
+    repeats = left.filter("__again").dropDuplicates([key, "__own", "__own2"])
     return left.filter(F.col("__again").isNull()).unionByName(repeats).select(*docs.columns)

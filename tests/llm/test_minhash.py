@@ -121,3 +121,23 @@ def test_one_of_each_class_stays(spark):
     left = minhash.deduplicate(docs).collect()
     assert sorted(r.doc_id for r in left) == sorted({c for _, c in brute([r for r in rows if r[1]])} | {200, 201, 202})
     assert minhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_with_a_bridge_and_strangers(spark, monkeypatch):
+    """Near copies of one text, drifting away from it step by step: the chain links what the first member doesn't."""
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 64)
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 99999)}" for _ in range(200)]
+    rows = []
+    for i in range(300):
+        own = list(words)
+        own[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    chain = list(words)
+    for i in range(30):
+        chain[6 * i : 6 * i + 6] = [f"y{i}.{k}" for k in range(6)]
+        rows.append((1000 + i, " ".join(chain)))
+    rows += [(2000 + i, " ".join(words[:100] + [f"z{i}.{k}" for k in range(100)])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = minhash.classes(docs).select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, out)) == brute(rows)
