@@ -19,9 +19,9 @@ def brute(rows, threshold):
             for j in near[todo.pop()] - seen:
                 seen.add(j)
                 todo.append(j)
-        least = min(rows[j][0] for j in seen)
+        least = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
         out.append((key, len(near[i]), least, key == least))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def make(seed, n, spread):
@@ -41,7 +41,24 @@ def test_equals_brute_force(spark, monkeypatch, seed, spread, cell, block):
     rows = make(seed, 150, spread)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = embedding.deduplicate(frame, 0.9, block_rows=block).collect()
-    assert sorted(tuple(r) for r in out) == brute(rows, 0.9)
+    assert sorted((tuple(r) for r in out), key=str) == brute(rows, 0.9)
+
+
+@pytest.mark.parametrize("seed,spread", [(5, 0.4), (6, 1.2)])
+def test_divided_cells_equal_brute_force(spark, monkeypatch, seed, spread):
+    for name, value in {"CELL_ROWS": 8, "MAX_CELLS": 3, "SPLIT": 2, "_SPLIT_ROWS": 20}.items():
+        monkeypatch.setattr(embedding, name, value)
+    rows = make(seed, 220, spread)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    out = embedding.deduplicate(frame, 0.9, block_rows=16).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute(rows, 0.9)
+
+
+def test_null_and_repeated_ids_with_unlike_vectors(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, [0.0, 1.0, 0.1]), (None, a), (None, [5.0, -5.0, 0.0]), (None, [5.0, -5.0, 0.1]), (None, None), (7, None), (7, a)]
+    out = embedding.deduplicate(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute(rows, 0.9)
 
 
 def test_empty(spark):
