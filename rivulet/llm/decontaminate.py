@@ -6,12 +6,14 @@ are scanned window by window in the raw bytes, hits are verified word for word,
 occurrence of a window is hit.
 
 The broadcast is bounded: the distinct windows are counted first, and if they exceed ``MAX_WINDOWS`` they are dealt by
-hash into blocks of at most about that many, each of which is broadcast for a pass of its own over the rows (a chain of
-row-wise passes, no shuffle).
+hash into blocks of at most about that many. Each block is then a pass of its own over the rows: it is broadcast, the rows
+are written with what it hit, and it is let go before the next one is gathered, so neither the driver nor a worker holds
+more than one. No pass shuffles rows.
 
 Defined results: null texts have no words, on both sides; null item ids are scanned and hit words, but name no item.
-Repeated items count once; repeated documents each give a row. Extra columns are kept, but for those with the names of
-the new columns, which are replaced.
+Repeated items count once; repeated documents each give a row. A very long text is scanned whole, alone. An empty
+benchmark hits nothing, an empty table gives an empty result. Extra columns are kept, but for those with the names of the
+new columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.llm import tokens
-from rivulet.llm.common import slices, text_bytes
+from rivulet.llm.common import discard, materialize, slices, text_bytes, text_or_empty
 
 #: Windows that one broadcast holds at most, about: ten words and a few numbers each, some 200 bytes.
 MAX_WINDOWS = 200_000
@@ -101,11 +103,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
     found = windows(benchmark, n, item)
     total = found.count()
     blocks = max(1, -(-total // MAX_WINDOWS))
-    rows = docs.drop(hits, count).withColumns({"__text": F.coalesce(F.col(text).cast("string"), F.lit("")), count: F.lit(0).cast("long"), hits: F.lit(None).cast(_HITS)})
+    rows = docs.drop(hits, count).withColumns({"__text": text_or_empty(text), count: F.lit(0).cast("long"), hits: F.lit(None).cast(_HITS)})
+    if blocks > 1:
+        found = materialize(found, "benchmark-windows")
     for block in range(blocks):
         own = found if blocks == 1 else found.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast([(r["gram"], r["n"], list(r["items"])) for r in own.collect()])
-        rows = _pass(rows, held, hits, count)
+        before, rows = rows, _pass(rows, held, hits, count)
+        if blocks > 1:
+            rows = materialize(rows, "benchmark-pass")
+            held.unpersist()
+            if block:
+                discard(before)
     return rows.drop("__text")
 
 

@@ -50,6 +50,16 @@ def test_equals_brute_force(spark, monkeypatch, seed, most):
     assert sorted((tuple(r) for r in out), key=str) == brute(docs, items, 4)
 
 
+def test_passes_hold_one_block_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 5)
+    docs, items = make(4)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.windows(b, 4).count() > 20
+    plan = decontaminate.scan(d, b, n=4)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # every pass is a table by now
+    assert {r.doc_id for r in decontaminate.remove_documents(d, b, n=4).collect()} == {r[0] for r in brute(docs, items, 4) if not r[5]}
+
+
 def test_removal(spark):
     d = spark.createDataFrame([(1, "x A b, C d y"), (2, "a b"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
