@@ -4,19 +4,25 @@ A line's tokens are its runs of ``SHINGLE`` normalised words (of all its words i
 Jaccard similarity of their token sets reaches the threshold. A line is removed if any earlier line of the corpus matches
 it, in the order of document id, then line number; whether that earlier line is removed itself doesn't matter.
 
-Tokens are ordered from rare to frequent by counts over the whole corpus in ``BUCKETS`` hashed counters (ties by hash);
-the order is global, so the filters are exact whatever the counters' collisions. Lines of equal sets are told by a
-128-bit key and handled as one. Of the others, matching lines share a token among the first m - ceil(t m) + 1 of m:
-
-1. those prefix tokens that stand in two different sets are found by an aggregation (map-side first);
-2. a bitmap of fixed size of these picks the lines to go on with (a filter only: collisions cost time, not results);
+Lines of the same words are told by a 128-bit key, of two independent families of hashes, and handled as one: its earliest line stands for it. Tokens are ordered by rarity classes (from hashed counts over the whole
+corpus, so a token of a large share of all lines comes last), then by hash; any global order gives the same result. Of m
+ordered tokens the first m - ceil(t m) + k (k about a twentieth of m at t = 0.8, but one at least) are the line's prefix,
+and matching lines share k prefix tokens or more:
+
+1. prefix tokens are dealt over buckets by hash, packed, to find those that stand in lines of different keys; frequent
+   ones, by their class, are spread over many buckets, and what is alone in its bucket there is looked up among all;
+2. lines with fewer than k of them are out; the others' whole sets are read from their texts, once per key;
 3. each is compared with one line first: the one that most of its prefix tokens name, each naming the earliest and the
    commonest line of its group. That settles most members of large groups; lines not removed by it are compared with all
-   earlier members of their groups, under the length and positional filters. Candidates are verified on the whole sets.
+   earlier members of their groups, under the length and positional filters and the number of prefix tokens that two
+   lines of their sizes must share. Candidates are verified on the whole sets.
+
+Nothing is broadcast but the rarity classes (one byte for each of ``BUCKETS`` counters, whatever the corpus).
 
 Defined results: null texts stay null and have no lines; lines without words are kept; a text whose lines all go becomes
 the empty text. Rows repeated with equal id and text count as one document and get the same result each. Null ids come
-first. Extra columns are kept, but for those with the names of the new columns, which are replaced.
+first. A very long text or line is worked on whole, one at a time. An empty table gives an empty result. Extra columns
+are kept, but for those with the names of the new columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import tokens
@@ -34,15 +41,19 @@ from rivulet.llm.common import discard, materialize, shuffles_cleaned, slices, t
 
 #: Words of a token.
 SHINGLE = 5
-#: Hashed counters of token frequency; what the driver gets and broadcasts is this many numbers.
-BUCKETS = 1 << 17
-#: Bits of the filter of recurring prefix tokens (8 MB).
-FILTER_BITS = 1 << 26
-_BITMAP = 32768  # bits of one of Spark's bitmaps
-
-
-def line_tokens(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first line of every row, and one more; lines' token hashes; the tokens' lines; words per line)."""
+#: Hashed counters of token frequency. Tokens of a share of some 1 / BUCKETS of all tokens and more are told as frequent.
+BUCKETS = 1 << 21
+#: A line's prefix is longer than one shared token needs by this share of t (1 - t) m, so that it must share as many more.
+#: With this share or less, the number follows from the larger of two matching lines for every threshold t.
+EXTRA = 0.32
+#: Tokens of lines for each bucket of prefix tokens; a quarter of them, about, are prefix tokens.
+BUCKET_TOKENS = 2_000_000
+#: Keys that a task remembers, so as to emit the prefix of a common line once.
+_SEEN = 1 << 18
+
+
+def line_tokens(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tokens.Words]:
+    """(first line of every row, and one more; lines' token hashes; the tokens' lines; words, a row of them per line)."""
     lower = tokens.LOWER[data]
     breaks = np.flatnonzero(data == 10) + 1
     line_at = np.sort(np.concatenate([at, breaks]), kind="stable")  # a break at a row's end starts a last, empty line
@@ -62,138 +73,197 @@ def line_tokens(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndar
         owner.append(short)
     found_all, owner_all = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner_all, kind="stable")
-    return first, found_all[order], owner_all[order], words.count
-
-
-def ordered_sets(hashes: np.ndarray, owner: np.ndarray, n_lines: int, counters: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, offsets per line): each line's distinct tokens, rare ones first. A key is the root of the token's count in
-    16 bits and 48 bits of its hash, so keys order tokens and name them."""
-    low = hashes >> np.uint64(16)
-    if counters is None:
-        keys = low
-    else:
-        count = counters[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        keys = (np.minimum(np.sqrt(count), 32767).astype(np.uint64) << np.uint64(48)) | low
+    return first, found_all[order], owner_all[order], words
+
+
+def ordered_sets(hashes: np.ndarray, owner: np.ndarray, n_lines: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets per line): each line's distinct tokens, by rarity class, then by hash."""
+    found = hashes.copy()
     bounds = np.searchsorted(owner, np.arange(n_lines + 1))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a > 1:
-            keys[a:b].sort()
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    kept = np.concatenate([[0], np.cumsum(fresh)])
-    return keys[fresh], kept[bounds]
+            found[a:b].sort()
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    at = np.concatenate([[0], np.cumsum(fresh)])[bounds]
+    found = found[fresh]
+    if classes is not None:
+        own = classes[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        if own.any():
+            line = np.repeat(np.arange(n_lines), np.diff(at))
+            found = found[np.argsort(line * 256 + own, kind="stable")]
+    return found, at
+
 
+def line_keys(words: tokens.Words, family: int) -> np.ndarray:
+    """A 64-bit key of each line's words in their order."""
+    run = tokens.run_hashes(words.hashes(family), words.first[:-1], words.first[1:], family)
+    return tokens.mix(run + words.count.astype(np.uint64)).view(np.int64)
 
-def set_keys(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit key of each set, independent of the order."""
-    both = []
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-        mixed = tokens.mix((keys & np.uint64((1 << 48) - 1)) * np.uint64(salt) + np.uint64(salt))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-        both.append(tokens.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
-    return both[0], both[1]
+
+def rarity(counters: np.ndarray) -> np.ndarray:
+    """Class of every counter: 0 up to twice the mean, then one more for every doubling."""
+    often = counters / max(1.0, 2 * counters.mean())
+    return np.where(often > 1, np.ceil(np.log2(np.maximum(often, 1))), 0).astype(np.uint8)
+
+
+def must_share(m: Column, threshold: float) -> Column:
+    """Prefix tokens that a line of m tokens shares with any line that matches it."""
+    return F.greatest(F.lit(1), F.floor(F.lit(EXTRA * threshold * (1 - threshold)) * m)).cast("int")
 
 
 def prefix_length(m: np.ndarray, threshold: float) -> np.ndarray:
-    return m - np.ceil(threshold * m - 1e-9).astype(np.int64) + 1
+    k = np.maximum(1, np.floor(EXTRA * threshold * (1 - threshold) * m)).astype(np.int64)
+    return np.minimum(m, m - np.ceil(threshold * m - 1e-9).astype(np.int64) + k)
+
+
+def _prefix_column(m: Column, threshold: float) -> Column:
+    return F.least(m, m - F.ceil(F.lit(threshold) * m - 1e-9).cast("int") + must_share(m, threshold))
 
 
 def _scan_lines(rows: DataFrame, key: str, shingle: int) -> DataFrame:
-    """Per row the set keys of its lines (nulls for lines without words); per task a row of token counters."""
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, c long, n_lines int, l1 array<long>, l2 array<long>, bucket array<int>, n array<long>"
+    """Per row the keys of its lines (nulls for lines without words); per task a row of token counters."""
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, c long, c2 long, l1 array<long>, l2 array<long>, counters binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(BUCKETS, np.int64)
-        names = [key, "c", "n_lines", "l1", "l2", "bucket", "n"]
+        names = [key, "c", "c2", "l1", "l2", "counters"]
         kind = pa.int64()
         for batch in batches:
             kind = batch.column(key).type
             for part in slices(batch, "__text"):
-                first, hashes, owner, count = line_tokens(*text_bytes(part.column("__text")), shingle)
+                first, hashes, owner, words = line_tokens(*text_bytes(part.column("__text")), shingle)
                 counters += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                keys, at = ordered_sets(hashes, owner, len(count), None)
-                l1, l2 = set_keys(keys, at)
-                some = count > 0
-                offsets = pa.array(first, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[: first[-1]], mask=~some[: first[-1]])) for x in (l1, l2)]
-                none = pa.nulls(part.num_rows, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("c"), pa.array(np.diff(first), pa.int32()), *lists, none, pa.nulls(part.num_rows, pa.list_(pa.int64()))], names=names)
-        held = np.flatnonzero(counters)
-        long_list = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, long_list), pa.nulls(1, long_list), pa.array([held.astype(np.int32)], pa.list_(pa.int32())), pa.array([counters[held]], long_list)],
-            names=names,
-        )
+                offsets, none = pa.array(first, pa.int32()), (words.count == 0)[: first[-1]]
+                keys = line_keys(words, 0), line_keys(words, 1)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(k[: first[-1]], mask=none)) for k in keys]
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("c"), part.column("c2"), *lists, pa.nulls(part.num_rows, pa.binary())], names=names)
+        nulls = [pa.nulls(1, t) for t in (kind, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*nulls, _packed(counters)], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _prefixes(rows: DataFrame, held, shingle: int, threshold: float) -> DataFrame:
-    """(token, l1): the prefix tokens of all lines that can match another set."""
-    least = threshold / (1 - threshold) - 1e-9 if threshold < 1 else math.inf
+def _packed(counters: np.ndarray) -> pa.Array:
+    return pa.array([zstandard.compress(counters.tobytes(), 1)], pa.binary())
+
+
+def _added(total: np.ndarray, packed: bytes) -> None:
+    total += np.frombuffer(zstandard.decompress(packed), np.int64)
+
+
+def _summed(scanned: DataFrame) -> np.ndarray:
+    """The tasks' counters added up: within every partition, then in a few tasks, then here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part in slices(batch, "__text"):
-                _, hashes, owner, count = line_tokens(*text_bytes(part.column("__text")), shingle)
-                keys, at = ordered_sets(hashes, owner, len(count), held.value)
-                l1, _ = set_keys(keys, at)
-                m = np.diff(at)
-                take = np.where(m >= least, prefix_length(m, threshold), 0)
-                line = np.repeat(np.arange(len(m)), take)
-                place = at[:-1][line] + np.arange(len(line)) - np.repeat(np.cumsum(take) - take, take)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(l1[line])], names=["token", "l1"])
+            for x in batch.column(0):
+                _added(total, x.as_py())
+        yield pa.RecordBatch.from_arrays([_packed(total)], names=["counters"])
+
+    parts = scanned.filter(F.col("counters").isNotNull()).select("counters").mapInArrow(run, "counters binary")
+    total = np.zeros(BUCKETS, np.int64)
+    for r in parts.repartition(4).mapInArrow(run, "counters binary").collect():
+        _added(total, bytes(r[0]))
+    return total
 
-    return rows.select("__text").mapInArrow(run, "token long, l1 long")
 
+_ENTRY = ["token", "l1", "i", "m"]
+_KINDS = {"token": np.dtype("<i8"), "l1": np.dtype("<i8"), "i": np.dtype("<i4"), "m": np.dtype("<i4")}
 
-def _chosen(rows: DataFrame, held, bitmap, key: str, shingle: int, threshold: float) -> DataFrame:
-    """The lines with a prefix token in the bitmap, with their place, ordered tokens and where those in the bitmap stand."""
-    least = threshold / (1 - threshold) - 1e-9 if threshold < 1 else math.inf
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, c long, line int, l1 long, l2 long, tokens array<long>, hits array<int>"
+
+def _prefixes(rows: DataFrame, classes, shingle: int, threshold: float, buckets: int) -> DataFrame:
+    """(bucket, n, and the entries' columns as bytes): the prefix tokens of all lines, with their key and place among the
+    line's m tokens, packed by bucket for every slice of texts. A token of a class above 0 is dealt over an eighth of the
+    buckets. A task emits a key it remembers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        seen = ~np.arange(_SEEN)  # no key is in the slot of its complement
         for batch in batches:
             for part in slices(batch, "__text"):
-                first, hashes, owner, count = line_tokens(*text_bytes(part.column("__text")), shingle)
-                keys, at = ordered_sets(hashes, owner, len(count), held.value)
-                l1, l2 = set_keys(keys, at)
+                _, hashes, owner, words = line_tokens(*text_bytes(part.column("__text")), shingle)
+                l1 = line_keys(words, 0)
+                new = np.zeros(len(l1), bool)
+                new[np.unique(l1, return_index=True)[1]] = True
+                slot = l1 & (_SEEN - 1)
+                new &= (words.count > 0) & (seen[slot] != l1)
+                seen[slot[new]] = l1[new]
+                wanted = new[owner]
+                found, at = ordered_sets(hashes[wanted], owner[wanted], len(words.count), classes.value)
                 m = np.diff(at)
-                take = np.where(m >= least, prefix_length(m, threshold), 0)
+                take = prefix_length(m, threshold)
                 line = np.repeat(np.arange(len(m)), take)
-                place = at[:-1][line] + np.arange(len(line)) - np.repeat(np.cumsum(take) - take, take)
-                slot = (keys[place] & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                hit = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0
-                lines, hits = np.unique(line[hit], return_counts=True)
-                where = pa.array((place[hit] - at[:-1][line[hit]]).astype(np.int32))
-                row = np.searchsorted(first, lines, side="right") - 1
-                size = m[lines]
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                index = np.repeat(at[lines] - offsets[:-1], size) + np.arange(offsets[-1])
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(key), taken.column("c"), pa.array((lines - first[row]).astype(np.int32)), pa.array(l1[lines]), pa.array(l2[lines]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[index].view(np.int64))), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hits)]), pa.int32()), where)],
-                    names=[key, "c", "line", "l1", "l2", "tokens", "hits"],
-                )
-
-    return rows.mapInArrow(run, schema)
+                i = np.arange(len(line)) - np.repeat(np.cumsum(take) - take, take)
+                token = found[at[:-1][line] + i]
+                own = l1[line].view(np.uint64)
+                salt = np.where(classes.value[(token & np.uint64(BUCKETS - 1)).astype(np.int64)] > 0, tokens.mix(own) % np.uint64(max(1, buckets // 8)), np.uint64(0))
+                bucket = (tokens.mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                held, n = np.unique(bucket[order], return_counts=True)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                columns = {"token": token.view(np.int64), "l1": l1[line], "i": i, "m": m[line]}
+                packed = [pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(columns[c][order].astype(kind))]) for c, kind in _KINDS.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *packed], names=["bucket", *_ENTRY])
+
+    return rows.select("__text").mapInArrow(run, "bucket int, token binary, l1 binary, i binary, m binary")
+
+
+def _recurring(packed: DataFrame, classes) -> DataFrame:
+    """(token, l1, i, m, sure): in each bucket, the entries of tokens of two keys or more, and, not sure, those of tokens
+    of a class above 0 that have one key there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, l1, i, m = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in _KINDS.items())
+        order = np.lexsort((l1, token))
+        token, l1, i, m = (x[order] for x in (token, l1, i, m))
+        same = np.zeros(len(token), bool)
+        same[1:] = token[1:] == token[:-1]
+        fresh = ~same | np.concatenate([[False], l1[1:] != l1[:-1]])
+        token, l1, i, m, head = (x[fresh] for x in (token, l1, i, m, ~same))
+        start = np.flatnonzero(head)
+        n = np.repeat(np.diff(np.append(start, len(token))), np.diff(np.append(start, len(token))))
+        often = classes.value[token & (BUCKETS - 1)] > 0
+        kept = (n > 1) | often
+        return pa.table({"token": token[kept], "l1": l1[kept], "i": i[kept], "m": m[kept], "sure": n[kept] > 1})
+
+    return packed.groupBy("bucket").applyInArrow(run, "token long, l1 long, i int, m int, sure boolean")
+
+
+def _hits(entries: DataFrame) -> DataFrame:
+    """The entries of tokens that recur: those sure of it, and of the others those whose token another bucket holds too.
+    A token has at most one unsure entry for each of its buckets."""
+    unsure = entries.filter("not sure")
+    every = unsure.groupBy("token").agg(F.min("l1").alias("a"), F.max("l1").alias("b"))
+    several = every.filter("a <> b").select("token")
+    # a token that is sure in one bucket recurs for all; few are, so they are looked up by the tokens that are unsure
+    known = entries.filter("sure").join(every.select("token"), "token", "left_semi").select("token").distinct()
+    found = unsure.join(several.unionByName(known).distinct(), "token", "left_semi")
+    return entries.filter("sure").unionByName(found).drop("sure")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(l1, l2, tokens) of the lines named by ``lines`` of each text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                first, hashes, owner, words = line_tokens(*text_bytes(part.column("__text")), shingle)
+                named = part.column("lines")
+                picked = np.repeat(first[:-1], np.asarray(named.value_lengths())) + named.flatten().to_numpy()
+                picked = np.sort(picked)
+                wanted = np.isin(owner, picked)
+                found, at = ordered_sets(hashes[wanted], owner[wanted], len(words.count))
+                l1, l2 = line_keys(words, 0), line_keys(words, 1)
+                offsets = np.concatenate([[0], np.cumsum(np.diff(at)[picked])])
+                yield pa.RecordBatch.from_arrays([pa.array(l1[picked]), pa.array(l2[picked]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64)))], names=["l1", "l2", "tokens"])
 
-def _bitmap(recurring: DataFrame) -> bytes:
-    """A bitmap of FILTER_BITS bits of the tokens, built by Spark in pieces of 4 KB."""
-    slot = F.col("token").bitwiseAND(F.lit(FILTER_BITS - 1))
-    parts = recurring.select(F.floor(slot / _BITMAP).cast("int").alias("piece"), (slot % _BITMAP).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
-        whole[r["piece"] * len(piece) : (r["piece"] + 1) * len(piece)] = piece
-    return whole.tobytes()
+    return texts.select("__text", "lines").mapInArrow(run, "l1 long, l2 long, tokens array<long>")
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(l1, l2) of the x of those pairs (x, y) whose y stands earlier and is similar enough. A pair names sets by l1
-    alone; were two sets to share it, both are looked at."""
+    """(l1, l2) of the x of those pairs (x, y) whose y stands earlier and is similar enough. A pair names lines by l1
+    alone; were two keys to share it, both are looked at."""
     x = sets.select(F.col("l1").alias("x"), "l2", F.col("place").alias("px"), F.col("tokens").alias("tx"))
     y = sets.select(F.col("l1").alias("y"), F.col("place").alias("py"), F.col("tokens").alias("ty"))
     able = (F.col("py") < F.col("px")) & (F.size("tx") >= F.lit(threshold) * F.size("ty") - 1e-9) & (F.size("ty") >= F.lit(threshold) * F.size("tx") - 1e-9)
@@ -203,9 +273,8 @@ def _matched(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_to_earlier(sets: DataFrame, threshold: float) -> DataFrame:
-    """(l1, l2) of the distinct sets (l1, l2, place, copies, tokens, hits) that match a set with an earlier place."""
-    entry = F.explode(F.transform("hits", lambda i: F.struct(i.alias("i"), F.get("tokens", i).alias("token"))))
-    prefix = sets.select("l1", F.col("place.d").alias("d"), "copies", F.size("tokens").alias("m"), entry.alias("e")).select(F.col("e.token").alias("token"), "l1", "d", "copies", "m", F.col("e.i").alias("i"))
+    """(l1, l2) of the keys (l1, l2, place, copies, m, hits, tokens) that match one with an earlier place."""
+    prefix = sets.select("l1", F.col("place.d").alias("d"), "copies", "m", F.size("hits").alias("h"), F.explode("hits").alias("e")).select(F.col("e.token").alias("token"), "l1", "d", "copies", "m", "h", F.col("e.i").alias("i"))
     prefix = materialize(prefix, "line-prefixes")
     groups = prefix.groupBy("token").agg(F.min("l1").alias("a"), F.max("l1").alias("b"), F.min_by("l1", "d").alias("early"), F.max_by("l1", "copies").alias("common")).filter("a <> b")
     groups = materialize(groups.select("token", F.coalesce("early", "a").alias("early"), "common"), "line-groups")
@@ -215,13 +284,17 @@ def similar_to_earlier(sets: DataFrame, threshold: float) -> DataFrame:
     first = materialize(_matched(stars, sets, threshold), "line-star-matches")
 
     rest = prefix.join(groups.select("token"), "token").join(first.select("l1").distinct(), "l1", "left_anti")
-    y = prefix.select(F.col("token").alias("token_y"), F.col("l1").alias("y"), F.col("d").alias("dy"), F.col("m").alias("my"), F.col("i").alias("iy"))
+    y = prefix.select(F.col("token").alias("token_y"), F.col("l1").alias("y"), F.col("d").alias("dy"), F.col("m").alias("my"), F.col("h").alias("hy"), F.col("i").alias("iy"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("my")) - 1e-9)
     close = (F.col("token") == F.col("token_y")) & (F.col("l1") != F.col("y")) & (F.col("dy").isNull() | (F.col("dy") <= F.col("d")))
     close = close & (F.col("my") >= F.lit(threshold) * F.col("m") - 1e-9) & (F.col("m") >= F.lit(threshold) * F.col("my") - 1e-9)
+    # from the first shared token on, no more can be shared than either has left
     close = close & (F.least(F.col("m") - F.col("i"), F.col("my") - F.col("iy")) >= need)
-    pairs = rest.join(y, close).select(F.col("l1").alias("x"), "y").distinct().join(stars, ["x", "y"], "left_anti")
-    pairs = materialize(pairs, "line-pairs")
+    # what two lines share lies in both prefixes, among the hits, or in the rest of the one whose prefix ends first
+    beyond = F.greatest(F.col("m") - _prefix_column(F.col("m"), threshold), F.col("my") - _prefix_column(F.col("my"), threshold))
+    close = close & (F.least("h", "hy") >= need - beyond)
+    pairs = rest.join(y, close).select(F.col("l1").alias("x"), "y").distinct()
+    pairs = materialize(pairs.join(stars, ["x", "y"], "left_anti"), "line-pairs")
     matched = materialize(first.unionByName(_matched(pairs, sets, threshold)), "line-matches")
     discard(prefix, groups, stars, first, pairs)
     return matched
@@ -231,35 +304,40 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", te
     """The rows with ``text`` less its removed lines, and ``n_lines`` and ``n_removed`` (of the text given)."""
     spark = docs.sparkSession
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key), F.xxhash64(value).alias("c"), value.alias("__text"))
+    rows = docs.select(F.col(key), F.xxhash64(value).alias("c"), F.xxhash64(F.lit("second"), value).alias("c2"), value.alias("__text"))
     scanned = materialize(_scan_lines(rows, key, shingle), "lines")
-    counters = np.zeros(BUCKETS, np.int64)
-    for r in scanned.filter(F.col("bucket").isNotNull()).select(F.explode(F.arrays_zip("bucket", "n")).alias("e")).groupBy("e.bucket").agg(F.sum("e.n").alias("n")).collect():
-        counters[r["bucket"]] = r["n"]
-    held = spark.sparkContext.broadcast(counters)
-
-    recurring = _prefixes(rows, held, shingle, threshold).groupBy("token").agg(F.min("l1").alias("a"), F.max("l1").alias("b")).filter("a <> b").select("token")
-    with shuffles_cleaned(spark):
-        bitmap = spark.sparkContext.broadcast(_bitmap(recurring))
-    chosen = _chosen(rows, held, bitmap, key, shingle, threshold)
-    place = F.struct(F.col(key).alias("d"), F.col("c").alias("c"), F.col("line").alias("line"))
-    sets = materialize(chosen.groupBy("l1", "l2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("hits").alias("hits")), "line-sets")
+    total = _summed(scanned)
+    classes = spark.sparkContext.broadcast(rarity(total))
+    each = scanned.filter(F.col("counters").isNull()).select(key, "c", "c2", F.posexplode(F.arrays_zip("l1", "l2")).alias("line", "l")).filter(F.col("l.l1").isNotNull()).select(key, "c", "c2", "line", F.col("l.l1").alias("l1"), F.col("l.l2").alias("l2"))
+    place = F.struct(F.col(key).alias("d"), F.col("c").alias("c"), F.col("c2").alias("c2"), F.col("line").alias("line"))
+    firsts = materialize(each.groupBy("l1", "l2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")), "line-keys")
+
+    buckets = max(64, -(-int(total.sum()) // BUCKET_TOKENS))
+    entries = materialize(_recurring(_prefixes(rows, classes, shingle, threshold, buckets), classes), "line-entries")
+    hits = _hits(entries).groupBy("l1").agg(F.collect_set(F.struct("token", "i")).alias("hits"), F.first("m").alias("m"))
+    hits = hits.filter(F.size("hits") >= must_share(F.col("m"), threshold))
+    chosen = materialize(hits.join(firsts, "l1"), "line-chosen")
+    discard(entries)
+
+    named = chosen.groupBy(F.col("place.d").alias("__d"), F.col("place.c").alias("__c"), F.col("place.c2").alias("__c2")).agg(F.collect_set("place.line").alias("lines"))
+    texts = rows.join(named.hint("shuffle_hash"), rows[key].eqNullSafe(named["__d"]) & (rows["c"] == named["__c"]) & (rows["c2"] == named["__c2"]))
+    tokens_of = _sets(texts, shingle).groupBy("l1", "l2").agg(F.first("tokens").alias("tokens"))
+    sets = materialize(chosen.join(tokens_of, ["l1", "l2"]), "line-sets")
     matched = similar_to_earlier(sets, threshold)
-    discard(sets)
-
-    each = scanned.filter(F.col("bucket").isNull()).select(key, "c", F.posexplode(F.arrays_zip("l1", "l2")).alias("line", "l")).filter(F.col("l.l1").isNotNull()).select(key, "c", "line", F.col("l.l1").alias("l1"), F.col("l.l2").alias("l2"))
-    firsts = each.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = firsts.join(matched.withColumn("matched", F.lit(True)), ["l1", "l2"], "left").filter((F.col("copies") > 1) | F.col("matched")).drop("copies")
-    gone = each.join(firsts, ["l1", "l2"]).filter((place != F.col("first")) | F.coalesce("matched", F.lit(False)))
-    gone = materialize(gone.groupBy(key, "c").agg(F.collect_set("line").alias("__gone")), "lines-removed")
-
-    out = docs.drop("n_lines", "n_removed", "__gone", "__c", "__k").withColumn("__c", F.xxhash64(value))
-    gone = gone.withColumnsRenamed({key: "__k", "c": "__rc"})
-    out = out.join(gone, out[key].eqNullSafe(gone["__k"]) & (out["__c"] == gone["__rc"]), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i))
+    discard(chosen, sets)
+
+    firsts = firsts.join(matched.withColumn("matched", F.lit(True)), ["l1", "l2"], "left").filter((F.col("copies") > 1) | F.col("matched")).withColumnRenamed("place", "first")
+    gone = each.join(firsts.drop("copies"), ["l1", "l2"]).filter((place != F.col("first")) | F.coalesce("matched", F.lit(False)))
+    gone = materialize(gone.groupBy(F.col(key).alias("__k"), F.col("c").alias("__c"), F.col("c2").alias("__c2")).agg(F.collect_set("line").alias("__gone")), "lines-removed")
+
+    out = docs.drop("n_lines", "n_removed", "__gone", "__c", "__c2", "__k")
+    same = out[key].eqNullSafe(gone["__k"]) & (F.xxhash64(value) == gone["__c"]) & (F.xxhash64(F.lit("second"), value) == gone["__c2"])
+    out = out.join(gone.hint("shuffle_hash"), same, "left")
+    # the inner function gets the parts as a value: within it, an expression would be worked out for every line
+    parts = F.array(F.split(F.col(text), "\n", -1))
+    left = F.transform(parts, lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("__gone")), lambda i: F.get(p, i)), "\n"))
     some = F.col(text).isNotNull() & F.col("__gone").isNotNull()
-    kept = F.when(some, F.array_join(left, "\n")).otherwise(F.col(text))
+    kept = F.when(some, F.get(left, F.lit(0))).otherwise(F.col(text))
     sizes = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1), "n_removed": F.when(some, F.size("__gone")).otherwise(0)}
     out = out.select(*[c for c in docs.columns if c not in (text, "n_lines", "n_removed")], kept.alias(text), *[v.cast("long").alias(k) for k, v in sizes.items()])
     order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

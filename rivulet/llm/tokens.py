@@ -80,11 +80,14 @@ class Words:
         self.first = np.append(self.first, len(self.start))
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(n), self.count)
+        self._hashes: dict[int, np.ndarray] = {}
 
     def hashes(self, family: int = 0) -> np.ndarray:
         """A 64-bit hash of every word."""
-        found = _runs(_BYTE_VALUES[family][self.data], self.start, self.end, family)
-        return mix(found + (self.end - self.start).astype(np.uint64) * np.uint64(_SEED[family] | 1))
+        if family not in self._hashes:
+            found = _runs(_BYTE_VALUES[family][self.data], self.start, self.end, family)
+            self._hashes[family] = mix(found + (self.end - self.start).astype(np.uint64) * np.uint64(_SEED[family] | 1))
+        return self._hashes[family]
 
     def windows(self, k: int) -> np.ndarray:
         """The first words of all windows of k words within one row."""
@@ -99,6 +102,11 @@ def window_hashes(word_hashes: np.ndarray, starts: np.ndarray, k: int, family: i
     return mix(_runs(mix(word_hashes), starts, starts + k, family))
 
 
+def run_hashes(word_hashes: np.ndarray, first: np.ndarray, last: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of the words of every run [first, last)."""
+    return mix(_runs(mix(word_hashes), first, last, family))
+
+
 def covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which of n positions lie in any interval [first, last)."""
     edges = np.zeros(n + 1, np.int64)

@@ -52,8 +52,36 @@ def test_equals_brute_force(spark, seed, k):
 def test_lines_of_rows():
     texts = [b"", b"a\n", b"\n", b"a b\nc", b"x"]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    first, hashes, owner, count = lines.line_tokens(np.frombuffer(b"".join(texts), np.uint8), at, 5)
-    assert first.tolist() == [0, 1, 3, 5, 7, 8] and count[: first[-1]].tolist() == [0, 1, 0, 0, 0, 2, 1, 1]
+    first, hashes, owner, words = lines.line_tokens(np.frombuffer(b"".join(texts), np.uint8), at, 5)
+    assert first.tolist() == [0, 1, 3, 5, 7, 8] and words.count[: first[-1]].tolist() == [0, 1, 0, 0, 0, 2, 1, 1]
+
+
+def test_keys_tell_lines_that_one_hash_does_not(monkeypatch):
+    """Short lines, of one token each: equal in one family of hashes, they are told by the other."""
+    data = np.frombuffer(b"ab cd\nef gh", np.uint8)
+    real = lines.tokens.Words.hashes
+    for blind in (0, 1):
+        monkeypatch.setattr(lines.tokens.Words, "hashes", lambda self, family=0, blind=blind: real(self, family) * np.uint64(family != blind))
+        words = lines.line_tokens(data, np.array([0, len(data)]), 5)[3]
+        keys = [lines.line_keys(words, family) for family in (0, 1)]
+        assert keys[blind][0] == keys[blind][1] and keys[1 - blind][0] != keys[1 - blind][1]
+
+
+@pytest.mark.parametrize("buckets", [3, 100_000])
+def test_frequent_tokens_in_many_buckets(spark, monkeypatch, buckets):
+    """Every token is frequent, so all are dealt over many buckets and mostly alone there."""
+    monkeypatch.setattr(lines, "rarity", lambda counters: np.ones(len(counters), np.uint8))
+    monkeypatch.setattr(lines, "BUCKET_TOKENS", buckets)
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 9)}{i}" for i in range(30)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        w[rng.randrange(30)] = f"x{i}"
+        rows.append((i, " ".join(w) + f"\nother line of number {i} and its words {i * 7}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = lines.deduplicate(docs, 0.7, shingle=3).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted((tuple(r) for r in out), key=str) == brute(rows, 0.7, 3)
 
 
 def test_empty(spark):
