@@ -3,6 +3,10 @@
 Every stage works on all that its predecessor kept, as written to Parquet and read again. The columns of ``documents``
 (doc_id, text, lang, source, n_chars) go through all stages but the last; ``lang`` becomes the predicted language and
 ``n_chars`` follows the text. The last stage adds token counts and digests and drops the text.
+
+Defined results, for every stage: null ids are ids like any other; rows repeated with equal id and text are judged alike
+(and near-dedup leaves one of them); an empty table gives an empty one; other columns than those of ``documents`` are left
+out, so their names can't clash; very long texts are worked on whole, one at a time. Null texts go at the first stage.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from rivulet.llm import bpe, decontaminate, langid, lines, minhash
 from rivulet.llm.common import materialize, small_batches
 
+#: What words consist of, in all stages that look at words: digits, letters and every character beyond ASCII.
+WORD_CHARACTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,13 +36,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier line of the corpus."""
+    """All documents without lines that match an earlier line of the corpus; a document that loses its last line with a
+    word in it goes, as its whole content stands in earlier ones. Documents without words from the start stay."""
     small_batches(spark)
-    return _counted(lines.deduplicate(docs.select(*COLUMNS), threshold=0.8))
+    found = lines.deduplicate(docs.select(*COLUMNS), threshold=0.8)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD_CHARACTER)
+    return _counted(found.filter(~F.coalesce(emptied, F.lit(False))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; a document without text is in no group."""
+    """One document of each group of near-duplicates, the one of least id; a document without text is in no group."""
     small_batches(spark)
     return minhash.deduplicate(docs.select(*COLUMNS), threshold=0.8)
 
