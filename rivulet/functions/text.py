@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reaction substrings and segments that are nothing but a filler.
@@ -23,8 +23,8 @@ def flag(condition: Column, points: int) -> Column:
 
 
 def shouts(text: Column) -> Column:
-    """A word of three or more ASCII letters, all capitals."""
-    return text.rlike(r"(^|\s)[A-Z]{3,}(\s|$)")
+    """A word of three or more letters of any script, none of them small."""
+    return F.exists(words(text), lambda w: (F.length(w) > 2) & (w == F.upper(w)) & ~w.rlike(r"[^\p{L}]"))
 
 
 def reacts(text: Column) -> Column:
@@ -72,12 +72,14 @@ def mask_key(key: Column) -> Column:
 
 
 def loops(text: Column) -> Column:
-    """At least nine words, and the commonest three-word run makes over 40 % of all and occurs three times or more."""
+    """At least nine words, and the commonest three-word run makes over 40 % of all and occurs three times or more. The
+    runs are sorted, so that equal ones stand together and one pass counts them."""
     w = words(F.lower(text))
     n = F.size(w) - 2
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
-    counts = F.transform(F.array_distinct(grams), lambda g: F.size(F.filter(grams, lambda x: x == g)))
-    most = F.array_max(counts)
+    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    run = lambda s, g: F.when(s["last"] == g, s["run"] + 1).otherwise(1)
+    most = F.aggregate(grams, zero, lambda s, g: F.struct(g.alias("last"), run(s, g).alias("run"), F.greatest(s["most"], run(s, g)).alias("most")))["most"]
     return (F.size(w) >= 9) & (most >= 3) & (most > 0.4 * n)
 
 
@@ -131,3 +133,27 @@ def duration_tier(seconds: Column) -> Column:
     """short (to 15 minutes), medium (60), long (180), epic."""
     m = seconds / 60.0
     return F.when(m <= 15, "short").when(m <= 60, "medium").when(m <= 180, "long").otherwise("epic")
+
+
+def _in_order(line: Column, between: str, wanted: Column | None = None) -> Column:
+    """The lines of a group by ``seq``, as one text; an aggregate."""
+    pairs = F.struct(F.col("seq"), line.alias("line"))
+    held = F.collect_list(pairs if wanted is None else F.when(wanted, pairs))
+    return F.array_join(F.transform(F.array_sort(held), lambda x: x["line"]), between)
+
+
+def transcript_forms() -> dict[str, Column]:
+    """Aggregates of segments (seq, t0, t1, speaker, text): the whole transcript as SRT, VTT and plain text."""
+    flat = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
+    srt = F.concat((F.col("seq") + 1).cast("string"), F.lit("\n"), srt_time(F.col("t0")), F.lit(" --> "), srt_time(F.col("t1")), F.lit("\n["), F.col("speaker"), F.lit("] "), flat)
+    vtt = F.concat(vtt_time(F.col("t0")), F.lit(" --> "), vtt_time(F.col("t1")), F.lit("\n"), F.col("speaker"), F.lit(": "), F.col("text"), F.lit("\n"))
+    txt = F.concat(F.lit("["), F.col("speaker"), F.lit("] "), F.col("text"))
+    return {"srt": _in_order(srt, "\n\n", F.trim("text") != ""), "vtt": F.concat(F.lit("WEBVTT\n\n"), _in_order(vtt, "\n")), "txt": _in_order(txt, "\n")}
+
+
+def energy_lines(moments: DataFrame) -> DataFrame:
+    """(job_id, map): audio moments (t, kind, delta) in time order, a line each."""
+    label = F.when(F.col("kind") == "volume_spike", "LOUD").when(F.col("kind") == "extreme_spike", "VERY LOUD").when(F.col("kind") == "silence_to_loud", "SILENCE->LOUD").otherwise("SPIKE")
+    line = F.concat(F.lit("["), F.bround("t").cast("long").cast("string"), F.lit("s] "), label, F.lit(" (+"), F.bround("delta").cast("long").cast("string"), F.lit("dB)"))
+    rows = moments.select("job_id", F.struct("t", "event_id", line.alias("line")).alias("x"))
+    return rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("map"))

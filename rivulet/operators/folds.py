@@ -1,115 +1,146 @@
 """Order-dependent left folds over one job's rows.
 
-Each fold is a plain Python step over the rows of one job in a stated total order, run by ``applyInPandas`` per job: jobs
-spread over tasks, and a task holds one job's rows at a time. The steps are ordinary functions, so that the streaming
-forms and the tests use the same code.
+Each fold is a plain Python step over the rows of one job in a stated total order. Rows are dealt over tasks by job and
+sorted there by Spark; a task then walks through its rows once, Arrow batch by Arrow batch, so many small jobs cost one
+pass and a large job is never held whole by the engine (a step holds what its own state needs). The steps are ordinary
+functions over iterators, so that the streaming forms and the tests use the same code.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+#: Rows of an output batch.
+_BATCH = 4096
 
-def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
+
+def fold(rows: DataFrame, key: str, order: list[str | Column], step: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """Apply ``step`` to the ordered rows (as dictionaries) of every key."""
+    made = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(order, kind="stable").to_dict("records")
-        return pd.DataFrame(list(step(ordered)), columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (r for batch in batches for r in batch.to_pylist())
+        out = (x for _, own in itertools.groupby(records, key=lambda r: r[key]) for x in step(own))
+        while some := list(itertools.islice(out, _BATCH)):
+            yield pa.RecordBatch.from_pylist(some, schema=made)
 
-    names = [c.split()[0] for c in schema.split(", ")]
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def nms(clips: list[dict], limit: float = 0.5, near: float = 5.0, span: float = 1.15) -> Iterator[dict]:
-    """Greedy interval suppression by falling score: a clip goes if it shares more than ``limit`` of the shorter length
-    with one kept, or lies within ``near`` seconds of it with a common span of under ``span`` times both lengths."""
-    kept: list[dict] = []
-    for c in sorted(clips, key=lambda c: -c["score"]):
+def nms(clips: Iterable[dict], limit: float = 0.5, near: float = 5.0, span: float = 1.15) -> Iterator[dict]:
+    """Greedy interval suppression of clips that come by falling score: a clip goes if it shares more than ``limit`` of the
+    shorter length with one kept, or lies within ``near`` seconds of it with a common span of under ``span`` times both
+    lengths. Each clip is compared with all kept ones at once."""
+    held, n = np.empty((16, 2)), 0
+    for c in clips:
         a, b = min(c["t0"], c["t1"]), max(c["t0"], c["t1"])
-        for k in kept:
-            shared = min(b, k["t1"]) - max(a, k["t0"])
-            shorter = min(b - a, k["t1"] - k["t0"])
-            gap = min(abs(a - k["t1"]), abs(k["t0"] - b))
-            total = (b - a) + (k["t1"] - k["t0"])
-            if (shorter > 0 and shared / shorter > limit) or (near > 0 and gap < near and total > 0 and (max(b, k["t1"]) - min(a, k["t0"])) / total < span):
-                break
-        else:
-            kept.append(c | {"t0": a, "t1": b})
-            yield kept[-1]
+        k0, k1 = held[:n, 0], held[:n, 1]
+        shorter = np.minimum(b - a, k1 - k0)
+        bad = (shorter > 0) & (np.minimum(b, k1) - np.maximum(a, k0) > limit * shorter)
+        if near > 0:
+            total = (b - a) + (k1 - k0)
+            gap = np.minimum(np.abs(a - k1), np.abs(k0 - b))
+            bad |= (gap < near) & (total > 0) & (np.maximum(b, k1) - np.minimum(a, k0) < span * total)
+        if bad.any():
+            continue
+        if n == len(held):
+            held = np.concatenate([held, np.empty_like(held)])
+        held[n], n = (a, b), n + 1
+        yield c | {"t0": a, "t1": b}
+
+
+def first_of(rows: Iterator[dict]) -> tuple[dict, Iterator[dict]]:
+    """The first row, and all rows."""
+    first = next(rows)
+    return first, itertools.chain([first], rows)
 
 
-def thematic(clips: list[dict], most: int = 3, similar: float = 0.75) -> Iterator[dict]:
-    """Keep a clip while fewer than ``most`` kept ones have much the same title words."""
+def thematic(clips: Iterable[dict], most: int = 3, similar: float = 0.75) -> Iterator[dict]:
+    """Keep a clip while fewer than ``most`` kept ones have much the same title words. Kept titles are looked up by word."""
     kept: list[set] = []
+    by_word: dict[str, list[int]] = {}
     for c in clips:
         own = {w for w in re.split(r"[^a-z0-9]+", str(c["title"]).lower()) if len(w) > 2}
-        alike = sum(1 for k in kept if own | k and len(own & k) / len(own | k) > similar)
-        if alike < most:
+        shared = Counter(i for w in own for i in by_word.get(w, ()))
+        if sum(1 for i, n in shared.items() if n / len(own | kept[i]) > similar) < most:
+            for w in own:
+                by_word.setdefault(w, []).append(len(kept))
             kept.append(own)
             yield c
 
 
-def hysteresis(events: list[dict], accept: float = 0.7, weak: float = 0.3, decay: float = 0.95) -> list[dict]:
-    """Intervals (t0, t1, slot, confidence): a new slot (0 or more) is taken if it is sure or the last one is weak; else
-    the last interval goes on and loses confidence. Equal slots merge with the higher confidence."""
-    out: list[dict] = []
+def hysteresis(events: Iterable[dict], accept: float = 0.7, weak: float = 0.3, decay: float = 0.95) -> Iterator[dict]:
+    """Intervals (t0, t1, slot, confidence): a new slot of 0 or more is taken if it is sure or the last one is weak; else
+    the last interval goes on to the event's end and loses confidence. Equal slots merge with the higher confidence. A
+    slot below 0 is nobody and always taken."""
+    last = None
     for e in events:
-        if not out:
-            out.append(dict(e))
-        elif e["slot"] == out[-1]["slot"]:
-            out[-1] |= {"t1": max(out[-1]["t1"], e["t1"]), "confidence": max(out[-1]["confidence"], e["confidence"])}
-        elif e["slot"] >= 0 and (e["confidence"] >= accept or out[-1]["confidence"] < weak):
-            out.append(dict(e))
+        if last is None:
+            last = dict(e)
+        elif e["slot"] == last["slot"]:
+            last |= {"t1": e["t1"], "confidence": max(last["confidence"], e["confidence"])}
+        elif e["slot"] < 0 or e["confidence"] >= accept or last["confidence"] < weak:
+            yield last
+            last = dict(e)
         else:
-            out[-1] |= {"t1": max(out[-1]["t1"], e["t1"]), "confidence": out[-1]["confidence"] * decay}
-    return out
+            last |= {"t1": e["t1"], "confidence": last["confidence"] * decay}
+    if last is not None:
+        yield last
 
 
-def transcript_timeline(segs: list[dict], merge_gap: float = 3.0, meet_gap: float = 1.5) -> list[dict]:
+def transcript_timeline(segs: Iterable[dict], merge_gap: float = 3.0, meet_gap: float = 1.5) -> Iterator[dict]:
     """Speaker intervals: equal speakers within ``merge_gap`` merge; others within ``meet_gap`` meet in the middle."""
-    out: list[dict] = []
+    last = None
     for s in segs:
-        if out:
-            gap = s["t0"] - out[-1]["t1"]
-            if s["slot"] == out[-1]["slot"] and gap < merge_gap:
-                out[-1]["t1"] = max(out[-1]["t1"], s["t1"])
+        if last is not None:
+            gap = s["t0"] - last["t1"]
+            if s["slot"] == last["slot"] and gap < merge_gap:
+                last["t1"] = max(last["t1"], s["t1"])
                 continue
             if 0 < gap < meet_gap:
-                middle = (s["t0"] + out[-1]["t1"]) / 2
-                out[-1]["t1"] = middle
+                middle = (s["t0"] + last["t1"]) / 2
+                last["t1"] = middle
                 s = s | {"t0": middle}
-        out.append(dict(s))
-    return out
+            yield last
+        last = dict(s)
+    if last is not None:
+        yield last
 
 
-def ema_switches(signals: list[dict], alpha: float = 0.4, drop: float = 0.05, floor: float = 0.35, margin: float = 0.15) -> Iterator[dict]:
-    """(t, who, confidence) of every change of the leading subject. Signals (t, who, value) are smoothed per subject on
-    the grid of times; absent subjects decay; small values are dropped; a first choice needs ``floor``, a change also a
-    lead of ``margin``."""
+def smoothed_intents(signals: Iterable[dict], alpha: float = 0.4, drop: float = 0.05) -> Iterator[dict]:
+    """(t, who, value) on the grid of times of signals that come by time: every subject smoothed on its own, absent ones
+    decaying, values of ``drop`` or less forgotten."""
     state: dict = {}
-    chosen = None
-    times = sorted({s["t"] for s in signals})
-    by_time: dict = {}
-    for s in signals:
-        by_time.setdefault(s["t"], {})[s["who"]] = s["value"]
-    for t in times:
-        raw = by_time[t]
+    for t, now in itertools.groupby(signals, key=lambda s: s["t"]):
+        raw = {s["who"]: s["value"] for s in now}
         state = {w: alpha * raw.get(w, 0.0) + (1 - alpha) * state.get(w, 0.0) for w in {*raw, *state}}
         state = {w: v for w, v in state.items() if v > drop}
-        if not state:
-            continue
+        for w in sorted(state):
+            yield {"t": t, "who": w, "value": state[w]}
+
+
+def ema_switches(signals: Iterable[dict], alpha: float = 0.4, drop: float = 0.05, floor: float = 0.35, margin: float = 0.15) -> Iterator[dict]:
+    """(t, who, confidence) of every change of the leading subject of smoothed signals: a first choice needs ``floor``, a
+    change also a lead of ``margin``."""
+    chosen = None
+    for t, now in itertools.groupby(smoothed_intents(signals, alpha, drop), key=lambda s: s["t"]):
+        state = {s["who"]: s["value"] for s in now}
         who = max(sorted(state), key=lambda w: state[w])
         if who != chosen and state[who] >= floor and (chosen is None or state[who] - state.get(chosen, 0.0) >= margin):
             chosen = who
             yield {"t": t, "who": who, "confidence": round(state[who], 6)}
 
 
-def pause_speakers(segs: list[dict], pause: float = 1.2) -> Iterator[dict]:
+def pause_speakers(segs: Iterable[dict], pause: float = 1.2) -> Iterator[dict]:
     """Two speakers told by pauses: a pause longer than ``pause`` passes the turn."""
     who, end = 0, None
     for s in segs:
@@ -119,47 +150,130 @@ def pause_speakers(segs: list[dict], pause: float = 1.2) -> Iterator[dict]:
         yield s | {"speaker": f"Speaker {who + 1}"}
 
 
-def rate_limited(points: list[dict], most: float) -> Iterator[dict]:
-    """x follows its target by at most ``most`` a second."""
+def assigned_speakers(segs: Iterable[dict], most: int = 20) -> Iterator[dict]:
+    """Speakers of segments (t0, t1, n_words) by pauses, speech rates and history. After a pause of 5 s the known speaker
+    of nearest rate goes on if it is near and another one, else a new one begins; after 1.2 s, or at an interjection after
+    a monologue, the last other speaker; where the rate jumps by 40 %, the known speaker of nearest rate."""
+    rate_of = lambda s: s["n_words"] / (s["t1"] - s["t0"]) if s["t1"] - s["t0"] > 0.5 else 3.0
+    now, seen = 1, 1
+    history: deque[int] = deque([1], maxlen=20)
+    rates: dict[int, deque[float]] = {1: deque(maxlen=10)}
+    mean = lambda who: sum(rates[who]) / len(rates[who]) if rates.get(who) else 3.0
+
+    def nearest(rate: float) -> int:
+        known = [who for who in rates if rates[who]]
+        return min(known, key=lambda who: abs(mean(who) - rate)) if known else now
+
+    before = None
+    for s in segs:
+        rate = rate_of(s)
+        if before is not None:
+            gap, monologue = s["t0"] - before["t1"], before["t1"] - before["t0"] > 15.0
+            other = next((who for who in reversed(history) if who != now), None)
+            fresh = seen < most
+            if gap >= 5.0:
+                near = nearest(rate)
+                if abs(rate - mean(near)) < 0.4 and near != now:
+                    now = near
+                elif fresh:
+                    now = seen = seen + 1
+                else:
+                    now = near
+            elif gap >= 1.2 or (monologue and s["n_words"] <= 4 and gap < 0.5):
+                if other is not None:
+                    now = other
+                elif fresh:
+                    now = seen = seen + 1
+                else:
+                    now = nearest(rate)
+            elif abs(rate - rate_of(before)) > 0.4 * max(rate, rate_of(before), 0.1):
+                now = nearest(rate)
+        history.append(now)
+        rates.setdefault(now, deque(maxlen=10)).append(rate)
+        before = s
+        yield s | {"speaker": f"Speaker {now}"}
+
+
+def rate_limited(points: Iterable[dict], most: float = 50.0) -> Iterator[dict]:
+    """x (whole numbers, 0 to 100) follows its target by at most ``most`` a second; a step that is cut is truncated to a
+    whole number. A point at the time of the one before keeps its x."""
     last = None
     for p in points:
         if last is not None:
-            reach = most * max(0.0, p["t"] - last["t"])
-            p = p | {"x": last["x"] + max(-reach, min(reach, p["x"] - last["x"]))}
+            dt, delta = p["t"] - last["t"], p["x"] - last["x"]
+            if dt <= 0:
+                p = p | {"x": last["x"]}
+            elif abs(delta) > most * dt:
+                p = p | {"x": max(0, min(100, int(last["x"] + (most * dt if delta > 0 else -most * dt))))}
         last = p
         yield p
 
 
-def dead_zone(points: list[dict], threshold: float) -> Iterator[dict]:
-    """x stays until its target is further than ``threshold`` away."""
+def dead_zone(points: Iterable[dict], engage: int = 5, release: int = 2) -> Iterator[dict]:
+    """x rests until its target is ``engage`` or more away; then it follows, until a step of ``release`` or less."""
+    anchor, following = None, False
+    for p in points:
+        if anchor is None:
+            anchor = p["x"]
+        else:
+            drift = abs(p["x"] - anchor)
+            following = drift > release if following else drift >= engage
+            if following:
+                anchor = p["x"]
+        yield p | {"x": anchor}
+
+
+def merged_holds(points: Iterable[dict], tolerance: int = 3) -> Iterator[dict]:
+    """x stays at the value before while its target is within ``tolerance`` of it."""
     held = None
     for p in points:
-        if held is None or abs(p["x"] - held) > threshold:
+        if held is None or abs(p["x"] - held) > tolerance:
             held = p["x"]
         yield p | {"x": held}
 
 
-def merge_short(intervals: list[dict], least: float) -> list[dict]:
-    """Absorb runs shorter than ``least`` into the run before (the first into the next), then merge equal neighbours."""
+def _joined(intervals: Iterable[dict]) -> list[dict]:
+    """Neighbours of equal slot as one."""
     out: list[dict] = []
     for i in intervals:
-        if out and (i["t1"] - i["t0"] < least or i["slot"] == out[-1]["slot"]):
-            out[-1]["t1"] = i["t1"]
+        if out and out[-1]["slot"] == i["slot"]:
+            out[-1] = out[-1] | {"t1": i["t1"]}
         else:
-            out.append(dict(i))
-    if len(out) > 1 and out[0]["t1"] - out[0]["t0"] < least:
-        out[1]["t0"] = out[0]["t0"]
-        out = out[1:]
-    merged: list[dict] = []
-    for i in out:
-        if merged and merged[-1]["slot"] == i["slot"]:
-            merged[-1]["t1"] = i["t1"]
+            out.append(i)
+    return out
+
+
+def smoothed_votes(votes: Iterable[dict], least: float = 2.0, tail: float = 0.5) -> list[dict]:
+    """Intervals (t0, t1, slot) of votes (t, slot): runs of equal votes, each to the next run's start and the last for
+    ``tail`` seconds more. Runs shorter than ``least`` go to the run before, then those still short to the one after."""
+    runs: list[dict] = []
+    last = None
+    for v in votes:
+        if runs and runs[-1]["slot"] != v["slot"]:
+            runs[-1]["t1"] = v["t"]
+        if not runs or runs[-1]["slot"] != v["slot"]:
+            runs.append({"job_id": v.get("job_id"), "t0": v["t"], "t1": v["t"], "slot": v["slot"]})
+        last = v["t"]
+    if not runs:
+        return []
+    runs[-1]["t1"] = last + tail
+    forward = [runs[0]]
+    for i in runs[1:]:
+        if i["t1"] - i["t0"] < least:
+            forward[-1] = forward[-1] | {"t1": i["t1"]}
+        else:
+            forward.append(i)
+    forward = _joined(forward)
+    backward = [forward[-1]]
+    for i in reversed(forward[:-1]):
+        if i["t1"] - i["t0"] < least:
+            backward[-1] = backward[-1] | {"t0": i["t0"]}
         else:
-            merged.append(i)
-    return merged
+            backward.append(i)
+    return _joined(reversed(backward))
 
 
-def contiguous(intervals: list[dict], snap: float = 0.05) -> Iterator[dict]:
+def contiguous(intervals: Iterable[dict], snap: float = 0.05) -> Iterator[dict]:
     """Intervals that join: small gaps snap to the start, larger ones are bridged by the interval before, overlaps are cut."""
     last = None
     for i in intervals:
@@ -177,7 +291,7 @@ def contiguous(intervals: list[dict], snap: float = 0.05) -> Iterator[dict]:
         yield last
 
 
-def breaker(failures: list[dict], most: int = 3, window: float = 600.0, rest: float = 900.0) -> Iterator[dict]:
+def breaker(failures: Iterable[dict], most: int = 3, window: float = 600.0, rest: float = 900.0) -> Iterator[dict]:
     """Per failure (s): recent failures, and until when the provider is degraded."""
     recent: list[float] = []
     until = None
@@ -188,7 +302,7 @@ def breaker(failures: list[dict], most: int = 3, window: float = 600.0, rest: fl
         yield f | {"n": len(recent), "until": until}
 
 
-def greedy_match(pairs: list[dict]) -> Iterator[dict]:
+def greedy_match(pairs: Iterable[dict]) -> Iterator[dict]:
     """One-to-one matches in order: each left and each right row once."""
     left, right = set(), set()
     for p in pairs:
@@ -220,3 +334,65 @@ def gap_clusters(values: list[float], gap: float) -> list[int]:
             n += 1
         out.append(n)
     return out
+
+
+def admitted(calls: Iterable[dict], most: int = 18, window: float = 60.0, apart: float = 3.0) -> Iterator[dict]:
+    """When a limiter lets calls (s) through: those let through in the last ``window`` seconds are remembered; a call keeps
+    ``apart`` from the last of them, and where there are ``most``, waits on until the oldest is ``window`` old."""
+    stamps: deque[float] = deque()
+    for c in calls:
+        now = c["s"]
+        stamps = deque(x for x in stamps if now - x < window)
+        at = max(now, stamps[-1] + apart) if stamps else now
+        if len(stamps) >= most:
+            at = max(at, at + window - (now - stamps[0]))
+        stamps.append(at)
+        yield c | {"waited": round(at - now, 3)}
+
+
+def eta_smoothed(points: Iterable[dict]) -> Iterator[dict]:
+    """An estimate (t, eta) smoothed by .3, rising at most by a twentieth where it would rise by a fifth from over 30; it
+    starts anew after 30 s."""
+    value, last = 0.0, None
+    for p in points:
+        raw = p["eta"]
+        if value <= 0 or p["t"] - last > 30:
+            value = raw
+        else:
+            new = 0.3 * raw + 0.7 * value
+            value = value * 1.05 if new > value * 1.2 and value > 30 else new
+        last = p["t"]
+        yield p | {"eta": round(value, 6)}
+
+
+def inherited(points: Iterable[dict], low: float = 45, high: float = 55, reach: int = 5) -> Iterator[dict]:
+    """Points (t, x) in the middle band take the x of the nearest one in time, of ``reach`` rows on either side, that is
+    outside the band; rows changed before count as they are now."""
+    rows = iter(points)
+    before: deque[dict] = deque(maxlen=reach)
+    ahead: deque[dict] = deque(itertools.islice(rows, reach + 1))
+    while ahead:
+        p = ahead.popleft()
+        if low <= p["x"] <= high:
+            near = [o for o in [*before, *ahead] if not low <= o["x"] <= high]
+            if near:
+                p = p | {"x": int(min(near, key=lambda o: abs(p["t"] - o["t"]))["x"])}
+        before.append(p)
+        yield p
+        if (more := next(rows, None)) is not None:
+            ahead.append(more)
+
+
+def gap_repaired(points: Iterable[dict], agree: float = 10, longest: float = 1.0) -> Iterator[dict]:
+    """A point (t, x) that differs by more than ``agree`` from the one before, which agrees with the one after, takes the
+    former's x, if the one after follows within ``longest``."""
+    before, now = None, None
+    for after in points:
+        if now is not None:
+            if before is not None and abs(before["x"] - after["x"]) <= agree < abs(now["x"] - before["x"]) and after["t"] - now["t"] <= longest:
+                now = now | {"x": before["x"]}
+            yield now
+            before = now
+        now = after
+    if now is not None:
+        yield now

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators import folds
+
 
 def _buckets(t0: Column, t1: Column, width: float) -> Column:
     return F.explode(F.sequence(F.floor(t0 / width), F.floor(F.greatest(t0, t1) / width)))
@@ -46,12 +48,12 @@ def label_by_overlap(segs: DataFrame, turns: DataFrame, default: str = "Speaker
     return segs.join(best, ["job_id", "seq"], "left").withColumn("label", F.coalesce("label", F.lit(default)))
 
 
-def slot_coverage(spans: DataFrame, events: DataFrame, min_confidence: float = 0.0) -> DataFrame:
+def slot_coverage(spans: DataFrame, events: DataFrame, min_confidence: float = 0.0, digits: int = 4) -> DataFrame:
     """Per span (job_id, seq, t0, t1): the slot whose events (s0, s1, slot, confidence) cover most of it, and the share."""
     pairs = range_join(spans, events.filter(F.col("confidence") >= min_confidence), ["job_id"], (F.col("s0") < F.col("t1")) & (F.col("s1") > F.col("t0")), (F.col("t0"), F.col("t1")), (F.col("s0"), F.col("s1")))
     sums = pairs.groupBy("job_id", "seq", "t0", "t1", "slot").agg(F.round(F.sum(overlap(F.col("t0"), F.col("t1"), F.col("s0"), F.col("s1"))), 6).alias("sec"))
     best = sums.groupBy("job_id", "seq", "t0", "t1").agg(F.max_by(F.struct("slot", "sec"), F.struct("sec", -F.col("slot"))).alias("b"))
-    return best.select("job_id", "seq", F.col("b.slot").alias("slot"), F.round(F.col("b.sec") / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9)), 4).alias("coverage"))
+    return best.select("job_id", "seq", F.col("b.slot").alias("slot"), F.round(F.col("b.sec") / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9)), digits).alias("coverage"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, s: str, values: list[str], direction: str = "backward", tie: str | None = None) -> DataFrame:
@@ -95,16 +97,50 @@ def covered_runs(rows: DataFrame, key: str) -> DataFrame:
     return new.withColumn("__i", F.sum("__new").over(upto)).groupBy(key, "__i").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("__i")
 
 
-def second_gaps(found: DataFrame, durations: DataFrame, min_gap: int, max_gaps: int) -> DataFrame:
+def second_gaps(found: DataFrame, durations: DataFrame, min_gap: int) -> DataFrame:
     """Runs of seconds of 0..floor(duration) not marked by any interval (both ends' whole seconds inclusive) of at least
-    ``min_gap``; the first ``max_gaps`` per job: (job_id, t0, t1)."""
+    ``min_gap``: (job_id, t0, t1)."""
     marked = covered_runs(found.select("job_id", F.floor("t0").alias("t0"), (F.floor("t1") + 1).alias("t1")), "job_id")
     last = durations.select("job_id", (F.floor("duration") + 1).alias("end"))
     edges = marked.unionByName(last.select("job_id", F.col("end").alias("t0"), F.col("end").alias("t1")))
     w = Window.partitionBy("job_id").orderBy("t0", "t1")
     gaps = edges.withColumn("g0", F.greatest(F.lit(0), F.coalesce(F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))).join(last, "job_id")
-    gaps = gaps.select("job_id", F.col("g0").alias("t0"), F.least("t0", "end").alias("t1")).filter(F.col("t1") - F.col("t0") >= min_gap)
-    return gaps.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_gaps).drop("n")
+    return gaps.select("job_id", F.col("g0").alias("t0"), F.least("t0", "end").alias("t1")).filter(F.col("t1") - F.col("t0") >= min_gap)
+
+
+def gaps_near(gaps: DataFrame, zones: DataFrame) -> DataFrame:
+    """The gaps that overlap a zone (job_id, z0, z1); all gaps of jobs without zones."""
+    touching = range_join(gaps, zones, ["job_id"], (F.col("z0") < F.col("t1")) & (F.col("z1") > F.col("t0")), (F.col("t0").cast("double"), F.col("t1").cast("double")), (F.col("z0"), F.col("z1"))).select(*gaps.columns).distinct()
+    return touching.unionByName(gaps.join(zones.select("job_id").distinct(), "job_id", "left_anti"))
+
+
+def first_gaps(gaps: DataFrame, most: int) -> DataFrame:
+    """The first gaps of each job."""
+    return gaps.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("t0", "t1"))).filter(F.col("n") <= most).drop("n")
+
+
+def subtitle_sync(items: DataFrame, segs: DataFrame, near: float = 0.3) -> DataFrame:
+    """Per job how subtitle items (job_id, a, s0, s1, subtitle, said) agree with segments (job_id, seq, t0, t1, text,
+    speaker). Items in order take the first free segment with start and end within ``near``; the rest is a full outer
+    join of items, matches and segments, counted."""
+    close = (F.abs(F.col("t0") - F.col("s0")) < near) & (F.abs(F.col("t1") - F.col("s1")) < near)
+    pairs = range_join(items.select("job_id", "a", "s0", "s1"), segs.select("job_id", F.col("seq").alias("b"), "t0", "t1"), ["job_id"], close, (F.col("s0") - near, F.col("s0") + near), (F.col("t0"), F.col("t0")))
+    matched = folds.fold(pairs.select("job_id", "a", "b"), "job_id", ["a", "b"], folds.greedy_match, "job_id long, a long, b long")
+    left = items.join(matched, ["job_id", "a"], "left")
+    right = segs.select(F.col("job_id").alias("seg_job"), F.col("seq"), "text", "speaker")
+    every = left.join(right, (F.col("job_id") == F.col("seg_job")) & (F.col("b") == F.col("seq")), "full")
+    both = F.col("a").isNotNull() & F.col("seq").isNotNull()
+    named = (F.col("speaker") != F.col("said")) & (F.col("speaker") != "") & (F.col("said") != "")
+    counts = {
+        "matched": both,
+        "text_mismatches": both & ~F.col("text").eqNullSafe(F.col("subtitle")),
+        "speaker_mismatches": both & named,
+        "unmatched_timeline": F.col("seq").isNull(),
+        "unmatched_transcript": F.col("a").isNull(),
+        "total_timeline": F.col("a").isNotNull(),
+        "total_transcript": F.col("seq").isNotNull(),
+    }
+    return every.groupBy(F.coalesce("job_id", "seg_job").alias("job_id")).agg(*[F.count_if(v).alias(k) for k, v in counts.items()])
 
 
 def clip_and_rebase(rows: DataFrame, start: Column, end: Column) -> DataFrame:

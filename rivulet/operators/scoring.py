@@ -36,27 +36,36 @@ def in_zones(rows: DataFrame, zone: DataFrame, t0: Column, t1: Column, length: f
 
 def audio_moments(events: DataFrame, floor_db: float = -60.0, most: int = 25) -> DataFrame:
     """Spikes of a series (job_id, event_id, t, value) against its upper median: (job_id, t, value, delta, kind)."""
-    ranked = Window.partitionBy("job_id").orderBy("value", "event_id")
-    loud = events.filter(F.col("value") > floor_db).withColumns({"rn": F.row_number().over(ranked), "n": F.count(F.lit(1)).over(Window.partitionBy("job_id"))})
-    base = loud.filter(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("job_id", F.col("value").alias("base"))
-    order = Window.partitionBy("job_id").orderBy("t", "event_id")
-    rows = events.join(base, "job_id").withColumns({"delta": F.round(F.col("value") - F.col("base"), 4), "prev": F.lag("value").over(order)})
+    job = Window.partitionBy("job_id")
+    loud = F.col("value") > floor_db
+    # of each job's loud rows by value the upper middle one; quiet rows are numbered after them
+    rows = events.withColumns({"rn": F.row_number().over(job.orderBy(F.when(loud, 0).otherwise(1), "value", "event_id")), "n": F.count_if(loud).over(job)})
+    middle = loud & (F.col("rn") == F.floor(F.col("n") / 2) + 1)
+    rows = rows.withColumns({"base": F.max(F.when(middle, F.col("value"))).over(job), "prev": F.lag("value").over(job.orderBy("t", "event_id"))})
+    rows = rows.withColumn("delta", F.round(F.col("value") - F.col("base"), 4))
     quiet = (F.col("prev") < F.col("base") - 10) & (F.col("value") > F.col("base") + 6)
     rows = rows.withColumn("kind", F.when(quiet, "silence_to_loud").when(F.col("delta") > 12, "extreme_spike").when(F.col("delta") > 6, "volume_spike")).filter("kind is not null")
-    top = Window.partitionBy("job_id").orderBy(F.desc("delta"), "t", "event_id")
+    top = job.orderBy(F.desc("delta"), "t", "event_id")
     return rows.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).select("job_id", "event_id", "t", "value", "delta", "kind")
 
 
+def audio_points() -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in AUDIO_POINTS.items()], F.lit(0))
+
+
 def audio_score(moments: DataFrame, zone: DataFrame) -> DataFrame:
-    points = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in AUDIO_POINTS.items()], F.lit(0))
-    return in_zones(moments, zone, F.col("t"), F.col("t")).groupBy("job_id", "k").agg(F.least(F.lit(100), F.sum(points)).alias("audio"))
+    return in_zones(moments, zone, F.col("t"), F.col("t")).groupBy("job_id", "k").agg(F.least(F.lit(100), F.sum(audio_points())).alias("audio"))
+
+
+def segment_points() -> Column:
+    """Points of a segment for exclamations, questions, shouting, reactions and fast speech."""
+    points = X.flag(X.has("!"), 8) + X.flag(X.has("?"), 6) + X.flag(X.shouts(F.col("text")), 10) + X.flag(X.reacts(F.col("text")), 12)
+    return points + X.flag((F.col("n_words") > 3) & (F.col("t1") - F.col("t0") < 3), 5)
 
 
 def transcript_score(segs: DataFrame, zone: DataFrame) -> DataFrame:
     """Points of contained segments for exclamations, questions, shouting, reactions, fast speech; and density."""
-    points = X.flag(X.has("!"), 8) + X.flag(X.has("?"), 6) + X.flag(X.shouts(F.col("text")), 10) + X.flag(X.reacts(F.col("text")), 12)
-    points = points + X.flag((F.col("n_words") > 3) & (F.col("t1") - F.col("t0") < 3), 5)
-    found = in_zones(segs.withColumn("__p", points), zone, F.col("t0"), F.col("t1")).groupBy("job_id", "k", "w0", "w1").agg(F.sum("__p").alias("p"), F.count(F.lit(1)).alias("n"))
+    found = in_zones(segs.withColumn("__p", segment_points()), zone, F.col("t0"), F.col("t1")).groupBy("job_id", "k", "w0", "w1").agg(F.sum("__p").alias("p"), F.count(F.lit(1)).alias("n"))
     dense = F.col("n") / F.greatest(F.lit(1.0), (F.col("w1") - F.col("w0")) / 10.0) > 2
     return found.select("job_id", "k", F.least(F.lit(100), F.col("p") + F.when(dense, 10).otherwise(0)).alias("transcript"))
 
@@ -95,16 +104,66 @@ def filler_density(events: DataFrame, zone: DataFrame) -> DataFrame:
     return found.select("job_id", "k", (F.col("n") / F.greatest((F.col("w1") - F.col("w0")) / 60.0, F.lit(0.01))).alias("density"))
 
 
+def _all_zones(rows: DataFrame, t0: Column, t1: Column, length: float, step: float) -> DataFrame:
+    """Rows (with their job's ``duration``) with the number ``k`` of every zone that contains [t0, t1]."""
+    first = F.greatest(F.lit(0), F.ceil((t1 - length) / step)).cast("int")
+    last = F.least(F.floor(t0 / step), F.ceil(F.col("duration") / step) - 1).cast("int")
+    return rows.filter((last >= first) & (t1 <= F.col("duration"))).withColumn("k", F.explode(F.sequence(first, last)))
+
+
 def hot_zones(segs: DataFrame, scenes: DataFrame, moments: DataFrame, length: float = 30.0, step: float = 20.0) -> DataFrame:
-    """Composite per window: .25 audio + .35 transcript + .25 scenes + .15 speakers, less a penalty for fillers."""
-    zone = zones(durations(segs), length, step)
-    out = zone
-    for part in (audio_score(moments, zone), transcript_score(segs, zone), scene_score(scenes, zone), speaker_score(segs, zone), filler_density(filler_events(segs), zone)):
-        out = out.join(part, ["job_id", "k"], "left")
-    out = out.fillna(0, ["audio", "transcript", "scenes", "speakers", "density"])
-    penalty = F.when(F.col("density") > 6, 15).when(F.col("density") > 3, 8).otherwise(0)
-    score = F.greatest(F.lit(0.0), 0.25 * F.col("audio") + 0.35 * F.col("transcript") + 0.25 * F.col("scenes") + 0.15 * F.col("speakers") - penalty)
-    return out.select("job_id", "k", "w0", "w1", F.round(score, 1).alias("score"), "audio", "transcript", F.round("scenes", 4).alias("scenes"), "speakers")
+    """Composite per window: .25 audio + .35 transcript + .25 scenes + .15 speakers, less a penalty for fillers.
+
+    A window's ends follow from its number and the job's duration, so nothing is joined with windows: what counts for
+    them (the windows themselves, segments, fillers, scenes, moments) is one stream of rows, aggregated once."""
+    spans = durations(segs).filter("duration > 0")
+    null = lambda kind: F.lit(None).cast(kind)
+    fields = {"audio": "int", "points": "int", "importance": "long", "filler": "int", "turn": "struct<seq:long,speaker:string>"}
+
+    def part(rows: DataFrame, **values: Column) -> DataFrame:
+        return rows.select("job_id", "k", "duration", *[values.get(name, null(kind)).cast(kind).alias(name) for name, kind in fields.items()])
+
+    def placed(rows: DataFrame, t0: str, t1: str) -> DataFrame:
+        return _all_zones(rows.join(spans, "job_id"), F.col(t0), F.col(t1), length, step)
+
+    every = part(spans.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("duration") / step).cast("int") - 1))))
+    turn = F.struct(F.col("seq").cast("long").alias("seq"), F.col("speaker").alias("speaker"))
+    for rows in (
+        part(placed(segs.withColumn("p", segment_points()), "t0", "t1"), points=F.col("p"), turn=turn),
+        part(placed(filler_events(segs), "t0", "t1"), filler=F.lit(1)),
+        part(placed(scenes, "t", "t"), importance=F.col("importance")),
+        part(placed(moments, "t", "t"), audio=audio_points()),
+    ):
+        every = every.unionByName(rows)
+    found = every.groupBy("job_id", "k").agg(
+        F.max("duration").alias("duration"),
+        F.sum("audio").alias("a"),
+        F.sum("points").alias("p"),
+        F.count("points").alias("n"),
+        F.max("importance").alias("m"),
+        F.avg("importance").alias("mean"),
+        F.count("filler").alias("fillers"),
+        F.array_sort(F.collect_list("turn")).alias("turns"),
+    )
+    w0 = F.col("k") * F.lit(step)
+    found = found.withColumns({"w0": w0, "w1": F.least(w0 + length, F.col("duration"))})
+    turns = F.transform("turns", lambda x: x["speaker"])
+    changes = F.size(F.filter(F.zip_with(F.slice(turns, F.lit(2), F.greatest(F.size(turns) - 1, F.lit(0))), turns, lambda a, b: a.isNotNull() & (a != b)), lambda x: x))
+    n_speakers = F.size(F.array_distinct(F.filter(turns, lambda x: x.isNotNull())))
+    length_s = F.col("w1") - F.col("w0")
+    dense = F.col("n") / F.greatest(F.lit(1.0), length_s / 10.0) > 2
+    density = F.col("fillers") / F.greatest(length_s / 60.0, F.lit(0.01))
+    found = found.withColumns(
+        {
+            "audio": F.least(F.lit(100), F.coalesce("a", F.lit(0))).cast("long"),
+            "transcript": F.when(F.col("n") > 0, F.least(F.lit(100), F.col("p") + F.when(dense, 10).otherwise(0))).otherwise(0).cast("long"),
+            "scenes": F.when(F.col("m").isNotNull(), F.least(F.lit(100.0), F.col("m") * 6 + F.col("mean") * 4 + F.when(F.col("m") >= 9, 20).otherwise(0))).otherwise(0.0),
+            "speakers": F.when(n_speakers >= 2, 20).otherwise(0) + F.when(changes >= 3, 25).when(changes >= 1, 10).otherwise(0),
+            "penalty": F.when(density > 6, 15).when(density > 3, 8).otherwise(0),
+        }
+    )
+    score = F.greatest(F.lit(0.0), 0.25 * F.col("audio") + 0.35 * F.col("transcript") + 0.25 * F.col("scenes") + 0.15 * F.col("speakers") - F.col("penalty"))
+    return found.select("job_id", "k", "w0", "w1", F.round(score, 1).alias("score"), "audio", "transcript", F.round("scenes", 4).alias("scenes"), "speakers")
 
 
 def top_zones(zoned: DataFrame, n: int) -> DataFrame:

@@ -41,21 +41,28 @@ def median3(value: str, w) -> Column:
     return F.when(a.isNull() | c.isNull(), b).otherwise(middle)
 
 
-def pacing(grid: DataFrame, cuts: DataFrame, turns: DataFrame, motion: DataFrame, content: str, half: int = 4) -> DataFrame:
-    """Per second: cuts, turns and motion in a window of ``half`` seconds each way, cut at the ends and divided by its
-    real size, normalised, weighted by content, and smoothed by a median of three."""
-    rows = grid
-    for part in (cuts, turns, motion):
-        rows = rows.join(part, ["job_id", "sec"], "left")
-    rows = rows.fillna(0, ["cuts", "turns", "motion"])
+def peakiness_per_second(values: DataFrame) -> DataFrame:
+    """Standard deviation over mean of the values of every whole second; 0 where the mean is about 0 or below."""
+    found = values.groupBy("job_id", F.floor("t").alias("sec")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return found.select("job_id", "sec", F.when(F.col("mean") > 1e-6, F.round(F.col("sd") / F.col("mean"), 9)).otherwise(0.0).alias("audio"))
+
+
+def pacing(grid: DataFrame, cuts: DataFrame, turns: DataFrame, motion: DataFrame, audio: DataFrame, content: str, half: int = 4) -> DataFrame:
+    """Per second of the grid: cuts, turns, motion and audio dynamics in a window of ``half`` seconds each way, cut at the
+    ends and divided by its real size, normalised, weighted by content, and smoothed by a median of three. The parts
+    (job_id, sec, value) and the grid are one stream, added up once."""
+    names = ("cuts", "turns", "motion", "audio")
+    rows = grid.select("job_id", "sec", F.lit(True).alias("there"), *[F.lit(0.0).alias(n) for n in names])
+    for own, part in zip(names, (cuts, turns, motion, audio), strict=True):
+        rows = rows.unionByName(part.select("job_id", "sec", F.lit(False).alias("there"), *[(F.col(n).cast("double") if n == own else F.lit(0.0)).alias(n) for n in names]))
+    rows = rows.groupBy("job_id", "sec").agg(F.max("there").alias("there"), *[F.sum(n).alias(n) for n in names]).filter("there")
     w = Window.partitionBy("job_id").orderBy("sec")
     near = w.rowsBetween(-half, half)
     size = F.count(F.lit(1)).over(near)
-    wc, ws, wm, _ = PACING_WEIGHTS[content]
-    c = F.least(F.lit(1.0), F.sum("cuts").over(near) / size / 2)
-    s = F.least(F.lit(1.0), F.sum("turns").over(near) / size)
-    m = F.least(F.lit(1.0), F.sum("motion").over(near) / size)
-    rows = rows.withColumn("raw", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), wc * c + ws * s + wm * m)), 8))
+    share = lambda n, most: F.least(F.lit(1.0), F.sum(n).over(near) / size / most)
+    wc, ws, wm, wa = PACING_WEIGHTS[content]
+    raw = wc * share("cuts", 2) + ws * share("turns", 1) + wm * share("motion", 1) + wa * share("audio", 1)
+    rows = rows.withColumn("raw", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 8))
     return rows.withColumn("pacing", median3("raw", w)).select("job_id", "sec", "pacing")
 
 

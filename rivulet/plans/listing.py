@@ -14,9 +14,9 @@ from rivulet.sources import tables
 J, C = duck.JOBS, duck.CLIPS
 
 
-@register("sc01_list_jobs", f"with {J} select job_id, status, created_at, cost from jobs order by created_at desc, job_id limit 50")
+@register("sc01_list_jobs", f"with {J} select job_id, status, created_at, cost from jobs")
 def list_jobs(spark, d):
-    return tables.jobs(spark, d).select("job_id", "status", "created_at", "cost").orderBy(F.desc("created_at"), "job_id").limit(50)
+    return tables.jobs(spark, d).select("job_id", "status", "created_at", "cost").orderBy(F.desc("created_at"), "job_id")
 
 
 @register("sc02_load_job", f"with {J} select * from jobs where job_id = 7")

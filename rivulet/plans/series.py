@@ -62,16 +62,16 @@ _W = T.PACING_WEIGHTS["vlog"]
 
 @register(
     "ts20_pacing",
-    f"""with {ALL}, {_TURN}, {_CUT}, {_MOTION}, grid as (select job_id, unnest(range(0, floor(max(t))::bigint + 1)) as sec from ev group by job_id),
-    j as (select job_id, sec, coalesce(cuts, 0) as cuts, coalesce(turns, 0) as turns, coalesce(motion, 0) as motion from grid left join cu using (job_id, sec) left join tu using (job_id, sec) left join mo using (job_id, sec)),
-    r as (select job_id, sec, round(least(1e0, greatest(0e0, {_W[0]}e0 * least(1e0, sum(cuts) over n / count(*) over n / 2) + {_W[1]}e0 * least(1e0, sum(turns) over n / count(*) over n) + {_W[2]}e0 * least(1e0, sum(motion) over n / count(*) over n))), 8) as raw
+    f"""with {ALL}, {_TURN}, {_CUT}, {_MOTION}, au as (select job_id, floor(t)::bigint as sec, case when avg(value) > 1e-6 then round(stddev_pop(value) / avg(value), 9) else 0 end as audio from ev group by all), grid as (select job_id, unnest(range(0, floor(max(t))::bigint + 1)) as sec from ev group by job_id),
+    j as (select job_id, sec, coalesce(cuts, 0) as cuts, coalesce(turns, 0) as turns, coalesce(motion, 0) as motion, coalesce(audio, 0) as audio from grid left join cu using (job_id, sec) left join tu using (job_id, sec) left join mo using (job_id, sec) left join au using (job_id, sec)),
+    r as (select job_id, sec, round(least(1e0, greatest(0e0, {_W[0]}e0 * least(1e0, sum(cuts) over n / count(*) over n / 2) + {_W[1]}e0 * least(1e0, sum(turns) over n / count(*) over n) + {_W[2]}e0 * least(1e0, sum(motion) over n / count(*) over n) + {_W[3]}e0 * least(1e0, sum(audio) over n / count(*) over n))), 8) as raw
       from j window n as (partition by job_id order by sec rows between 4 preceding and 4 following))
     select job_id, sec, round(case when a is null or c is null then raw else greatest(least(a, raw), least(greatest(a, raw), c)) end, 8) as pacing from (select *, lag(raw) over w as a, lead(raw) over w as c from r window w as (partition by job_id order by sec))""",
 )
 def pacing(spark, d):
     motion = T.motion_per_second(tables.scenes(spark, d).withColumnRenamed("subject_x", "x"))
     cuts = T.per_second(tables.cuts(spark, d), "t", "cuts")
-    out = T.pacing(T.second_grid(_ends(spark, d)), cuts, T.turns_per_second(tables.speaker_events(spark, d)), motion, "vlog")
+    out = T.pacing(T.second_grid(_ends(spark, d)), cuts, T.turns_per_second(tables.speaker_events(spark, d)), motion, T.peakiness_per_second(tables.timed_events(spark, d)), "vlog")
     return out.withColumn("pacing", F.round("pacing", 8))
 
 
@@ -122,12 +122,12 @@ def compressed_range(spark, d):
     return r.join(m, "job_id").select("job_id", "event_id", F.round(x, 4).alias("x"))
 
 
-_SPEED = f"with {duck.seg()}, sp as (select job_id, t0, t1, 1 + (seq % 3) / 2e0 as speed from seg where seq % 2 = 1), du as (select job_id, max(t1) + 5 as duration from seg group by 1), ev2 as (select job_id, t0, t1 from sp union all select job_id, duration, duration from du), g as (select *, coalesce(max(t1) over (partition by job_id order by t0, t1 rows between unbounded preceding and 1 preceding), 0) as f from ev2), tl as (select job_id, t0, t1, speed from sp union all select job_id, f, t0, 1e0 from g where t0 - f > 0.01e0)"
+_SPEED = f"with {duck.seg()}, sp as (select job_id, t0, t1, 1 + (seq % 3) / 2e0 as speed from seg), du as (select job_id, max(t1) + 5 as duration from seg group by 1), ev2 as (select job_id, t0, t1 from sp union all select job_id, duration, duration from du), g as (select *, coalesce(max(t1) over (partition by job_id order by t0, t1 rows between unbounded preceding and 1 preceding), 0) as f from ev2), tl as (select job_id, t0, t1, speed from sp union all select job_id, f, t0, 1e0 from g where t0 - f > 0.01e0)"
 
 
 def _speed(spark, d):
     segs = tables.segments(spark, d)
-    rows = segs.filter("seq % 2 = 1").select("job_id", "t0", "t1", (1 + F.col("seq") % 3 / 2).alias("speed"))
+    rows = segs.select("job_id", "t0", "t1", (1 + F.col("seq") % 3 / 2).alias("speed"))
     return I.fill_speed(rows, segs.groupBy("job_id").agg((F.max("t1") + 5).alias("duration")))
 
 

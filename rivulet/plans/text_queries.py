@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import text as X
 from rivulet.plans import duck
 from rivulet.plans.registry import register
-from rivulet.plans.zones import _REACTS
+from rivulet.plans.zones import _REACTS, SHOUTS
 from rivulet.sources import tables
 
 
@@ -59,19 +59,19 @@ def content_hash(spark, d):
     return docs(spark, d).select("doc_id", F.sha2("text", 256).alias("h"))
 
 
-@register("ts06_transcript_energy", rf"select doc_id, contains(text, '!') as loud, contains(text, '?') as asks, regexp_matches(text, '(^|\s)[A-Z]{{3,}}(\s|$)') as shouts, ({_REACTS}) as reacts, len({_WORDS.format('text')})::int as n_words from documents")
+@register("ts06_transcript_energy", rf"select doc_id, contains(text, '!') as loud, contains(text, '?') as asks, {SHOUTS} as shouts, ({_REACTS}) as reacts, len({_WORDS.format('text')})::int as n_words from documents")
 def transcript_energy(spark, d):
     return docs(spark, d).select("doc_id", X.has("!").alias("loud"), X.has("?").alias("asks"), X.shouts(F.col("text")).alias("shouts"), X.reacts(F.col("text")).alias("reacts"), F.size(X.words(F.col("text"))).alias("n_words"))
 
 
 @register(
     "st06_loop_texts",
-    f"""with w as (select doc_id, {_WORDS.format("lower(left(text, 400))")} as w from documents), g as (select doc_id, len(w) as n, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from w where len(w) >= 9),
+    f"""with w as (select doc_id, {_WORDS.format("lower(text)")} as w from documents), g as (select doc_id, len(w) as n, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from w where len(w) >= 9),
     c as (select doc_id, n, g, count(*) as c from g group by all), m as (select doc_id, n, max(c) as m from c group by all) select doc_id, m::int as most from m where m >= 3 and m > 0.4e0 * (n - 2)""",
 )
 def loop_texts(spark, d):
-    """The head of a text as a caption: it loops if one three-word run makes over 40 % of all."""
-    rows = docs(spark, d).withColumn("w", X.words(F.lower(F.left("text", F.lit(400))))).filter(F.size("w") >= 9)
+    """A text loops if one three-word run makes over 40 % of all."""
+    rows = docs(spark, d).withColumn("w", X.words(F.lower("text"))).filter(F.size("w") >= 9)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
     most = rows.select("doc_id", (F.size("w") - 2).alias("n"), F.explode(grams).alias("g")).groupBy("doc_id", "n", "g").count().groupBy("doc_id", "n").agg(F.max("count").alias("m"))
     return most.filter((F.col("m") >= 3) & (F.col("m") > 0.4 * F.col("n"))).select("doc_id", F.col("m").cast("int").alias("most"))
@@ -80,14 +80,14 @@ def loop_texts(spark, d):
 @register(
     "st06_near_repeats",
     f"""with {duck.seg()}, w as (select job_id, seq, t0, list_distinct({_WORDS.format("lower(text)")}) as w from seg)
-    select a.job_id, a.seq, count(*) as n from w a join w b on a.job_id = b.job_id and b.seq < a.seq and b.seq >= a.seq - 10 and a.t0 - b.t0 between 2 and 30 and len(list_intersect(a.w, b.w)) > 0.05e0 * len(list_distinct(list_concat(a.w, b.w))) group by all""",
+    select a.job_id, a.seq, count(*) as n from w a join w b on a.job_id = b.job_id and b.seq < a.seq and b.seq >= a.seq - 10 and a.t0 - b.t0 between 2 and 30 and len(list_intersect(a.w, b.w)) > 0.7e0 * len(list_distinct(list_concat(a.w, b.w))) group by all""",
 )
 def near_repeats(spark, d):
-    """Segments that share over 5 % of their words with one of the ten before, 2 to 30 seconds earlier."""
+    """Segments that share over 70 % of their words with one of the ten before, 2 to 30 seconds earlier."""
     w = tables.segments(spark, d).select("job_id", "seq", "t0", F.array_distinct(X.words(F.lower("text"))).alias("w"))
     # a segment finds the ten before it by equality on their numbers
     b = w.select("job_id", F.explode(F.sequence(F.col("seq") + 1, F.col("seq") + 10)).alias("seq"), F.col("t0").alias("u0"), F.col("w").alias("v"))
-    pairs = w.join(b, ["job_id", "seq"]).filter((F.col("t0") - F.col("u0")).between(2, 30) & (F.size(F.array_intersect("w", "v")) > 0.05 * F.size(F.array_union("w", "v"))))
+    pairs = w.join(b, ["job_id", "seq"]).filter((F.col("t0") - F.col("u0")).between(2, 30) & (F.size(F.array_intersect("w", "v")) > 0.7 * F.size(F.array_union("w", "v"))))
     return pairs.groupBy("job_id", "seq").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -16,6 +16,7 @@ _POINTS = "case kind when 'extreme_spike' then 30 when 'silence_to_loud' then 25
 _REACTS = " or ".join(f"contains(lower(text), '{r}')" for r in X.REACTIONS)
 _FILLERS = ", ".join(f"'{f}'" for f in X.FILLERS)
 
+SHOUTS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) > 2 and upper(x) = x and regexp_full_match(x, '\p{L}+'))) > 0"
 MOMENTS = """ranked as (select *, row_number() over (partition by job_id order by value, event_id) as rn, count(*) over (partition by job_id) as n from ev where value > -60),
 base as (select job_id, value as base from ranked where rn = n // 2 + 1),
 delta as (select ev.*, base, round(value - base, 4) as delta, lag(value) over (partition by job_id order by t, event_id) as prev from ev join base using (job_id)),
@@ -30,7 +31,7 @@ FILLER = rf"""fil as (
   union all select job_id, seq, 'dead_air', prev, t0 from (select *, lag(t1) over (partition by job_id order by seq) as prev from seg) where t0 - prev > 1.5e0)"""
 AUDIO = f"a as (select job_id, k, least(100, sum({_POINTS})) as audio from zone join moments using (job_id) where t >= w0 and t <= w1 group by job_id, k)"
 TRANSCRIPT = rf"""tr as (select job_id, k, least(100, p + case when n / greatest(1e0, (w1 - w0) / 10e0) > 2 then 10 else 0 end) as transcript from (
-  select job_id, k, w0, w1, count(*) as n, sum(case when contains(text, '!') then 8 else 0 end + case when contains(text, '?') then 6 else 0 end + case when regexp_matches(text, '(^|\s)[A-Z]{{3,}}(\s|$)') then 10 else 0 end
+  select job_id, k, w0, w1, count(*) as n, sum(case when contains(text, '!') then 8 else 0 end + case when contains(text, '?') then 6 else 0 end + case when {SHOUTS} then 10 else 0 end
     + case when {_REACTS} then 12 else 0 end + case when n_words > 3 and t1 - t0 < 3 then 5 else 0 end) as p
   from zone join seg using (job_id) where t0 >= w0 and t1 <= w1 group by job_id, k, w0, w1))"""
 SCENE = "sc as (select job_id, k, least(100e0, max(importance) * 6 + avg(importance) * 4 + case when max(importance) >= 9 then 20 else 0 end) as scenes from zone join scenes using (job_id) where t >= w0 and t <= w1 group by job_id, k)"
@@ -110,12 +111,21 @@ def audio_spikes(spark, d):
 
 @register(
     "ts04_coverage_gaps",
-    f"""with {duck.seg(0.4)}, marks as (select distinct job_id, unnest(range(floor(t0)::bigint, floor(t1)::bigint + 1)) as sec from seg where seq % 4 = 0),
-    dur as (select job_id, max(t1) as duration from seg group by job_id), every as (select job_id, unnest(range(0, floor(duration)::bigint + 1)) as sec from dur),
+    HOT
+    + """, found as (select * from (select *, row_number() over (partition by job_id order by score desc, w0) as rank from hot) where rank = 1),
+    marks as (select distinct job_id, unnest(range(floor(w0)::bigint, floor(w1)::bigint + 1)) as sec from found),
+    every as (select job_id, unnest(range(0, floor(duration)::bigint + 1)) as sec from dur),
     free as (select job_id, sec, sec - row_number() over (partition by job_id order by sec) as g from every anti join marks using (job_id, sec)),
-    runs as (select job_id, min(sec) as t0, max(sec) + 1 as t1 from free group by job_id, g having count(*) >= 10)
-    select job_id, t0, t1 from (select *, row_number() over (partition by job_id order by t0) as n from runs) where n <= 6""",
+    runs as (select job_id, min(sec) as t0, max(sec) + 1 as t1 from free group by job_id, g having count(*) >= 10),
+    decent as (select * from hot where score > 20),
+    near as (select r.* from runs r where not exists (select 1 from decent z where z.job_id = r.job_id) or exists (select 1 from decent z where z.job_id = r.job_id and z.w0 < r.t1 and z.w1 > r.t0))
+    select job_id, t0, t1 from (select *, row_number() over (partition by job_id order by t0) as n from near) where n <= 4""",
 )
 def coverage_gaps(spark, d):
-    segs = tables.segments(spark, d)
-    return I.second_gaps(segs.filter("seq % 4 = 0"), S.durations(segs), 10, 6)
+    """The best window of each job is its one found clip; what is left uncovered for ten seconds and more, near windows
+    that score over 20 (where a job has such)."""
+    zoned = S.hot_zones(*_inputs(spark, d))
+    found = S.top_zones(zoned, 1).select("job_id", F.col("w0").alias("t0"), F.col("w1").alias("t1"))
+    gaps = I.second_gaps(found, S.durations(tables.segments(spark, d, PER_WORD)), 10)
+    decent = zoned.filter("score > 20").select("job_id", F.col("w0").alias("z0"), F.col("w1").alias("z1"))
+    return I.first_gaps(I.gaps_near(gaps, decent), 4)

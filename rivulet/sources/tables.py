@@ -69,3 +69,20 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("platform"),
         F.col("l_linestatus").alias("kind"),
     )
+
+
+def dense_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, event_id, t, k, slot, x, y, w, h): up to three faces of every event's frame; a slot of -1 is nobody known."""
+    e = timed_events(spark, sf_dir).filter("event_id % 4 > 0")
+    k = F.col("k")
+    rows = e.select("job_id", "event_id", "t", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4 - 1).cast("int"))).alias("k"))
+    slot = F.when((F.col("event_id") + k) % 19 == 0, -1).otherwise((F.col("event_id") % 3 + k) % 4).cast("int")
+    at = lambda a, b: ((F.col("event_id") * a + k * b) % 101).cast("double")
+    return rows.select("job_id", "event_id", "t", "k", slot.alias("slot"), at(37, 29).alias("x"), at(53, 17).alias("y"), (4 + F.col("event_id") % 20).cast("double").alias("w"), (6 + F.col("event_id") % 15).cast("double").alias("h"))
+
+
+def spans(spark: SparkSession, sf_dir: str, width: float = 60.0) -> DataFrame:
+    """(job_id, seq, t0, t1): the jobs' time in pieces of equal length."""
+    ends = timed_events(spark, sf_dir).groupBy("job_id").agg(F.floor(F.max("t") / width).alias("n"))
+    rows = ends.select("job_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("seq"))
+    return rows.select("job_id", "seq", (F.col("seq") * F.lit(width)).alias("t0"), (F.col("seq") * F.lit(width) + width).alias("t1"))

@@ -64,8 +64,8 @@ def test_asof(spark, direction, want):
 def test_coverage_gaps(spark):
     found = spark.createDataFrame([(1, 0.0, 50.0)], "job_id long, t0 double, t1 double")
     ends = spark.createDataFrame([(1, 200.0), (2, 5.0)], "job_id long, duration double")
-    assert sorted((r.job_id, r.t0, r.t1) for r in I.second_gaps(found, ends, 60, 4).collect()) == [(1, 51, 201)]
-    assert sorted((r.job_id, r.t0, r.t1) for r in I.second_gaps(found, ends, 3, 4).collect()) == [(1, 51, 201), (2, 0, 6)]
+    assert sorted((r.job_id, r.t0, r.t1) for r in I.second_gaps(found, ends, 60).collect()) == [(1, 51, 201)]
+    assert sorted((r.job_id, r.t0, r.t1) for r in I.second_gaps(found, ends, 3).collect()) == [(1, 51, 201), (2, 0, 6)]
 
 
 def test_speed_timeline(spark):
@@ -84,10 +84,57 @@ def test_nms_and_thematic():
 
 def test_hysteresis_and_timeline():
     e = lambda a, b, s, c: {"t0": a, "t1": b, "slot": s, "confidence": c}
-    out = D.hysteresis([e(0, 1, 0, 0.9), e(1, 2, 1, 0.5), e(2, 3, 1, 0.8), e(3, 4, 1, 0.6)])
+    out = list(D.hysteresis([e(0, 1, 0, 0.9), e(1, 2, 1, 0.5), e(2, 3, 1, 0.8), e(3, 4, 1, 0.6)]))
     assert [(x["t0"], x["t1"], x["slot"], round(x["confidence"], 3)) for x in out] == [(0, 2, 0, 0.855), (2, 4, 1, 0.8)]
     s = lambda a, b, k: {"t0": a, "t1": b, "slot": k}
-    assert D.transcript_timeline([s(0, 2, 0), s(4, 5, 0), s(6, 7, 1)]) == [s(0, 5.5, 0), s(5.5, 7, 1)]
+    assert list(D.transcript_timeline([s(0, 2, 0), s(4, 5, 0), s(6, 7, 1)])) == [s(0, 5.5, 0), s(5.5, 7, 1)]
+
+
+def test_suppression_ends_where_the_event_ends_and_nobody_is_taken():
+    e = lambda a, b, s, c: {"t0": a, "t1": b, "slot": s, "confidence": c}
+    out = list(D.hysteresis([e(0, 5, 0, 0.9), e(1, 2, 1, 0.5), e(2, 3, -1, 0.1), e(3, 4, 1, 0.2)]))
+    assert [(x["t0"], x["t1"], x["slot"]) for x in out] == [(0, 2, 0), (2, 3, -1), (3, 4, 1)]
+
+
+def test_votes_join_before_short_runs_go():
+    v = lambda *pairs: [{"job_id": 1, "t": t, "slot": s} for t, s in pairs]
+    spans = lambda found: [(x["t0"], x["t1"], x["slot"]) for x in found]
+    assert spans(D.smoothed_votes(v((0, "A"), (5, "B"), (6.5, "B"), (7.5, "B")))) == [(0, 5, "A"), (5, 8.0, "B")]
+    assert spans(D.smoothed_votes(v((0, "A"), (1, "B"), (8, "C"), (9, "B"), (12, "B")))) == [(0, 12.5, "B")]
+    assert D.smoothed_votes([]) == [] and spans(D.smoothed_votes(v((3, "A")))) == [(3, 3.5, "A")]
+
+
+def test_points_follow_their_rules():
+    p = lambda *xs: [{"t": float(i), "x": x} for i, x in enumerate(xs)]
+    xs = lambda found: [x["x"] for x in found]
+    assert xs(D.dead_zone(p(50, 54, 55, 60, 61, 70))) == [50, 50, 55, 60, 60, 70]
+    assert xs(D.merged_holds(p(50, 53, 54, 50, 46))) == [50, 50, 54, 50, 46]
+    assert xs(D.rate_limited([{"t": 0.0, "x": 50}, {"t": 0.25, "x": 100}, {"t": 0.25, "x": 0}, {"t": 9.0, "x": 3}])) == [50, 62, 62, 3]
+
+
+def test_assigned_speakers():
+    def talk(*gaps, words=5):
+        t, rows = 0.0, []
+        for g in [0.0, *gaps]:
+            rows.append({"t0": t + g, "t1": t + g + 2, "n_words": words})
+            t += g + 2
+        return "".join(r["speaker"][-1] for r in D.assigned_speakers(rows))
+
+    assert talk(0.5, 0.2) == "111" and talk(2.0, 2.0) == "121" and talk(0.3, 2.0, 0.3, 2.0) == "11221"
+    assert talk(6.0, 6.0) == "121"  # the other's rate is near
+
+
+def test_folds_stream_over_batches(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("job_id"), F.col("id").cast("double").alias("t"), (F.col("id") % 100).cast("int").alias("x"))
+    out = D.fold(rows, "job_id", ["t"], D.merged_holds, "job_id long, t double, x int")
+    assert out.count() == 30_000 and out.select("job_id", "t").distinct().count() == 30_000
+
+
+def test_subtitle_sync(spark):
+    items = spark.createDataFrame([(1, 0, 0.1, 1.0, "a", "x"), (1, 1, 0.2, 1.1, "b", "y"), (1, 2, 50.0, 51.0, "c", "x"), (2, 0, 0.0, 1.0, "q", None)], "job_id long, a long, s0 double, s1 double, subtitle string, said string")
+    segs = spark.createDataFrame([(1, 0, 0.0, 1.0, "a", "z"), (1, 1, 0.0, 1.2, "b", "y"), (1, 2, 9.0, 9.5, "d", "x"), (3, 0, 0.0, 1.0, "r", "x")], "job_id long, seq long, t0 double, t1 double, text string, speaker string")
+    out = {r.job_id: tuple(r)[1:] for r in I.subtitle_sync(items, segs).collect()}
+    assert out == {1: (2, 0, 1, 1, 1, 3, 3), 2: (0, 0, 0, 1, 0, 1, 0), 3: (0, 0, 0, 0, 1, 0, 1)}
 
 
 def test_ema_switches():
