@@ -14,6 +14,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value worked out once: within the functions of arrays, an expression is evaluated for every
+    element, a variable is not."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def has(part: str, text: str = "text") -> Column:
     return F.col(text).contains(part)
 
@@ -74,13 +80,16 @@ def mask_key(key: Column) -> Column:
 def loops(text: Column) -> Column:
     """At least nine words, and the commonest three-word run makes over 40 % of all and occurs three times or more. The
     runs are sorted, so that equal ones stand together and one pass counts them."""
-    w = words(F.lower(text))
-    n = F.size(w) - 2
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
     zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
     run = lambda s, g: F.when(s["last"] == g, s["run"] + 1).otherwise(1)
-    most = F.aggregate(grams, zero, lambda s, g: F.struct(g.alias("last"), run(s, g).alias("run"), F.greatest(s["most"], run(s, g)).alias("most")))["most"]
-    return (F.size(w) >= 9) & (most >= 3) & (most > 0.4 * n)
+
+    def looping(w: Column) -> Column:
+        n = F.size(w) - 2
+        grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+        most = F.aggregate(grams, zero, lambda s, g: F.struct(g.alias("last"), run(s, g).alias("run"), F.greatest(s["most"], run(s, g)).alias("most")))["most"]
+        return (F.size(w) >= 9) & (most >= 3) & (most > 0.4 * n)
+
+    return bound(words(F.lower(text)), looping)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -39,6 +39,16 @@ def nearest_centroid(rows: DataFrame, cents: DataFrame, row: str, key: str, vect
     return out.select(row, F.when(F.col("best.s") > floor, -F.col("best.k")).otherwise(F.lit(-1)).alias("identity"), F.round("best.s", 4).alias("cosine"))
 
 
+def or_nearest_slot(found: DataFrame, slots: DataFrame, row: str) -> DataFrame:
+    """Rows (row, identity, x): identities below 0 give way to the slot (slot, x) of nearest place, of equals the lower."""
+    marks = slots.groupBy("x").agg(F.min("slot").alias("slot")).select(F.lit(0).alias("k"), F.col("x").cast("double").alias("s"), "slot")
+    rows = found.select(F.lit(0).alias("k"), row, "identity", F.col("x").cast("double").alias("x"))
+    # the slots of a registry are few: they travel as one array
+    table = F.broadcast(marks.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("s", "slot"))).alias("__table")))
+    near = F.array_min(F.transform("__table", lambda m: F.struct(F.abs(m["s"] - F.col("x")).alias("d"), m["slot"].alias("slot"))))
+    return rows.join(table, "k", "left").select(row, F.when(F.col("identity") >= 0, F.col("identity")).otherwise(F.coalesce(near["slot"], F.lit(-1))).alias("identity"))
+
+
 def pairs_within(rows: DataFrame, block: str, row: str, vector: str, least: float) -> DataFrame:
     """Pairs of a block (a frame, a shot) with at least that cosine."""
     other = rows.select(F.col(block).alias("__b"), F.col(row).alias("other"), F.col(vector).alias("__v"))

@@ -86,16 +86,16 @@ def speaker_score(segs: DataFrame, zone: DataFrame) -> DataFrame:
 
 def filler_events(segs: DataFrame) -> DataFrame:
     """Whole-segment fillers, immediate repetitions (the first of a segment) and dead air: (job_id, seq, kind, t0, t1)."""
-    whole = F.lower(F.trim(F.regexp_replace("text", r"[.,!?]", "")))
+    whole = F.lower(F.trim(F.regexp_replace("text", r"[.,!?]", ""))).isin(*X.FILLERS)
     w = F.transform(X.words(F.col("text")), lambda x: F.regexp_replace(F.lower(x), r"[.,!?]", ""))
-    again = F.exists(F.sequence(F.lit(2), F.greatest(F.size(w), F.lit(2))), lambda i: (F.get(w, i - 1) == F.get(w, i - 2)) & (F.length(F.get(w, i - 1)) > 1))
+    pairs = lambda v: F.zip_with(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), v, lambda a, b: F.coalesce((a == b) & (F.length(a) > 1), F.lit(False)))
+    again = F.coalesce(X.bound(w, lambda v: F.exists(pairs(v), lambda same: same)), F.lit(False))
     prev = F.lag("t1").over(Window.partitionBy("job_id").orderBy("seq"))
-    rows = segs.withColumns({"__whole": whole.isin(*X.FILLERS), "__again": F.coalesce(again, F.lit(False)), "__prev": prev})
-    cols = ["job_id", "seq"]
-    fillers = rows.filter("__whole").select(*cols, F.lit("filler").alias("kind"), "t0", "t1")
-    repeats = rows.filter("not __whole and __again").select(*cols, F.lit("repetition").alias("kind"), "t0", "t1")
-    air = rows.filter(F.col("t0") - F.col("__prev") > 1.5).select(*cols, F.lit("dead_air").alias("kind"), F.col("__prev").alias("t0"), F.col("t0").alias("t1"))
-    return fillers.unionByName(repeats).unionByName(air)
+    event = lambda kind, t0, t1: F.struct(F.lit(kind).alias("kind"), F.col(t0).alias("t0"), F.col(t1).alias("t1"))
+    own = F.when(F.col("__whole"), event("filler", "t0", "t1")).when(F.col("__again"), event("repetition", "t0", "t1"))
+    air = F.when(F.col("t0") - F.col("__prev") > 1.5, event("dead_air", "__prev", "t0"))
+    rows = segs.select("job_id", "seq", "t0", "t1", whole.alias("__whole"), again.alias("__again"), prev.alias("__prev"))
+    return rows.select("job_id", "seq", F.explode(F.array_compact(F.array(own, air))).alias("e")).select("job_id", "seq", "e.kind", "e.t0", "e.t1")
 
 
 def filler_density(events: DataFrame, zone: DataFrame) -> DataFrame:

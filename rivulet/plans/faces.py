@@ -23,6 +23,19 @@ def identities(spark, d):
     return Y.nearest_centroid(rows, Y.centroids(rows, "label", "embedding"), "vec_id", "label", "embedding", 0.2)
 
 
+@register(
+    "st12_identities_or_slots",
+    f"""with {_CENT}, n as (select vec_id, c.label, round(list_cosine_similarity(embedding::double[], v), 9) as s, abs(vec_id * 13 % 101 - c.label * 17 % 101) as far from embeddings, c)
+    select vec_id, case when max(s) > 0.2e0 then arg_max(label, (s, -label)) else arg_min(label, (far, label)) end as identity from n group by vec_id""",
+)
+def identities_or_slots(spark, d):
+    """The identity of nearest centroid, or, where none is near enough, the slot whose place is nearest to the face's."""
+    rows = faces(spark, d)
+    found = Y.nearest_centroid(rows, Y.centroids(rows, "label", "embedding"), "vec_id", "label", "embedding", 0.2)
+    slots = rows.select(F.col("label").cast("long").alias("slot")).distinct().withColumn("x", F.col("slot") * 17 % 101)
+    return Y.or_nearest_slot(found.withColumn("x", F.col("vec_id") * 13 % 101), slots, "vec_id")
+
+
 @register("st11_frame_pairs", "select a.vec_id // 4 as frame, a.vec_id, b.vec_id as other, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine from embeddings a join embeddings b on a.vec_id // 4 = b.vec_id // 4 and a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) >= 0.1e0")
 def frame_pairs(spark, d):
     return Y.pairs_within(faces(spark, d), "frame", "vec_id", "embedding", 0.1)
@@ -34,11 +47,12 @@ def histogram_distance(spark, d):
     return faces(spark, d).select("vec_id", F.round(Y.bhattacharyya(half(1), half(33)), 5).alias("distance"))
 
 
-@register("st18_merged_signature", "select vec_id, round(0.7e0 * embedding[1]::double + 0.3e0 * embedding[33]::double, 6) as first_value from embeddings")
+@register("st18_merged_signature", "select vec_id, i::int as i, round(0.7e0 * embedding[i]::double + 0.3e0 * embedding[i + 32]::double, 6) as value from (select vec_id, embedding, unnest(range(1, 33)) as i from embeddings)")
 def merged_signature(spark, d):
+    """The halves of every vector, weighted .7 and .3, value by value."""
     a, b = F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)
     merged = F.zip_with(a, b, lambda x, y: 0.7 * x.cast("double") + 0.3 * y.cast("double"))
-    return faces(spark, d).select("vec_id", F.round(F.get(merged, F.lit(0)), 6).alias("first_value"))
+    return faces(spark, d).select("vec_id", F.posexplode(merged).alias("p", "v")).select("vec_id", (F.col("p") + 1).alias("i"), F.round("v", 6).alias("value"))
 
 
 _BOX = "b as (select event_id, (event_id * 37 % 101)::double as x, (event_id * 17 % 101)::double as y, (10 + event_id % 30)::double as w, (10 + event_id % 20)::double as h from events)"

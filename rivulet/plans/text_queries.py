@@ -71,9 +71,10 @@ def transcript_energy(spark, d):
 )
 def loop_texts(spark, d):
     """A text loops if one three-word run makes over 40 % of all."""
-    rows = docs(spark, d).withColumn("w", X.words(F.lower("text"))).filter(F.size("w") >= 9)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    most = rows.select("doc_id", (F.size("w") - 2).alias("n"), F.explode(grams).alias("g")).groupBy("doc_id", "n", "g").count().groupBy("doc_id", "n").agg(F.max("count").alias("m"))
+    size = F.size(X.words(F.lower("text")))
+    grams = X.bound(X.words(F.lower("text")), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    rows = docs(spark, d).select("doc_id", size.alias("size"), F.when(size >= 9, grams).alias("grams"))
+    most = rows.select("doc_id", (F.col("size") - 2).alias("n"), F.explode("grams").alias("g")).groupBy("doc_id", "n", "g").count().groupBy("doc_id", "n").agg(F.max("count").alias("m"))
     return most.filter((F.col("m") >= 3) & (F.col("m") > 0.4 * F.col("n"))).select("doc_id", F.col("m").cast("int").alias("most"))
 
 
@@ -136,11 +137,21 @@ def word_times(spark, d):
     return rows.select("job_id", "seq", (F.col("p") + 1).alias("i"), "word", F.round(F.col("t0") + (F.col("t1") - F.col("t0")) * upto / every, 7).alias("t1"))
 
 
-@register("sf09_split_by_words", rf"with {duck.seg()}, w as (select job_id, seq, t0, t1, {_WORDS.format('text')} as w from seg where n_words > 0), c as (select *, unnest(range(0, len(w), 6)) as o from w) select job_id, seq, (o // 6)::int as part, array_to_string(w[o + 1:o + 6], ' ') as text, round(t0 + (t1 - t0) * o / len(w), 3) as t0 from c")
+@register(
+    "sf09_split_by_words",
+    rf"""with {duck.seg()}, w as (select job_id, seq, t0, t1, {_WORDS.format('text')} as w from seg where n_words > 0), c as (select *, unnest(range(0, len(w), 6)) as o from w),
+    p as (select job_id, seq, (o // 6)::int as part, array_to_string(w[o + 1:o + 6], ' ') as text, t0 + (t1 - t0) * o / len(w) as p0, case when o + 6 >= len(w) then t1 else t0 + (t1 - t0) * (o + 6) / len(w) end as p1, len(w) as n from c)
+    select job_id, seq, part, text, round(p0, 6) as t0, round(p1, 6) as t1 from p where n <= 6 or round(p1 - p0, 9) >= 0.1e0""",
+)
 def split_by_words(spark, d):
+    """Parts of six words with even shares of the segment's time, the last to its end; parts under a tenth of a second go."""
     rows = tables.segments(spark, d).filter("n_words > 0").withColumn("w", X.words(F.col("text")))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(6))))
-    return rows.select("job_id", "seq", F.floor(F.col("o") / 6).cast("int").alias("part"), F.array_join(F.slice("w", F.col("o") + 1, F.lit(6)), " ").alias("text"), F.round(F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("o") / F.size("w"), 3).alias("t0"))
+    n, length = F.size("w"), F.col("t1") - F.col("t0")
+    start = F.col("t0") + length * F.col("o") / n
+    end = F.when(F.col("o") + 6 >= n, F.col("t1")).otherwise(F.col("t0") + length * (F.col("o") + 6) / n)
+    rows = rows.filter((n <= 6) | (F.round(end - start, 9) >= 0.1))
+    return rows.select("job_id", "seq", F.floor(F.col("o") / 6).cast("int").alias("part"), F.array_join(F.slice("w", F.col("o") + 1, F.lit(6)), " ").alias("text"), F.round(start, 6).alias("t0"), F.round(end, 6).alias("t1"))
 
 
 @register("st22_emphasis_words", rf"with w as (select doc_id, unnest(list_distinct({_WORDS.format('text')})) as w from documents), k as (select doc_id, w, row_number() over (partition by doc_id order by w) as r from w where regexp_matches(w, '^[A-Z]{{3,}}[!.]*$')) select doc_id, w from k where r <= 20")
