@@ -183,3 +183,29 @@ def layout_votes(frames: DataFrame) -> Column:
     second = lambda a: F.coalesce(F.get(a, F.lit(1)) > 5.0, F.lit(False))
     n = F.size(ids)
     return F.when(F.col("screen") & (F.size("faces") >= 1), "screenshare").when(n >= 3, "triple").when(n == 2, F.when(second(sizes), "split").otherwise("single")).when((F.size("faces") >= 2) & second(widths), "split").otherwise("single")
+
+
+def lip_scores(spans: DataFrame, faces: DataFrame, pad: float = 0.5) -> DataFrame:
+    """(job_id, seq, slot, score): how much a slot's lips (t, slot, lip, w) move in a span and ``pad`` around it: from four
+    frames a second on by their speed and opening, below that by opening and size of the face; a single frame gives its
+    opening."""
+    rows = in_spans(spans, faces, pad)
+    w = Window.partitionBy("job_id", "seq", "slot").orderBy("t")
+    dt = F.col("t") - F.lag("t").over(w)
+    rows = rows.withColumn("v", F.when(dt > 0, F.abs(F.col("lip") - F.lag("lip").over(w)) / dt))
+    found = rows.groupBy("job_id", "seq", "slot").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("time"), F.avg("lip").alias("lip"), F.avg("w").alias("w"), F.avg("v").alias("v"))
+    rate = F.when(F.col("time") > 0, (F.col("n") - 1) / F.greatest(F.col("time"), F.lit(0.01))).otherwise(0.0)
+    still = F.least(F.lit(1.0), F.col("lip") * F.least(F.lit(2.0), F.col("w") / 8.0) / 0.04)
+    moving = 0.6 * F.least(F.lit(1.0), F.col("v") / 0.08) + 0.4 * F.least(F.lit(1.0), F.col("lip") / 0.04)
+    score = F.when(F.col("n") < 2, F.col("lip")).when(rate < 4.0, still).when(F.col("v").isNull(), 0.0).otherwise(moving)
+    return found.select("job_id", "seq", "slot", F.round(score, 6).alias("score"))
+
+
+def path_violations(path: DataFrame, features: DataFrame, source_width: int, crop_px: int, near: float = 0.05, slack: float = 2.0) -> DataFrame:
+    """(job_id, t, names): times of a path (job_id, t, px) at which features (f0, left, right in percent, name) leave the
+    crop by more than ``slack`` pixels, and which."""
+    half = crop_px / 2
+    px = lambda c: F.col(c) / 100.0 * source_width
+    out = (px("left") < F.col("px") - half - slack) | (px("right") > F.col("px") + half + slack)
+    pairs = I.range_join(path, features, ["job_id"], (F.abs(F.col("f0") - F.col("t")) < near) & out, (F.col("t") - near, F.col("t") + near), (F.col("f0"), F.col("f0")))
+    return pairs.groupBy("job_id", "t").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))

@@ -265,3 +265,23 @@ def crop_confidence(spark, d):
     reasons = F.concat_ws("; ", F.when(~F.col("agrees"), "speaker_disagrees"), F.when(F.col("stab") < 0.5, "unstable_face"), F.when(~F.col("covered"), "no_transcript_coverage"))
     reason = F.when(~F.col("inside"), "no_face_in_crop_window").when(reasons == "", "all_checks_passed").otherwise(reasons)
     return rows.select("job_id", "seq", F.when(F.col("inside"), F.round(points, 6)).otherwise(0.0).alias("confidence"), reason.alias("reason"))
+
+
+@register(
+    "ts11_lip_motion",
+    f"""with {BASE}, f as (select job_id, t, slot, w, (event_id % 13) / 200e0 as lip from faces where slot >= 0 and k = 0), p as (select s.job_id, s.seq, f.slot, f.t, f.lip, f.w, lag(f.t) over w as pt, lag(f.lip) over w as pl from spans s join f on f.job_id = s.job_id and f.t >= s.t0 - 0.5e0 and f.t <= s.t1 + 0.5e0 window w as (partition by s.job_id, s.seq, f.slot order by f.t)),
+    g as (select job_id, seq, slot, count(*) as n, max(t) - min(t) as time, avg(lip) as lip, avg(w) as w, avg(case when t - pt > 0 then abs(lip - pl) / (t - pt) end) as v from p group by all)
+    select job_id, seq, slot, round(case when n < 2 then lip when case when time > 0 then (n - 1) / greatest(time, 0.01e0) else 0 end < 4 then least(1, lip * least(2, w / 8) / 0.04e0) when v is null then 0 else 0.6e0 * least(1, v / 0.08e0) + 0.4e0 * least(1, lip / 0.04e0) end, 6) as score from g""",
+)
+def lip_motion(spark, d):
+    """Openings of lips stand in by rule."""
+    faces = _faces(spark, d).filter("slot >= 0 and k = 0").select("job_id", "t", "slot", "w", (F.col("event_id") % 13 / 200).alias("lip"))
+    return L.lip_scores(tables.spans(spark, d), faces)
+
+
+@register("ts62_path_violations", f"with {BASE}, {FEATURES}, path as (select distinct job_id, t, ((event_id * 29 % 101) * 19.2e0) as px from ev) select p.job_id, p.t, string_agg(name, ',' order by name) as names from path p join features f on f.job_id = p.job_id and abs(f.f0 - p.t) < 0.05e0 where f_left / 100 * 1920 < p.px - 303.5e0 - 2 or f_right / 100 * 1920 > p.px + 303.5e0 + 2 group by p.job_id, p.t")
+def path_violations(spark, d):
+    """A path that follows the events, in pixels of a source 1920 wide, with a crop of 607."""
+    path = tables.timed_events(spark, d).select("job_id", "t", ((F.col("event_id") * 29 % 101) * 19.2).alias("px")).distinct()
+    found = L.path_violations(path, _features(spark, d).select("job_id", "f0", "left", "right", "name"), 1920, 607)
+    return found

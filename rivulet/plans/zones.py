@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
+from rivulet.operators import condense as C
+from rivulet.operators import folds as D
 from rivulet.operators import intervals as I
 from rivulet.operators import scoring as S
 from rivulet.plans import duck
@@ -129,3 +131,40 @@ def coverage_gaps(spark, d):
     gaps = I.second_gaps(found, S.durations(tables.segments(spark, d, PER_WORD)), 10)
     decent = zoned.filter("score > 20").select("job_id", F.col("w0").alias("z0"), F.col("w1").alias("z1"))
     return I.first_gaps(I.gaps_near(gaps, decent), 4)
+
+
+_LINE = "'[' || round_even(t0, 0)::bigint || '-' || round_even(t1, 0)::bigint || '] ' || speaker || ': ' || "
+_BUDGET = 1500
+
+
+def _greedy(tier: str, budget: int) -> str:
+    return f"""n_{tier} as (select job_id, line, row_number() over (partition by job_id order by seq) as rn from lines where tier = '{tier}'),
+    g_{tier} as (select job_id, rn, case when length(line) + 1 <= {budget} then length(line) + 1 else 0 end as used, case when length(line) + 1 <= {budget} then [line] else [] end as kept from n_{tier} where rn = 1 union all
+      select n.job_id, n.rn, g.used + case when g.used + length(n.line) + 1 <= {budget} then length(n.line) + 1 else 0 end, case when g.used + length(n.line) + 1 <= {budget} then list_append(g.kept, n.line) else g.kept end from g_{tier} g join n_{tier} n on n.job_id = g.job_id and n.rn = g.rn + 1),
+    {tier}_ as (select job_id, arg_max(kept, rn) as kept from g_{tier} group by 1)"""
+
+
+@register(
+    "sm08_hot_first",
+    HOT.replace("with ", "with recursive ", 1)
+    + f""", secs as (select job_id, score, k, unnest(range(floor(w0)::bigint, floor(w1)::bigint + 1)) as sec from hot), best as (select job_id, sec, arg_max(score, (score, -k)) as score from secs group by all),
+    tiered as (select seg.*, case when score >= 50 then 'hot' when score >= 20 then 'warm' else 'cold' end as tier from seg left join best on best.job_id = seg.job_id and best.sec = floor(seg.t0)),
+    lines as (select *, {_LINE} case when tier = 'hot' then text else left(text, 100) end as line from tiered),
+    c1 as (select *, coalesce(lag(tier) over w <> 'cold', true) and tier = 'cold' as begins, lead(t0) over w as nxt, max(t1) over (partition by job_id) as end_ from tiered window w as (partition by job_id order by seq)),
+    c2 as (select *, sum(begins::int) over (partition by job_id order by seq) as run from c1), c3 as (select job_id, run, arg_min(t0, seq) as a, arg_max(coalesce(nxt, end_), seq) as b from c2 where tier = 'cold' group by all),
+    c4 as (select job_id, run, '[' || round_even(a, 0)::bigint || '-' || round_even(b, 0)::bigint || 's] (low-engagement region — ' || round_even(b - a, 0)::bigint || 's of content condensed)' as line from c3),
+    cold_ as (select job_id, left(string_agg(line, chr(10) order by run) filter (where run <= 10), {_BUDGET // 10}) as cold from c4 group by 1), {_greedy("hot", _BUDGET * 6 // 10)}, {_greedy("warm", _BUDGET * 3 // 10)}
+    select j.job_id, coalesce(len(h.kept), 0)::int as hot, coalesce(len(w.kept), 0)::int as warm, length(coalesce(cold, ''))::int as cold, sha256(array_to_string(list_concat(list_concat(coalesce(h.kept, []), coalesce(w.kept, [])), [coalesce(cold, '')]), chr(10))) as digest
+    from (select distinct job_id from seg) j left join hot_ h using (job_id) left join warm_ w using (job_id) left join cold_ using (job_id)""",
+)
+def hot_first(spark, d):
+    """Transcripts within 1,500 characters, hot windows first (digests)."""
+    segs = tables.segments(spark, d, PER_WORD)
+    found = C.hot_first(segs, S.hot_zones(*_inputs(spark, d)), _BUDGET)
+    return found.select("job_id", "hot", "warm", "cold", F.sha2("text", 256).alias("digest"))
+
+
+@register("st08_consolidated_segments")
+def consolidated_segments(spark, d):
+    rows = tables.segments(spark, d, 0.05).select("job_id", "seq", "t0", "t1", F.coalesce("text", F.lit("")).alias("text"))
+    return D.fold(rows, "job_id", ["seq"], C.consolidated, "job_id long, seq long, t0 double, t1 double, text string")
