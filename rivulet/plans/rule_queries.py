@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import rules as R
 from rivulet.operators import folds as D
+from rivulet.operators import uploads as U
 from rivulet.plans import duck
 from rivulet.plans.registry import register
 from rivulet.sources import tables
@@ -193,3 +194,21 @@ def still_degraded(spark, d):
     last = rows.groupBy("job_id").agg(F.max("until").alias("until"))
     now = events.agg((F.max("s") - 432_000).alias("now"))  # one row
     return last.crossJoin(F.broadcast(now)).select("job_id", F.coalesce(F.col("until") > F.col("now"), F.lit(False)).alias("degraded"))
+
+
+@register(
+    "sc18_received_chunks",
+    """with c as (select doc_id % 40 as upload_id, doc_id // 40 as chunk, coalesce(text, '') as data, doc_id % 11 = 0 as bad from documents), g as (select upload_id, chunk, octet_length(encode(data)) as size from c where not bad),
+    t as (select upload_id, count(*) as total from c group by 1), n as (select upload_id, count(*) as n, sum(size)::bigint as bytes from g group by 1)
+    select upload_id, coalesce(n, 0) as n, coalesce(bytes, 0) as bytes, round(coalesce(n, 0) / total * 100, 1) as percent, coalesce(n, 0) = total as complete from t left join n using (upload_id)""",
+)
+def received_chunks(spark, d):
+    """Documents as chunks of forty uploads: half come with a CRC and half with a digest, every eleventh with a wrong one,
+    and every third comes twice."""
+    docs = tables.load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("data"))
+    bad, even = F.col("doc_id") % 11 == 0, F.col("doc_id") % 2 == 0
+    crc = F.when(even, (F.crc32(F.col("data").cast("binary")) + bad.cast("long")).cast("string"))
+    sha = F.when(~even, F.concat(F.sha2("data", 256), F.when(bad, "x").otherwise("")))
+    chunks = docs.select((F.col("doc_id") % 40).alias("upload_id"), F.floor(F.col("doc_id") / 40).alias("chunk"), "data", crc.alias("crc"), sha.alias("sha"), F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("seq"))
+    totals = chunks.groupBy("upload_id").agg(F.countDistinct("chunk").alias("total"))
+    return U.received(chunks, totals)
