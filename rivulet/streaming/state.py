@@ -42,3 +42,44 @@ def silent_since(rows: DataFrame, key: str, ts: str, silence: str = "15 seconds"
     """Activity sessions per key that end after a silence: what a heartbeat is due for."""
     sessions = rows.withWatermark(ts, silence).groupBy(F.session_window(ts, silence), key).agg(F.count(F.lit(1)).alias("n"))
     return sessions.select(key, F.col("session_window.start").alias("w0"), F.col("session_window.end").alias("w1"), "n")
+
+
+def progress_sink(updates: DataFrame, store: str, schema, checkpoint: str):
+    """Start a stream of progress updates (job_id, ts, status, progress, message) into a job store: of each batch the last
+    update of every job is put into its document, by a write that swaps whole jobs. A batch that runs again after a failure
+    gives the same documents. Updates of unknown jobs are ignored."""
+    from rivulet.sources import job_store as J
+
+    def put(batch: DataFrame, _: int) -> None:
+        last = batch.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "message"), "ts").alias("u"))
+        jobs = J.list_jobs(batch.sparkSession, store, schema).join(last, "job_id")
+        changes = {"status": F.col("u.status"), "progress": F.coalesce("u.progress", "progress"), "progress_message": F.coalesce("u.message", "progress_message")}
+        J.save_jobs(J.patch_jobs(jobs, changes).select(*schema.names), store)
+
+    return updates.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def heartbeats(rows: DataFrame, key: str, ts: str, silence_ms: int = 15_000) -> DataFrame:
+    """(key, kind, at): every row as ``progress``, and a ``heartbeat`` whenever a key has been silent for so long, again and
+    again until it speaks; a key whose ``status`` is done, failed or cancelled falls silent for good. ``at`` is
+    milliseconds of processing time."""
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        if state.hasTimedOut:
+            kinds = ["heartbeat"]
+            over = False
+        else:
+            every = pd.concat(list(batches))
+            kinds = ["progress"] * len(every)
+            over = bool(every["status"].isin(["done", "failed", "cancelled"]).any())
+        if over:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((now,))
+            state.setTimeoutDuration(silence_ms)
+        yield pd.DataFrame({key: [group[0]] * len(kinds), "kind": kinds, "at": [now] * len(kinds)})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, kind string, at long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
