@@ -45,7 +45,7 @@ def translations(spark, d):
     return _answers(spark, d).select("doc_id", F.when(found.isNotNull(), F.size(found)).alias("n"), F.get(found, F.lit(0)).alias("first"))
 
 
-@register("sf30_json_object")
+@register("sf30_json_object", "select doc_id, case when doc_id % 6 <> 5 then doc_id end as n from documents where text is not null")
 def json_object(spark, d):
     """Answers with thoughts, fences, raw line breaks in strings and text around the object: the title in it."""
     a = F.to_json(F.struct(F.left("text", F.lit(40)).alias("title"), F.col("doc_id").alias("n")))
@@ -58,7 +58,7 @@ def json_object(spark, d):
     return rows.select("doc_id", F.get_json_object(P.json_text(F.col("answer")), "$.n").cast("long").alias("n"))
 
 
-@register("sf31_escaped_breaks")
+@register("sf31_escaped_breaks", "select doc_id, true as same from documents where text is not null")
 def escaped_breaks(spark, d):
     """Texts with their raw line breaks as a JSON string; what is mended parses to the text."""
     quoted = F.concat(F.lit('{"t": "'), F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"}\n'))
