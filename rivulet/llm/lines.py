@@ -47,7 +47,9 @@ BUCKETS = 1 << 21
 #: With this share or less, the number follows from the larger of two matching lines for every threshold t.
 EXTRA = 0.32
 #: Tokens of lines for each bucket of prefix tokens; a quarter of them, about, are prefix tokens.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
+#: Entries that a task packs at once.
+_PACK = 500_000
 #: Keys that a task remembers, so as to emit the prefix of a common line once.
 _SEEN = 1 << 18
 
@@ -169,17 +171,39 @@ def _summed(scanned: DataFrame) -> np.ndarray:
     return total
 
 
-_ENTRY = ["token", "l1", "i", "m"]
-_KINDS = {"token": np.dtype("<i8"), "l1": np.dtype("<i8"), "i": np.dtype("<i4"), "m": np.dtype("<i4")}
+def _pieces(bucket: np.ndarray, token: np.ndarray, l1: np.ndarray, i: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """A row per bucket: its entries' tokens, keys, places and sizes, block after block, in 24 bytes each."""
+    order = np.argsort(bucket, kind="stable")
+    held, n = np.unique(bucket[order], return_counts=True)
+    start = np.cumsum(n) - n
+    size, begin = np.repeat(n, n), np.repeat(start, n)
+    at = np.arange(len(order)) - begin
+    words = np.empty(6 * len(order), "<u4")
+    wide = words.view("<i8")
+    wide[3 * begin + at], wide[3 * begin + size + at] = token[order], l1[order]
+    words[6 * begin + 4 * size + at], words[6 * begin + 5 * size + at] = i[order], m[order]
+    offsets = np.append(24 * start, 24 * len(order)).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), packed], names=["bucket", "entries"])
+
+
+def _entries(pieces: list[memoryview]) -> tuple[np.ndarray, ...]:
+    """(token, l1, i, m) of packed pieces."""
+    held = []
+    for x in pieces:
+        n = len(x) // 24
+        held.append((np.frombuffer(x, "<i8", n), np.frombuffer(x, "<i8", n, 8 * n), np.frombuffer(x, "<i4", n, 16 * n), np.frombuffer(x, "<i4", n, 20 * n)))
+    return tuple(np.concatenate(parts) for parts in zip(*held, strict=True))
 
 
 def _prefixes(rows: DataFrame, classes, shingle: int, threshold: float, buckets: int) -> DataFrame:
-    """(bucket, n, and the entries' columns as bytes): the prefix tokens of all lines, with their key and place among the
-    line's m tokens, packed by bucket for every slice of texts. A token of a class above 0 is dealt over an eighth of the
-    buckets. A task emits a key it remembers once."""
+    """(bucket, entries): the prefix tokens of all lines, with their key and place among the line's m tokens, packed by
+    bucket for every ``_PACK`` entries of a task. A token of a class above 0 is dealt over an eighth of the buckets. A task
+    emits a key it remembers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = ~np.arange(_SEEN)  # no key is in the slot of its complement
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "__text"):
                 _, hashes, owner, words = line_tokens(*text_bytes(part.column("__text")), shingle)
@@ -198,15 +222,16 @@ def _prefixes(rows: DataFrame, classes, shingle: int, threshold: float, buckets:
                 token = found[at[:-1][line] + i]
                 own = l1[line].view(np.uint64)
                 salt = np.where(classes.value[(token & np.uint64(BUCKETS - 1)).astype(np.int64)] > 0, tokens.mix(own) % np.uint64(max(1, buckets // 8)), np.uint64(0))
-                bucket = (tokens.mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                held, n = np.unique(bucket[order], return_counts=True)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                columns = {"token": token.view(np.int64), "l1": l1[line], "i": i, "m": m[line]}
-                packed = [pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(columns[c][order].astype(kind))]) for c, kind in _KINDS.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *packed], names=["bucket", *_ENTRY])
+                bucket = (tokens.mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
+                held.append((bucket, token.view(np.int64), l1[line], i.astype(np.int32), m[line].astype(np.int32)))
+                size += len(line)
+                if size >= _PACK:
+                    yield _pieces(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            yield _pieces(*map(np.concatenate, zip(*held, strict=True)))
 
-    return rows.select("__text").mapInArrow(run, "bucket int, token binary, l1 binary, i binary, m binary")
+    return rows.select("__text").mapInArrow(run, "bucket int, entries binary")
 
 
 def _recurring(packed: DataFrame, classes) -> DataFrame:
@@ -214,7 +239,7 @@ def _recurring(packed: DataFrame, classes) -> DataFrame:
     of a class above 0 that have one key there."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, l1, i, m = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in _KINDS.items())
+        token, l1, i, m = _entries([x.as_buffer() for x in table.column("entries")])
         order = np.lexsort((l1, token))
         token, l1, i, m = (x[order] for x in (token, l1, i, m))
         same = np.zeros(len(token), bool)
@@ -312,7 +337,7 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", te
     place = F.struct(F.col(key).alias("d"), F.col("c").alias("c"), F.col("c2").alias("c2"), F.col("line").alias("line"))
     firsts = materialize(each.groupBy("l1", "l2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")), "line-keys")
 
-    buckets = max(64, -(-int(total.sum()) // BUCKET_TOKENS))
+    buckets = max(16, -(-int(total.sum()) // BUCKET_TOKENS))
     entries = materialize(_recurring(_prefixes(rows, classes, shingle, threshold, buckets), classes), "line-entries")
     hits = _hits(entries).groupBy("l1").agg(F.collect_set(F.struct("token", "i")).alias("hits"), F.first("m").alias("m"))
     hits = hits.filter(F.size("hits") >= must_share(F.col("m"), threshold))
