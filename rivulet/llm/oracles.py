@@ -60,3 +60,17 @@ items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (r) left join items using (r)
 """
+
+AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (select t, min(doc_id) as least from d group by t),
+x as (select part, doc_id, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, least is not null)] as f from d join m using (t)),
+l as (select doc_id, coalesce(max((quality = 1)::int), 0) as good, coalesce(max((toxic = 1)::int), 0) as toxic from labels where doc_id is not null group by 1),
+c as (select part, f, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from x left join l using (doc_id) group by all),
+o as (select a || b || c || d || e as filter_order from unnest(['A','B','C','D','E']) t1(a), unnest(['A','B','C','D','E']) t2(b), unnest(['A','B','C','D','E']) t3(c), unnest(['A','B','C','D','E']) t4(d), unnest(['A','B','C','D','E']) t5(e) where len(list_distinct([a, b, c, d, e])) = 5),
+s as (select filter_order, step, ascii(filter_order[step]) - 64 as k, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) as before from o, unnest(range(1, 6)) u(step)),
+e as (select part, filter_order, step, k, f, n, good, toxic, f[k] as fails, len(list_filter(before, lambda i: f[i])) = 0 as reached, len(list_filter(f, lambda b: b)) as failed from s cross join c),
+g as (select part, filter_order, step, k, sum(n) filter (reached and not fails) as kept, sum(n) filter (reached and fails) as removed, sum(n) filter (fails and not reached) as redundant, sum(n) filter (fails and failed = 1) as unique_fails, sum(good) filter (reached and fails) as good_lost, sum(toxic) filter (reached and fails) as toxic_lost from e group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  sum(coalesce(removed, 0)) over (partition by part, k)::bigint as shapley from g
+"""

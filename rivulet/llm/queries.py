@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, embedding, html_text, langid, lines, minhash, oracles, sharding, substring, warc
+from rivulet.llm import bpe, decontaminate, embedding, filter_audit, html_text, langid, lines, minhash, oracles, sharding, substring, warc
 from rivulet.llm.common import small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,6 +73,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_dedup": oracles.NEAR,
     "op7_embedding_dedup": oracles.EMBEDDINGS,
     "op9_decontamination": oracles.DECONTAMINATION,
+    "op13_filter_audit": oracles.AUDIT,
 }
