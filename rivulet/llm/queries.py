@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontaminate, embedding, filter_audit, html_text, langid, lines, minhash, oracles, sharding, substring, warc, whitening
+from rivulet.llm import bpe, decontaminate, embedding, filter_audit, html_text, langid, lines, minhash, oracles, sharding, substring, suffixes, warc, whitening
 from rivulet.llm.common import small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,6 +73,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.deduplicate(docs, n=200)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_whitening": op12_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
