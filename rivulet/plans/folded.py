@@ -223,15 +223,6 @@ def contiguous(spark, d):
     return rows.select("job_id", "seq", start.alias("t0"), F.when(F.col("next") - F.col("t1") >= 0.05, F.col("next")).otherwise(F.col("t1")).alias("t1"))
 
 
-@register("ts59_tv_denoise")
-def tv_denoise(spark, d):
-    def step(rows):
-        held = list(rows)  # the whole series is one problem
-        return ({**r, "x": round(x, 6)} for r, x in zip(held, D.tv_denoise([r["x"] for r in held], 10.0), strict=True))
-
-    return D.fold(_points(spark, d), "job_id", ["t"], step, "job_id long, t double, x double")
-
-
 _RECENT = "list_append(list_filter(f.recent, lambda s: n.s - s <= 86400e0), n.s)"
 
 

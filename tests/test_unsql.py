@@ -2,13 +2,10 @@
 
 from itertools import groupby
 
-import pytest
-
 from rivulet.operators import condense as C
 from rivulet.operators import folds as D
 from rivulet.operators import subjects as Z
 from rivulet.plans import registry
-from rivulet.plans.folded import _points
 from rivulet.sources import tables
 
 DIR = "/root/testdata/sf0.001"
@@ -29,15 +26,6 @@ def test_speakers(spark):
     assert made(spark, "st09_assign_speakers", "job_id", "seq", "speaker") == want and len({w[2] for w in want}) > 1
 
 
-def test_denoised(spark):
-    want = []
-    for job in by_job(_points(spark, DIR), "t"):
-        xs = D.tv_denoise([r["x"] for r in job], 10.0)
-        assert sum(xs) == pytest.approx(sum(r["x"] for r in job)) and sum(abs(b - a) for a, b in zip(xs, xs[1:], strict=False)) < sum(abs(b["x"] - a["x"]) for a, b in zip(job, job[1:], strict=False))
-        want += [(r["job_id"], r["t"], round(x, 6)) for r, x in zip(job, xs, strict=True)]
-    assert made(spark, "ts59_tv_denoise", "job_id", "t", "x") == sorted(want)
-
-
 def test_merged_stretches(spark):
     rows = tables.speaker_events(spark, DIR).selectExpr("job_id", "event_id", "t0", "t1", "slot", "event_id % 9 = 0 as cut")
     want = sorted((x["job_id"], x["t0"], x["t1"], x["slot"]) for job in by_job(rows, "t0", "event_id") for x in Z.merged_short(job, 6.0))
