@@ -312,6 +312,20 @@ def greedy_match(pairs: Iterable[dict]) -> Iterator[dict]:
             yield p
 
 
+def tv_denoise(values: list[float], weight: float, rounds: int = 200) -> list[float]:
+    """Total-variation smoothing by projected dual gradient steps."""
+    import numpy as np
+
+    y = np.asarray(values, float)
+    if len(y) < 2:
+        return y.tolist()
+    dual = np.zeros(len(y) - 1)
+    for _ in range(rounds):
+        x = y + np.diff(np.concatenate([[0], dual, [0]]))
+        dual = np.clip(dual + 0.25 * np.diff(x), -weight, weight)
+    return (y + np.diff(np.concatenate([[0], dual, [0]]))).tolist()
+
+
 def gap_clusters(values: list[float], gap: float) -> list[int]:
     """Cluster numbers of sorted values: a new one after every gap."""
     out, n = [], 0

@@ -22,18 +22,18 @@ CLIPS = """clips as (select l_orderkey as job_id, l_linenumber as clip_id, (l_pa
   1 + l_suppkey * 7 % 100 as score, l_returnflag as platform, l_linestatus as kind from lineitem)"""
 
 
-def fold(rows: str, order: str, start: dict[str, str], step: dict[str, str], key: str = "job_id") -> str:
-    """CTEs ``n`` and ``f``: the rows numbered per job, and a left fold over them with a state in every row. In ``start``
-    and ``step``, n names the row and f the row before with its state. Needs ``with recursive``."""
+def fold(rows: str, order: str, start: dict[str, str], step: dict[str, str], key: str = "job_id", tag: str = "") -> str:
+    """CTEs ``n`` and ``f`` (with ``tag``): the rows numbered per job, and a left fold over them with a state in every row.
+    In ``start`` and ``step``, n names the row and f the row before with its state. Needs ``with recursive``."""
     first = ", ".join(f"{v} as {k}" for k, v in start.items())
     later = ", ".join(f"{step[k]} as new_{k}" for k in start)
-    return f"""n as (select *, row_number() over (partition by {key} order by {order}) as rn from {rows}),
-    f as (select n.*, {first} from n where rn = 1 union all select n.*, {later} from f join n on n.{key} = f.{key} and n.rn = f.rn + 1)"""
+    return f"""n{tag} as (select *, row_number() over (partition by {key} order by {order}) as rn from {rows}),
+    f{tag} as (select n.*, {first} from n{tag} n where rn = 1 union all select n.*, {later} from f{tag} f join n{tag} n on n.{key} = f.{key} and n.rn = f.rn + 1)"""
 
 
-def last_of(idx: str, key: str = "job_id") -> str:
+def last_of(idx: str, key: str = "job_id", tag: str = "") -> str:
     """The last row of every number ``idx`` of a fold's rows."""
-    return f"(select *, max(rn) over (partition by {key}, {idx}) as last_rn from f) where rn = last_rn"
+    return f"(select *, max(rn) over (partition by {key}, {idx}) as last_rn from f{tag}) where rn = last_rn"
 
 
 FACES = EV + """, faces as (select job_id, event_id, t, k, case when (event_id + k) % 19 = 0 then -1 else (event_id % 3 + k) % 4 end::int as slot, ((event_id * 37 + k * 29) % 101)::double as x, ((event_id * 53 + k * 17) % 101)::double as y, (4 + event_id % 20)::double as w, (6 + event_id % 15)::double as h
