@@ -74,3 +74,15 @@ g as (select part, filter_order, step, k, sum(n) filter (reached and not fails)
 select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
   sum(coalesce(removed, 0)) over (partition by part, k)::bigint as shapley from g
 """
+
+SUFFIXES = """
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as t from documents),
+w as (select r, i, md5(array_slice(t, i, i + 199)) as h from (select r, t, unnest(range(1, octet_length(t) - 198)) as i from d where octet_length(t) >= 200)),
+s as (select r, i from w semi join (select h from w group by h having count(*) > 1) using (h)),
+g as (select r, i, (i > 200 + lag(i, 1, -1000) over (partition by r order by i))::int as new from s),
+runs as (select r, g, min(i) as a, max(i) + 200 as b from (select r, i, sum(new) over (partition by r order by i) as g from g) group by r, g),
+cuts as (select r, list(a order by a) as a, list(b order by a) as b, sum(b - a) as n_removed, count(*) as n_spans from runs group by r),
+k as (select r, string_agg(hex(array_slice(t, x, y)), '' order by x) as kept from (select r, t, unnest(list_prepend(1, b)) as x, unnest(list_append(a, octet_length(t) + 1)) - 1 as y from d join cuts using (r)) where y >= x group by r)
+select doc_id, octet_length(t)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, case when n_spans is null then sha256(t) else sha256(unhex(coalesce(kept, ''))) end as kept_sha256
+from d left join cuts using (r) left join k using (r)
+"""

@@ -109,5 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_dedup": oracles.NEAR,
     "op7_embedding_dedup": oracles.EMBEDDINGS,
     "op9_decontamination": oracles.DECONTAMINATION,
+    "op11_suffix_dedup": oracles.SUFFIXES,
     "op13_filter_audit": oracles.AUDIT,
 }

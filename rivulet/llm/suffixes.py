@@ -12,8 +12,10 @@ what it orders, so the digits are chosen for how much they settle:
 3. Of grams with several kinds of blocks, one block of every kind is cut out of its text, dealt to a task by gram, and
    its suffixes are ordered there in numpy by ``DIGIT``-byte digits down to depth n; suffixes alone in their group
    leave after each digit. Digits are compared by 64-bit hashes, and groups that are left are verified byte by byte.
-4. A gram with more than ``BUCKET`` kinds of blocks isn't gathered: its suffixes are counted by all n bytes as one digit
-   (a 128-bit hash), partial sums first, so that a string which a third of all blocks hold is a row per task.
+4. A gram with more than ``BUCKET`` kinds of blocks isn't gathered: its blocks are cut into runs of ``RUN`` suffixes, whose
+   bytes are the next digit in the same way; of runs with several kinds, one of every kind is counted suffix by suffix,
+   all n bytes as one digit. These digits are 128-bit hashes, counted with partial sums first, so that a string which a
+   third of all blocks hold is a row per task.
 
 Copies of one text, told by a 128-bit key, are one text that repeats; they are removed whole without looking inside. Texts
 meet their flags in joins of plain scans; what is collected per text is bounded by that text. All phases are written to the
@@ -43,8 +45,10 @@ from rivulet.llm.common import content_keys, discard, materialize, release, slic
 GRAM = 64
 DIGIT = 40
 PIECE = 1 << 20
-#: Kinds of blocks of a gram that one task orders; suffixes that it orders at once, about.
+#: Kinds of blocks of a gram that one task orders; suffixes of a run of blocks of other grams; suffixes that a task orders at
+#: once, about.
 BUCKET = 64
+RUN = 8
 _SUFFIXES = 1 << 20
 
 
@@ -275,9 +279,9 @@ def _ordered(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, "id long, a int, b int")
 
 
-def _counted(rows: DataFrame, n: int) -> DataFrame:
-    """(id, a, b) of repeated suffixes of blocks that occur once, of grams with very many kinds of blocks: all bytes to
-    depth n are one digit, which is counted."""
+def _sub_blocks(rows: DataFrame, n: int) -> DataFrame:
+    """Blocks as runs of ``RUN`` suffixes, by their distance to the gram: where they stand, and 128 bits of their bytes."""
+    schema = "p long, q int, g1 long, g2 long, id long, at int, a int, b int, again boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,19 +289,68 @@ def _counted(rows: DataFrame, n: int) -> DataFrame:
                 continue
             spans = batch.column("bytes").to_pylist()
             data = np.frombuffer(b"".join(spans), np.uint8)
-            base, count = np.cumsum([0, *map(len, spans)])[:-1], batch.column("n").to_numpy()
+            base = np.cumsum([0, *map(len, spans)])[:-1]
+            off, count, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("off", "n", "at"))
             block = np.repeat(np.arange(len(spans)), count)
             nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
-            g1, g2 = (_hashes(tokens._BYTE_VALUES[f][data], n, f)[base[block] + nth].view(np.int64) for f in (0, 1))
-            at = (batch.column("at").to_numpy()[block] + nth).astype(np.int32)
+            q = (off[block] - nth) // RUN
+            new = np.ones(len(block), bool)
+            new[1:] = (block[1:] != block[:-1]) | (q[1:] != q[:-1])
+            head = np.flatnonzero(new)
+            length = np.diff(np.append(head, len(block)))
+            block, nth, q = block[head], nth[head], q[head]
+            g1, g2 = span_digests(data, base[block] + nth, length - 1 + n)
+            first = (at[block] + nth).astype(np.int32)
             take = pa.array(block)
-            made = pa.RecordBatch.from_arrays([batch.column("id").take(take), pa.array(at), batch.column("again").take(take), pa.array(g1), pa.array(g2)], names=["id", "a", "again", "g1", "g2"])
+            same = [batch.column(c).take(take) for c in ("p", "id", "at", "again")]
+            made = pa.RecordBatch.from_arrays([same[0], pa.array(q.astype(np.int32)), pa.array(g1), pa.array(g2), same[1], same[2], pa.array(first), pa.array(first + length.astype(np.int32)), same[3]], names=["p", "q", "g1", "g2", "id", "at", "a", "b", "again"])
+            yield from (made.slice(i, 1 << 16) for i in range(0, made.num_rows, 1 << 16))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _single(rows: DataFrame, n: int) -> DataFrame:
+    """The suffixes of the chosen runs of blocks, with 128 bits of all n bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            spans = batch.column("bytes").to_pylist()
+            data = np.frombuffer(b"".join(spans), np.uint8)
+            base = np.cumsum([0, *map(len, spans)])[:-1]
+            off, count, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("off", "n", "at"))
+            runs = batch.column("runs")
+            of = np.repeat(np.arange(len(spans)), np.asarray(runs.value_lengths()))
+            q, again = (runs.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("q", "again"))
+            first = np.maximum(off[of] - q * RUN - RUN + 1, 0)  # a run's suffixes have distances from q * RUN on
+            last = np.minimum(off[of] - q * RUN, count[of] - 1)
+            length = last - first + 1
+            which = np.repeat(np.arange(len(of)), length)
+            nth = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
+            block = of[which]
+            g1, g2 = (_hashes(tokens._BYTE_VALUES[f][data], n, f)[base[block] + nth].view(np.int64) for f in (0, 1))
+            made = pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(block)), pa.array((at[block] + nth).astype(np.int32)), pa.array(again[which].astype(bool)), pa.array(g1), pa.array(g2)], names=["id", "a", "again", "g1", "g2"])
             yield from (made.slice(i, 1 << 16) for i in range(0, made.num_rows, 1 << 16))
 
-    each = materialize(rows.mapInArrow(run, "id long, a int, again boolean, g1 long, g2 long"), "suffix-wide")
+    return rows.mapInArrow(run, "id long, a int, again boolean, g1 long, g2 long")
+
+
+def _counted(rows: DataFrame, n: int) -> DataFrame:
+    """(id, a, b): ranges of repeated suffixes of the blocks that occur once, of grams with very many kinds of blocks. The
+    blocks are cut into runs, whose bytes are a digit as the blocks' were; of runs with several kinds, one of every kind
+    is counted suffix by suffix."""
+    names = ["p", "q", "g1", "g2"]
+    runs = materialize(_sub_blocks(rows, n), "suffix-runs")
+    kinds = materialize(runs.groupBy(*names).agg(((F.count(F.lit(1)) > 1) | F.max("again")).alias("again"), F.min(F.struct("id", "at")).alias("ref")), "suffix-run-kinds")
+    crowded = materialize(kinds.groupBy("p", "q").agg(F.count(F.lit(1)).alias("k"), F.min("again").alias("all")).filter("k > 1 and not all").select("p", "q"), "suffix-run-crowded")
+    whole = runs.filter("not again").join(kinds.filter("again").select(*names), names, "left_semi").select("id", "a", "b")
+    refs = kinds.join(crowded, ["p", "q"]).select("ref.id", "ref.at", F.struct("q", "again").alias("r")).groupBy("id", "at").agg(F.collect_list("r").alias("runs"))
+    each = materialize(_single(rows.drop("again").join(materialize(refs, "suffix-run-refs"), ["id", "at"]), n), "suffix-single")
     groups = each.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
-    groups = materialize(groups.filter("n > 1 or again").select("g1", "g2"), "suffix-wide-groups")
-    return each.filter("not again").join(groups, ["g1", "g2"], "left_semi").select("id", "a", (F.col("a") + 1).alias("b"))
+    groups = materialize(groups.filter("n > 1 or again").select("g1", "g2"), "suffix-single-groups")
+    alone = each.filter("not again").join(groups, ["g1", "g2"], "left_semi").select("id", "a", (F.col("a") + 1).alias("b"))
+    return whole.unionByName(alone)
 
 
 def _removed(rows: DataFrame, n: int) -> DataFrame:
