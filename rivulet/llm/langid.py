@@ -4,10 +4,11 @@ For every language a suffix automaton of labelled text is built; it recognises e
 text is parsed against it greedily: from each phrase's start the automaton follows the characters as long as they occur
 in the labelled text (the longest match), where the next phrase starts. The fewer phrases, the better the language's
 text predicts this one. The language with fewest wins. As phrases grow with the logarithm of the labelled text, those of
-languages with samples of other lengths are weighted by it; a letter that a language's sample doesn't hold counts one for
-every language. Samples under ``SHORT_CHARS`` count as that long: the law doesn't hold for less.
+languages with samples of other lengths are weighted by it. A letter that a language's sample doesn't hold has to be named
+among all code points instead of pointed at in a sample, so it counts by the logarithm of their number: more than a phrase
+of one held letter. Samples under ``SHORT_CHARS`` count as that long: the law doesn't hold for less.
 
-Texts are parsed whole, case-folded, with runs of non-letters as one blank. All texts of an Arrow batch step through all
+Texts are parsed whole, case-folded, with runs of anything but letters and combining marks as one blank. All texts of an Arrow batch step through all
 automata together, one character a step, as numpy vectors over one sparse transition table. A text longer than ``BLOCK``
 characters is stepped through in blocks at once, as if each began a phrase; then every block is parsed again from the
 state in which the block before it ended, up to where both parses meet (mostly a few phrases on), so the count is that of
@@ -26,6 +27,8 @@ empty result. Extra columns are kept, but for those with the names of the new co
 from __future__ import annotations
 
 import hashlib
+import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +43,10 @@ from rivulet.llm.common import slices
 SAMPLE_CHARS = 40_000
 #: Length of sample from which on phrases are weighted by its logarithm.
 SHORT_CHARS = 5_000
-#: Labelled documents per language that are looked at for the sample, about.
+#: Labelled documents per language that are looked at for the sample at first; more where they don't fill it.
 SAMPLE_DOCS = 120
+#: What a letter that no sample holds costs, as a phrase costs the logarithm of its sample's length.
+FOREIGN = math.log(0x110000)
 #: Characters of a block; it sets how many steps are taken at once and doesn't change results.
 BLOCK = 2048
 #: Places tried for a state's transitions before they go to the end of the table.
@@ -94,12 +99,20 @@ def letters_table() -> np.ndarray:
         if char.isalpha():
             low = char.lower()
             table[cp] = ord(low[0])
+        elif unicodedata.category(char) in ("Mn", "Mc"):
+            table[cp] = cp
     return table
 
 
 _LETTERS: list[np.ndarray] = []
 
 
+def _marks(points: np.ndarray) -> np.ndarray:
+    """Which of the folded code points are marks and no letters."""
+    found = np.unique(points)
+    return np.isin(points, found[[not chr(c).isalpha() and c != 32 for c in found.tolist()]])
+
+
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Folded letters with single blanks between words, of all texts; and the texts' offsets."""
     if not _LETTERS:
@@ -190,6 +203,7 @@ class Model:
             base, begin = base + n + 1, begin + len(owner)
         lengths = np.log(np.maximum([len(part) for part in parts], SHORT_CHARS))
         self.weights = lengths / lengths.max(initial=1.0)
+        self.foreign_weight = FOREIGN / lengths.max(initial=1.0)
         self.offsets = np.concatenate(offsets).astype(np.int64) if parts else np.zeros(0, np.int64)
         self.slots = np.concatenate(slots).view(np.uint64).ravel() if parts else np.zeros(0, np.uint64)
 
@@ -274,15 +288,14 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         letters, at = normalised(texts)
-        has = np.concatenate([[0], np.cumsum(letters != 32)])
+        has = np.concatenate([[0], np.cumsum((letters != 32) & ~_marks(letters))])
         has = has[at[1:]] > has[at[:-1]]
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         classes = self.classes[letters]
         count = self.phrases(classes, at).astype(np.float64)
-        if (self.weights < 1).any():
-            alone = self.foreign(classes, at)
-            count = (count - alone) * self.weights + alone
+        alone = self.foreign(classes, at)
+        count = (count - alone) * self.weights + alone * self.foreign_weight
         best = np.argmin(count, axis=1)
         least = count[np.arange(len(texts)), best]
         others = count.copy()
@@ -301,26 +314,42 @@ def model(samples: dict[str, str]) -> Model:
     return _MODELS[key]
 
 
+def _drawn(rows: DataFrame, shares: dict, sample_chars: int, key: str, text: str, lang: str) -> dict[str, tuple[list[str], int]]:
+    """Per language the texts of a share of its rows, in order of hashed keys, up to the one that fills the sample; and how
+    many letters and marks they have."""
+    modulus = 1_000_000_007
+    limits = rows.sparkSession.createDataFrame([(name, int(min(1.0, share) * modulus)) for name, share in shares.items()], T.StructType([T.StructField("lang", rows.schema[lang].dataType), T.StructField("most", T.LongType())]))
+    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(modulus))
+    picked = rows.select(F.col(lang).alias("lang"), spread.alias("h"), F.col(key).cast("string").alias("k"), F.substring(text, 1, 4 * sample_chars).alias("text"))
+    picked = picked.join(F.broadcast(limits), "lang").filter("h <= most").withColumn("size", F.length(F.regexp_replace("text", r"[^\p{L}\p{Mn}\p{Mc}]+", "")))
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("h", "k", "text").rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample_chars)
+    found: dict[str, tuple[list[str], int]] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["k"] or "", r["text"])):
+        own, size = found.get(r["lang"], ([], 0))
+        found[r["lang"]] = ([*own, r["text"]], size + r["size"])
+    return found
+
+
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """The samples: bounded text per language. Rows without text or label are left out by this function.
 
-    One pass counts the rows with a letter per language; a second takes about ``SAMPLE_DOCS`` of them per language, those
-    of smallest hashed key, as far as those before hold less than the sample. What reaches the driver is bounded by
-    languages and ``sample_chars``, but for the last text of each.
+    One pass counts the rows with a letter per language and their characters; a second takes as many of them per language,
+    those of smallest hashed key, as should fill the sample (``SAMPLE_DOCS`` at least). Where they turn out not to, as few
+    long texts hide among short ones, eight times as many are taken, until the sample is full or no row is left. What
+    reaches the driver is bounded by languages and ``sample_chars``, but for the last text of each.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count(F.lit(1))).collect()}
-    modulus = 1_000_000_007
-    limits = labelled.sparkSession.createDataFrame([(name, int(min(1.0, SAMPLE_DOCS / n) * modulus)) for name, n in counts.items()], T.StructType([T.StructField("lang", rows.schema[lang].dataType), T.StructField("most", T.LongType())]))
-    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(modulus))
-    # a text longer than the sample can't add more than the sample holds
-    picked = rows.select(F.col(lang).alias("lang"), spread.alias("h"), F.col(key).cast("string").alias("k"), F.substring(text, 1, 4 * sample_chars).alias("text"))
-    picked = picked.join(F.broadcast(limits), "lang").filter("h <= most")
-    before = F.sum(F.length(F.regexp_replace("text", r"\P{L}+", ""))).over(Window.partitionBy("lang").orderBy("h", "k", "text").rowsBetween(Window.unboundedPreceding, -1))
-    picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample_chars)
+    most = 4 * sample_chars  # a text longer than the sample can't add more than the sample holds
+    sizes = rows.groupBy(lang).agg(F.count(F.lit(1)), F.sum(F.least(F.length(text), F.lit(most)))).collect()
+    counts = {r[0]: r[1] for r in sizes}
+    wanted = {r[0]: min(r[1], max(SAMPLE_DOCS, math.ceil(2 * sample_chars * r[1] / r[2]))) for r in sizes}
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["k"] or "", r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"])
+    while wanted:
+        found = _drawn(rows, {name: w / counts[name] for name, w in wanted.items()}, sample_chars, key, text, lang)
+        texts |= {name: own for name, (own, _) in found.items()}
+        short = [name for name, w in wanted.items() if w < counts[name] and found.get(name, ([], 0))[1] < sample_chars]
+        wanted = {name: min(counts[name], 8 * wanted[name]) for name in short}
     whole = {name: "".join(map(chr, normalised(["\n".join(own)])[0].tolist())) for name, own in texts.items()}
     return {name: t[:sample_chars] for name, t in whole.items() if t.strip()}
 

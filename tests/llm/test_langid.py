@@ -123,3 +123,35 @@ def test_a_hundred_languages():
     text = lambda lang, n: " ".join(rng.choice(stems[lang]) for _ in range(n))
     model = langid.Model({lang: text(lang, 400) for lang in stems})
     assert model.predict([text(lang, 25) for lang in sorted(stems)])[0] == sorted(stems)
+
+
+def test_vowel_signs_are_part_of_words(spark):
+    """Marks stand within words: languages that share all their letters but for vowel signs are told apart."""
+    scripts = {"deva": ("कखगघचछजझ", "ािीुूे"), "thai": ("กขคงจฉชซ", "ิีึืุู"), "taml": ("கஙசஞடணதந", "ாிீுூெ"), "arab": ("ابتثجحخد", "\u064e\u064f\u0650\u0651")}
+    rng = random.Random(12)
+    for name, (letters, signs) in scripts.items():
+        half = len(signs) // 2
+        word = lambda own, letters=letters: "".join(rng.choice(letters) + rng.choice(own) for _ in range(4))
+        stems = {"one": [word(signs[:half]) for _ in range(30)], "two": [word(signs[half:]) for _ in range(30)]}
+        text = lambda k, n, stems=stems: " ".join(rng.choice(stems[k]) for _ in range(n))
+        model = langid.Model({k: text(k, 300) for k in stems} | {"en": "plain words of another script " * 30})
+        found, scores = model.predict([text(k, 4) for k in ("one", "two") for _ in range(20)])
+        assert found == ["one"] * 20 + ["two"] * 20 and min(scores) > 0.2, name
+        letters_only = ["".join(map(chr, row)) for row in [langid.normalised([stems["one"][0]])[0].tolist()]]
+        assert letters_only == [stems["one"][0]]
+    assert model.predict(["\u0301 \u0650", "12"])[0] == ["und", "und"]
+
+
+def test_a_held_letter_beats_a_foreign_one():
+    model = langid.Model({"aa": "xyz " * 50, "zz": "".join(map(chr, range(0x4E00, 0x4F00)))})
+    text = "".join(chr(c) for c in range(0x4EFF, 0x4E00, -7))
+    (found,), (score,) = model.predict([text])
+    assert found == "zz" and score > 0
+
+
+def test_short_texts_fill_the_sample(spark):
+    rng = random.Random(13)
+    short = lambda: "".join(rng.choice("abcdefgh") for _ in range(40))
+    rows = [(i, short(), "aa") for i in range(3000)] + [(5000 + i, short() if i % 300 else short() * 3000, "bb") for i in range(3000)]
+    samples = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: len(v) for k, v in samples.items()} == {"aa": langid.SAMPLE_CHARS, "bb": langid.SAMPLE_CHARS}
