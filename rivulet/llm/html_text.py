@@ -4,12 +4,18 @@ A page is cut into blocks at block-level tags. Pass one decides what structure a
 headers, footers, sidebars, notices, adverts, forms and reader comments are boilerplate, as are blocks that are mostly
 links; long blocks with enough stop words are content, as are long blocks in a language whose stop words aren't known, if
 they hold hardly any link and read as sentences. A mark that only goes with a name of content (as ``post-share``) doesn't
-outvote such long, link-free prose. Pass two gives every short, undecided block the label of its
+outvote such long, link-free prose. A form, or a container that its name marks, is no boilerplate if it holds nearly all
+such prose of the page, in several blocks (some sites wrap whole pages so); reader comments and what is hidden always are.
+Paragraphs and the like are marked by the whole name or its last part only (``share``, not ``share-price``). Pass two gives every short, undecided block the label of its
 nearest decided neighbours; a tie goes to the neighbour in the same container, then to content inside an article and for
 headings, else to boilerplate.
 
-Where a page marks its article (``article``, ``main``, ``role=main``) and that holds content, blocks outside it are
-boilerplate, and blocks inside it take labels from neighbours inside it only.
+Where a page marks its article (``article``, ``main``, ``role=main``) and that holds content, and not just a small part of
+the page's prose (a teaser), blocks outside it are boilerplate, and blocks inside it take labels from neighbours inside it
+only.
+
+A page is held as its blocks and the stack of open elements; what encloses a block is kept per marked element, so pages
+nested very deeply in marked elements take memory in proportion to blocks times such elements, up to ``DEEPEST``.
 
 Defined results: null html counts as empty; a page without main text gives the empty text. Repeated pages each give a
 row. A very long page is worked on whole, an empty table gives an empty result. Extra columns are kept, but for those
@@ -39,6 +45,11 @@ LINK_SHARE = 0.5
 PROSE_LINKS = 0.2
 SENTENCE_WORDS = 5
 
+#: The share of the page's prose, and the blocks of it, that lift a container's mark; the least share of a marked article.
+LIFTED, LIFTED_BLOCKS, ARTICLE_SHARE = 0.8, 2, 0.25
+#: Marked elements around a block that are looked at one by one; those deeper inside are boilerplate as their parents are.
+DEEPEST = 16
+
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     """
@@ -106,12 +117,14 @@ class Block:
     inside: bool
     structural: int  # 2 boilerplate by structure, 1 by a weak mark, 0 neither
     container: int
+    marks: tuple[tuple[int, int], ...] = ()  # enclosing marked containers and forms: their number, and the same
     label: int = 0  # 1 content, -1 boilerplate, 0 undecided
 
 
-def marked(name: str, attributes: str, inside: bool) -> tuple[int, bool]:
-    """(boilerplate as in ``Block.structural``, is the marked article), by an element's attributes."""
-    bad, main = 0, False
+def marked(name: str, attributes: str, inside: bool) -> tuple[int, int, bool]:
+    """(boilerplate as in ``Block.structural`` whatever it holds, the same by its name, is the marked article), by an
+    element's attributes."""
+    bad, named, main = 0, 0, False
     for m in _ATTRIBUTE_AT.finditer(attributes):
         found = _ATTRIBUTE.match(attributes, m.end())
         if not found:
@@ -132,14 +145,17 @@ def marked(name: str, attributes: str, inside: bool) -> tuple[int, bool]:
                 parts = [x for x in (p.lower() for p in _PARTS.split(one)) if x]
                 if not parts or parts[0] in ("no", "with", "has", "without", "not"):
                     continue
-                ends = {parts[0], parts[-1]} & MARKS
+                ends = ({parts[0], parts[-1]} if name in SCOPES else {parts[-1]}) & MARKS
                 if name == "article" or main:
                     ends &= COMMENTS
                 elif inside and name in HEADINGS:
                     ends -= {"header"}
                 if ends:
-                    bad = max(bad, 1 if ends <= WEAK_MARKS and CONTENT_NAMES.intersection(parts) else 2)
-    return bad, main
+                    level = 1 if ends <= WEAK_MARKS and CONTENT_NAMES.intersection(parts) else 2
+                    if name not in SCOPES or ends & COMMENTS:
+                        bad = max(bad, level)
+                    named = max(named, level)
+    return bad, named, main
 
 
 def markup(page: str) -> Iterator[tuple[str, str, str]]:
@@ -174,7 +190,7 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
 def blocks(pieces: Iterable[tuple[str, str, str]]) -> list[Block]:
     """The blocks of a page's markup in order, those of no text left out."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, int, str]] = []  # name, boilerplate, inside the article, link, container, block
+    stack: list[tuple] = []  # name, boilerplate, inside the article, link, container, block, marks
     opened: Counter[str] = Counter()
     containers = 0
     text: list[str] = []
@@ -185,8 +201,8 @@ def blocks(pieces: Iterable[tuple[str, str, str]]) -> list[Block]:
         if text:
             value = " ".join("".join(text).split())
             if value:
-                _, bad, inside, _, container, tag = stack[-1] if stack else ("", 0, False, False, 0, "")
-                found.append(Block(value, linked, tag, inside, bad, container))
+                _, bad, inside, _, container, tag, marks = stack[-1] if stack else ("", 0, False, False, 0, "", ())
+                found.append(Block(value, linked, tag, inside, bad, container, marks))
             text.clear()
         linked = 0
 
@@ -231,13 +247,16 @@ def blocks(pieces: Iterable[tuple[str, str, str]]) -> list[Block]:
             del stack[cut:]
         if name in VOID or (attributes.endswith("/") and name not in BLOCKS):
             continue
-        bad, inside, link, container, block = stack[-1][1:] if stack else (0, False, False, 0, "")
+        bad, inside, link, container, block, marks = stack[-1][1:] if stack else (0, False, False, 0, "", ())
         if name in SCOPES:
             containers += 1
             container = containers
-        own, main = marked(name, attributes, inside) if attributes else (0, False)
-        bad = max(bad, own, 2 * (name in BOILERPLATE and not (name == "header" and inside)))
-        stack.append((name, bad, inside or name in ("article", "main") or main, link or name == "a", container, name if name in BLOCKS else block))
+        own, named, main = marked(name, attributes, inside) if attributes else (0, 0, False)
+        named = 2 if name == "form" else named
+        if named > own and name in SCOPES and len(marks) < DEEPEST:
+            marks = (*marks, (containers, named))
+        bad = max(bad, own, 2 * (name in BOILERPLATE and name != "form" and not (name == "header" and inside)))
+        stack.append((name, bad, inside or name in ("article", "main") or main, link or name == "a", container, name if name in BLOCKS else block, marks))
         opened[name] += 1
     flush()
     return found
@@ -249,26 +268,41 @@ def _prose(b: Block, words: int, wide: int, letters: int) -> bool:
     return b.linked <= PROSE_LINKS * letters and sentences > 0 and words + wide >= SENTENCE_WORDS * sentences
 
 
+def _lift(found: list[Block], prose: list[int]) -> None:
+    """Take the marks of containers and forms over to their blocks, but for those that hold nearly all prose of the page."""
+    size: Counter[int] = Counter()
+    count: Counter[int] = Counter()
+    for b, n in zip(found, prose, strict=True):
+        for k, _ in b.marks if n else ():
+            size[k] += n
+            count[k] += 1
+    total = sum(prose)
+    for b in found:
+        b.structural = max([b.structural, *(level for k, level in b.marks if not (total and size[k] >= LIFTED * total and count[k] >= LIFTED_BLOCKS))])
+
+
 def classify(found: list[Block]) -> None:
     """Label every block, in two passes."""
-    for b in found:
-        letters = max(1, len(b.text) - b.text.count(" "))
-        if b.structural == 2 or b.linked > LINK_SHARE * letters:
-            b.label = -1
-            continue
+    letters = [max(1, len(b.text) - b.text.count(" ")) for b in found]
+    worded, content = [], []
+    for b, n in zip(found, letters, strict=True):
         wide = len(_WIDE.findall(b.text)) if not b.text.isascii() else 0
         words = _WORD.findall(b.text.lower()) if len(b.text) + wide >= LONG_BLOCK else []
-        if words:
-            known = sum(map(STOP_WORDS.__contains__, words)) >= STOP_SHARE * len(words)
-            content = known or _prose(b, len(words), wide, letters)
-            if b.structural:
-                b.label = 1 if content and b.linked <= PROSE_LINKS * letters else -1
-            else:
-                b.label = int(content)
+        worded.append(bool(words))
+        content.append(bool(words) and (sum(map(STOP_WORDS.__contains__, words)) >= STOP_SHARE * len(words) or _prose(b, len(words), wide, n)))
+    free = [c and b.linked <= PROSE_LINKS * n for b, n, c in zip(found, letters, content, strict=True)]
+    _lift(found, [n if f and b.structural < 2 else 0 for b, n, f in zip(found, letters, free, strict=True)])
+    for b, n, has_words, c, f in zip(found, letters, worded, content, free, strict=True):
+        if b.structural == 2 or b.linked > LINK_SHARE * n:
+            b.label = -1
+        elif has_words:
+            b.label = (1 if f else -1) if b.structural else int(c)
         elif b.structural or (len(b.text) >= LONG_BLOCK and not b.inside):
             b.label = -1  # a weak mark and nothing to outvote it, or long and no word in it
+    prose = [(b.inside, n) for b, n in zip(found, letters, strict=True) if b.label == 1]
+    teaser = sum(n for inside, n in prose if inside) < ARTICLE_SHARE * sum(n for _, n in prose)
     article = any(b.inside and b.label == 1 for b in found) or (any(b.inside and b.label == 0 for b in found) and not any(b.label == 1 for b in found))
-    if article:
+    if article and not teaser:
         for b in found:
             if not b.inside:
                 b.label = -1
@@ -296,7 +330,7 @@ def classify(found: list[Block]) -> None:
         if len({o[2] for o in options}) == 2:
             options = [o for o in options if o[2]]
         labels = {o[1] for o in options}
-        b.label = labels.pop() if len(labels) == 1 else (1 if b.inside or b.tag in HEADINGS else -1)
+        b.label = labels.pop() if len(labels) == 1 else (1 if (b.inside and not teaser) or b.tag in HEADINGS else -1)
 
 
 def main_text(page: str) -> str:

@@ -9,7 +9,9 @@ name-based UUIDs of the source's id, so a repeated run gives the same records.
 Defined results: a record that can't be read (no version line, no end of headers, too short a block) gives no
 derivatives and an ``error``; so does one of another type than response. A digest that is named but wrong gives
 ``digest_ok`` false and derivatives all the same. Chunked and compressed bodies are decoded for the text; digests are of
-the payload as stored. Null records are unreadable ones. Repeated records give equal derivatives. A very long record is
+the payload as stored. Texts are decoded by the charsets that browsers know, others count as UTF-8, and what can't be
+decoded becomes the replacement character. A body or an archive that decompresses to more than ``MAX_BODY`` bytes gives an
+error (memory is bounded by some multiple of that, or of the record as stored). Null records are unreadable ones. Repeated records give equal derivatives. A very long record is
 worked on whole, alone, in time linear in its length; an empty table gives an empty result. Extra columns are kept, but
 for those with the names of the new columns, which are replaced. Records that ``responses`` makes from a table of pages
 carry the fetch date it is given; a table without dates has none to give, so the default is a fixed one.
@@ -18,6 +20,7 @@ carry the fetch date it is given; a table without dates has none to give, so the
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as htmllib
@@ -39,6 +42,16 @@ from rivulet.llm import html_text
 VERSION = b"WARC/1.0"
 #: Bytes of records that ``pack`` puts in one archive, about.
 PACK_BYTES = 64 << 20
+#: Bytes that a compressed body or archive may have when decompressed.
+MAX_BODY = 256 << 20
+# Text encodings of the web platform, by the names of their codecs.
+CHARSETS = frozenset(
+    """
+    utf-8 utf-16-le utf-16-be ascii cp866 iso8859-1 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8
+    iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 koi8-r koi8-u mac-roman mac-cyrillic cp874 cp1250 cp1251 cp1252
+    cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 gbk gb2312 gb18030 big5 big5hkscs euc_jp iso2022_jp shift_jis euc_kr cp949
+    """.split()
+)
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
 #: A name begins where no name goes on, so that no place is scanned twice.
 _PAIR = re.compile(r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -49,6 +62,26 @@ class BadRecord(ValueError):
     """A record that can't be read."""
 
 
+#: What reading a single record may raise, whatever its bytes.
+_UNREADABLE = (ValueError, OSError, EOFError, zlib.error)
+
+
+def decompressed(data: bytes, wbits: int) -> bytes:
+    """All members of compressed data; more than ``MAX_BODY`` bytes are an error."""
+    parts, size = [], 0
+    while data:
+        stream = zlib.decompressobj(wbits)
+        part = stream.decompress(data, MAX_BODY - size + 1)
+        size += len(part)
+        if size > MAX_BODY:
+            raise BadRecord(f"decompresses to more than {MAX_BODY} bytes")
+        if not stream.eof:
+            raise EOFError("compressed data end too early")
+        parts.append(part)
+        data = stream.unused_data.lstrip(b"\0")
+    return b"".join(parts)
+
+
 @dataclass
 class Record:
     version: str
@@ -86,7 +119,7 @@ def _headers(raw: bytes) -> list[tuple[str, str]]:
 def read_records(data: bytes) -> Iterator[Record]:
     """The records of a WARC file, plain or gzipped (also record by record)."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = decompressed(data, 31)
     at = 0
     while at < len(data):
         while data[at : at + 1] in (b"\r", b"\n"):
@@ -135,18 +168,19 @@ def decoded_body(headers: list[tuple[str, str]], payload: bytes) -> str:
     coding = named.get("content-encoding", "").lower()
     try:
         if coding in ("gzip", "x-gzip"):
-            payload = gzip.decompress(payload)
+            payload = decompressed(payload, 31)
         elif coding == "deflate":
-            payload = zlib.decompress(payload)
-    except (OSError, EOFError, zlib.error):
+            payload = decompressed(payload, 15)
+    except (EOFError, zlib.error):
         pass
     charset = re.search(r"charset=[\"']?([-\w]+)", named.get("content-type", ""), re.I)
     if charset is None and (m := re.search(rb"charset=[\"']?([-\w]+)", payload[:2048], re.I)):
         charset = re.match(r"(.*)", m[1].decode("ascii"))
     try:
-        return payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+        codec = codecs.lookup(charset[1]).name if charset else "utf-8"
+    except (LookupError, ValueError):
+        codec = "utf-8"
+    return payload.decode(codec if codec in CHARSETS else "utf-8", "replace").encode("utf-8", "replace").decode("utf-8")
 
 
 def page_facts(pieces: Iterable[tuple[str, str, str]]) -> dict:
@@ -206,7 +240,7 @@ def derive(record: Record) -> tuple[Record, Record, bool, str]:
         }
     }
     both = []
-    for kind, content, block in (("metadata", "application/json", json.dumps(facts, ensure_ascii=False).encode()), ("conversion", "text/plain", text.encode("utf-8", "replace"))):
+    for kind, content, block in (("metadata", "application/json", json.dumps(facts, ensure_ascii=False).encode("utf-8", "replace")), ("conversion", "text/plain", text.encode("utf-8", "replace"))):
         named = [("WARC-Type", kind), *linked, ("WARC-Record-ID", record_id(kind, source)), ("WARC-Refers-To", source)]
         if kind == "conversion" and (value := record.get("WARC-Payload-Digest")):
             named.append(("WARC-Source-Payload-Digest", value))
@@ -250,7 +284,7 @@ def derivatives(records: DataFrame, record: str = "record") -> DataFrame:
     def one(source: Record) -> tuple:
         try:
             metadata, conversion, ok, text = derive(source)
-        except (BadRecord, OSError, EOFError, zlib.error) as e:
+        except _UNREADABLE as e:
             return failed(e)
         return (source.get("WARC-Record-ID"), metadata.get("WARC-Record-ID"), conversion.get("WARC-Record-ID"), conversion.get("WARC-Refers-To"), conversion.get("WARC-Source-Payload-Digest"), ok, metadata.serialized(), conversion.serialized(), text, None)
 
@@ -261,7 +295,7 @@ def derivatives(records: DataFrame, record: str = "record") -> DataFrame:
                 yield one(source)
             if n == 0:
                 raise BadRecord("empty")
-        except (BadRecord, OSError, EOFError, zlib.error) as e:
+        except _UNREADABLE as e:
             yield failed(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

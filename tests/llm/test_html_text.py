@@ -82,3 +82,80 @@ def test_hostile_pages_take_linear_time(piece):
         start = time.time()
         html_text.main_text(piece * 60_000 + end)
         assert time.time() - start < 10
+
+
+TWO = f"<h1>Head</h1><p>{LONG}</p><p>Then {LONG}</p>"
+READ = f"Head\n{LONG}\nThen {LONG}"
+
+
+@pytest.mark.parametrize("around", ['<form id="aspnetForm">{}</form>', '<div class="content-with-sidebar">{}</div>', '<div class="layout-sidebar">{}</div>', '<div class="page-widget">{}</div>', '<div class="page modal">{}</div>', '<form><div class="sidebar-layout"><section class="overlay">{}</section></div></form>'])
+def test_what_wraps_the_whole_page_is_no_boilerplate(around):
+    menu, foot = "<nav><a href='/'>Home</a></nav>", "<footer>Example Ltd.</footer>"
+    assert html_text.main_text(f"<body>{menu}{around.format(TWO)}{foot}</body>") == READ
+    assert html_text.main_text("<body>" + around.format(menu + TWO + foot) + "</body>") == READ
+    # inside, marks go on to count
+    assert html_text.main_text("<body>" + around.format(f"{TWO}<div class='sidebar'><p>{LONG}</p></div><form><p>{LONG}</p></form>") + "</body>") == READ
+
+
+def test_marked_containers_beside_the_text_stay_boilerplate():
+    for mark in ("sidebar", "page-widget", "cookie-notice", "sidebar-left", "ad-slot"):
+        assert html_text.main_text(f"<body><div class='{mark}'><p>{LONG}</p><p>{LONG}</p></div><div>{TWO}</div></body>") == READ
+    assert html_text.main_text(f"<div class='cookie-notice'><p>{LONG}</p></div>") == ""
+    # comments are never the text, however much of the page they are
+    assert html_text.main_text(f"<div><p>{LONG}</p></div><div class='comments'>" + f"<p>{LONG}</p>" * 30 + "</div>") == LONG
+    assert html_text.main_text(f"<div style='display:none'>{TWO}</div>") == ""
+
+
+def test_names_of_paragraphs():
+    page = f"<article><p class='ad-free'>{LONG}</p><p class='share-price'>Up.</p><p class='no-share'>Down.</p><p class='post ad'>{LONG}</p></article>"
+    assert html_text.main_text(page) == f"{LONG}\nUp.\nDown."
+
+
+def test_a_teaser_is_not_the_article():
+    teaser = f"<article><h3>Also</h3><p>{LONG}</p></article>"
+    long = "".join(f"<p>{i}. {LONG}</p>" for i in range(6))
+    read = "\n".join(f"{i}. {LONG}" for i in range(6))
+    assert read in html_text.main_text(f"<body><div>{long}</div>{teaser}</body>")
+    assert html_text.main_text(f"<body><article>{long}</article><div><p>{LONG}</p></div></body>") == read
+
+
+def by_the_rules(found):
+    """The two passes, read plainly: (structural, link share, content by words) per block, nearest decided neighbours."""
+    labels = []
+    for b in found:
+        n = max(1, len(b.text.replace(" ", "")))
+        words = [w for w in html_text._WORD.findall(b.text.lower())]
+        if b.structural == 2 or b.linked > 0.5 * n:
+            labels.append(-1)
+        elif len(b.text) >= 70 and words:
+            known = sum(w in html_text.STOP_WORDS for w in words) >= 0.08 * len(words)
+            sentences = len(html_text._SENTENCE.findall(b.text))
+            labels.append(1 if known or (b.linked <= 0.2 * n and sentences and len(words) >= 5 * sentences) else 0)
+        else:
+            labels.append(0)
+    out = []
+    for i, own in enumerate(labels):
+        if own == 0:
+            near = [j for j in range(len(labels)) if labels[j]]
+            least = min((abs(i - j) for j in near), default=None)
+            at = [j for j in near if abs(i - j) == least and all(not labels[k] for k in range(min(i, j) + 1, max(i, j)))]
+            same = [j for j in at if found[j].container == found[i].container]
+            at = same if same and len(same) < len(at) else at
+            kinds = {labels[j] for j in at}
+            own = 1 if not near else kinds.pop() if len(kinds) == 1 else 1 if found[i].tag in html_text.HEADINGS else -1
+        out.append(own)
+    return out
+
+
+def test_random_pages_against_a_plain_reading():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 14)):
+            kind = rng.choice(["p", "p", "short", "links", "nav", "head", "div", "long"])
+            parts.append({"p": f"<p>{LONG}</p>", "short": "<p>So it is.</p>", "links": "<p><a href='x'>Go there</a> now</p>", "nav": f"<nav>{LONG}</nav>", "head": "<h2>Head of it</h2>", "div": f"<div><p>Few words</p><p>{LONG}</p></div>", "long": "<p>" + "wort " * 30 + "</p>"}[kind])
+        found = html_text.blocks(html_text.markup("".join(parts)))
+        html_text.classify(found)
+        assert [b.label for b in found] == by_the_rules(found)

@@ -5,6 +5,7 @@ import json
 import re
 import time
 import uuid
+import zlib
 
 import pyarrow.parquet as pq
 import pytest
@@ -120,3 +121,37 @@ def test_chunks_that_lie():
     headers = [("Transfer-Encoding", "chunked")]
     for payload in (b"-5\r\nabc\r\n", b"zz\r\nabc", b"3\r\nabc\r\n-1\r\n\r\n"):
         assert re.sub(r"\s", "", warc.decoded_body(headers, payload)) != ""
+
+
+def made(charset: str, payload: bytes, *headers: str) -> bytes:
+    http = "\r\n".join(["HTTP/1.1 200 OK", f"Content-Type: text/html; charset={charset}", *headers]).encode() + b"\r\n\r\n" + payload
+    return warc.Record("WARC/1.0", [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{charset}>"), ("Content-Length", str(len(http)))], http).serialized()
+
+
+def test_hostile_charsets_and_bodies(spark):
+    names = ["idna", "unicode_escape", "raw_unicode_escape", "punycode", "utf-7", "base64", "rot13", "undefined", "no-such", "utf-16-surrogatepass", "utf-8", "windows-1251"]
+    rows = [(n, made(n, rb"<p>a\ud800\xff b &#xD800; &#55296; c</p>" + b"\xed\xa0\x80\xff")) for n in names]
+    out = {r.name: r for r in warc.derivatives(spark.createDataFrame(rows, "name string, record binary")).collect()}
+    assert len(out) == len(names) and all(r.error is None and r.text.startswith("a") for r in out.values())
+    assert "\ufffd" in out["idna"].text and out["unicode_escape"].text == out["utf-8"].text
+    cyrillic = warc.derivatives(spark.createDataFrame([(made("windows-1251", "<p>мост</p>".encode("cp1251")),)], "record binary")).collect()
+    assert [r.text for r in cyrillic] == ["мост"]
+
+
+def test_bombs_are_errors_and_members_are_read(monkeypatch):
+    monkeypatch.setattr(warc, "MAX_BODY", 1000)
+    page = gzip.compress(b"<p>one") + gzip.compress(b" two</p>")
+    assert warc.decoded_body([("Content-Encoding", "gzip")], page) == "<p>one two</p>"
+    assert warc.decoded_body([("Content-Encoding", "gzip")], page[:-9]) != "" and warc.decoded_body([("Content-Encoding", "deflate")], zlib.compress(b"x" * 999)) == "x" * 999
+    for coding, data in (("gzip", gzip.compress(b"0" * 1001)), ("deflate", zlib.compress(b"0" * 100_000)), ("gzip", gzip.compress(b"0" * 600) * 2)):
+        with pytest.raises(warc.BadRecord):
+            warc.decoded_body([("Content-Encoding", coding)], data)
+    with pytest.raises(warc.BadRecord):
+        list(warc.read_records(gzip.compress(b"WARC/1.0" * 1000)))
+
+
+def test_a_bomb_fails_its_record_only(spark):
+    bomb = gzip.compress(gzip.compress(b"0" * (warc.MAX_BODY + 1)))
+    rows = [(1, made("utf-8", gzip.decompress(bomb), "Content-Encoding: gzip")), (2, made("utf-8", b"<p>fine</p>"))]
+    out = {r.id: r for r in warc.derivatives(spark.createDataFrame(rows, "id int, record binary")).collect()}
+    assert "more than" in out[1].error and out[1].text is None and (out[2].error, out[2].text) == (None, "fine")
