@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 #: Modules whose import registers queries.
-MODULES = ["zones", "joins", "listing", "series", "text_queries", "folded", "faces", "clip_queries", "scalar_queries", "parse_queries", "slot_queries", "frame_queries", "rule_queries", "subject_queries", "camera_queries", "speaker_queries", "registry_queries", "focus_queries"]
+MODULES = ["zones", "joins", "listing", "series", "text_queries", "folded", "faces", "clip_queries", "scalar_queries", "parse_queries", "slot_queries", "frame_queries", "rule_queries", "subject_queries", "camera_queries", "speaker_queries", "registry_queries", "focus_queries", "transcript_queries"]
 
 
 def _load() -> None:
