@@ -40,19 +40,44 @@ def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _documents(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    text = spark.read.option("basePath", path).text(folders)
+    return text.withColumn("job_id", F.col("job_id").cast("string")) if "job_id" in text.columns else text.withColumn("job_id", F.lit(None).cast("string"))
+
+
+def _jobs(text: DataFrame, schema: T.StructType) -> DataFrame:
+    rows = _parsed(text, T.StructType([f for f in schema if f.name != "job_id"]))
+    return rows.filter("job_id is not null").select(*schema.names)
+
+
 def list_jobs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All jobs that can be read, the newest first. Files that aren't JSON or don't fit the schema are left out."""
+    """All jobs that can be read, the newest first. Files that aren't JSON or don't fit the schema are left out
+    (``unreadable`` has them)."""
     if _absent(spark, path):
         return _empty(spark, schema)
-    text = spark.read.text(path)
-    text = text.withColumn("job_id", F.col("job_id").cast("string")) if "job_id" in text.columns else text.withColumn("job_id", F.lit(None).cast("string"))
-    rows = _parsed(text, T.StructType([f for f in schema if f.name != "job_id"]))
-    return rows.filter("job_id is not null").select(*schema.names).orderBy(F.desc("created_at"), "job_id")
+    return _jobs(_documents(spark, path, [path]), schema).orderBy(F.desc("created_at"), "job_id")
+
+
+def unreadable(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(job_id, file, line) of what ``list_jobs`` leaves out."""
+    if _absent(spark, path):
+        return _empty(spark, T.StructType.fromDDL("job_id string, file string, line string"))
+    whole = T.StructType([*[f for f in schema if f.name != "job_id"], T.StructField(BAD, T.StringType())])
+    text = _documents(spark, path, [path]).withColumn("file", F.col("_metadata.file_path"))
+    rows = text.withColumn("__d", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    return rows.filter(F.col("__d").isNull() | F.col(f"__d.{BAD}").isNotNull() | F.col("job_id").isNull()).select("job_id", "file", F.col("value").alias("line"))
+
+
+def load_jobs(spark: SparkSession, path: str, schema: T.StructType, job_ids: list[str]) -> DataFrame:
+    """The rows of some jobs: only their folders are listed and read. Missing and unreadable ones have none."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folders = [f for f in (f"{path}/job_id={escaped(i)}" for i in sorted(set(job_ids)) if i) if not _absent(spark, f)]
+    return _jobs(_documents(spark, path, folders), schema) if folders else _empty(spark, schema)
 
 
 def load_job(spark: SparkSession, path: str, schema: T.StructType, job_id: str) -> DataFrame:
-    """One row, or none if the job is missing or can't be read; only its partition is read."""
-    return list_jobs(spark, path, schema).filter(F.col("job_id") == job_id)
+    """One row, or none if the job is missing or can't be read."""
+    return load_jobs(spark, path, schema, [job_id])
 
 
 def save_jobs(jobs: DataFrame, path: str) -> None:

@@ -52,7 +52,8 @@ def progress_sink(updates: DataFrame, store: str, schema, checkpoint: str):
 
     def put(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "message"), "ts").alias("u"))
-        jobs = J.list_jobs(batch.sparkSession, store, schema).join(last, "job_id")
+        own = [r[0] for r in last.select("job_id").collect()]  # the jobs of one batch
+        jobs = J.load_jobs(batch.sparkSession, store, schema, own).join(last, "job_id")
         changes = {"status": F.col("u.status"), "progress": F.coalesce("u.progress", "progress"), "progress_message": F.coalesce("u.message", "progress_message")}
         J.save_jobs(J.patch_jobs(jobs, changes).select(*schema.names), store)
 

@@ -21,6 +21,9 @@ def test_jobs(spark, tmp_path):
         f.write('{"status": "x", ')
     assert [r.job_id for r in J.list_jobs(spark, path, schema).collect()] == ["j2", "j1", "j3"]
     assert J.load_job(spark, path, schema, "j1").first().clips[0].title == "a"
+    assert [(r.job_id, r.line, r.file.endswith("part-0.json")) for r in J.unreadable(spark, path, schema).collect()] == [("bad", '{"status": "x", ', True)]
+    read = {f for row in J.load_jobs(spark, path, schema, ["j1", "j3", "none"])._jdf.inputFiles() for f in [str(row)]}
+    assert read and all("job_id=j1" in f or "job_id=j3" in f for f in read)
     assert J.load_job(spark, path, schema, "bad").count() == J.load_job(spark, path, schema, "none").count() == 0
     one = spark.createDataFrame(J.load_job(spark, path, schema, "j3").collect(), schema)
     J.save_jobs(J.patch_jobs(one, {"status": F.lit("done"), "unknown": F.lit(1), "job_id": F.lit("j1")}), path)
