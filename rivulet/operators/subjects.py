@@ -161,20 +161,23 @@ def hits(text: Column, words: list[str]) -> Column:
 
 
 def content_kinds(signals: DataFrame) -> DataFrame:
-    """(job_id, kind, confidence) by points for signals: cuts per minute (``cut_rate``), ``avg_faces`` and ``no_face`` (the
-    share of frames without), ``slots``, ``top_share`` and ``mean_range`` of the registry, ``moving``, picture ``ratio``,
+    """(job_id, kind, confidence) by points for signals: cuts per minute (``cut_rate``), ``avg_faces`` of frames with any and
+    ``no_face`` (the share of frames without, which counts only where some frame has a face), ``slots``, ``top_share`` (the
+    commonest slot's frames among all frames) and ``mean_range`` of the registry, ``moving``, picture ``ratio``,
     ``description`` of scenes and ``x_dev`` of the faces' place; null where there is no such signal. The kind of most
-    points, unless that is under two or a quarter of all."""
+    points, unless that is under two or a quarter of all; a known kind that the user names (``user_kind``) overrides all, and
+    without a length (``cut_rate`` null) nothing is known."""
     c, f, dev = F.col("cut_rate"), F.col("avg_faces"), F.col("x_dev")
+    absent = f.isNotNull() & (F.col("no_face") > 0.5)
     stable = (F.col("slots") >= 2) & (F.col("top_share") < 0.8) & (F.col("mean_range") < 15)
     alone = (F.col("slots") == 1) & (F.col("mean_range") < 10)
     moves = (F.col("slots") >= 1) & ~stable & ~alone & F.col("moving")
     rules = {
         "narrative": [(c >= 10, 3.0), ((c > 2) & (c < 10), 1.0), (f >= 2, 1.0), ((f >= 1) & (f < 2), 0.5), (moves, 1.0), (F.col("ratio") >= 2.2, 3.0)],
         "podcast": [(c <= 2, 3.0), (f >= 2, 2.5), (stable, 3.0), (dev < 3, 1.0)],
-        "gaming": [(c <= 2, 2.0), (F.col("no_face") > 0.5, 2.0)],
+        "gaming": [(c <= 2, 2.0), (absent, 2.0)],
         "vlog": [((c > 2) & (c < 10), 1.5), ((f >= 1) & (f < 2), 1.5), (~stable & alone, 1.5), (moves, 1.0), ((dev >= 8) & (dev < 15), 0.5)],
-        "sports": [(c >= 10, 1.0), ((c > 2) & (c < 10), 1.0), (F.col("no_face") > 0.5, 1.5), (dev >= 15, 0.5)],
+        "sports": [(c >= 10, 1.0), ((c > 2) & (c < 10), 1.0), (absent, 1.5), (dev >= 15, 0.5)],
         "music_video": [(c >= 40, 3.0), ((c >= 20) & (c < 40), 1.5)],
         "anime": [],
     }
@@ -190,7 +193,10 @@ def content_kinds(signals: DataFrame) -> DataFrame:
     rows = signals.withColumn("scores", F.array(*scores)).withColumns({"best": F.array_max("scores"), "total": F.aggregate("scores", F.lit(0.0), lambda a, s: a + s["score"])})
     confidence = F.when(F.col("total") > 0, F.col("best.score") / F.col("total")).otherwise(0.0)
     sure = (confidence >= 0.25) & (F.col("best.score") >= 2.0)
-    return rows.select("job_id", F.when(sure, F.col("best.kind")).otherwise("unknown").alias("kind"), F.round(F.least(F.lit(1.0), confidence), 6).alias("confidence"))
+    named = F.col("user_kind").isin([*KINDS, "unknown"]) & c.isNotNull()
+    kind = F.when(c.isNull(), "unknown").when(named, F.col("user_kind")).when(sure, F.col("best.kind")).otherwise("unknown")
+    certain = F.when(c.isNull(), 0.0).when(named, 1.0).otherwise(F.round(F.least(F.lit(1.0), confidence), 6))
+    return rows.select("job_id", kind.alias("kind"), certain.alias("confidence"))
 
 
 # Kinds of clips that kinds of content stand for.

@@ -89,12 +89,12 @@ def class_priorities(spark, d):
     return rows.select("event_id", "class", F.col("p.must").alias("must"), F.col("p.weight").alias("weight"))
 
 
-_AGENTS = ["Mozilla/5.0 (X11)", "Twitterbot/1.0", "", "WhatsApp/2.19", "Mozilla Googlebot/2.1", "curl/8"]
+_AGENTS = ["Mozilla/5.0 (X11)", "Twitterbot/1.0", "", "WhatsApp/2.19", "Mozilla Googlebot/2.1", "curl/8", "Slackbot-LinkExpanding 1.0", "facebook/9", "Embedly/0.2", "Pinterestbot", "a bot", "W3C_Validator/1.3"]
 
 
-@register("sf44_crawlers", f"select event_id, event_id % 6 in (1, 3, 4) as crawler from events")
+@register("sf44_crawlers", f"with a as (select event_id, [{', '.join(repr(x) for x in _AGENTS)}][event_id % {len(_AGENTS)} + 1] as agent from events) select event_id, len(list_filter([{', '.join(repr(x) for x in R.CRAWLERS)}], lambda c: contains(lower(agent), c))) > 0 as crawler from a")
 def crawlers(spark, d):
-    agent = F.element_at(F.array(*map(F.lit, _AGENTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    agent = F.element_at(F.array(*map(F.lit, _AGENTS)), (F.col("event_id") % len(_AGENTS) + 1).cast("int"))
     return tables.load(spark, d, "events").select("event_id", R.is_crawler(agent).alias("crawler"))
 
 
@@ -104,7 +104,7 @@ def whole_numbers(spark, d):
     return tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("clip_id"), F.get(found, F.lit(0)).alias("a"), F.get(found, F.lit(1)).alias("b"))
 
 
-@register("jn47_free_tier", f"with {duck.JOBS} select job_id, provider like '1%' or provider like '5%' as free from jobs")
+@register("jn47_free_tier", f"with {duck.JOBS}, u as (select job_id, [case when provider like '1%' then 'x:free' when provider like '5%' then 'ollama' else provider end, 'paid'] as models from jobs) select job_id, len(list_filter(models, lambda m: contains(m, 'free') or m = 'ollama')) > 0 as free from u")
 def free_tier(spark, d):
     p = F.col("provider")
     used = F.create_map(F.lit("text"), F.when(p.startswith("1"), "x:free").when(p.startswith("5"), "ollama").otherwise(p), F.lit("vision"), F.lit("paid"))
@@ -198,7 +198,7 @@ def still_degraded(spark, d):
 
 @register(
     "sc18_received_chunks",
-    """with c as (select doc_id % 40 as upload_id, doc_id // 40 as chunk, coalesce(text, '') as data, doc_id % 11 = 0 as bad from documents), g as (select upload_id, chunk, octet_length(encode(data)) as size from c where not bad),
+    """with c as (select doc_id % 40 as upload_id, doc_id // 40 as chunk, coalesce(text, '') as data, case when doc_id % 2 = 1 then sha256(coalesce(text, '')) || case when doc_id % 11 = 0 then 'x' else '' end end as sha, doc_id % 2 = 0 as by_crc, doc_id % 11 = 0 as crc_off from documents), g as (select upload_id, chunk, octet_length(encode(data)) as size from c where case when by_crc then not crc_off else sha = sha256(data) end),
     t as (select upload_id, count(*) as total from c group by 1), n as (select upload_id, count(*) as n, sum(size)::bigint as bytes from g group by 1)
     select upload_id, coalesce(n, 0) as n, coalesce(bytes, 0) as bytes, round(coalesce(n, 0) / total * 100, 1) as percent, coalesce(n, 0) = total as complete from t left join n using (upload_id)""",
 )

@@ -99,33 +99,45 @@ def motion_paths(spark, d):
 
 @register("ts33_merged_short")
 def merged_short(spark, d):
-    """Speaker events as stretches; every error begins a shot."""
+    """Speaker events as stretches; every ninth event begins a shot."""
     cut = F.col("event_id") % 9 == 0
     rows = tables.speaker_events(spark, d).select("job_id", "event_id", "t0", "t1", "slot", cut.alias("cut"))
     return D.fold(rows, "job_id", ["t0", "event_id"], lambda r: Z.merged_short(r, 6.0), "job_id long, t0 double, t1 double, slot int, cut boolean")
 
 
+_DESCRIPTIONS = ["The player on the field scores a goal, the referee looks on", "Gameplay with HUD and minimap, a kill", "An animated cartoon with a character in dialogue, a dramatic scene", "A room"]
+
+
 def _signals(spark, d):
-    faces, events = tables.dense_faces(spark, d), tables.timed_events(spark, d)
-    base = events.groupBy("job_id").agg((F.count_if(F.col("event_type") == "error") / (F.max("t") / 60)).alias("cut_rate"), F.avg(F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4)).alias("avg_faces"), (F.count_if(F.col("event_id") % 4 == 0) / F.count(F.lit(1))).alias("no_face"))
+    """Events are frames, those of an even fourth without a face; every seventh job has no faces at all, and some users name
+    the kind themselves."""
+    faces, events = tables.dense_faces(spark, d).filter("job_id % 7 <> 3"), tables.timed_events(spark, d)
+    e, none = F.col("event_id"), F.col("job_id") % 7 == 3
+    n = F.when((e % 4 > 0) & ~none, e % 4)
+    base = events.groupBy("job_id").agg((F.count_if(F.col("event_type") == "error") / (F.nullif(F.max("t"), F.lit(0.0)) / 60)).alias("cut_rate"), F.avg(n).alias("avg_faces"), (F.count_if(n.isNull()) / F.count(F.lit(1))).alias("no_face"), F.count(F.lit(1)).alias("frames"))
     slots = L.registry(faces)
-    reg = slots.groupBy("job_id").agg(F.count(F.lit(1)).alias("slots"), (F.max("frame_count") / F.sum("frame_count")).alias("top_share"), F.avg(F.col("x_max") - F.col("x_min")).alias("mean_range"))
-    dev = faces.groupBy("job_id", "event_id").agg(F.avg("x").alias("x")).groupBy("job_id").agg(F.round(F.stddev_pop("x"), 6).alias("x_dev"))
+    reg = slots.groupBy("job_id").agg(F.count(F.lit(1)).alias("slots"), F.max("frame_count").alias("top"), F.avg(F.col("x_max") - F.col("x_min")).alias("mean_range"))
+    dev = faces.groupBy("job_id", "event_id").agg(F.avg("x").alias("x")).groupBy("job_id").agg(F.round(F.stddev_pop("x"), 6).alias("dev"), F.count(F.lit(1)).alias("seen"))
     rows = base.join(reg, "job_id", "left").join(L.continuous_motion(slots), "job_id", "left").join(dev, "job_id", "left")
-    words = F.when(F.col("job_id") % 4 == 0, "The player on the field scores a goal, the referee looks on").when(F.col("job_id") % 4 == 1, "Gameplay with HUD and minimap, a kill").when(F.col("job_id") % 4 == 2, "An animated cartoon").otherwise("A room")
-    return rows.withColumns({"ratio": 1.5 + F.col("job_id") % 9 / 10, "description": words})
-
-
-_SIG = f"""b as (select job_id, count_if(event_type = 'error') / (max(t) / 60) as c, avg(case when event_id % 4 > 0 then event_id % 4 end) as fa, count_if(event_id % 4 = 0) / count(*) as nf from ev group by 1), {REG},
-r as (select job_id, count(*) as slots, max(frame_count) / sum(frame_count) as top, avg(x_max - x_min) as mr, case when count(*) = 1 then arg_max(x_max - x_min, (frame_count, -slot)) > 15 else (max(frame_count) / sum(frame_count) > 0.6e0 and arg_max(x_max - x_min, (frame_count, -slot)) > 20) or round(avg(x_max - x_min), 6) > 15 end as moving from reg group by 1),
-dv as (select job_id, round(stddev_pop(x), 6) as dev from (select job_id, event_id, avg(x) as x from faces group by all) group by 1),
-s as (select *, 1.5e0 + job_id % 9 / 10e0 as ratio, coalesce(slots >= 2 and top < 0.8e0 and mr < 15, false) as stable, coalesce(slots = 1 and mr < 10, false) as alone from b left join r using (job_id) left join dv using (job_id)),
-p as (select job_id, case when c >= 10 then 3 when c > 2 then 1 else 0 end + case when fa >= 2 then 1 when fa >= 1 then 0.5e0 else 0 end + case when slots >= 1 and not stable and not alone and moving then 1 else 0 end + case when ratio >= 2.2e0 then 3 else 0 end as narrative,
-  case when c <= 2 then 3 else 0 end + case when fa >= 2 then 2.5e0 else 0 end + case when stable then 3 else 0 end + case when dev < 3 then 1 else 0 end as podcast, case when c <= 2 then 2 else 0 end + case when nf > 0.5e0 then 2 else 0 end + case when job_id % 4 = 1 then 3 else 0 end as gaming,
+    words = F.element_at(F.array(*map(F.lit, _DESCRIPTIONS)), (F.col("job_id") % 4 + 1).cast("int"))
+    user = F.when(F.col("job_id") % 13 == 0, "podcast").when(F.col("job_id") % 13 == 1, "no such kind")
+    return rows.withColumns({"top_share": F.col("top") / F.col("frames"), "x_dev": F.when((F.col("frames") >= 10) & (F.col("seen") >= 5), F.col("dev")), "ratio": 1.5 + F.col("job_id") % 9 / 10, "description": words, "user_kind": user})
+
+
+_WORDS = "[" + ", ".join("'" + x + "'" for x in _DESCRIPTIONS) + "]"
+_HIT = {k: f"len(list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains(lower(description), w))) >= {Z.HINT_POINTS[k][0]}" for k, words in Z.HINTS.items()}
+_POINTS_OF = {k: f"case when {_HIT[k]} then {Z.HINT_POINTS[k][1]}e0 else 0 end" for k in Z.HINTS}
+_SIG = f"""faces0 as (select * from faces where job_id % 7 <> 3), b as (select job_id, count_if(event_type = 'error') / (nullif(max(t), 0) / 60) as c, avg(case when event_id % 4 > 0 and job_id % 7 <> 3 then event_id % 4 end) as fa, count_if(event_id % 4 = 0 or job_id % 7 = 3) / count(*) as nf, count(*) as frames from ev group by job_id), {REG.replace("from faces", "from faces0")},
+r as (select job_id, count(*) as slots, max(frame_count) as top_frames, avg(x_max - x_min) as mr, case when count(*) = 1 then arg_max(x_max - x_min, (frame_count, -slot)) > 15 else (max(frame_count) / sum(frame_count) > 0.6e0 and arg_max(x_max - x_min, (frame_count, -slot)) > 20) or round(avg(x_max - x_min), 6) > 15 end as moving from reg group by 1),
+dv as (select job_id, round(stddev_pop(x), 6) as dev0, count(*) as seen from (select job_id, event_id, avg(x) as x from faces0 group by all) group by 1),
+s0 as (select *, top_frames / frames as top, case when frames >= 10 and seen >= 5 then dev0 end as dev, 1.5e0 + job_id % 9 / 10e0 as ratio, {_WORDS}[job_id % 4 + 1] as description, case job_id % 13 when 0 then 'podcast' when 1 then 'no such kind' end as user_kind from b left join r using (job_id) left join dv using (job_id)),
+s as (select *, coalesce(slots >= 2 and top < 0.8e0 and mr < 15, false) as stable, coalesce(slots = 1 and mr < 10, false) as alone, fa is not null and nf > 0.5e0 as absent from s0),
+p as (select job_id, c as rate, user_kind, case when c >= 10 then 3 when c > 2 then 1 else 0 end + case when fa >= 2 then 1 when fa >= 1 then 0.5e0 else 0 end + case when slots >= 1 and not stable and not alone and moving then 1 else 0 end + case when ratio >= 2.2e0 then 3 else 0 end + {_POINTS_OF["narrative"]} as narrative,
+  case when c <= 2 then 3 else 0 end + case when fa >= 2 then 2.5e0 else 0 end + case when stable then 3 else 0 end + case when dev < 3 then 1 else 0 end as podcast, case when c <= 2 then 2 else 0 end + case when absent then 2 else 0 end + {_POINTS_OF["gaming"]} as gaming,
   case when c > 2 and c < 10 then 1.5e0 else 0 end + case when fa >= 1 and fa < 2 then 1.5e0 else 0 end + case when not stable and alone then 1.5e0 when slots >= 1 and not stable and moving then 1 else 0 end + case when dev >= 8 and dev < 15 then 0.5e0 else 0 end as vlog,
-  case when c > 2 then 1 else 0 end + case when nf > 0.5e0 then 1.5e0 else 0 end + case when dev >= 15 then 0.5e0 else 0 end + case when job_id % 4 = 0 then 2.5e0 else 0 end as sports, case when c >= 40 then 3 when c >= 20 then 1.5e0 else 0 end as music_video, case when job_id % 4 = 2 then 3 else 0 end as anime from s),
-l as (select job_id, [narrative, podcast, gaming, vlog, sports, music_video, anime] as v from p), w as (select job_id, list_max(v) as best, list_sum(v) as total, {Z.KINDS}[list_position(v, list_max(v))] as top from l),
-kinds_ as (select job_id, case when best / total >= 0.25e0 and best >= 2 then top else 'unknown' end as kind, round(least(1, case when total > 0 then best / total else 0 end), 6) as confidence from w)"""
+  case when c > 2 then 1 else 0 end + case when absent then 1.5e0 else 0 end + case when dev >= 15 then 0.5e0 else 0 end + {_POINTS_OF["sports"]} as sports, case when c >= 40 then 3 when c >= 20 then 1.5e0 else 0 end + {_POINTS_OF["music_video"]} as music_video, {_POINTS_OF["anime"]} as anime from s),
+l as (select job_id, rate, user_kind, [narrative, podcast, gaming, vlog, sports, music_video, anime] as v from p), w as (select job_id, rate, user_kind, list_max(v) as best, list_sum(v) as total, {Z.KINDS}[list_position(v, list_max(v))] as top from l),
+kinds_ as (select job_id, case when rate is null then 'unknown' when user_kind in ({", ".join(repr(k) for k in [*Z.KINDS, "unknown"])}) then user_kind when total > 0 and best / total >= 0.25e0 and best >= 2 then top else 'unknown' end as kind, case when rate is null then 0 when user_kind in ({", ".join(repr(k) for k in [*Z.KINDS, "unknown"])}) then 1 else round(least(1, case when total > 0 then best / total else 0 end), 6) end as confidence from w)"""
 
 
 @register("ag16_content_kinds", f"with {duck.FACES}, {_SIG} select * from kinds_")
@@ -133,11 +145,17 @@ def content_kinds(spark, d):
     return Z.content_kinds(_signals(spark, d))
 
 
-@register("ag17_clip_kinds", f"with {duck.FACES}, {_SIG}, base as (select job_id, case kind when 'podcast' then 'talking_head' when 'vlog' then 'talking_head' when 'anime' then 'animation' when 'music_video' then 'music_video' when 'gaming' then 'gameplay' else 'generic' end as kind from kinds_) select job_id, case when job_id % 2 = 0 and (kind = 'gameplay' or job_id % 10 / 10e0 > 0.7e0) then 'stream' else kind end as kind from base")
+@register(
+    "ag17_clip_kinds",
+    f"""with {duck.FACES}, {_SIG}, base as (select job_id, case kind when 'podcast' then 'talking_head' when 'vlog' then 'talking_head' when 'anime' then 'animation' when 'music_video' then 'music_video' when 'gaming' then 'gameplay' else 'generic' end as kind from kinds_),
+    corner as (select job_id, count_if(x >= 50 and y >= 40) / count(*) as share from faces0 group by 1)
+    select job_id, case when job_id % 2 = 0 and (kind = 'gameplay' or share > 0.7e0) then 'stream' else kind end as kind from base left join corner using (job_id)""",
+)
 def clip_kinds(spark, d):
-    """Every second job has a facecam; the share of faces in a corner stands in by rule."""
+    """Every second job has a facecam, in the lower right."""
     kinds = Z.content_kinds(_signals(spark, d))
-    return kinds.select("job_id", Z.clip_kind(F.col("kind"), F.col("job_id") % 2 == 0, F.col("job_id") % 10 / 10).alias("kind"))
+    corner = tables.dense_faces(spark, d).filter("job_id % 7 <> 3").groupBy("job_id").agg((F.count_if((F.col("x") >= 50) & (F.col("y") >= 40)) / F.count(F.lit(1))).alias("share"))
+    return kinds.join(corner, "job_id", "left").select("job_id", Z.clip_kind(F.col("kind"), F.col("job_id") % 2 == 0, F.coalesce("share", F.lit(0.0))).alias("kind"))
 
 
 @register("ts31_slot_boundaries", f"with {duck.SPK}, {duck.SPANS}, {_majority('maj', '0e0')}, b as (select s.job_id, s.seq, s.t0, slot, lag(slot) over (partition by s.job_id order by s.seq) as p from spans s left join maj on maj.job_id = s.job_id and maj.seq = s.seq) select job_id, seq, t0, slot from b where seq = 0 or slot is distinct from p")
