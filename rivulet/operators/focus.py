@@ -145,3 +145,35 @@ def frame_targets(frames: DataFrame, features: DataFrame, focus: DataFrame, near
     found = found.join(focus.select("job_id", "seq", "cx", "cy"), ["job_id", "seq"])
     mean = lambda c, other: F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(F.col(other))
     return found.select("job_id", "seq", "t", mean("wx", "cx").alias("x"), mean("wy", "cy").alias("y"))
+
+
+def camera_modes(shots: DataFrame, focus: DataFrame, features: DataFrame, targets: DataFrame, crop_width: float, mismatch: float) -> DataFrame:
+    """(job_id, seq, mode): the cheapest camera for every shot (job_id, seq, t0, t1), by its focus, what must be in
+    (``features`` as for ``frame_targets``) and the targets of its frames.
+
+    Shots under a second stand still or are padded, as their regions fit. Where regions of one moment don't fit, or nothing
+    fits and several are there at once, it is padded. Targets that keep within a tenth of the crop (less, the more the
+    aspects differ: ``mismatch``) are stationary; those whose speed hardly changes are tracked; those on a line are panned;
+    else it is padded."""
+    ids = ["job_id", "seq"]
+    moments = features.filter("must").groupBy(*ids, "t").agg(F.count(F.lit(1)).alias("n"), (F.max(F.col("x") + F.col("w") / 2) - F.min(F.col("x") - F.col("w") / 2)).alias("reach"))
+    crowd = moments.filter("n >= 2").groupBy(*ids).agg(F.lit(True).alias("several"), F.max("reach").alias("reach"))
+    w = Window.partitionBy(*ids).orderBy("t")
+    before, after = F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t")
+    rows = targets.withColumns({"d1": before, "d2": after, "v1": (F.col("x") - F.lag("x").over(w)) / before, "v2": (F.lead("x").over(w) - F.col("x")) / after})
+    pull = F.when((F.col("d1") > 0) & (F.col("d2") > 0), F.abs(F.col("v2") - F.col("v1")) / ((F.col("d1") + F.col("d2")) / 2))
+    moved = rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("range"), F.avg(pull).alias("pull"), F.when((F.var_pop("t") > 0) & (F.var_pop("x") > 0), F.regr_r2("x", "t")).alias("r2"))
+    found = shots.select(*ids, "t0", "t1").join(focus.select(*ids, "fits"), ids).join(crowd, ids, "left").join(moved, ids, "left")
+    fits, n = F.col("fits"), F.coalesce("n", F.lit(0))
+    by_fit = F.when(fits, "stationary").otherwise("padding")
+    mode = (
+        F.when(F.col("t1") - F.col("t0") < 1.0, by_fit)
+        .when(~fits & F.coalesce("several", F.lit(False)), "padding")
+        .when(n < 2, by_fit)
+        .when(F.col("reach") > crop_width, "padding")
+        .when(fits & (F.col("range") <= crop_width * 0.10 * (1.0 - min(mismatch * 0.5, 0.5))), "stationary")
+        .when((n >= 3) & (F.col("pull") < 5.0), "tracking")
+        .when((n >= 3) & (F.col("r2") > 0.90), "panning")
+        .otherwise("padding")
+    )
+    return found.select(*ids, mode.alias("mode"))

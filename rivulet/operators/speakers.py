@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.operators import folds as D
+from rivulet.operators import intervals as I
 from rivulet.operators import slots as L
 from rivulet.operators.grouped import per_group
 
@@ -170,3 +171,32 @@ def speaker_slots(segs: DataFrame, faces: DataFrame, slots: DataFrame) -> DataFr
         return {k: c[k][out] for k in ("speaker", "slot", "votes")}
 
     return per_group(votes, ["job_id"], ["since", "speaker", "slot"], assign, "speaker string, slot int, votes double")
+
+
+def turns_in_shots(shots: DataFrame, turns: DataFrame, events: DataFrame, hold: float = 0.4) -> DataFrame:
+    """(job_id, seq, t0, t1, slot): shots (job_id, seq, t0, t1) cut where the speaker's slot changes; none for shots of one
+    speaker. Turns (job_id, s0, s1, slot, rank) of the transcript count, or where a shot has none of known slots, speaker
+    events (the same). A stretch shorter than ``hold`` isn't begun by a change, and the last one takes in a rest as short."""
+    on = (F.col("s1") > F.col("t0")) & (F.col("s0") < F.col("t1"))
+    own = shots.select("job_id", "seq", "t0", "t1")
+    inside = lambda rows: I.range_join(own, rows.filter("slot >= 0").select("job_id", "s0", "s1", "slot", "rank"), ["job_id"], on, (F.col("t0"), F.col("t1")), (F.col("s0"), F.col("s1")), width=60.0)
+    spoken = inside(turns)
+    seen = inside(events).join(spoken.select("job_id", "seq").distinct(), ["job_id", "seq"], "left_anti")
+    rows = spoken.unionByName(seen).withColumn("s0", F.greatest("s0", "t0"))
+
+    def step(c: dict) -> dict:
+        begin, end, now = float(c["t0"][0]), float(c["t1"][0]), int(c["slot"][0])
+        out = []
+        for at, slot in zip(c["s0"].tolist(), c["slot"].tolist(), strict=True):
+            if slot != now and at - begin >= hold:
+                out.append((begin, at, now))
+                begin, now = at, slot
+        if end - begin >= hold or not out:
+            out.append((begin, end, now))
+        else:
+            out[-1] = (out[-1][0], end, out[-1][2])
+        out = out if len(out) > 1 else []
+        return {k: [o[i] for o in out] for i, k in enumerate(("a", "b", "slot"))}
+
+    columns = rows.select("job_id", "seq", "t0", "t1", "s0", "slot", "rank")
+    return per_group(columns, ["job_id", "seq"], ["s0", "rank"], step, "a double, b double, slot int").withColumnsRenamed({"a": "t0", "b": "t1"})

@@ -158,3 +158,27 @@ def frame_targets(spark, d):
     frames = O.shot_features(shots, tables.dense_faces(spark, d).select("job_id", "t").distinct())
     found = O.frame_targets(frames, features, O.scene_focus(shots, features, _CROP))
     return found.select("job_id", "seq", "t", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_MISMATCH = (16 / 9 - 9 / 16) / (16 / 9)
+_STILL = _CROP * 0.10 * (1.0 - min(_MISMATCH * 0.5, 0.5))
+
+
+@register(
+    "ts56_camera_modes",
+    f"""with {_FOCUS}, tt as (select distinct s.job_id, s.seq, f.t from spans s join faces f on f.job_id = s.job_id and f.t >= s.t0 and f.t < s.t1),
+    tp as (select tt.job_id, tt.seq, tt.t, sum(weight) as total, sum(weight * x) as wx from tt join feed on feed.job_id = tt.job_id and feed.seq = tt.seq and must and pulls and abs(feed.t - tt.t) < 0.01e0 group by all),
+    tg as (select tp.job_id, tp.seq, tp.t, case when tp.total > 0 then tp.wx / tp.total else cx end as x from tp join focus using (job_id, seq)),
+    mo as (select job_id, seq, max(reach) as reach from (select job_id, seq, t, count(*) as n, max(x + w / 2) - min(x - w / 2) as reach from feed where must group by all) where n >= 2 group by all),
+    ac as (select *, t - lag(t) over v as d1, lead(t) over v - t as d2, x - lag(x) over v as e1, lead(x) over v - x as e2 from tg window v as (partition by job_id, seq order by t)),
+    mv as (select job_id, seq, count(*) as n, max(x) - min(x) as range, avg(case when d1 > 0 and d2 > 0 then abs(e2 / d2 - e1 / d1) / ((d1 + d2) / 2) end) as pull, case when var_pop(t) > 0 and var_pop(x) > 0 then regr_r2(x, t) end as r2 from ac group by all)
+    select s.job_id, s.seq, case when t1 - t0 < 1 then if(fits, 'stationary', 'padding') when not fits and reach is not null then 'padding' when coalesce(n, 0) < 2 then if(fits, 'stationary', 'padding') when reach > {_CROP}e0 then 'padding' when fits and range <= {_STILL}e0 then 'stationary' when n >= 3 and pull < 5 then 'tracking' when n >= 3 and r2 > 0.9e0 then 'panning' else 'padding' end as mode
+    from (select spans.job_id, spans.seq, spans.t0, case when spans.seq % 9 = 0 then spans.t0 + 0.5e0 else spans.t1 end as t1 from spans) s join focus using (job_id, seq) left join mo using (job_id, seq) left join mv using (job_id, seq)""",
+)
+def camera_modes(spark, d):
+    """Every ninth shot is taken for one of half a second."""
+    shots, features = _feed(spark, d)
+    focus = O.scene_focus(shots, features, _CROP)
+    frames = O.shot_features(shots, tables.dense_faces(spark, d).select("job_id", "t").distinct())
+    short = shots.withColumn("t1", F.when(F.col("seq") % 9 == 0, F.col("t0") + 0.5).otherwise(F.col("t1")))
+    return O.camera_modes(short, focus, features, O.frame_targets(frames, features, focus), _CROP, _MISMATCH)

@@ -115,3 +115,30 @@ def speaker_slots(spark, d):
     turn = F.col("seq") * 7 + F.col("job_id")
     said = segs.filter(turn % 11 > 0).withColumn("speaker", F.concat(F.lit("S"), (turn % 5).cast("string")))
     return K.speaker_slots(said, faces, slots)
+
+
+_CHANGES = "(n.slot <> f.now and n.s0 - f.begin_ >= 4)"
+
+
+@register(
+    "ts28_turns_in_shots",
+    f"""with recursive {BASE}, turns as (select job_id, seq as rank, t0 + seq % 7 as s0, t0 + seq % 7 + 20 + seq % 31 as s1, (seq * 5 + job_id) % 5 - 1 as slot from spans where (seq + job_id) % 4 > 0),
+    shots as (select job_id, seq // 3 as seq, min(t0) as t0, max(t1) as t1 from spans group by all),
+    spoken as (select s.*, greatest(s0, t0) as a, slot, rank from shots s join turns u on u.job_id = s.job_id and s1 > t0 and s0 < t1 and slot >= 0),
+    seen as (select s.*, greatest(e.t0, s.t0) as a, slot, event_id as rank from shots s join spk e on e.job_id = s.job_id and e.t1 > s.t0 and e.t0 < s.t1 where not exists (select 1 from spoken p where p.job_id = s.job_id and p.seq = s.seq)),
+    rows_ as (select job_id || '/' || seq as k, job_id, seq, t0, t1, a as s0, slot, rank from (select * from spoken union all select * from seen)),
+    {duck.fold("rows_", "s0, rank", {"now": "n.slot", "begin_": "n.t0", "cut": "false", "was": "n.t0", "who": "n.slot"}, {"now": f"case when {_CHANGES} then n.slot else f.now end", "begin_": f"case when {_CHANGES} then n.s0 else f.begin_ end", "cut": _CHANGES, "was": "f.begin_", "who": "f.now"}, key="k")},
+    ends2 as (select f.job_id, f.seq, max(t1) as t1, arg_max(begin_, rn) as begin_, arg_max(now, rn) as now, count_if(cut) as cuts from f group by f.job_id, f.seq),
+    parts as (select f.job_id, f.seq, was as t0, s0 as t1, who as slot from f where cut union all select job_id, seq, begin_, t1, now from ends2 where t1 - begin_ >= 4 or cuts = 0),
+    closed as (select p.job_id, p.seq, p.t0, case when e.t1 - e.begin_ < 4 and p.t1 = e.begin_ then e.t1 else p.t1 end as t1, slot, count(*) over (partition by p.job_id, p.seq) as n from parts p join ends2 e using (job_id, seq))
+    select job_id, seq, t0, t1, slot::int as slot from closed where n > 1""",
+)
+def turns_in_shots(spark, d):
+    """Shots of three minutes, turns of labels by rule (some of nobody known), and a hold of four seconds."""
+    spans = tables.spans(spark, d)
+    seq = F.col("seq")
+    start = F.col("t0") + seq % 7
+    turns = spans.filter((seq + F.col("job_id")) % 4 > 0).select("job_id", seq.alias("rank"), start.alias("s0"), (start + 20 + seq % 31).alias("s1"), ((seq * 5 + F.col("job_id")) % 5 - 1).alias("slot"))
+    shots = spans.groupBy("job_id", F.floor(seq / 3).alias("seq")).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    events = tables.speaker_events(spark, d).select("job_id", F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.col("slot").cast("long").alias("slot"), F.col("event_id").alias("rank"))
+    return K.turns_in_shots(shots, turns, events, 4.0)
