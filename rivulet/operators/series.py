@@ -56,6 +56,29 @@ def pacing(grid: DataFrame, cuts: DataFrame, turns: DataFrame, motion: DataFrame
     for own, part in zip(names, (cuts, turns, motion, audio), strict=True):
         rows = rows.unionByName(part.select("job_id", "sec", F.lit(False).alias("there"), *[(F.col(n).cast("double") if n == own else F.lit(0.0)).alias(n) for n in names]))
     rows = rows.groupBy("job_id", "sec").agg(F.max("there").alias("there"), *[F.sum(n).alias(n) for n in names]).filter("there")
+    return _paced(rows, content, half)
+
+
+def pacing_of(moments: DataFrame, content: str, half: int = 4) -> DataFrame:
+    """The same from one stream of moments (job_id, t, cut, turn, x, value): everything is added up once per second, seconds
+    without a moment are filled in afterwards, and all steps work on one partitioning by job. The grid goes from the first
+    to the last moment's second."""
+    second = moments.groupBy("job_id", F.floor("t").alias("sec")).agg(
+        F.size(F.collect_set(F.when(F.col("cut"), F.col("t")))).cast("double").alias("cuts"), F.count_if("turn").cast("double").alias("turns"),
+        F.avg("x").alias("x"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
+    )
+    w = Window.partitionBy("job_id").orderBy("sec")
+    rows = second.withColumns({"dx": F.round(F.abs(F.col("x") - F.lag("x").over(w)), 6), "next": F.lead("sec").over(w)})
+    rows = rows.withColumn("top", F.percentile(F.when(F.col("dx") > 0, F.col("dx")), F.lit(0.95)).over(Window.partitionBy("job_id")))
+    motion = F.coalesce(F.least(F.lit(1.0), F.col("dx") / F.col("top")), F.lit(0.0))
+    audio = F.when(F.col("mean") > 1e-6, F.round(F.col("sd") / F.col("mean"), 9)).otherwise(0.0)
+    rows = rows.withColumns({"motion": motion, "audio": audio, "first": F.col("sec")})
+    rows = rows.withColumn("sec", F.explode(F.sequence("first", F.coalesce(F.col("next") - 1, F.col("first")))))
+    own = F.col("sec") == F.col("first")
+    return _paced(rows.select("job_id", "sec", *[F.when(own, F.col(n)).otherwise(0.0).alias(n) for n in ("cuts", "turns", "motion", "audio")]), content, half)
+
+
+def _paced(rows: DataFrame, content: str, half: int) -> DataFrame:
     w = Window.partitionBy("job_id").orderBy("sec")
     near = w.rowsBetween(-half, half)
     size = F.count(F.lit(1)).over(near)

@@ -69,10 +69,14 @@ _W = T.PACING_WEIGHTS["vlog"]
     select job_id, sec, round(case when a is null or c is null then raw else greatest(least(a, raw), least(greatest(a, raw), c)) end, 8) as pacing from (select *, lag(raw) over w as a, lead(raw) over w as c from r window w as (partition by job_id order by sec))""",
 )
 def pacing(spark, d):
-    motion = T.motion_per_second(tables.scenes(spark, d).withColumnRenamed("subject_x", "x"))
-    cuts = T.per_second(tables.cuts(spark, d), "t", "cuts")
-    out = T.pacing(T.second_grid(_ends(spark, d)), cuts, T.turns_per_second(tables.speaker_events(spark, d)), motion, T.peakiness_per_second(tables.timed_events(spark, d)), "vlog")
-    return out.withColumn("pacing", F.round("pacing", 8))
+    """Errors are cuts, and the slots of speaker intervals, from each event to the next, take turns."""
+    w = Window.partitionBy("job_id").orderBy("t", "event_id")
+    kind, e = F.col("event_type"), F.col("event_id")
+    slot = F.when(kind == "view", 0).when(kind == "click", 1).when(kind == "purchase", 2).otherwise(3)
+    rows = tables.timed_events(spark, d).withColumn("slot", slot)
+    turn = F.lead("t").over(w).isNotNull() & (F.lag("slot").over(w) != F.col("slot"))
+    moments = rows.select("job_id", "t", (kind == "error").alias("cut"), F.coalesce(turn, F.lit(False)).alias("turn"), (e * 37 % 101).cast("double").alias("x"), "value")
+    return T.pacing_of(moments, "vlog").withColumn("pacing", F.round("pacing", 8))
 
 
 @register("ts21_median_of_three", f"with {duck.EV}, v as (select job_id, event_id, value, lag(value) over w as a, lead(value) over w as c from ev window w as (partition by job_id order by t, event_id)) select job_id, event_id, case when a is null or c is null then value else greatest(least(a, value), least(greatest(a, value), c)) end as value from v")
