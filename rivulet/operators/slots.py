@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators import folds as D
 from rivulet.operators import intervals as I
 
 #: Shares of frames: a slot that dominates, another that denies it that, and one that is there at all.
@@ -185,6 +186,21 @@ def layout_votes(frames: DataFrame) -> Column:
     return F.when(F.col("screen") & (F.size("faces") >= 1), "screenshare").when(n >= 3, "triple").when(n == 2, F.when(second(sizes), "split").otherwise("single")).when((F.size("faces") >= 2) & second(widths), "split").otherwise("single")
 
 
+def layout_timeline(votes: DataFrame, slots: DataFrame, least: float = 2.0) -> DataFrame:
+    """(job_id, t0, t1, layout, transition, left_slot, right_slot, default_layout, changes): stretches of one layout for votes
+    (job_id, event_id, t, slot: the layout), none shorter than ``least`` if a neighbour can take it. The first is cut to, the
+    others dissolve; split ones show the two leftmost slots of a registry (job_id, slot, x_center) of two and more. The
+    default is the layout of most time, of equals the one seen first."""
+    rows = D.fold(votes, "job_id", ["t", "event_id"], lambda r: D.smoothed_votes(r, least), "job_id long, t0 double, t1 double, slot string").withColumnRenamed("slot", "layout")
+    time = rows.groupBy("job_id", "layout").agg(F.round(F.sum(F.col("t1") - F.col("t0")), 6).alias("time"), F.min("t0").alias("since"), F.count(F.lit(1)).alias("n"))
+    most = time.groupBy("job_id").agg(F.min_by("layout", F.struct(-F.col("time"), F.col("since"))).alias("default_layout"), (F.sum("n") - 1).alias("changes"), F.min("since").alias("first"))
+    pair = slots.groupBy("job_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("x_center", "slot"))), 1, 2).alias("pair"))  # a registry's slots are few
+    rows = rows.join(most, "job_id").join(pair, "job_id", "left")
+    shown = (F.col("layout") == "split") & (F.size("pair") == 2)
+    side = lambda i: F.when(shown, F.get("pair", F.lit(i))["slot"])
+    return rows.select("job_id", "t0", "t1", "layout", F.when(F.col("t0") == F.col("first"), "cut").otherwise("dissolve").alias("transition"), side(0).alias("left_slot"), side(1).alias("right_slot"), "default_layout", "changes")
+
+
 def lip_scores(spans: DataFrame, faces: DataFrame, pad: float = 0.5) -> DataFrame:
     """(job_id, seq, slot, score): how much a slot's lips (t, slot, lip, w) move in a span and ``pad`` around it: from four
     frames a second on by their speed and opening, below that by opening and size of the face; a single frame gives its

@@ -189,10 +189,10 @@ def merged_holds(spark, d):
 _ISLANDS = "select {key}, min(t0) as t0, max(t1) as t1, min(slot) as slot from (select *, sum(c) over (partition by job_id order by t0) as g from (select *, (slot is distinct from lag(slot) over (partition by job_id order by t0))::int as c from {rows})) group by job_id, g"
 
 
-@register(
-    "ts26_smoothed_votes",
-    f"""with recursive {duck.SPK}, votes as (select job_id, event_id, t0 as t, slot, (slot is distinct from lag(slot) over (partition by job_id order by t0, event_id))::int as c from spk),
-    numbered as (select *, sum(c) over (partition by job_id order by t, event_id) as g from votes),
+def smoothed_sql(votes: str) -> str:
+    """CTEs from ``votes`` (job_id, event_id, t, slot), given by ``votes``, to the stretches: a select ends them."""
+    return f"""{votes}, flips as (select job_id, event_id, t, slot, (slot is distinct from lag(slot) over (partition by job_id order by t, event_id))::int as c from votes),
+    numbered as (select *, sum(c) over (partition by job_id order by t, event_id) as g from flips),
     starts as (select job_id, g, min(t) as t0, max(t) as t_last, min(slot) as slot from numbered group by all),
     runs as (select job_id, slot, t0, coalesce(lead(t0) over (partition by job_id order by g), t_last + 0.5e0) as t1 from starts),
     {duck.fold("runs", "t0, t1", {"idx": "0", "s_t0": "n.t0", "s_slot": "n.slot"}, {"idx": "f.idx + (n.t1 - n.t0 >= 2e0)::int", "s_t0": "case when n.t1 - n.t0 >= 2e0 then n.t0 else f.s_t0 end", "s_slot": "case when n.t1 - n.t0 >= 2e0 then n.slot else f.s_slot end"})},
@@ -201,9 +201,10 @@ _ISLANDS = "select {key}, min(t0) as t0, max(t1) as t1, min(slot) as slot from (
     m as (select *, row_number() over (partition by job_id order by t0 desc) as rn from merged),
     b as (select job_id, rn, t0, t1 as b_t1, slot as b_slot, 0 as idx from m where rn = 1 union all
       select m.job_id, m.rn, m.t0, case when m.t1 - m.t0 >= 2e0 then m.t1 else b.b_t1 end, case when m.t1 - m.t0 >= 2e0 then m.slot else b.b_slot end, b.idx + (m.t1 - m.t0 >= 2e0)::int from b join m on m.job_id = b.job_id and m.rn = b.rn + 1),
-    backward as (select job_id, min(t0) as t0, any_value(b_t1) as t1, any_value(b_slot) as slot from b group by job_id, idx)
-    {_ISLANDS.format(key="job_id", rows="backward")}""",
-)
+    backward as (select job_id, min(t0) as t0, any_value(b_t1) as t1, any_value(b_slot) as slot from b group by job_id, idx)"""
+
+
+@register("ts26_smoothed_votes", f"with recursive {duck.SPK}, {smoothed_sql('votes as (select job_id, event_id, t0 as t, slot from spk)')} {_ISLANDS.format(key='job_id', rows='backward')}")
 def smoothed_votes(spark, d):
     rows = tables.speaker_events(spark, d).select("job_id", "event_id", F.col("t0").alias("t"), "slot")
     return D.fold(rows, "job_id", ["t", "event_id"], D.smoothed_votes, "job_id long, t0 double, t1 double, slot int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rivulet.operators import slots as L
 from rivulet.operators import speakers as K
 from rivulet.plans import duck
+from rivulet.plans.folded import smoothed_sql
 from rivulet.plans.registry import register
 from rivulet.plans.slot_queries import BASE, REG
 from rivulet.sources import tables
@@ -142,3 +143,24 @@ def turns_in_shots(spark, d):
     shots = spans.groupBy("job_id", F.floor(seq / 3).alias("seq")).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     events = tables.speaker_events(spark, d).select("job_id", F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.col("slot").cast("long").alias("slot"), F.col("event_id").alias("rank"))
     return K.turns_in_shots(shots, turns, events, 4.0)
+
+
+_LAYOUTS = """ids as (select job_id, event_id, slot, max(w + k * 3 - 6) as w from faces where slot >= 0 group by all), i as (select job_id, event_id, count(*) as n, list_reverse_sort(list(w)) as sizes from ids group by all), fw as (select job_id, event_id, t, count(*) as faces, list_reverse_sort(list(w + k * 3 - 6)) as widths from faces group by all),
+    votes as (select fw.job_id, fw.event_id, t / 4 as t, case when fw.event_id % 11 = 0 then 'screenshare' when coalesce(n, 0) >= 3 then 'triple' when n = 2 then case when sizes[2] > 5 then 'split' else 'single' end when faces >= 2 and widths[2] > 5 then 'split' else 'single' end as slot from fw left join i using (job_id, event_id))"""
+
+
+@register(
+    "ts27_layout_timeline",
+    f"""with recursive {BASE}, {REG}, {smoothed_sql(_LAYOUTS)},
+    final as (select job_id, min(t0) as t0, max(t1) as t1, min(slot) as layout from (select *, sum(c) over (partition by job_id order by t0) as g from (select *, (slot is distinct from lag(slot) over (partition by job_id order by t0))::int as c from backward)) group by job_id, g),
+    total as (select job_id, layout, round(sum(t1 - t0), 6) as time, min(t0) as since, count(*) as n from final group by all),
+    most as (select job_id, arg_min(layout, (-time, since)) as default_layout, sum(n)::bigint - 1 as changes, min(since) as first from total group by 1),
+    pair as (select job_id, list(slot order by x_center, slot)[1:2] as p from reg group by 1)
+    select final.job_id, t0, t1, layout, case when t0 = first then 'cut' else 'dissolve' end as transition, case when layout = 'split' and len(p) = 2 then p[1] end as left_slot, case when layout = 'split' and len(p) = 2 then p[2] end as right_slot, default_layout, changes from final join most using (job_id) left join pair using (job_id)""",
+)
+def layout_timeline(spark, d):
+    """Frames' times are quartered, so that some layouts don't last; every eleventh frame shows a screen."""
+    faces = tables.dense_faces(spark, d).withColumn("w", F.col("w") + F.col("k") * 3 - 6)
+    frames = faces.groupBy("job_id", "event_id", "t").agg(F.collect_list(F.struct("slot", "w")).alias("faces")).withColumn("screen", F.col("event_id") % 11 == 0)
+    votes = frames.select("job_id", "event_id", (F.col("t") / 4).alias("t"), L.layout_votes(frames).alias("slot"))
+    return L.layout_timeline(votes, L.registry(tables.dense_faces(spark, d)))
