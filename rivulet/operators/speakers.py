@@ -200,3 +200,91 @@ def turns_in_shots(shots: DataFrame, turns: DataFrame, events: DataFrame, hold:
 
     columns = rows.select("job_id", "seq", "t0", "t1", "s0", "slot", "rank")
     return per_group(columns, ["job_id", "seq"], ["s0", "rank"], step, "a double, b double, slot int").withColumnsRenamed({"a": "t0", "b": "t1"})
+
+
+#: Lips that are open further than this may speak.
+OPEN = 0.02
+
+
+def lip_speaker(points: DataFrame, faces: DataFrame, ids: list[str], pad: float) -> DataFrame:
+    """(*ids, slot): of the faces (with ``who``) within ``pad`` seconds of a point (job_id, at, ...), the slot whose open lips
+    are widest on average; of equals the one seen first. No row where no lips are open."""
+    own = faces.filter((F.col("lip") > OPEN) & (F.col("who") >= 0)).select("job_id", "t", "k", "who", "lip")
+    near = I.range_join(points.select(*ids, "at"), own, ["job_id"], F.abs(F.col("t") - F.col("at")) <= pad, (F.col("at") - pad, F.col("at") + pad), (F.col("t"), F.col("t")))
+    each = near.groupBy(*ids, "who").agg(F.round(F.avg("lip"), 9).alias("lip"), F.min(F.struct("t", "k")).alias("first"))
+    return each.groupBy(*ids).agg(F.min_by("who", F.struct(-F.col("lip"), F.col("first"))).alias("slot"))
+
+
+def face_signals(segs: DataFrame, words: DataFrame, faces: DataFrame, slots: DataFrame, scenes: DataFrame, events: DataFrame) -> DataFrame:
+    """Segments with the slot that their signals name (``signal``, null if none does) and the slots that speak (``speaking``) or
+    are seen (``visible``) within three seconds of their start.
+
+    In order: the speaker event (job_id, s0, s1, slot, rank) that holds the segment's middle; the slot that most of its words'
+    lips name (half a second around each word of 50 ms and more, of equals the one named first); the lips two seconds around
+    the middle; the slot next to the subject's place in the nearest scene (job_id, t, x) within ten seconds."""
+    ids = ["job_id", "seq"]
+    own = segs.select(*ids, "t0", "t1").withColumn("at", (F.col("t0") + F.col("t1")) / 2)
+    faces = with_nearest(faces, slots).withColumn("who", F.when(F.col("slot") >= 0, F.col("slot")).otherwise(F.col("nearest")))
+    on = (F.col("s0") <= F.col("at")) & (F.col("s1") >= F.col("at"))
+    talk = I.range_join(own.select(*ids, "at"), events.filter("slot >= 0").select("job_id", "s0", "s1", "slot", "rank"), ["job_id"], on, (F.col("at"), F.col("at")), (F.col("s0"), F.col("s1")), width=60.0)
+    by_event = talk.groupBy(*ids).agg(F.min_by("slot", "rank").alias("by_event"))
+    spoken = words.filter("w1 - w0 >= 0.05").select(*ids, "i", ((F.col("w0") + F.col("w1")) / 2).alias("at"))
+    votes = lip_speaker(spoken, faces, [*ids, "i"], 0.5).groupBy(*ids, "slot").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("since"))
+    by_word = votes.groupBy(*ids).agg(F.min_by("slot", F.struct(-F.col("n"), F.col("since"))).alias("by_word"))
+    by_lips = lip_speaker(own, faces, ids, 2.0).withColumnRenamed("slot", "by_lips")
+    places = scenes.groupBy("job_id", F.col("t").alias("scene_t")).agg(F.max_by("x", "event_id").alias("x"))
+    seen = I.range_join(own.select(*ids, "at"), places, ["job_id"], F.abs(F.col("scene_t") - F.col("at")) <= 10.0, (F.col("at") - 10.0, F.col("at") + 10.0), (F.col("scene_t"), F.col("scene_t")))
+    best = seen.groupBy(*ids).agg(F.min_by("x", F.struct(F.round(F.abs(F.col("scene_t") - F.col("at")), 9), F.col("scene_t"))).alias("x"))
+    by_scene = with_nearest(best, slots).select(*ids, F.col("nearest").alias("by_scene"))
+    around = I.range_join(own.select(*ids, "t0"), faces.filter("who >= 0").select("job_id", "t", "who", "lip"), ["job_id"], F.abs(F.col("t") - F.col("t0")) <= 3.0, (F.col("t0") - 3.0, F.col("t0") + 3.0), (F.col("t"), F.col("t")))
+    around = around.groupBy(*ids).agg(F.array_sort(F.collect_set(F.when(F.col("lip") > OPEN, F.col("who")))).alias("speaking"), F.array_sort(F.collect_set("who")).alias("visible"))
+    rows = own
+    for part in (by_event, by_word, by_lips, by_scene, around):
+        rows = rows.join(part, ids, "left")
+    none = F.array().cast("array<int>")
+    return rows.select(*ids, "t0", "t1", F.coalesce("by_event", "by_word", "by_lips", "by_scene").cast("int").alias("signal"), F.coalesce("speaking", none).alias("speaking"), F.coalesce("visible", none).alias("visible"))
+
+
+def _face_labels(t0: np.ndarray, t1: np.ndarray, signal: np.ndarray, speaking: list, visible: list) -> list[int]:
+    """A label per segment, numbered as they come up. Without a signal, a pause of 1.2 s and more passes the turn to another
+    slot with open lips, or to a new voice that nobody's face goes with; a shorter one to another slot in view, or nobody."""
+    labels: dict = {}
+    slot_of: dict[int, int | None] = {}
+    now, out = 1, []
+    for i in range(len(t0)):
+        slot = None if np.isnan(signal[i]) else int(signal[i])
+        if slot is None and i:
+            pause = t0[i] - t1[i - 1] >= 1.2
+            other = [s for s in (speaking[i] if pause else visible[i]) if s != slot_of.get(now)]
+            if other:
+                slot = int(min(other))
+            elif pause:
+                now = len(labels) + 1
+                labels["voice", now] = now
+                slot_of[now] = None
+                out.append(now)
+                continue
+        if slot is not None:
+            if slot not in labels:
+                labels[slot] = len(labels) + 1
+                slot_of[labels[slot]] = slot
+            now = labels[slot]
+        out.append(now)
+    return out
+
+
+def face_speakers(segs: DataFrame, words: DataFrame, faces: DataFrame, slots: DataFrame, scenes: DataFrame, events: DataFrame) -> DataFrame:
+    """(job_id, seq, speaker) for segments (also with ``n_words``): labels by the faces. Jobs with a registry of fewer than two
+    slots, or fewer than three frames with faces, are labelled by pauses and speech rates alone."""
+    known = slots.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_slots"))
+    frames = faces.groupBy("job_id").agg(F.countDistinct("t").alias("n_frames"))
+    fit = known.join(frames, "job_id").filter("n_slots >= 2 and n_frames >= 3").select("job_id")
+    rows = face_signals(segs.join(fit, "job_id", "left_semi"), words, faces, slots, scenes, events)
+
+    def step(c: dict) -> dict:
+        found = _face_labels(c["t0"], c["t1"], c["signal"].astype(float), c["speaking"].tolist(), c["visible"].tolist())
+        return {"seq": c["seq"], "speaker": [f"Speaker {n}" for n in found]}
+
+    by_face = per_group(rows, ["job_id"], ["seq"], step, "seq long, speaker string")
+    other = segs.join(fit, "job_id", "left_anti").select("job_id", "seq", "t0", "t1", "n_words")
+    return by_face.unionByName(D.fold(other, "job_id", ["seq"], D.assigned_speakers, "job_id long, seq long, speaker string"))

@@ -164,3 +164,36 @@ def layout_timeline(spark, d):
     frames = faces.groupBy("job_id", "event_id", "t").agg(F.collect_list(F.struct("slot", "w")).alias("faces")).withColumn("screen", F.col("event_id") % 11 == 0)
     votes = frames.select("job_id", "event_id", (F.col("t") / 4).alias("t"), L.layout_votes(frames).alias("slot"))
     return L.layout_timeline(votes, L.registry(tables.dense_faces(spark, d)))
+
+
+def _lip_sql(points: str, ids: str, pad: str) -> str:
+    return f"(select {ids}, arg_min(who, (-lip, first)) as slot from (select {ids}, who, round(avg(lip), 9) as lip, min((t, k)) as first from (select p.*, who, lip, t, k from {points} p join fw on fw.job_id = p.job_id and abs(fw.t - p.mid) <= {pad} and lip > 0.02e0 and who >= 0) group by all) group by {ids})"
+
+
+_OTHER = "list_filter(case when n.gap >= 1.2e0 then n.speaking else n.visible end, lambda o: o is distinct from f.keys[f.now])"
+_EFF = f"case when n.signal is not null then n.signal else list_min({_OTHER}) end"
+_VOICE = f"(({_EFF}) is null and n.gap >= 1.2e0)"
+_KEYS = f"case when {_VOICE} then list_append(f.keys, -1) when ({_EFF}) is not null and not list_contains(f.keys, {_EFF}) then list_append(f.keys, {_EFF}) else f.keys end"
+
+
+@register(
+    "jn34_face_speakers",
+    f"""with recursive {_TALK}, fw as (select *, case when slot >= 0 then slot else nearest end as who from far), scn as (select job_id, t, arg_max(event_id * 37 % 101, event_id)::double as x from ev group by all),
+    sg as (select job_id, seq, t0, t1, (t0 + t1) / 2 as mid from segs where job_id in (select job_id from reg group by 1 having count(*) >= 2) and job_id in (select job_id from faces group by 1 having count(distinct t) >= 3)),
+    e1 as (select sg.job_id, sg.seq, arg_min(spk.slot, event_id) as by_event from sg join spk on spk.job_id = sg.job_id and spk.t0 <= sg.mid and spk.t1 >= sg.mid and event_id % 5 = 0 group by all),
+    wp as (select job_id, seq, i, (w0 + w1) / 2 as mid from words semi join sg using (job_id)),
+    wv as (select job_id, seq, slot, count(*) as n, min(i) as since from {_lip_sql("wp", "job_id, seq, i", "0.5e0")} group by all), e2 as (select job_id, seq, arg_min(slot, (-n, since)) as by_word from wv group by all),
+    e3 as (select job_id, seq, slot as by_lips from {_lip_sql("sg", "job_id, seq", "2")}),
+    sx as (select sg.job_id, sg.seq, arg_min(x, (round(abs(scn.t - mid), 9), scn.t)) as x from sg join scn on scn.job_id = sg.job_id and abs(scn.t - mid) <= 10 group by all), e4 as (select sx.job_id, sx.seq, arg_min(reg.slot, (abs(x_center - x), reg.slot)) as by_scene from sx join reg on reg.job_id = sx.job_id group by all),
+    ar as (select sg.job_id, sg.seq, list(distinct who) filter (lip > 0.02e0) as speaking, list(distinct who) as visible from sg join fw on fw.job_id = sg.job_id and abs(fw.t - sg.t0) <= 3 and who >= 0 group by all),
+    rows_ as (select sg.job_id, sg.seq, t0 - lag(t1) over (partition by sg.job_id order by sg.seq) as gap, coalesce(by_event, by_word, by_lips, by_scene)::int as signal, coalesce(speaking, []) as speaking, coalesce(visible, []) as visible from sg left join e1 using (job_id, seq) left join e2 using (job_id, seq) left join e3 using (job_id, seq) left join e4 using (job_id, seq) left join ar using (job_id, seq)),
+    {duck.fold("rows_", "seq", {"keys": "case when n.signal is not null then [n.signal] else []::int[] end", "now": "1"}, {"keys": _KEYS, "now": f"case when {_VOICE} then len(f.keys)::int + 1 when ({_EFF}) is not null then list_position({_KEYS}, {_EFF})::int else f.now end"})}
+    select job_id, seq, 'Speaker ' || now as speaker from f""",
+)
+def face_speakers(spark, d):
+    """Every fifth speaker event is known; jobs of one place in the picture are left to the rule by pauses."""
+    segs, words, faces, slots = _inputs(spark, d)
+    events = tables.speaker_events(spark, d).filter("event_id % 5 = 0").select("job_id", F.col("t0").alias("s0"), F.col("t1").alias("s1"), "slot", F.col("event_id").alias("rank"))
+    scenes = tables.scenes(spark, d).select("job_id", "event_id", "t", F.col("subject_x").alias("x"))
+    fit = slots.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").join(faces.groupBy("job_id").agg(F.countDistinct("t").alias("m")).filter("m >= 3"), "job_id")
+    return K.face_speakers(segs.join(fit, "job_id", "left_semi").withColumn("n_words", F.lit(14)), words, faces, slots, scenes, events)
