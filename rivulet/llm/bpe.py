@@ -5,8 +5,9 @@ engine runs out of stack on very long runs of one character class, so long texts
 where the pattern always ends one match and starts the next; a single piece that is itself very long goes to the
 library's merge routine directly. Ids are therefore those of the library on the whole text.
 
-Defined results: a null text counts as empty (no ids). Repeated rows each give a row. Extra columns are kept, but for
-those with the names of the new columns, which are replaced.
+Defined results: a null text counts as empty (no ids). Repeated rows each give a row. A very long text is worked on whole,
+alone in its step; an empty table gives an empty result. Extra columns are kept, but for those with the names of the new
+columns, which are replaced.
 """
 
 from __future__ import annotations

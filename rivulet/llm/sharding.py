@@ -10,7 +10,8 @@ then read again at a finer resolution, until the cuts lie between single groups.
 what is left takes a shard of its own, as it alone decides the capacity; the rest is cut among the other shards.
 
 Defined results: a null text has no bytes (size 1, checksum of the empty text) and forms one group with the empty text.
-Repeated rows are each placed. An empty table gives an empty result. Extra columns are kept, but for those with the
+Repeated rows are each placed. A very long text counts with all its bytes and is only measured and hashed, never moved. An
+empty table gives an empty result. Extra columns are kept, but for those with the
 names of the new columns, which are replaced.
 """
 
