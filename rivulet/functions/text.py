@@ -166,3 +166,23 @@ def energy_lines(moments: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.bround("t").cast("long").cast("string"), F.lit("s] "), label, F.lit(" (+"), F.bround("delta").cast("long").cast("string"), F.lit("dB)"))
     rows = moments.select("job_id", F.struct("t", "event_id", line.alias("line")).alias("x"))
     return rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("map"))
+
+
+def reconciled_times(times: Column, n_words: Column) -> Column:
+    """Word times (an array of s, e) for a text of so many words: as they are if they are as many, every so-manieth if up to
+    three are too many, the longest halved (the first of equals) if up to three are missing, else null."""
+    size = F.size(times)
+    step = size / n_words
+    sampled = F.transform(F.sequence(F.lit(0), n_words - 1), lambda i: F.get(times, F.least((i * step).cast("int"), size - 1)))
+
+    def split(a: Column) -> Column:
+        def halve(v: Column) -> Column:
+            longest = F.array_max(F.transform(v, lambda t, i: F.struct((t["e"] - t["s"]).alias("d"), (-i).alias("i"))))["i"]
+            return bound(-longest, lambda at: F.flatten(F.transform(v, lambda t, i: F.when(i == at, F.array(F.struct(t["s"].alias("s"), ((t["s"] + t["e"]) / 2).alias("e")), F.struct(((t["s"] + t["e"]) / 2).alias("s"), t["e"].alias("e")))).otherwise(F.array(F.struct(t["s"].alias("s"), t["e"].alias("e")))))))
+
+        return bound(a, halve)
+
+    grown = times
+    for k in (3, 2, 1):
+        grown = F.when(n_words - size >= k, split(grown)).otherwise(grown)
+    return F.when(size == n_words, times).when((F.abs(size - n_words) > 3) | (n_words < 1) | (size < 1), F.lit(None)).when(size > n_words, sampled).otherwise(grown)

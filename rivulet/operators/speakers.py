@@ -288,3 +288,34 @@ def face_speakers(segs: DataFrame, words: DataFrame, faces: DataFrame, slots: Da
     by_face = per_group(rows, ["job_id"], ["seq"], step, "seq long, speaker string")
     other = segs.join(fit, "job_id", "left_anti").select("job_id", "seq", "t0", "t1", "n_words")
     return by_face.unionByName(D.fold(other, "job_id", ["seq"], D.assigned_speakers, "job_id long, seq long, speaker string"))
+
+
+def active_at(times: DataFrame, events: DataFrame) -> DataFrame:
+    """Times (job_id, t) with the ``active`` slot of the first event (job_id, s0, s1, slot, rank) that holds them, else of the
+    last that has ended by then, else of the job's first; null in jobs without events."""
+    order = F.struct("s0", "rank")
+    on = (F.col("s0") <= F.col("t")) & (F.col("t") <= F.col("s1"))
+    inside = I.range_join(times, events, ["job_id"], on, (F.col("t"), F.col("t")), (F.col("s0"), F.col("s1"))).groupBy("job_id", "t").agg(F.min_by("slot", order).alias("a"))
+    ended = I.asof_join(times, events.withColumnRenamed("slot", "b"), "job_id", "t", "s1", ["b"], tie="rank").select("job_id", "t", "b")
+    first = events.groupBy("job_id").agg(F.min_by("slot", order).alias("c"))
+    found = times.join(inside, ["job_id", "t"], "left").join(ended, ["job_id", "t"], "left").join(first, "job_id", "left")
+    return found.select("job_id", "t", F.coalesce("a", "b", "c").alias("active"))
+
+
+def speaking_keyframes(faces: DataFrame, events: DataFrame, segs: DataFrame, slots: DataFrame, start: float = 0.0) -> DataFrame:
+    """(job_id, t, x, y, w) per frame with faces (job_id, t, k, slot, x, y, w, h, lip), x a whole percent and t from ``start``:
+    the face that speaks. That is the first one of the active slot, or the one nearest to that slot's place if the registry
+    knows it; without either, while a segment (job_id, t0, t1) is spoken, the widest lips that are open; else the largest
+    face."""
+    times = faces.select("job_id", "t").distinct()
+    frames = faces.groupBy("job_id", "t").agg(F.array_sort(F.collect_list(F.struct("k", "slot", "x", "y", "w", "h", "lip"))).alias("faces"))
+    frames = frames.join(active_at(times, events), ["job_id", "t"], "left")
+    frames = frames.join(slots.select("job_id", F.col("slot").alias("active"), "x_center"), ["job_id", "active"], "left")
+    spoken = I.range_join(times, segs.select("job_id", "t0", "t1"), ["job_id"], F.col("t").between(F.col("t0"), F.col("t1")), (F.col("t"), F.col("t")), (F.col("t0"), F.col("t1")))
+    frames = frames.join(spoken.select("job_id", "t").distinct().withColumn("spoken", F.lit(True)), ["job_id", "t"], "left")
+    least = lambda of, by: F.get(F.array_sort(F.transform(of, lambda f: F.struct(by(f).alias("by"), f["k"].alias("k"), f.alias("f")))), F.lit(0))["f"]
+    own = F.get(F.filter("faces", lambda f: f["slot"] == F.col("active")), F.lit(0))
+    near = F.when(F.col("x_center").isNotNull(), least(F.col("faces"), lambda f: F.abs(f["x"] - F.col("x_center"))))
+    wide = F.when(F.col("spoken"), least(F.filter("faces", lambda f: f["lip"] > OPEN), lambda f: -f["lip"]))
+    chosen = F.coalesce(F.when(F.col("active") >= 0, F.coalesce(own, near)), wide, least(F.col("faces"), lambda f: -f["w"] * f["h"]))
+    return frames.select("job_id", F.col("t"), chosen.alias("f")).select("job_id", (F.col("t") - start).alias("t"), F.bround("f.x").cast("int").alias("x"), "f.y", "f.w")

@@ -197,3 +197,20 @@ def face_speakers(spark, d):
     scenes = tables.scenes(spark, d).select("job_id", "event_id", "t", F.col("subject_x").alias("x"))
     fit = slots.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").join(faces.groupBy("job_id").agg(F.countDistinct("t").alias("m")).filter("m >= 3"), "job_id")
     return K.face_speakers(segs.join(fit, "job_id", "left_semi").withColumn("n_words", F.lit(14)), words, faces, slots, scenes, events)
+
+
+@register(
+    "jn32_speaking_keyframes",
+    f"""with {_TALK}, sp as (select * from spk where event_id % 3 = 0 and job_id % 4 > 0), sp2 as (select job_id, t0, t1, event_id, case when event_id % 2 = 0 then -1 else slot end as slot from sp),
+    fr as (select distinct job_id, t from af),
+    ac as (select fr.job_id, fr.t, coalesce((select slot from sp2 where sp2.job_id = fr.job_id and sp2.t0 <= fr.t and fr.t <= sp2.t1 order by sp2.t0, event_id limit 1), (select slot from sp2 where sp2.job_id = fr.job_id and sp2.t1 <= fr.t order by sp2.t1 desc, event_id desc limit 1), (select slot from sp2 where sp2.job_id = fr.job_id order by sp2.t0, event_id limit 1)) as active from fr),
+    ctx as (select ac.job_id, ac.t, active, r.x_center, exists (select 1 from segs where segs.job_id = ac.job_id and segs.t0 <= ac.t and ac.t <= segs.t1) as spoken from ac left join (select * from reg where slot <> 2) r on r.job_id = ac.job_id and r.slot = active),
+    pick as (select c.job_id, c.t, coalesce(case when any_value(active) >= 0 then coalesce(arg_min(a.k, a.k) filter (where a.slot = active), arg_min(a.k, (abs(a.x - x_center), a.k)) filter (where x_center is not null)) end, arg_min(a.k, (-lip, a.k)) filter (where spoken and lip > 0.02e0), arg_min(a.k, (-a.w * a.h, a.k))) as k from ctx c join af a on a.job_id = c.job_id and a.t = c.t group by c.job_id, c.t)
+    select af.job_id, af.t, round_even(af.x, 0)::int as x, af.y, af.w from pick join af on af.job_id = pick.job_id and af.t = pick.t and af.k = pick.k""",
+)
+def speaking_keyframes(spark, d):
+    """Every third speaker event of three jobs in four, half of them of nobody; the registry doesn't know slot 2."""
+    segs, _, faces, slots = _inputs(spark, d)
+    known = tables.speaker_events(spark, d).filter("event_id % 3 = 0 and job_id % 4 > 0")
+    events = known.select("job_id", F.col("t0").alias("s0"), F.col("t1").alias("s1"), F.when(F.col("event_id") % 2 == 0, -1).otherwise(F.col("slot")).alias("slot"), F.col("event_id").alias("rank"))
+    return K.speaking_keyframes(faces, events, segs, slots.filter("slot <> 2"))
