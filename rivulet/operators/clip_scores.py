@@ -6,7 +6,7 @@ join per job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators.intervals import range_join
@@ -91,6 +91,24 @@ def retention_curve(rows: DataFrame, points: int = 20) -> DataFrame:
     return rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("y", F.round(F.least(F.lit(100.0), F.greatest(F.lit(20.0), y)), 4))
 
 
+# What the parts of a clip's retention weigh.
+RETENTION = {"hook": 0.25, "pacing": 0.15, "visual": 0.15, "arc": 0.25, "standalone": 0.20}
+
+
+def predicted_retention(rows: DataFrame) -> DataFrame:
+    """Clips (..., hook, pacing, visual, arc, standalone: 0 to 1) with ``overall``, of 100, their parts as whole percents, and
+    their ``rank`` in the job, the best first (of equals the lower clip_id). A clip with a part that couldn't be told has no
+    parts and counts 50."""
+    told = F.lit(True)
+    for c in RETENTION:
+        told = told & F.col(c).isNotNull()
+    overall = sum((F.col(c) * w for c, w in RETENTION.items()), F.lit(0.0))
+    whole = lambda v: F.bround(F.round(v * 100, 9)).cast("int")
+    rows = rows.withColumn("overall", F.when(told, whole(overall)).otherwise(50))
+    rows = rows.withColumn("rank", F.rank().over(Window.partitionBy("job_id").orderBy(F.desc("overall"), "clip_id")))
+    return rows.withColumns({c: F.when(told, whole(F.col(c))) for c in RETENTION})
+
+
 def adjusted(score: Column, hook: Column, retention: Column) -> Column:
     """Score moved by parts of hook and retention above or below 50, each step cut to 1..100."""
     step = lambda s, d: F.least(F.lit(100), F.greatest(F.lit(1), s + d.cast("int")))

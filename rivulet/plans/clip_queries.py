@@ -81,6 +81,23 @@ def retention_curve(spark, d):
     return K.retention_curve(rows).select("o_orderkey", "i", "y")
 
 
+_PARTS = "l_partkey % 11 / 10e0 as hook, case when l_suppkey % 13 > 0 then l_partkey % 7 / 6e0 end as pacing, l_suppkey % 5 / 4e0 as visual, l_partkey % 9 / 8e0 as arc, case when l_partkey % 17 > 0 then l_linenumber % 4 / 3e0 end as standalone"
+
+
+@register(
+    "ag12_clip_retention",
+    f"""with f as (select l_orderkey as job_id, l_linenumber as clip_id, {_PARTS} from lineitem), t as (select *, hook is not null and pacing is not null and visual is not null and arc is not null and standalone is not null as told from f),
+    s as (select job_id, clip_id, told, case when told then round_even(round((0.25e0 * hook + 0.15e0 * pacing + 0.15e0 * visual + 0.25e0 * arc + 0.2e0 * standalone) * 100, 9), 0)::int else 50 end as overall, case when told then round_even(round(hook * 100, 9), 0)::int end as hook, case when told then round_even(round(arc * 100, 9), 0)::int end as arc from t)
+    select job_id, clip_id, overall, hook, arc, rank() over (partition by job_id order by overall desc, clip_id)::int as rank from s""",
+)
+def clip_retention(spark, d):
+    """Parts of every clip by rule; of some one couldn't be told."""
+    part = lambda c, n: F.col(c) % n / F.lit(float(n - 1))
+    pacing, standalone = F.when(F.col("l_suppkey") % 13 > 0, part("l_partkey", 7)), F.when(F.col("l_partkey") % 17 > 0, part("l_linenumber", 4))
+    rows = tables.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("clip_id"), part("l_partkey", 11).alias("hook"), pacing.alias("pacing"), part("l_suppkey", 5).alias("visual"), part("l_partkey", 9).alias("arc"), standalone.alias("standalone"))
+    return K.predicted_retention(rows).select("job_id", "clip_id", "overall", "hook", "arc", "rank")
+
+
 @register(
     "sm06_adjusted_scores",
     f"""with {SEG}, {CLIP}, {HOOK}, s as (select job_id, clip_id, 1 + clip_id * 7 % 100 as score, hook, 40 + clip_id % 30 as ret from hook),
