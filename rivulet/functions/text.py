@@ -186,3 +186,50 @@ def reconciled_times(times: Column, n_words: Column) -> Column:
     for k in (3, 2, 1):
         grown = F.when(n_words - size >= k, split(grown)).otherwise(grown)
     return F.when(size == n_words, times).when((F.abs(size - n_words) > 3) | (n_words < 1) | (size < 1), F.lit(None)).when(size > n_words, sampled).otherwise(grown)
+
+
+# Seconds that subtitles run ahead of the sound and that the sound is buffered, rest after every word, pauses
+# after punctuation, and words that are spoken fast.
+AHEAD, BUFFERED, REST = 0.10, 0.12, 0.04
+PAUSES = {",": 0.15, ";": 0.16, ":": 0.12, ".": 0.22, "!": 0.22, "?": 0.24, "\u2014": 0.12, "\u2013": 0.10}
+FAST_WORDS = ["the", "a", "an", "to", "in", "on", "at", "of", "for", "and", "but", "or", "is", "was", "are", "were", "it", "its", "this", "that"]
+
+
+def active_word(text: Column, at: Column, start: Column, end: Column, times: Column, rate: Column) -> Column:
+    """The number of the word that is spoken ``at`` a time, -1 before the first (or without words). By the words' ``times`` (an
+    array of s, e) if there are as many; else words take time by their letters, the punctuation after them and how fast
+    they are, scaled to the segment and the speaker's words a second (``rate``, null: 3)."""
+    pause = F.create_map(*[F.lit(x) for pair in PAUSES.items() for x in pair])
+    rests = lambda w, c: c["scale"] * (REST + F.coalesce(F.try_element_at(pause, F.substring(w, -1, 1)), F.lit(0.0)))
+    now = at + AHEAD - BUFFERED
+
+    def timed(n: Column) -> Column:
+        later = F.array_position(F.transform(times, lambda t: now < t["e"]), True).cast("int")
+        return F.when(now < F.get(times, F.lit(0))["s"], -1).when(later > 0, later - 1).otherwise(n - 1)
+
+    def measured(ws: Column) -> Column:
+        scale = F.greatest(F.lit(0.6), F.least(F.lit(1.6), 3.0 / F.coalesce(rate, F.lit(3.0))))
+        return F.struct(F.size(ws).alias("n"), F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)).alias("total"), scale.alias("scale"), (at - start + AHEAD * scale - BUFFERED).alias("elapsed"), (end - start).alias("length"))
+
+    def stretched(ws: Column, c: Column) -> Column:
+        resting = F.aggregate(ws, F.lit(0.0), lambda a, w: a + rests(w, c))
+        return bound(resting, lambda r: bound(F.greatest(c["length"] - r, c["length"] * 0.45), lambda letters: F.struct(letters.alias("letters"), ((c["length"] - letters) / F.greatest(r, F.lit(0.01))).alias("stretch"))))
+
+    def spoken(ws: Column, c: Column, z: Column) -> Column:
+        def duration(w: Column, i: Column) -> Column:
+            own = z["letters"] * (F.length(w) / c["total"]) + rests(w, c) * z["stretch"]
+            fast = F.when(F.regexp_replace(F.lower(w), "[.,!?;:\u2014\u2013]+$", "").isin(FAST_WORDS), 0.75).otherwise(1.0)
+            return own * fast * F.when(i == 0, 1.15).when(i == c["n"] - 1, 1.10).otherwise(1.0)
+
+        begin = F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("i"), F.lit(-1).alias("found"))
+        step = lambda a, d: F.struct((a["t"] + d).alias("t"), (a["i"] + 1).alias("i"), F.when(a["found"] >= 0, a["found"]).when(c["elapsed"] < a["t"] + d, a["i"]).otherwise(-1).alias("found"))
+        return F.aggregate(F.transform(ws, duration), begin, step, lambda a: F.when(a["found"] >= 0, a["found"]).otherwise(a["i"] - 1))
+
+    def found(ws: Column) -> Column:
+        def by(c: Column) -> Column:
+            letters = F.when(c["elapsed"] < 0, -1).otherwise(bound(stretched(ws, c), lambda z: spoken(ws, c, z)))
+            return F.when(c["n"] <= 1, c["n"] - 1).when(F.size(times) == c["n"], timed(c["n"])).otherwise(letters)
+
+        return bound(measured(ws), by)
+
+    return bound(words(text), found)

@@ -97,3 +97,27 @@ def reconciled_times(spark, d):
     found = rows.withColumn("times", times).withColumn("v", X.reconciled_times(F.col("times"), F.col("n")))
     total = lambda c: F.round(F.aggregate(F.transform("v", lambda t, i: (i + 1) * t[c]), F.lit(0.0), lambda a, x: a + x), 6)
     return found.select("job_id", "seq", F.col("v").isNotNull().alias("fits"), F.when(F.col("v").isNotNull(), F.size("v")).alias("n"), total("s").alias("starts"), total("e").alias("ends"))
+
+
+_PAUSE = "coalesce(map {" + ", ".join(f"'{k}': {v}e0" for k, v in X.PAUSES.items()) + "}[x[-1]], 0e0)"
+_FAST = "case when regexp_replace(lower(w[i]), '[.,!?;:—–]+$', '') in (" + ", ".join(repr(w) for w in X.FAST_WORDS) + ") then 0.75e0 else 1e0 end"
+
+
+@register(
+    "sf49_active_words",
+    rf"""with {duck.seg()}, p as (select job_id, seq, unnest(range(0, 6)) as q, t0, t1, list_filter(string_split_regex(case when (seq + job_id) % 3 = 0 then replace(text, ' ', ', ') else text end, '\s+'), lambda x: x <> '') as w, case seq % 4 when 0 then null when 1 then 2e0 when 2 then 8e0 else 3.5e0 end as rate, (seq + job_id) % 2 = 0 as timed from seg),
+    a as (select *, len(w) as n, t0 - 0.1e0 + (t1 - t0 + 0.3e0) * q / 5 as at_, t1 - t0 as length, greatest(0.6e0, least(1.6e0, 3e0 / coalesce(rate, 3e0))) as sc, list_sum(list_transform(w, lambda x: length(x))) as total from p),
+    b as (select *, list_transform(w, lambda x: 0.04e0 * sc + {_PAUSE} * sc) as rests from a), c as (select *, list_sum(rests) as resting, greatest(length - list_sum(rests), length * 0.45e0) as letters from b),
+    d as (select *, list_transform(range(1, n + 1), lambda i: (letters * (length(w[i]) / total::double) + rests[i] * ((length - letters) / greatest(resting, 0.01e0))) * {_FAST} * case when i = 1 then 1.15e0 when i = n then 1.1e0 else 1e0 end) as dur, at_ - t0 + 0.1e0 * sc - 0.12e0 as elapsed, at_ + 0.1e0 - 0.12e0 as now_ from c),
+    e as (select *, list_filter(range(1, n + 1), lambda i: now_ < t0 + length * i / n) as later, list_filter(range(1, n + 1), lambda i: elapsed < list_sum(dur[:i])) as ahead from d)
+    select job_id, seq, q::int as q, (case when n <= 1 then n - 1 when timed then case when now_ < t0 then -1 when len(later) > 0 then later[1] - 1 else n - 1 end when elapsed < 0 then -1 when len(ahead) > 0 then ahead[1] - 1 else n - 1 end)::int as word from e""",
+)
+def active_words(spark, d):
+    """Six moments of every segment, from a little before it to a little after; every second one has word times."""
+    seq, length = F.col("seq"), F.col("t1") - F.col("t0")
+    rows = tables.segments(spark, d).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("text", F.when((seq + F.col("job_id")) % 3 == 0, F.replace("text", F.lit(" "), F.lit(", "))).otherwise(F.col("text")))
+    rows = rows.withColumn("n", F.size(X.words(F.col("text"))))
+    times = F.when(((seq + F.col("job_id")) % 2 == 0) & (F.col("n") > 0), F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct((F.col("t0") + length * (i - 1) / F.col("n")).alias("s"), (F.col("t0") + length * i / F.col("n")).alias("e"))))
+    rate = F.when(seq % 4 == 1, 2.0).when(seq % 4 == 2, 8.0).when(seq % 4 == 3, 3.5)
+    rows = rows.withColumns({"times": times, "rate": rate, "at": F.col("t0") - 0.1 + (length + 0.3) * F.col("q") / 5})
+    return rows.select("job_id", "seq", "q", X.active_word(F.col("text"), F.col("at"), F.col("t0"), F.col("t1"), F.col("times"), F.col("rate")).alias("word"))
