@@ -54,9 +54,8 @@ _PACK = 500_000
 _SEEN = 1 << 18
 
 
-def line_tokens(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tokens.Words]:
-    """(first line of every row, and one more; lines' token hashes; the tokens' lines; words, a row of them per line)."""
-    lower = tokens.LOWER[data]
+def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line of every row, and one more; where the lines start, and the end)."""
     breaks = np.flatnonzero(data == 10) + 1
     line_at = np.sort(np.concatenate([at, breaks]), kind="stable")  # a break at a row's end starts a last, empty line
     first = np.arange(len(at)) + np.searchsorted(breaks, at, side="left")
@@ -64,18 +63,33 @@ def line_tokens(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndar
     ends_here = np.zeros(len(at), np.int64)
     if len(breaks):
         ends_here = np.isin(at, breaks[np.isin(breaks, at)]).astype(np.int64)
-    first = first + ends_here * (at > 0)
-    words = tokens.Words(lower, line_at, tokens.NORMAL)
-    hashes = words.hashes()
+    return first + ends_here * (at > 0), line_at
+
+
+def cut_lines(data: np.ndarray, line_at: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the picked lines (in order) alone, and where those lines start in them, and the end."""
+    length = np.diff(line_at)
+    chosen = np.zeros(len(length), bool)
+    chosen[picked] = True
+    return data[line_at[0] : line_at[-1]][np.repeat(chosen, length)], np.append(0, np.cumsum(length[picked]))
+
+
+def tokens_of_lines(data: np.ndarray, line_at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, tokens.Words]:
+    """(lines' token hashes; the tokens' lines; words, a row of them per line) of lines with their bounds."""
+    words = tokens.Words(tokens.LOWER[data], line_at, tokens.NORMAL, chunked=True)
     starts = words.windows(shingle)
-    found, owner = [tokens.window_hashes(hashes, starts, shingle)], [words.row[starts]]
-    for k in range(1, shingle):
-        short = np.flatnonzero(words.count == k)
-        found.append(tokens.window_hashes(hashes, words.first[short], k))
-        owner.append(short)
-    found_all, owner_all = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(owner_all, kind="stable")
-    return first, found_all[order], owner_all[order], words
+    short = np.flatnonzero((words.count > 0) & (words.count < shingle))
+    begin = np.concatenate([starts, words.first[short]])
+    end = np.concatenate([starts + shingle, words.first[short] + words.count[short]])
+    owner = np.concatenate([words.row[starts], short])
+    order = np.argsort(owner, kind="stable")
+    return tokens.run_hashes(words.hashes(), begin[order], end[order]), owner[order], words
+
+
+def line_tokens(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tokens.Words]:
+    """(first line of every row, and one more; lines' token hashes; the tokens' lines; words, a row of them per line)."""
+    first, line_at = line_bounds(data, at)
+    return first, *tokens_of_lines(data, line_at, shingle)
 
 
 def ordered_sets(hashes: np.ndarray, owner: np.ndarray, n_lines: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -129,17 +143,24 @@ def _scan_lines(rows: DataFrame, key: str, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
         names = [key, "c", "c2", "l1", "l2", "counters"]
         kind = pa.int64()
         for batch in batches:
             kind = batch.column(key).type
             for part in slices(batch, "__text"):
                 first, hashes, owner, words = line_tokens(*text_bytes(part.column("__text")), shingle)
-                counters += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                held.append((hashes & np.uint64(BUCKETS - 1)).astype(np.int32))
+                size += len(hashes)
+                if size >= BUCKETS:
+                    counters += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
                 offsets, none = pa.array(first, pa.int32()), (words.count == 0)[: first[-1]]
                 keys = line_keys(words, 0), line_keys(words, 1)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(k[: first[-1]], mask=none)) for k in keys]
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("c"), part.column("c2"), *lists, pa.nulls(part.num_rows, pa.binary())], names=names)
+        if held:
+            counters += np.bincount(np.concatenate(held), minlength=BUCKETS)
         nulls = [pa.nulls(1, t) for t in (kind, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*nulls, _packed(counters)], names=names)
 
@@ -240,11 +261,17 @@ def _recurring(packed: DataFrame, classes) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         token, l1, i, m = _entries([x.as_buffer() for x in table.column("entries")])
-        order = np.lexsort((l1, token))
+        order = np.argsort(token)
         token, l1, i, m = (x[order] for x in (token, l1, i, m))
+        again = token[1:] == token[:-1]
+        several = np.append(again, False) | np.append(False, again)
+        # most tokens stand alone: only frequent ones of them are kept, and only the others are ordered by their keys
+        some = np.flatnonzero(several | (classes.value[token & (BUCKETS - 1)] > 0))
+        some = some[np.lexsort((l1[some], token[some]))]
+        token, l1, i, m = (x[some] for x in (token, l1, i, m))
         same = np.zeros(len(token), bool)
         same[1:] = token[1:] == token[:-1]
-        fresh = ~same | np.concatenate([[False], l1[1:] != l1[:-1]])
+        fresh = ~same | np.concatenate([[False], l1[1:] != l1[:-1]])[: len(token)]
         token, l1, i, m, head = (x[fresh] for x in (token, l1, i, m, ~same))
         start = np.flatnonzero(head)
         n = np.repeat(np.diff(np.append(start, len(token))), np.diff(np.append(start, len(token))))
@@ -273,15 +300,14 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                first, hashes, owner, words = line_tokens(*text_bytes(part.column("__text")), shingle)
+                data, at = text_bytes(part.column("__text"))
+                first, line_at = line_bounds(data, at)
                 named = part.column("lines")
-                picked = np.repeat(first[:-1], np.asarray(named.value_lengths())) + named.flatten().to_numpy()
-                picked = np.sort(picked)
-                wanted = np.isin(owner, picked)
-                found, at = ordered_sets(hashes[wanted], owner[wanted], len(words.count))
+                picked = np.sort(np.repeat(first[:-1], np.asarray(named.value_lengths())) + named.flatten().to_numpy())
+                hashes, owner, words = tokens_of_lines(*cut_lines(data, line_at, picked), shingle)
+                found, offsets = ordered_sets(hashes, owner, len(picked))
                 l1, l2 = line_keys(words, 0), line_keys(words, 1)
-                offsets = np.concatenate([[0], np.cumsum(np.diff(at)[picked])])
-                yield pa.RecordBatch.from_arrays([pa.array(l1[picked]), pa.array(l2[picked]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64)))], names=["l1", "l2", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(l1), pa.array(l2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64)))], names=["l1", "l2", "tokens"])
 
     return texts.select("__text", "lines").mapInArrow(run, "l1 long, l2 long, tokens array<long>")
 
@@ -293,7 +319,8 @@ def _matched(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     y = sets.select(F.col("l1").alias("y"), F.col("place").alias("py"), F.col("tokens").alias("ty"))
     able = (F.col("py") < F.col("px")) & (F.size("tx") >= F.lit(threshold) * F.size("ty") - 1e-9) & (F.size("ty") >= F.lit(threshold) * F.size("tx") - 1e-9)
     both = F.size(F.array_intersect("tx", "ty"))
-    found = pairs.join(x, "x").join(y, "y").filter(able).filter(both >= F.lit(threshold - 1e-12) * (F.size("tx") + F.size("ty") - both))
+    least = threshold - 1e-12  # of the union; as a share of both sizes, so that the intersection is worked out once
+    found = pairs.join(x, "x").join(y, "y").filter(able).filter(both >= F.lit(least / (1 + least)) * (F.size("tx") + F.size("ty")))
     return found.select(F.col("x").alias("l1"), "l2").distinct()
 
 
@@ -308,7 +335,7 @@ def similar_to_earlier(sets: DataFrame, threshold: float) -> DataFrame:
     stars = materialize(votes.groupBy("x").agg(F.max_by("y", "n").alias("y")), "line-star-pairs")
     first = materialize(_matched(stars, sets, threshold), "line-star-matches")
 
-    rest = prefix.join(groups.select("token"), "token").join(first.select("l1").distinct(), "l1", "left_anti")
+    rest = prefix.join(first.select("l1").distinct(), "l1", "left_anti")
     y = prefix.select(F.col("token").alias("token_y"), F.col("l1").alias("y"), F.col("d").alias("dy"), F.col("m").alias("my"), F.col("h").alias("hy"), F.col("i").alias("iy"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("m") + F.col("my")) - 1e-9)
     close = (F.col("token") == F.col("token_y")) & (F.col("l1") != F.col("y")) & (F.col("dy").isNull() | (F.col("dy") <= F.col("d")))
@@ -319,9 +346,9 @@ def similar_to_earlier(sets: DataFrame, threshold: float) -> DataFrame:
     beyond = F.greatest(F.col("m") - _prefix_column(F.col("m"), threshold), F.col("my") - _prefix_column(F.col("my"), threshold))
     close = close & (F.least("h", "hy") >= need - beyond)
     pairs = rest.join(y, close).select(F.col("l1").alias("x"), "y").distinct()
-    pairs = materialize(pairs.join(stars, ["x", "y"], "left_anti"), "line-pairs")
+    pairs = pairs.join(stars, ["x", "y"], "left_anti")
     matched = materialize(first.unionByName(_matched(pairs, sets, threshold)), "line-matches")
-    discard(prefix, groups, stars, first, pairs)
+    discard(prefix, groups, stars, first)
     return matched
 
 
@@ -339,7 +366,8 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", te
 
     buckets = max(16, -(-int(total.sum()) // BUCKET_TOKENS))
     entries = materialize(_recurring(_prefixes(rows, classes, shingle, threshold, buckets), classes), "line-entries")
-    hits = _hits(entries).groupBy("l1").agg(F.collect_set(F.struct("token", "i")).alias("hits"), F.first("m").alias("m"))
+    # a key has one entry for a token, as both name its bucket
+    hits = _hits(entries).groupBy("l1").agg(F.collect_list(F.struct("token", "i")).alias("hits"), F.first("m").alias("m"))
     hits = hits.filter(F.size("hits") >= must_share(F.col("m"), threshold))
     chosen = materialize(hits.join(firsts, "l1"), "line-chosen")
     discard(entries)
@@ -363,7 +391,7 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", te
     left = F.transform(parts, lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("__gone")), lambda i: F.get(p, i)), "\n"))
     some = F.col(text).isNotNull() & F.col("__gone").isNotNull()
     kept = F.when(some, F.get(left, F.lit(0))).otherwise(F.col(text))
-    sizes = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1), "n_removed": F.when(some, F.size("__gone")).otherwise(0)}
+    sizes = {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1), "n_removed": F.when(some, F.size("__gone")).otherwise(0)}
     out = out.select(*[c for c in docs.columns if c not in (text, "n_lines", "n_removed")], kept.alias(text), *[v.cast("long").alias(k) for k, v in sizes.items()])
     order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*order, "n_lines", "n_removed")

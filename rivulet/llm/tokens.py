@@ -14,6 +14,10 @@ _Q = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SEED = (0x0123456789ABCDEF, 0x5851F42D4C957F2D)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+#: The first bytes of eight, by their number; words of more bytes than ``_CHUNKED`` are hashed by bytes in any case.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_CHUNKED = 64
+
 #: Bytes of words: everything but blanks and the control characters 9 to 13.
 PLAIN = np.ones(256, bool)
 PLAIN[[32, 9, 10, 11, 12, 13]] = False
@@ -62,20 +66,18 @@ def _runs(values: np.ndarray, first: np.ndarray, last: np.ndarray, family: int)
 class Words:
     """The words of a slice of rows: ``start``/``end`` byte offsets, ``row``, and ``first``: the rows' word offsets."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, table: np.ndarray):
-        self.data, self.at, n = data, at, len(at) - 1
+    def __init__(self, data: np.ndarray, at: np.ndarray, table: np.ndarray, chunked: bool = False):
+        """``chunked``: hash words by eight bytes at once (other values than by bytes, and fewer steps)."""
+        self.data, self.at, self.chunked, n = data, at, chunked, len(at) - 1
         if len(data) == 0:
             self.start = self.end = np.zeros(0, np.int64)
         else:
-            inside = table[data]
-            before = np.empty(len(data), bool)
-            before[0], before[1:] = False, inside[:-1]
-            before[at[:-1][at[:-1] < len(data)]] = False
-            self.start = np.flatnonzero(inside & ~before)
-            after = np.empty(len(data), bool)
-            after[-1], after[:-1] = False, inside[1:]
-            after[at[1:][at[1:] > 0] - 1] = False
-            self.end = np.flatnonzero(inside & ~after) + 1
+            inside = np.zeros(len(data) + 2, bool)
+            inside[1:-1] = table[data]
+            edges = np.flatnonzero(inside[1:] != inside[:-1])
+            cuts = np.unique(at[(at > 0) & (at < len(data))])
+            cuts = cuts[inside[cuts] & inside[cuts + 1]]  # rows end and start within a run of words' bytes
+            self.start, self.end = (np.sort(np.concatenate([x, cuts]), kind="stable") if len(cuts) else x for x in (edges[::2], edges[1::2]))
         self.first = np.searchsorted(self.start, at[:-1]).astype(np.int64)
         self.first = np.append(self.first, len(self.start))
         self.count = np.diff(self.first)
@@ -85,10 +87,23 @@ class Words:
     def hashes(self, family: int = 0) -> np.ndarray:
         """A 64-bit hash of every word."""
         if family not in self._hashes:
-            found = _runs(_BYTE_VALUES[family][self.data], self.start, self.end, family)
+            found = self._chunks(family) if self.chunked else _runs(_BYTE_VALUES[family][self.data], self.start, self.end, family)
             self._hashes[family] = mix(found + (self.end - self.start).astype(np.uint64) * np.uint64(_SEED[family] | 1))
         return self._hashes[family]
 
+    def _chunks(self, family: int) -> np.ndarray:
+        length, times, seed = self.end - self.start, np.uint64(_Q[family]), np.uint64(_SEED[family])
+        wide = np.ndarray((len(self.data) + 1,), np.dtype("<u8"), np.append(self.data, np.zeros(8, np.uint8)), 0, (1,))
+        found = mix((wide[self.start] & _KEEP[np.minimum(length, 8)]) * times + seed)
+        some, at = np.flatnonzero((length > 8) & (length <= _CHUNKED)), 8
+        while len(some):
+            left = length[some] - at
+            found[some] = mix(found[some] * times + (wide[self.start[some] + at] & _KEEP[np.minimum(left, 8)]))
+            some, at = some[left > 8], at + 8
+        if len(rest := np.flatnonzero(length > _CHUNKED)):
+            found[rest] = _runs(_BYTE_VALUES[family][self.data], self.start[rest], self.end[rest], family)
+        return found
+
     def windows(self, k: int) -> np.ndarray:
         """The first words of all windows of k words within one row."""
         n = len(self.start)

@@ -86,3 +86,30 @@ def test_frequent_tokens_in_many_buckets(spark, monkeypatch, buckets):
 
 def test_empty(spark):
     assert lines.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_picked_lines_are_cut_into_words():
+    """The sets of chosen lines are those of the whole text, and no other line's bytes are worked on."""
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(rng.choice(["Ab", "é", "c" * 9, "d" * 70, "e" * 17, "..", "7"]) for _ in range(rng.choice([0, 1, 2, 5, 9]))) for _ in range(rng.randint(1, 7))).encode() for _ in range(40)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    _, hashes, owner, words = lines.line_tokens(data, at, 5)
+    picked = np.flatnonzero((words.count > 0) & (np.arange(len(words.count)) % 3 == 0))
+    cut, line_at = lines.cut_lines(data, lines.line_bounds(data, at)[1], picked)
+    own, of, some = lines.tokens_of_lines(cut, line_at, 5)
+    assert 0 < len(cut) < 0.6 * len(data) and np.diff(line_at).min() > 0
+    for i, line in enumerate(picked.tolist()):
+        assert own[of == i].tolist() == hashes[owner == line].tolist()
+    for family in (0, 1):
+        assert (lines.line_keys(some, family) == lines.line_keys(words, family)[picked]).all()
+
+
+def test_word_hashes_by_chunks_tell_words_apart():
+    """Words of every length around the chunks' borders, unlike in one byte or in length, have hashes of their own."""
+    named = {b"a" * i + b"b" * (k - i) for k in [*range(1, 20), 63, 64, 65, 66, 200] for i in range(k + 1)}
+    named = sorted(named)
+    data = np.frombuffer(b" ".join([*named, *named]), np.uint8)
+    words = lines.tokens.Words(data, np.array([0, len(data)]), lines.tokens.NORMAL, chunked=True)
+    for family in (0, 1):
+        hashes = words.hashes(family)
+        assert (hashes[: len(named)] == hashes[len(named) :]).all() and len(np.unique(hashes)) == len(named)
