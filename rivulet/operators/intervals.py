@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.functions.numbers import rounded
 from rivulet.operators import folds
 
 
@@ -51,9 +52,9 @@ def label_by_overlap(segs: DataFrame, turns: DataFrame, default: str = "Speaker
 def slot_coverage(spans: DataFrame, events: DataFrame, min_confidence: float = 0.0, digits: int = 4) -> DataFrame:
     """Per span (job_id, seq, t0, t1): the slot whose events (s0, s1, slot, confidence) cover most of it, and the share."""
     pairs = range_join(spans, events.filter(F.col("confidence") >= min_confidence), ["job_id"], (F.col("s0") < F.col("t1")) & (F.col("s1") > F.col("t0")), (F.col("t0"), F.col("t1")), (F.col("s0"), F.col("s1")))
-    sums = pairs.groupBy("job_id", "seq", "t0", "t1", "slot").agg(F.round(F.sum(overlap(F.col("t0"), F.col("t1"), F.col("s0"), F.col("s1"))), 6).alias("sec"))
+    sums = pairs.groupBy("job_id", "seq", "t0", "t1", "slot").agg(rounded(F.sum(overlap(F.col("t0"), F.col("t1"), F.col("s0"), F.col("s1"))), 6).alias("sec"))
     best = sums.groupBy("job_id", "seq", "t0", "t1").agg(F.max_by(F.struct("slot", "sec"), F.struct("sec", -F.col("slot"))).alias("b"))
-    return best.select("job_id", "seq", F.col("b.slot").alias("slot"), F.round(F.col("b.sec") / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9)), digits).alias("coverage"))
+    return best.select("job_id", "seq", F.col("b.slot").alias("slot"), rounded(F.col("b.sec") / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9)), digits).alias("coverage"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, s: str, values: list[str], direction: str = "backward", tie: str | None = None) -> DataFrame:

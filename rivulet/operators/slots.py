@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.functions.numbers import rounded
 from rivulet.operators import folds as D
 from rivulet.operators import intervals as I
 
@@ -62,13 +63,13 @@ def registry(faces: DataFrame) -> DataFrame:
     """(job_id, slot, x_center, x_min, x_max, frame_count, avg_width, avg_y, y_dev): the known slots of a job."""
     known = faces.filter("slot >= 0")
     return known.groupBy("job_id", "slot").agg(
-        F.round(F.avg("x"), 6).alias("x_center"),
+        rounded(F.avg("x"), 6).alias("x_center"),
         F.min("x").alias("x_min"),
         F.max("x").alias("x_max"),
         F.countDistinct("event_id").alias("frame_count"),
-        F.round(F.avg("w"), 6).alias("avg_width"),
-        F.round(F.avg("y"), 6).alias("avg_y"),
-        F.round(F.stddev_pop("y"), 6).alias("y_dev"),
+        rounded(F.avg("w"), 6).alias("avg_width"),
+        rounded(F.avg("y"), 6).alias("avg_y"),
+        rounded(F.stddev_pop("y"), 6).alias("y_dev"),
     )
 
 
@@ -76,7 +77,7 @@ _CHOICE = "slot int, confidence double, layout string, source string"
 
 
 def choice(slot: Column, confidence: Column, layout: str, source: str) -> Column:
-    return F.struct(slot.cast("int").alias("slot"), F.round(confidence, 6).alias("confidence"), F.lit(layout).alias("layout"), F.lit(source).alias("source"))
+    return F.struct(slot.cast("int").alias("slot"), rounded(confidence, 6).alias("confidence"), F.lit(layout).alias("layout"), F.lit(source).alias("source"))
 
 
 def spread(seen: DataFrame, slots: DataFrame, majority: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def spread(seen: DataFrame, slots: DataFrame, majority: DataFrame) -> DataFrame:
     rows = rows.withColumns({"cx": F.avg("x_center").over(w), "k": F.count(F.lit(1)).over(w)}).filter("k >= 2")
     found = rows.groupBy("job_id", "seq").agg(
         (F.max("x_center") - F.min("x_center")).alias("span"),
-        F.min_by("slot", F.struct(F.round(F.abs(F.col("x_center") - F.col("cx")), 6), "slot")).alias("nearest"),
+        F.min_by("slot", F.struct(rounded(F.abs(F.col("x_center") - F.col("cx")), 6).alias("d"), "slot")).alias("nearest"),
         F.max_by("slot", F.struct("n", -F.col("slot"))).alias("most"),
         F.collect_set("slot").alias("there"),
     )
