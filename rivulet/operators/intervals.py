@@ -57,9 +57,10 @@ def slot_coverage(spans: DataFrame, events: DataFrame, min_confidence: float = 0
     return best.select("job_id", "seq", F.col("b.slot").alias("slot"), rounded(F.col("b.sec") / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9)), digits).alias("coverage"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, s: str, values: list[str], direction: str = "backward", tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, s: str, values: list[str], direction: str = "backward", tie: str | None = None, digits: int | None = None) -> DataFrame:
     """Each left row with the values of the right row of its key that is last at or before it (``backward``), first at or
-    after it (``forward``) or the closest (``nearest``; the earlier of equals), and that row's time as ``s``."""
+    after it (``forward``) or the closest (``nearest``; the earlier of equals), and that row's time as ``s``. With ``digits``,
+    distances are compared as rounded to so many, so that equal ones are not told apart by their last bits."""
     mark = F.struct(F.col(s).alias("s"), *[F.col(v).alias(v) for v in values])
     a = left.withColumns({"__t": F.col(t), "__side": F.lit(1), "__m": F.lit(None).cast(right.select(mark.alias("m")).schema["m"].dataType)})
     b = right.select(F.col(key), F.col(s).alias("__t"), F.lit(0).alias("__side"), mark.alias("__m"), *([F.col(tie).alias("__tie")] if tie else [F.lit(0).alias("__tie")]))
@@ -72,7 +73,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, s: str, value
         rows = rows.withColumn("__ahead", F.last("__m", ignorenulls=True).over(ahead))
     rows = rows.filter("__side = 1")
     if direction == "nearest":
-        far = F.col("__back").isNull() | ((F.col("__ahead.s") - F.col("__t")) < (F.col("__t") - F.col("__back.s")))
+        away = lambda d: d if digits is None else rounded(d, digits)
+        far = F.col("__back").isNull() | (away(F.col("__ahead.s") - F.col("__t")) < away(F.col("__t") - F.col("__back.s")))
         found = F.when(far & F.col("__ahead").isNotNull(), F.col("__ahead")).otherwise(F.col("__back"))
     else:
         found = F.col("__back" if direction == "backward" else "__ahead")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivulet.functions.numbers import rounded
 from rivulet.operators import intervals as I
 from rivulet.operators import slots as L
 from rivulet.plans import duck
@@ -121,7 +122,7 @@ SAMPLES = "samples as (select job_id, t as s, round(avg(x), 6) as x from faces g
 
 
 def _samples(spark, d):
-    return _faces(spark, d).groupBy("job_id", F.col("t").alias("s")).agg(F.round(F.avg("x"), 6).alias("x"))
+    return _faces(spark, d).groupBy("job_id", F.col("t").alias("s")).agg(rounded(F.avg("x"), 6).alias("x"))
 
 
 @register(
@@ -135,7 +136,7 @@ def sample_at(spark, d):
     probes = tables.spans(spark, d).select("job_id", "seq", t.alias("t"))
     samples = _samples(spark, d)
     exact = samples.select("job_id", F.col("s").alias("r"), F.col("x").alias("e"))
-    near = I.asof_join(probes, samples, "job_id", "t", "s", ["x"], "nearest").withColumn("r", F.round("t", 3))
+    near = I.asof_join(probes, samples, "job_id", "t", "s", ["x"], "nearest", digits=9).withColumn("r", rounded("t", 3))
     return near.join(exact, ["job_id", "r"], "left").select("job_id", "seq", F.coalesce("e", "x").alias("x"))
 
 

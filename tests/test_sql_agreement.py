@@ -1,11 +1,17 @@
 """Rows where Spark's or Python's own rules part from those of the SQL: halves in sums, equal distances, equal times."""
 
+import datetime
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions.numbers import rounded, rounded_float
+from rivulet.operators import folds as D
+from rivulet.operators import intervals as I
 from rivulet.operators import slots as L
+from rivulet.plans import registry
 
 
 @pytest.mark.parametrize("value,digits", [(28.349999999999998, 1), (0.145, 2), (0.575, 2), (-28.349999999999998, 1), (0.1234565, 6), (2.5, 0)])
@@ -22,3 +28,36 @@ def test_the_nearer_of_two_slots_is_told_by_rounded_distances(spark):
         slots = spark.createDataFrame([(1, 1, a), (1, 2, b)], "job_id long, slot int, x_center double")
         want = duckdb.execute("select arg_min(slot, (round(abs(x - (? + ?) / 2), 6), slot)) from (values (1, ?::double), (2, ?::double)) v(slot, x)", [a, b, a, b]).fetchone()[0]
         assert L.spread(seen, slots, majority).select(F.col("spread_choice.slot")).first()[0] == want
+
+
+def test_equal_distances_are_told_apart_by_time_only(spark):
+    # both lie .708 from 7.3, but in doubles the later one is nearer
+    probes = spark.createDataFrame([(1, 7.3)], "job_id long, t double")
+    marks = spark.createDataFrame([(1, 6.592, 81.5), (1, 8.008, 50.0)], "job_id long, s double, x double")
+    assert 8.008 - 7.3 < 7.3 - 6.592
+    for digits, want in ((None, 50.0), (6, 81.5), (9, 81.5)):
+        assert I.asof_join(probes, marks, "job_id", "t", "s", ["x"], "nearest", digits=digits).first()["x"] == want
+
+
+def _events(tmp_path, rows):
+    """An events table of (event_id, media seconds, type), all of one user."""
+    first = datetime.datetime(2024, 1, 1)
+    table = pd.DataFrame([{"event_id": i, "ts": first + datetime.timedelta(hours=h), "user_id": 1, "event_type": kind, "value": 1.0, "props": "{}"} for i, h, kind in rows])
+    table["ts"] = table["ts"].astype("datetime64[us]")
+    table.to_parquet(tmp_path / "events.parquet")
+    return str(tmp_path)
+
+
+def _both(spark, folder, name):
+    """The query's rows and the SQL's over a folder with events, sorted."""
+    con = duckdb.connect()
+    con.execute(f"create view events as from '{folder}/events.parquet'")
+    want = con.execute(registry.oracle_sql()[name]).df()
+    made = registry.queries()[name](spark, folder).toPandas()[list(want.columns)]
+    plain = lambda frame: sorted(tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False))
+    return plain(made), plain(want)
+
+
+def test_sample_at_of_equally_near_samples(spark, tmp_path):
+    made, want = _both(spark, _events(tmp_path, [(1, 0.0, "view"), (3, 126.597, "view"), (5, 128.003, "view"), (7, 170.0, "view")]), "jn18_sample_at")
+    assert made == want
