@@ -73,7 +73,7 @@ def nearest_frame(spark, d):
     """The frame nearest to each segment's middle; frames of one time stand by their least id."""
     frames = tables.scenes(spark, d).groupBy("job_id", F.col("t").alias("s")).agg(F.min("event_id").alias("event_id"))
     rows = tables.segments(spark, d).withColumn("m", (F.col("t0") + F.col("t1")) / 2)
-    return I.asof_join(rows, frames, "job_id", "m", "s", ["event_id"], "nearest").filter("event_id is not null").select("job_id", "seq", "event_id")
+    return I.asof_join(rows, frames, "job_id", "m", "s", ["event_id"], "nearest", digits=6).filter("event_id is not null").select("job_id", "seq", "event_id")
 
 
 @register("jn13_covered_share", f"with {SEG}, {duck.SPK}, o as (select seg.job_id, seq, t0 as a, t1 as b, least(seg.t1, s1) - greatest(seg.t0, s0) as sec from seg join (select job_id, t0 as s0, t1 as s1, slot from spk) k on k.job_id = seg.job_id and s0 < t1 and s1 > t0 and slot < 2) select job_id, seq, round(sum(sec) / (b - a), 4) as share, sum(sec) / (b - a) >= 0.3e0 as enough from o where b > a group by job_id, seq, a, b")

@@ -61,3 +61,14 @@ def _both(spark, folder, name):
 def test_sample_at_of_equally_near_samples(spark, tmp_path):
     made, want = _both(spark, _events(tmp_path, [(1, 0.0, "view"), (3, 126.597, "view"), (5, 128.003, "view"), (7, 170.0, "view")]), "jn18_sample_at")
     assert made == want
+
+
+def test_nearest_frame_of_equally_near_frames(spark, tmp_path):
+    # the segment goes from 0 to 2.4
+    folder = _events(tmp_path, [(1, 0.0, "view"), (2, 0.398, "view"), (3, 2.002, "view"), (4, 9.0, "view")])
+    pd.DataFrame([{"conv_id": 1, "turn": 0, "role": "user", "text": "a b c d e f"}]).to_parquet(tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    for table in ("events", "conversations"):
+        con.execute(f"create view {table} as from '{folder}/{table}.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["jn21_nearest_frame"]).fetchall())
+    assert sorted(map(tuple, registry.queries()["jn21_nearest_frame"](spark, folder).collect())) == want
