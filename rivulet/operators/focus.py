@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.functions.numbers import rounded
 from rivulet.operators import intervals as I
 
 _REGION = "struct<cx:double,cy:double,hw:double,hh:double,score:double,tier:string,source:string,slot:int,most:double>"
@@ -45,10 +46,10 @@ def required_regions(faces: DataFrame, events: DataFrame, objects: DataFrame, bl
     speaks = ((F.col("slot") >= 0) & (F.col("slot") == F.col("active"))) | (F.col("lip") > 0.05)
     rows = faces.filter(F.coalesce("human", F.lit(True))).join(active, ["job_id", "t"], "left")
     of_faces = rows.select("job_id", "t", region(0, F.when(F.coalesce(speaks, F.lit(False)), 1.0).otherwise(0.7), "required", "face", F.col("slot"), 2.0).alias("c"))
-    at = frames.select("job_id", "t", F.round("t", 2).alias("__at"))
+    at = frames.select("job_id", "t", rounded("t", 2).alias("__at"))
 
     def timed(rows: DataFrame, c: Column) -> DataFrame:
-        own = rows.select("job_id", F.round("t", 2).alias("__at"), c.alias("c"))
+        own = rows.select("job_id", rounded("t", 2).alias("__at"), c.alias("c"))
         return at.join(own, ["job_id", "__at"]).select("job_id", "t", "c")
 
     of_objects = timed(objects.filter("name = 'person'"), region(1, F.lit(0.6), "required", "object", F.lit(-1), 0.3))

@@ -77,3 +77,10 @@ def test_nearest_frame_of_equally_near_frames(spark, tmp_path):
 def test_two_pictures_of_one_time_give_both_faces(spark, tmp_path):
     made, want = _both(spark, _events(tmp_path, [(0, 0.0, "view"), (1, 3.0, "click"), (2, 7.5, "view"), (3, 7.5, "click"), (5, 9.0, "view")]), "jn32_speaking_keyframes")
     assert made == want and len({r[1] for r in made}) < len(made)
+
+
+def test_regions_at_halves_of_hundredths(spark, tmp_path):
+    # 0.145 and 0.575 are rounded down by the SQL, so they meet what lies in the hundredth below
+    rows = [(0, 0.0, "view"), (9, 0.141, "view"), (10, 0.145, "click"), (11, 0.149, "view"), (21, 0.571, "view"), (22, 0.575, "view"), (23, 0.579, "click"), (33, 1.005, "view")]
+    made, want = _both(spark, _events(tmp_path, rows), "jn35_required_regions")
+    assert made == want
