@@ -84,3 +84,19 @@ def test_regions_at_halves_of_hundredths(spark, tmp_path):
     rows = [(0, 0.0, "view"), (9, 0.141, "view"), (10, 0.145, "click"), (11, 0.149, "view"), (21, 0.571, "view"), (22, 0.575, "view"), (23, 0.579, "click"), (33, 1.005, "view")]
     made, want = _both(spark, _events(tmp_path, rows), "jn35_required_regions")
     assert made == want
+
+
+# in both, the first vote lasts no time and a long stretch of another kind starts with it
+_VIEWS = [(1, 0.0, "view"), (2, 0.0, "purchase"), (22, 5.0, "purchase"), (3, 10.0, "error"), (9, 14.0, "error"), (11, 20.0, "view"), (33, 24.0, "view")]
+_LAYOUTS = [(11, 0.0, "view"), (13, 0.0, "view"), (17, 5.0, "view"), (22, 10.0, "view"), (25, 20.0, "view"), (29, 24.0, "view")]
+
+
+@pytest.mark.parametrize("name,rows", [("ts26_smoothed_votes", _VIEWS)])
+def test_stretches_that_start_at_one_time_are_one(spark, tmp_path, name, rows):
+    made, want = _both(spark, _events(tmp_path, rows), name)
+    assert made == want
+
+
+def test_a_short_first_stretch_gives_its_lower_slot():
+    votes = [{"t": 0.0, "slot": 1}, {"t": 0.0, "slot": 3}, {"t": 10.0, "slot": 2}, {"t": 15.0, "slot": 2}]
+    assert [(r["t0"], r["t1"], r["slot"]) for r in D.smoothed_votes(votes)] == [(0.0, 10.0, 1), (10.0, 15.5, 2)]
