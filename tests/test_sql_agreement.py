@@ -91,7 +91,7 @@ _VIEWS = [(1, 0.0, "view"), (2, 0.0, "purchase"), (22, 5.0, "purchase"), (3, 10.
 _LAYOUTS = [(11, 0.0, "view"), (13, 0.0, "view"), (17, 5.0, "view"), (22, 10.0, "view"), (25, 20.0, "view"), (29, 24.0, "view")]
 
 
-@pytest.mark.parametrize("name,rows", [("ts26_smoothed_votes", _VIEWS)])
+@pytest.mark.parametrize("name,rows", [("ts26_smoothed_votes", _VIEWS), ("ts27_layout_timeline", _LAYOUTS)])
 def test_stretches_that_start_at_one_time_are_one(spark, tmp_path, name, rows):
     made, want = _both(spark, _events(tmp_path, rows), name)
     assert made == want
