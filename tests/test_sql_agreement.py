@@ -100,3 +100,8 @@ def test_stretches_that_start_at_one_time_are_one(spark, tmp_path, name, rows):
 def test_a_short_first_stretch_gives_its_lower_slot():
     votes = [{"t": 0.0, "slot": 1}, {"t": 0.0, "slot": 3}, {"t": 10.0, "slot": 2}, {"t": 15.0, "slot": 2}]
     assert [(r["t0"], r["t1"], r["slot"]) for r in D.smoothed_votes(votes)] == [(0.0, 10.0, 1), (10.0, 15.5, 2)]
+
+
+@pytest.mark.parametrize("estimates,want", [([41, 93, 73, 69, 47, 73], 57.417458), ([33, 101, 95, 45, 81], 40.916138), ([23, 54, 34, 92, 32, 58], 35.401118)])
+def test_estimates_round_as_the_sql_does(estimates, want):
+    assert [p["eta"] for p in D.eta_smoothed({"t": float(i), "eta": float(e)} for i, e in enumerate(estimates))][-1] == want
