@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import text as X
+from rivulet.functions.numbers import rounded
 
 #: Points of audio moments.
 AUDIO_POINTS = {"extreme_spike": 30, "silence_to_loud": 25, "volume_spike": 15}
@@ -163,7 +164,7 @@ def hot_zones(segs: DataFrame, scenes: DataFrame, moments: DataFrame, length: fl
         }
     )
     score = F.greatest(F.lit(0.0), 0.25 * F.col("audio") + 0.35 * F.col("transcript") + 0.25 * F.col("scenes") + 0.15 * F.col("speakers") - F.col("penalty"))
-    return found.select("job_id", "k", "w0", "w1", F.round(score, 1).alias("score"), "audio", "transcript", F.round("scenes", 4).alias("scenes"), "speakers")
+    return found.select("job_id", "k", "w0", "w1", rounded(score, 1).alias("score"), "audio", "transcript", rounded("scenes", 4).alias("scenes"), "speakers")
 
 
 def top_zones(zoned: DataFrame, n: int) -> DataFrame:

@@ -105,3 +105,15 @@ def test_a_short_first_stretch_gives_its_lower_slot():
 @pytest.mark.parametrize("estimates,want", [([41, 93, 73, 69, 47, 73], 57.417458), ([33, 101, 95, 45, 81], 40.916138), ([23, 54, 34, 92, 32, 58], 35.401118)])
 def test_estimates_round_as_the_sql_does(estimates, want):
     assert [p["eta"] for p in D.eta_smoothed({"t": float(i), "eta": float(e)} for i, e in enumerate(estimates))][-1] == want
+
+
+@pytest.mark.parametrize("name", ["ts01_hot_zones"])
+def test_scores_of_zones_at_halves_of_tenths(spark, tmp_path, name):
+    con = duckdb.connect()
+    for table, key in (("events", "user_id"), ("conversations", "conv_id")):
+        con.execute(f"copy (from '/root/testdata/sf0.1/{table}.parquet' where {key} in (161, 362, 485, 677)) to '{tmp_path}/{table}.parquet' (format parquet)")
+        con.execute(f"create view {table} as from '{tmp_path}/{table}.parquet'")
+    want = con.execute(registry.oracle_sql()[name]).df()
+    made = registry.queries()[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    plain = lambda frame: sorted(map(tuple, frame.itertuples(index=False)))
+    assert plain(made) == plain(want)
