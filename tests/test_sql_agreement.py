@@ -107,7 +107,7 @@ def test_estimates_round_as_the_sql_does(estimates, want):
     assert [p["eta"] for p in D.eta_smoothed({"t": float(i), "eta": float(e)} for i, e in enumerate(estimates))][-1] == want
 
 
-@pytest.mark.parametrize("name", ["ts01_hot_zones"])
+@pytest.mark.parametrize("name", ["ts01_hot_zones", "ts03_top_zones"])
 def test_scores_of_zones_at_halves_of_tenths(spark, tmp_path, name):
     con = duckdb.connect()
     for table, key in (("events", "user_id"), ("conversations", "conv_id")):
