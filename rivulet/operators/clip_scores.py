@@ -28,22 +28,24 @@ def _in(word: Column, listed: list[str]) -> Column:
     return F.coalesce(word.isin(*listed), F.lit(False))
 
 
-def opening(clips: DataFrame, segs: DataFrame, seconds: float = 3.0) -> DataFrame:
-    """Per clip the segments that overlap its first seconds: first start, first text, all text, first speaker."""
-    pairs = range_join(clips, segs, ["job_id"], (F.col("t0") < F.col("c0") + seconds) & (F.col("t1") > F.col("c0")), (F.col("c0"), F.col("c0") + seconds), (F.col("t0"), F.col("t1")))
+def opening(starts: DataFrame, segs: DataFrame, seconds: float = 3.0) -> DataFrame:
+    """Per start (job_id, c0) the segments that overlap the seconds after it: first start, first speaker, all text."""
+    pairs = range_join(starts, segs, ["job_id"], (F.col("t0") < F.col("c0") + seconds) & (F.col("t1") > F.col("c0")), (F.col("c0"), F.col("c0") + seconds), (F.col("t0"), F.col("t1")))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"])
-    return pairs.groupBy("job_id", "clip_id", "c0", "c1").agg(F.min("t0").alias("first_t0"), F.min_by("text", "seq").alias("first_text"), F.min_by("speaker", "seq").alias("first_speaker"), F.array_join(texts, " ").alias("text"))
+    return pairs.groupBy("job_id", "c0").agg(F.min("t0").alias("first_t0"), F.min_by("speaker", "seq").alias("first_speaker"), F.array_join(texts, " ").alias("text"))
 
 
-def previous_speaker(clips: DataFrame, segs: DataFrame) -> DataFrame:
-    """The speaker of the latest segment that ends within (start - 2, start + .5]."""
-    pairs = range_join(clips, segs, ["job_id"], (F.col("t1") > F.col("c0") - 2) & (F.col("t1") <= F.col("c0") + 0.5), (F.col("c0") - 2, F.col("c0") + 0.5), (F.col("t1"), F.col("t1")))
-    return pairs.groupBy("job_id", "clip_id").agg(F.max_by("speaker", F.struct("t1", "seq")).alias("before_speaker"))
+def previous_speaker(starts: DataFrame, segs: DataFrame) -> DataFrame:
+    """Per start (job_id, c0) the speaker of the latest segment that ends within (start - 2, start + .5]."""
+    pairs = range_join(starts, segs, ["job_id"], (F.col("t1") > F.col("c0") - 2) & (F.col("t1") <= F.col("c0") + 0.5), (F.col("c0") - 2, F.col("c0") + 0.5), (F.col("t1"), F.col("t1")))
+    return pairs.groupBy("job_id", "c0").agg(F.max_by("speaker", F.struct("t1", "seq")).alias("before_speaker"))
 
 
 def hook_score(clips: DataFrame, segs: DataFrame) -> DataFrame:
-    """Hook strength 0-100 of every clip; 15 where nothing is said at its start."""
-    rows = clips.join(opening(clips, segs).drop("c0", "c1"), ["job_id", "clip_id"], "left").join(previous_speaker(clips, segs), ["job_id", "clip_id"], "left")
+    """Hook strength 0-100 of every clip; 15 where nothing is said at its start. Only the start counts, so clips that start
+    together are scored once."""
+    starts = clips.select("job_id", "c0").distinct()
+    rows = opening(starts, segs).join(previous_speaker(starts, segs), ["job_id", "c0"], "left")
     w = _lower_words(F.col("text"))
     first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
     low = F.lower("text")
@@ -54,7 +56,8 @@ def hook_score(clips: DataFrame, segs: DataFrame) -> DataFrame:
     score = score - F.when(_in(first, PRONOUNS) & _in(second, LINKING), 15).otherwise(0) + F.when(F.array_join(F.slice(w, 1, 6), " ").contains("?"), 25).otherwise(0)
     score = score + F.when(_in(first, REACTION_OPENERS), 20).otherwise(0) + F.when(F.coalesce(F.col("before_speaker") != F.col("first_speaker"), F.lit(False)), 15).otherwise(0)
     score = score + F.when(low.contains("!"), 10).otherwise(0) + F.when(bold, 15).otherwise(0)
-    return rows.select("job_id", "clip_id", F.when(F.col("text").isNull(), 15).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), score))).cast("int").alias("hook"))
+    hooks = rows.filter("text is not null").select("job_id", "c0", F.least(F.lit(100), F.greatest(F.lit(0), score)).alias("hook"))
+    return clips.select("job_id", "clip_id", "c0").join(hooks, ["job_id", "c0"], "left").select("job_id", "clip_id", F.coalesce("hook", F.lit(15)).cast("int").alias("hook"))
 
 
 def snapped(clips: DataFrame, segs: DataFrame, reach: float = 3.0) -> DataFrame:

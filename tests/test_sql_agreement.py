@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.functions.numbers import rounded, rounded_float
+from rivulet.operators import clip_scores as K
 from rivulet.operators import folds as D
+from rivulet.operators import frames as M
 from rivulet.operators import intervals as I
 from rivulet.operators import slots as L
 from rivulet.plans import registry
@@ -117,3 +119,23 @@ def test_scores_of_zones_at_halves_of_tenths(spark, tmp_path, name):
     made = registry.queries()[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
     plain = lambda frame: sorted(map(tuple, frame.itertuples(index=False)))
     assert plain(made) == plain(want)
+
+
+def _counted(monkeypatch, module, name):
+    """Row counts of the left sides that a module's range join gets."""
+    seen, real = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda left, *args, **more: seen.append(left.count()) or real(left, *args, **more))
+    return seen
+
+
+_SEGS = [(1, 0, "user", "Wow never!", 2, 0.0, 4.0), (1, 1, "host", "it is so", 3, 4.0, 40.0), (2, 0, "user", "a", 1, 90.0, 91.0)]
+
+
+def test_clips_that_begin_together_are_scored_once(spark, monkeypatch):
+    segs = spark.createDataFrame(_SEGS, "job_id long, seq long, speaker string, text string, n_words long, t0 double, t1 double")
+    rows = [(1, i, float(i % 2 * 4), float(20 + i)) for i in range(40)] + [(1, 40, None, 9.0), (2, 41, 0.0, 9.0), (3, 42, 0.0, 9.0)]
+    clips = spark.createDataFrame(rows, "job_id long, clip_id long, c0 double, c1 double")
+    seen = _counted(monkeypatch, K, "range_join")
+    made = {r.clip_id: r.hook for r in K.hook_score(clips, segs).collect()}
+    assert made == {i: 50 if i % 2 else 95 for i in range(40)} | {40: 15, 41: 15, 42: 15}
+    assert max(seen) <= 5  # starts of a job
