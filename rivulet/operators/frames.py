@@ -154,11 +154,12 @@ def better_hook(clips: DataFrame, segs: DataFrame, fillers: list[str], openers:
 def snapped_to_words(clips: DataFrame, words: DataFrame, margin: float = 2.0, pre: float = 0.3, post: float = 0.5, least: float = 15.0) -> DataFrame:
     """(job_id, clip_id, c0, c1): clips moved to the start of the word nearest to their start, less ``pre``, and the end of
     the one nearest to their end, plus ``post``. Words (w0, w1, s0, s1) count if their segment (s0, s1) comes within
-    ``margin``. Clips without words stay, as do those that would turn round or get shorter than ``least``."""
+    ``margin``. Clips without words stay, as do those that would turn round or get shorter than ``least``. Clips of equal ends
+    meet the words once."""
     on = (F.col("s1") >= F.col("c0") - margin) & (F.col("s0") <= F.col("c1") + margin)
-    pairs = I.range_join(clips, words, ["job_id"], on, (F.col("c0") - margin, F.col("c1") + margin), (F.col("s0"), F.col("s1")))
-    found = pairs.groupBy("job_id", "clip_id").agg(F.min_by("w0", F.struct(F.round(F.abs(F.col("w0") - F.col("c0")), 6), "w0")).alias("a"), F.min_by("w1", F.struct(F.round(F.abs(F.col("w1") - F.col("c1")), 6), "w0", "w1")).alias("b"))
-    rows = clips.join(found, ["job_id", "clip_id"], "left")
+    pairs = I.range_join(clips.select("job_id", "c0", "c1").distinct(), words, ["job_id"], on, (F.col("c0") - margin, F.col("c1") + margin), (F.col("s0"), F.col("s1")))
+    found = pairs.groupBy("job_id", "c0", "c1").agg(F.min_by("w0", F.struct(F.round(F.abs(F.col("w0") - F.col("c0")), 6), "w0")).alias("a"), F.min_by("w1", F.struct(F.round(F.abs(F.col("w1") - F.col("c1")), 6), "w0", "w1")).alias("b"))
+    rows = clips.join(found, ["job_id", "c0", "c1"], "left")
     a, b = F.greatest(F.lit(0.0), F.col("a") - pre), F.col("b") + post
     good = F.coalesce((a < b) & (F.round(b - a, 9) >= least), F.lit(False))
     return rows.select("job_id", "clip_id", F.when(good, F.round(a, 3)).otherwise(F.col("c0")).alias("c0"), F.when(good, F.round(b, 3)).otherwise(F.col("c1")).alias("c1"))

@@ -139,3 +139,13 @@ def test_clips_that_begin_together_are_scored_once(spark, monkeypatch):
     made = {r.clip_id: r.hook for r in K.hook_score(clips, segs).collect()}
     assert made == {i: 50 if i % 2 else 95 for i in range(40)} | {40: 15, 41: 15, 42: 15}
     assert max(seen) <= 5  # starts of a job
+
+
+def test_clips_of_equal_ends_meet_the_words_once(spark, monkeypatch):
+    words = spark.createDataFrame([(1, 0.0, 40.0, w, w + 0.8) for w in (1.0, 2.0, 20.0, 21.0)], "job_id long, s0 double, s1 double, w0 double, w1 double")
+    rows = [(1, i, float(i % 2), 21.0) for i in range(40)] + [(1, 40, None, 9.0), (2, 41, 0.0, 9.0)]
+    clips = spark.createDataFrame(rows, "job_id long, clip_id long, c0 double, c1 double")
+    seen = _counted(monkeypatch, I, "range_join")
+    made = {r.clip_id: (r.c0, r.c1) for r in M.snapped_to_words(clips, words).collect()}
+    assert made == {i: (0.7, 21.3) if i < 40 else made[i] for i in range(42)} and made[40] == (None, 9.0) and made[41] == (0.0, 9.0)
+    assert max(seen) <= 4  # pairs of ends of a job
